@@ -50,7 +50,7 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
     mult = mixed(np.arange(11, 11 + width, dtype=np.uint64) * _STEP) | np.uint64(1)
     for i, j, offsets, data in pieces(column):
         low = LOWER[data]
-        begin, end, row = words(low, offsets, SPACE)
+        begin, end, row = words(~SPACE[low], offsets)
         h = Hashed(low).of(begin, end) if len(begin) else np.zeros(0, np.uint64)
         firsts = np.searchsorted(row, np.arange(j - i + 1), "left")
         n = len(h) - width + 1

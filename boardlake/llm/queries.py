@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import minhash
+from . import language_id, minhash, packing, sharding, toxicity
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by nearest centroid."""
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+def op2_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 40 shards, equal texts together, row counts at most one apart."""
+    return sharding.assign(table(spark, sf_dir, "documents"), shards=40)
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +25,22 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents in token-budget batches of optimal length buckets."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_balanced_sharding": op2_balanced_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_length_bucket_packing": op8_length_bucket_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -99,22 +99,32 @@ class Hashed:
         return mixed((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of each longest run of bytes that are no gap, within the rows that offsets mark."""
-    if not len(data):
+def words(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each longest run of bytes that are inside a word, within the rows that offsets mark."""
+    n = len(inside)
+    if not n:
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~gap[data]
-    edge = np.empty(len(data) + 1, bool)
-    edge[0], edge[-1] = inside[0], False
-    np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
-    starts_at = np.zeros(len(data) + 1, bool)
-    starts_at[offsets[:-1]] = True
-    starts_at[-1] = False
-    begin = np.flatnonzero((edge[:-1] | starts_at[:-1]) & inside)
-    stop_at = np.zeros(len(data) + 1, bool)
-    stop_at[1:][inside] = True  # the place after a byte of a word ...
-    stop_at[:-1] &= ~inside | starts_at[:-1]  # ... at which the word does not go on
-    end = np.flatnonzero(stop_at)
-    row = np.searchsorted(offsets, begin, "right") - 1
-    return begin, end, row
+    fresh = np.zeros(n + 1, bool)  # a row begins here, or the bytes end
+    fresh[offsets] = True
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1] | fresh[1:n]
+    end = inside.copy()  # of the last byte of a word
+    end[:-1] &= ~inside[1:] | fresh[1:n]
+    begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    return begin, end, np.searchsorted(offsets, begin, "right") - 1
+
+
+#: ASCII letters and digits, and every byte of other characters.
+_WORDLY = table_of(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + bytes(range(128, 256)))
+
+
+def in_words(data: np.ndarray) -> np.ndarray:
+    """True for bytes of letters, digits and other characters, without general punctuation, no-break spaces and guillemets."""
+    inside = _WORDLY[data]
+    for lead, second, width in ((0xE2, (0x80,), 3), (0xC2, (0xA0, 0xAB, 0xBB, 0xA1, 0xBF), 2)):
+        at = np.flatnonzero(data[:-1] == lead)
+        at = at[np.isin(data[at + 1], second)]
+        for k in range(width):
+            inside[np.minimum(at + k, len(data) - 1)] = False
+    return inside

@@ -4,17 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from boardlake.llm.language_id import known_language
 from boardlake.llm.minhash import first_of_each
+from boardlake.llm.packing import pack
 from boardlake.llm.shared import stored
+from boardlake.llm.toxicity import clean_documents
 from boardlake.sources.tables import table
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches 0.7 go."""
+    return clean_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that have no letter or lie far from every language."""
+    return known_language(docs)
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: that of the smallest doc_id."""
     return first_of_each(docs, percent=85)
 
 
-STAGES = [("minhash", dedup_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in batches of optimal length buckets."""
+    return pack(docs)
+
+
+STAGES = [("toxicity", toxicity_stage), ("language_id", language_stage), ("minhash_near_dedup", dedup_stage), ("packing", packing_stage)]
 
 #: The stages learn models and verify near-duplicates, which SQL cannot express.
 ORACLE_SQL = None
@@ -26,5 +44,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, name.replace(" ", "_"))
+            docs = stored(docs, name)
     return docs
