@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, stored
+from .shared import components, sieve, stored
 from .text import LOWER, SPACE, Hashed, mixed, pieces, words
 
 COORDS, BANDS, WIDTH = 192, 32, 5
@@ -274,7 +274,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     family = stored(family, "families")
     sizes = family.groupBy("component").agg(F.ceil(F.sum("n") / FAMILY_CHUNK).alias("chunks"))
     tasks = _paired(family.join(sizes, "component"), "component", "chunks", "node").select("component", "lo", "hi", F.col("node").alias("doc_id"), "f1")
-    texts = tasks.join(own, "doc_id").select("component", "lo", "hi", "doc_id", "f1", "text")
+    some = own.where(sieve(family, "node")(F.col("doc_id")))  # only texts of families are shuffled
+    texts = tasks.join(some, "doc_id").select("component", "lo", "hi", "doc_id", "f1", "text")
     links = texts.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(_confirmed(percent), "a long, b long").distinct()
     groups = components(links)
     of_class = (
@@ -288,7 +289,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group: that of its smallest doc_id. Rows without an id all stay."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("_gone"), "left_anti").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each group: one of its smallest doc_id. Rows without an id all stay.
+
+    Only documents that go, or whose id is repeated, and those few that the sieve takes for them are shuffled.
+    """
+    found = near_duplicates(docs, id_col, text_col, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    found = stored(found.where("n > 1 or not kept").select(F.col("doc_id").alias("_id"), "kept"), "judged")
+    maybe = F.col(id_col).isNotNull() & sieve(found, "_id")(F.col(id_col).cast("long"))
+    doubtful = docs.where(maybe).join(found, F.col(id_col) == F.col("_id"), "left").where("kept is null or kept").drop("_id", "kept")
+    return docs.where(~maybe).unionByName(doubtful.dropDuplicates([id_col]))

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .text import mixed
+
 #: Rows that one task ranks or sorts at a time.
 CHUNK = 2000
 
@@ -102,3 +108,49 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     linked = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return linked.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+#: Bits of the largest sieve; one with more keys lets more rows through, never fewer than it should.
+SIEVE_BITS = 1 << 27
+_PART = 1 << 16
+
+
+def sieve(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A function of a long column: false only for values that are not among keys[key].
+
+    It is a Bloom filter with two bits a key and about 16 bits of room for each, at most SIEVE_BITS / 8 bytes
+    whatever the number of keys. Rows that it rejects need no shuffle to be known as strangers.
+    """
+    n = keys.count()
+    bits = max(_PART, min(SIEVE_BITS, 1 << max(1, 16 * n - 1).bit_length()))
+
+    def places(x: np.ndarray) -> np.ndarray:
+        h = mixed(x.astype(np.int64).view(np.uint64))
+        return np.stack([h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)
+
+    def parts(batches):
+        flags: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = places(batch.column(0).to_numpy()).ravel()
+            for p in np.unique(at // _PART):
+                flags.setdefault(int(p), np.zeros(_PART, bool))[at[at // _PART == p] % _PART] = True
+        for p, f in flags.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([np.packbits(f).tobytes()], pa.binary())], ["p", "bits"])
+
+    def either(group: pa.Table) -> pa.Table:
+        both = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group.column("bits").to_pylist()])
+        return pa.table({"p": [group.column("p")[0].as_py()], "bits": pa.array([both.tobytes()], pa.binary())})
+
+    table = np.zeros(bits // 8, np.uint8)
+    found = keys.select(F.col(key).cast("long").alias("k")).where("k is not null").mapInArrow(parts, "p long, bits binary")
+    for r in found.groupBy("p").applyInArrow(either, "p long, bits binary").collect():
+        table[r["p"] * (_PART // 8) : (r["p"] + 1) * (_PART // 8)] = np.frombuffer(r["bits"], np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    @F.pandas_udf("boolean")
+    def passes(x: pd.Series) -> pd.Series:
+        flags = np.frombuffer(shared.value, np.uint8)
+        at = places(x.fillna(0).to_numpy(np.int64))
+        return pd.Series((flags[at >> 3] >> (7 - (at & 7)) & 1).all(0))
+
+    return passes
