@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import language_id, minhash, packing, sharding, toxicity
+from . import chat_tools, embedding_dedup, language_id, minhash, packing, sharding, topk, toxicity, url_filter
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,22 @@ def op2_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of vectors at a cosine of 0.9 or more, and their components."""
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as tool calls and results: linked, ordered, validated, serialised."""
+    turns = table(spark, sf_dir, "conversations")
+    return chat_tools.linked(chat_tools.calls_of(turns), chat_tools.results_of(turns))
+
+
+def op5_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows with the highest inner products for every fiftieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents at a Jaccard similarity of 0.85 or more on 5-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
@@ -30,6 +47,11 @@ def op8_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and a Bloom filter cascade over every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
@@ -38,9 +60,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_balanced_sharding": op2_balanced_sharding,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_tool_call_linking": op4_tool_call_linking,
+    "op5_bit_sliced_top_k": op5_bit_sliced_top_k,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_length_bucket_packing": op8_length_bucket_packing,
+    "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_tool_call_linking": chat_tools.ORACLE,
+    "op9_url_filter": url_filter.ORACLE,
+}
