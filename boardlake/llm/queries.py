@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat_tools, embedding_dedup, language_id, minhash, packing, sharding, topk, toxicity, url_filter
+from . import chat_tools, embedding_dedup, language_id, minhash, packing, sentencepieces, sharding, topk, toxicity, url_filter
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op5_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op6_sentencepiece_suffix_array(spark: SparkSession, sf_dir: str, model: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
+    """The tokens of every document and the text that they decode to, as counts and digests."""
+    return sentencepieces.round_trip(table(spark, sf_dir, "documents"), sentencepieces.model_pieces(model))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents at a Jaccard similarity of 0.85 or more on 5-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_tool_call_linking": op4_tool_call_linking,
     "op5_bit_sliced_top_k": op5_bit_sliced_top_k,
+    "op6_sentencepiece_suffix_array": op6_sentencepiece_suffix_array,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_length_bucket_packing": op8_length_bucket_packing,
     "op9_url_filter": op9_url_filter,
