@@ -1 +1 @@
-"""Part of the listing engine."""
+"""Operators over listing tables: predicates, pages, facets, statistics, search, merge, alerts, exports."""
