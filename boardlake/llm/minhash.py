@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, sieve, stored
+from .shared import components, free, sieve, stored
 from .text import LOWER, SPACE, Hashed, mixed, pieces, words
 
 COORDS, BANDS, WIDTH = 192, 32, 5
@@ -293,8 +293,9 @@ def first_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", te
 
     Only documents that go, or whose id is repeated, and those few that the sieve takes for them are shuffled.
     """
+    ident, stays = free(docs, "judged_id"), free(docs, "judged_kept")
     found = near_duplicates(docs, id_col, text_col, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    found = stored(found.where("n > 1 or not kept").select(F.col("doc_id").alias("_id"), "kept"), "judged")
-    maybe = F.col(id_col).isNotNull() & sieve(found, "_id")(F.col(id_col).cast("long"))
-    doubtful = docs.where(maybe).join(found, F.col(id_col) == F.col("_id"), "left").where("kept is null or kept").drop("_id", "kept")
+    found = stored(found.where("n > 1 or not kept").select(F.col("doc_id").alias(ident), F.col("kept").alias(stays)), "judged")
+    maybe = F.col(id_col).isNotNull() & sieve(found, ident)(F.col(id_col).cast("long"))
+    doubtful = docs.where(maybe).join(found, F.col(id_col) == F.col(ident), "left").where(F.coalesce(F.col(stays), F.lit(True))).drop(ident, stays)
     return docs.where(~maybe).unionByName(doubtful.dropDuplicates([id_col]))

@@ -43,6 +43,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return again
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until df has no such column."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a stored() table that nothing will read again."""
     path = df.__dict__.get("stored_at")
