@@ -25,9 +25,9 @@ from .toxicity import remainder
 #: Documents of a language that a fit sees at most; centroids of a language; languages at most (the most frequent).
 SAMPLE, CENTROIDS, LANGUAGES = 1000, 3, 500
 #: A text is rejected under this share of the cosine that all but one in a hundred of the language's documents reach ...
-SLACK = 0.5
+SLACK = 0.35
 #: ... if it has so many letters; shorter texts are too short to tell far from near.
-LEAST_LETTERS = 40
+LEAST_LETTERS = 60
 UNKNOWN = "und"
 
 CLASSES, HASHED = 64, 8192

@@ -22,8 +22,9 @@ from .shared import forget, ranked, stored
 SHARDS, ROUNDS, BLOCK = 40, 12, 500
 
 
-def _moved(blocks: DataFrame, room: list[int], turn: int) -> DataFrame:
-    """Blocks (g, k, w, s) after one round; room: rows that each shard may still take."""
+def _moved(blocks: DataFrame, room: list[int], quota: list[int], turn: int) -> DataFrame:
+    """Blocks (g, k, w, s) after one round; room: rows that each shard may still take. A shard is full at 98 % of its quota."""
+    room = [r if r * 50 > q else 0 for r, q in zip(room, quota, strict=True)]
     left = F.array(*[F.lit(max(0, r)).cast("long") for r in room])
     open_now = F.element_at(left, F.col("s") + 1) > 0
     votes = blocks.where(open_now).groupBy("g", "s").agg(F.sum("w").alias("v"))
@@ -43,7 +44,7 @@ def propagate(blocks: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Data
     total = sum(quota)
     for turn in range(rounds):
         load = {r["s"]: r["n"] for r in now.groupBy("s").agg(F.sum("w").alias("n")).collect()}
-        then = stored(_moved(now, [q - load.get(s, 0) for s, q in enumerate(quota)], turn), "blocks")
+        then = stored(_moved(now, [q - load.get(s, 0) for s, q in enumerate(quota)], quota, turn), "blocks")
         went = then.where("went").agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
         forget(now)
         now = then
@@ -65,7 +66,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     own = stored(own, "texts")
     n = own.count()
     quota = [n // shards + (s < n % shards) for s in range(shards)]
-    groups = own.where("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("g").alias("_g"), F.ceil(F.col("c") / BLOCK).alias("blocks"))
+    size = max(1, min(BLOCK, n // shards // 8))  # small against a quota, so that blocks fill shards evenly
+    groups = own.where("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("g").alias("_g"), F.ceil(F.col("c") / size).alias("blocks"))
     block = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks"))
     rows = stored(own.join(groups, F.col("g") == F.col("_g"), "left").select("doc_id", "size", "text_crc32", F.when(F.col("blocks").isNotNull(), F.col("g")).alias("g"), block.alias("k")), "linked")
     blocks = rows.where("g is not null").groupBy("g", "k").agg(F.count(F.lit(1)).alias("w")).withColumn("s", F.pmod(F.xxhash64("g", "k"), F.lit(shards)).cast("int"))

@@ -51,7 +51,7 @@ def test_minhash_edges(docs):
 
 def test_first_of_each(docs):
     kept = [r["doc_id"] for r in minhash.first_of_each(docs).collect()]
-    assert sorted(x for x in kept if x is not None) == [1, 4, 5, 6, 7, 8, 10, 11, 12, 13, 14]
+    assert sorted(x for x in kept if x is not None) == [1, 4, 5, 6, 7, 8, 10, 11, 13, 14]  # 12 is a near copy of 1
     assert kept.count(None) == 2
     assert minhash.first_of_each(docs).columns == docs.columns
     assert minhash.first_of_each(none_of(docs)).count() == 0
