@@ -2,7 +2,7 @@
 
 Calls and results meet in a hash join on (conversation, identifier). Calls are ordered topologically by
 what they need: level 0 needs nothing, level n needs a call of level n - 1 and none above. Levels come
-from rounds of joins over the needs that are still open, so a conversation of any length is
+from joins that double how far each call sees along its needs, so a conversation of any length is
 never gathered in one task. Arguments are validated against the tool's schema and everything is
 serialised as canonical JSON: keys in order, no spaces.
 
@@ -11,8 +11,6 @@ All is DataFrame and SQL functions.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,29 +56,29 @@ def argument_errors(name: Column, arguments: Column, schemas: dict) -> Column:
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) for distinct calls with `needs`; level is null for calls on or behind a circle of needs.
 
-    Needs that name no call of the conversation are met from outside and don't count.
+    Needs that name no call of the conversation are met from outside and don't count. Each call knows
+    ends of its chains of needs and how far they are; a round replaces every end that has needs itself by that
+    call's own ends, so the reach doubles and a chain of n calls takes log2(n) rounds. An end that is
+    still open when the reach exceeds the longest conversation is a circle.
     """
     calls = stored(calls.select("conv_id", "call_id", "needs"), "calls")
     needs = calls.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need"))
     known = calls.select(F.col("conv_id").alias("c"), F.col("call_id").alias("n"))
-    open_ = stored(needs.join(known, (F.col("conv_id") == F.col("c")) & (F.col("need") == F.col("n")), "left_semi"), "needs")
-    first = calls.join(open_, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
-    ready = stored(first, "level")
-    done, level = [ready], 0
-    while True:
-        # needs that the last level has met go; a call whose last need has gone is of the next level
-        met = ready.select(F.col("conv_id").alias("c"), F.col("call_id").alias("n"))
-        left = stored(open_.join(met, (F.col("conv_id") == F.col("c")) & (F.col("need") == F.col("n")), "left_anti"), "needs")
-        touched = open_.select("conv_id", "call_id").distinct().join(left, ["conv_id", "call_id"], "left_anti")
-        level += 1
-        ready = stored(touched.select("conv_id", "call_id", F.lit(level).alias("level")), "level")
-        forget(open_)
-        open_ = left
-        if ready.isEmpty():
-            break
-        done.append(ready)
-    stuck = open_.select("conv_id", "call_id").distinct().select("conv_id", "call_id", F.lit(None).cast("int").alias("level"))
-    return reduce(DataFrame.unionByName, [*done, stuck])
+    edges = stored(needs.join(known, (F.col("conv_id") == F.col("c")) & (F.col("need") == F.col("n")), "left_semi"), "needs")
+    bound = edges.select(F.col("conv_id").alias("c"), F.col("call_id").alias("n")).distinct().withColumn("more", F.lit(True))
+    at = (F.col("conv_id") == F.col("c")) & (F.col("end") == F.col("n"))
+    now = stored(edges.withColumnRenamed("need", "end").join(bound, at, "left").select("conv_id", "call_id", "end", F.lit(1).cast("long").alias("far"), F.coalesce("more", F.lit(False)).alias("more")), "ends")
+    longest = calls.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    reach = 1
+    while reach <= longest and not now.where("more").isEmpty():
+        ends = now.select(F.col("conv_id").alias("c"), F.col("call_id").alias("n"), F.col("end").alias("next"), F.col("far").alias("on"), F.col("more").alias("again"))
+        further = now.where("more").join(ends, at).select("conv_id", "call_id", F.col("next").alias("end"), (F.col("far") + F.col("on")).alias("far"), F.col("again").alias("more"))
+        then = stored(now.where("not more").unionByName(further).groupBy("conv_id", "call_id", "end", "more").agg(F.max("far").alias("far")), "ends")
+        forget(now)
+        now, reach = then, reach * 2
+    found = now.groupBy("conv_id", "call_id").agg(F.when(~F.bool_or("more"), F.max("far")).cast("int").alias("level"))
+    first = calls.join(edges, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
+    return first.unionByName(found)
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: dict | None = None) -> DataFrame:
