@@ -68,6 +68,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     size = max(1, min(BLOCK, n // shards // 8))  # small against a quota, so that blocks fill shards evenly
     groups = own.where("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("g").alias("_g"), F.ceil(F.col("c") / size).alias("blocks"))
+    groups = stored(groups, "groups")  # a table of its own, so that the join below can split a hot group
     block = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks"))
     rows = stored(own.join(groups, F.col("g") == F.col("_g"), "left").select("doc_id", "size", "text_crc32", F.when(F.col("blocks").isNotNull(), F.col("g")).alias("g"), block.alias("k")), "linked")
     blocks = rows.where("g is not null").groupBy("g", "k").agg(F.count(F.lit(1)).alias("w")).withColumn("s", F.pmod(F.xxhash64("g", "k"), F.lit(shards)).cast("int"))
