@@ -550,3 +550,6 @@ def q68(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scope's figures beside its leading categories."""
     return q15(spark, sf_dir).join(q10(spark, sf_dir).withColumnsRenamed({"value": "category", "n": "category_n"}))
+
+
+from . import further  # noqa: E402,F401  its queries register themselves beside these

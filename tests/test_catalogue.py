@@ -47,7 +47,12 @@ def test_queries_without_sql(spark):
 
     names = {r["c_custkey"]: r["c_name"] for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
     assert all(r["shard"] == zlib.crc32(names[r["c_custkey"]].encode()) % 16 for r in rows)
-    assert set(QUERIES) - set(ORACLE_SQL) == {"q42_hash_shard"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"q42_hash_shard", "q91_learned_estimates", "q92_backtest", "q94_stable_content_hash"}
+    told = QUERIES["q91_learned_estimates"](spark, SF).collect()
+    assert len(told) == spark.read.parquet(f"{SF}/orders.parquet").count() and all(r["level"] is None or r["low"] <= r["high"] for r in told)
+    b = QUERIES["q92_backtest"](spark, SF).first()
+    assert b["rows"] == len(told) and 0 <= b["coverage"] <= 1
+    assert QUERIES["q94_stable_content_hash"](spark, SF).collect() == QUERIES["q94_stable_content_hash"](spark, SF).collect()
 
 
 def test_flagship(spark):
