@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .minhash import starts, whole_groups
 from .shared import components, stored
 
-CHUNK, TILE, BLOCKS = 4096, 512, 4
+CHUNK, TILE, BLOCKS, LENGTHS = 4096, 512, 4, 10_000
 
 
 def usable(v: Column) -> Column:
@@ -80,11 +80,10 @@ def linked_pairs(x: np.ndarray, y: np.ndarray | None, least: float, blocks: int)
             p, q = np.nonzero(found)
             p, q = ox[i + p], oy[j + q]
             if same:
-                once = p < q if i != j else p < q
-                if i != j:
-                    p, q = np.minimum(p, q), np.maximum(p, q)
+                if i == j:  # a tile with itself meets each pair twice
+                    p, q = p[p < q], q[p < q]
                 else:
-                    p, q = p[once], q[once]
+                    p, q = np.minimum(p, q), np.maximum(p, q)
             for s in range(0, len(p), 65536):
                 a, b = p[s : s + 65536], q[s : s + 65536]
                 sure = np.einsum("ij,ij->i", x[a], y[b]) >= least
@@ -155,8 +154,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     fine = own.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     nodes = stored(fine.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")), "vectors").withColumn("dim", F.size("embedding"))
     sizes = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
+    sizes = stored(sizes, "lengths")
     mine = F.pmod(F.xxhash64("rep", "embedding"), F.col("chunks"))
-    dealt = nodes.join(F.broadcast(sizes), "dim").withColumn("mine", mine).withColumn("last", F.col("chunks") - 1)
+    # a row for each length of vectors: handed out while there are few, else left to adaptive execution
+    dealt = nodes.join(F.broadcast(sizes) if sizes.count() <= LENGTHS else sizes, "dim").withColumn("mine", mine).withColumn("last", F.col("chunks") - 1)
     others = F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda j: j != F.col("mine")))
     tasks = dealt.withColumn("_o", F.explode(others)).select("dim", F.least("_o", "mine").alias("lo"), F.greatest("_o", "mine").alias("hi"), "mine", "last", "rep", "mult", "embedding")
     found = stored(tasks.repartition("dim", "lo", "hi").sortWithinPartitions("dim", "lo", "hi").mapInArrow(_joined(least, blocks), "a long, b long, n long"), "links")
