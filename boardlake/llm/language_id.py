@@ -16,11 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
 from .text import mixed, pieces
-from .toxicity import remainder
+from .toxicity import kept_by, remainder
 
 #: Documents of a language that a fit sees at most; centroids of a language; languages at most (the most frequent).
 SAMPLE, CENTROIDS, LANGUAGES = 1000, 3, 500
@@ -136,10 +137,9 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     turn = F.pmod(F.xxhash64("_id", F.lit("language")), F.lit(1 << 30))
     under = F.create_map(*[x for r in langs for x in (F.lit(r["lang"]), F.lit(int(min(1.0, (1.5 * sample + 50) / r["count"]) * (1 << 30))))])
     drawn = known.withColumn("_turn", turn).where(F.col("_turn") < under[F.col("lang")])
-    from pyspark.sql import Window
-
     at = F.row_number().over(Window.partitionBy("lang").orderBy("_turn", "_id"))
     rows = drawn.withColumn("_at", at).where(F.col("_at") <= sample).select("text", "lang")
+    rows = stored(rows, "labelled")  # the corpus is read once for the sample, however often the sample is
     seen = rows.repartition(8, "text").mapInArrow(_seen, "df array<long>, n long").collect()
     n = sum(r["n"] for r in seen)
     idf = np.log((1 + n) / (1 + np.sum([r["df"] for r in seen], 0))) + 1
@@ -185,7 +185,5 @@ def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def known_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs without the rows that language ID rejects; all columns stay as they are."""
-    from .toxicity import kept_by
-
     model = train(docs.where(remainder("doc_id", 4) != 2), sample=sample)
     return kept_by(docs, lambda column: ~model.predict(column)[2])

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
 from .text import Hashed, in_words, mixed, pieces, words
 
 #: Labelled rows of each class that a fit sees at most; features that a model keeps at most.
@@ -198,6 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = reduce(DataFrame.unionByName, [known.where(F.col("y") == k).orderBy(turn, "_id").limit(sample) for k in (0, 1)])
     # at most 2 * sample ids: a proven bound, so a broadcast
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_id").select("text", "y")
+    rows = stored(rows, "labelled")  # the corpus is read once for the sample, however often the sample is
     total = rows.groupBy("y").count().collect()
     n = {r["y"]: r["count"] for r in total}
     pos, neg = n.get(1, 0), n.get(0, 0)
