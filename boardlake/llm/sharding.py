@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .shared import forget, ranked, stored
 
-SHARDS, ROUNDS, BLOCK = 40, 12, 500
+SHARDS, ROUNDS, BLOCK = 40, 12, 200
 
 
 def _moved(blocks: DataFrame, room: list[int], quota: list[int], turn: int) -> DataFrame:
@@ -66,7 +66,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     own = stored(own, "texts")
     n = own.count()
     quota = [n // shards + (s < n % shards) for s in range(shards)]
-    size = max(1, min(BLOCK, n // shards // 8))  # small against a quota, so that blocks fill shards evenly
+    size = max(1, min(BLOCK, n // shards // 16))  # small against a quota, so that blocks fill shards evenly
     groups = own.where("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("g").alias("_g"), F.ceil(F.col("c") / size).alias("blocks"))
     groups = stored(groups, "groups")  # a table of its own, so that the join below can split a hot group
     block = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks"))
