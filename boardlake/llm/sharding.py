@@ -4,7 +4,7 @@ Documents of equal text are linked through their text's digest, never as pairs.
 documents are dealt to blocks of a bounded number of rows, which move as one. Each round, by joins and
 aggregates over blocks: a group's blocks vote with their rows for the shards that are not full;
 blocks elsewhere want to go to the shard with the most votes; where more rows want in than the
-shard's quota has room for, a block goes with the probability room / demand (a hash of block and
+shard's quota has room for, a block goes with the probability 0.9 * room / demand (a hash of block and
 round decides), as no shard may take more than it has room for. Blocks in full shards stay. Rounds
 end when (almost) nothing moves.
 
@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from .shared import forget, ranked, stored
 
 SHARDS, ROUNDS, BLOCK = 40, 12, 200
+#: Of a shard's room, what a round may fill on average; the dice must not overfill it.
+MARGIN = 0.9
 
 
 def _moved(blocks: DataFrame, room: list[int], quota: list[int], turn: int) -> DataFrame:
-    """Blocks (g, k, w, s) after one round; room: rows that each shard may still take. A shard is full at 98 % of its quota."""
-    room = [r if r * 50 > q else 0 for r, q in zip(room, quota, strict=True)]
+    """Blocks (g, k, w, s) after one round; room: rows that each shard may still take. A shard is full from seven eighths of its quota on."""
+    room = [r if r * 8 > q else 0 for r, q in zip(room, quota, strict=True)]
     left = F.array(*[F.lit(max(0, r)).cast("long") for r in room])
     open_now = F.element_at(left, F.col("s") + 1) > 0
     votes = blocks.where(open_now).groupBy("g", "s").agg(F.sum("w").alias("v"))
@@ -32,7 +34,7 @@ def _moved(blocks: DataFrame, room: list[int], quota: list[int], turn: int) -> D
     best = votes.groupBy("g").agg(F.max(F.struct("v", F.element_at(left, F.col("s") + 1).alias("r"), (-F.col("s")).alias("n"))).alias("b")).select(F.col("g").alias("_g"), (-F.col("b.n")).alias("t"))
     want = stored(blocks.join(best, F.col("g") == F.col("_g"), "left").select("g", "k", "w", "s", F.when(open_now & (F.col("t") != F.col("s")), F.col("t")).alias("t")), "wanted")
     demand = {r["t"]: r["d"] for r in want.where("t is not null").groupBy("t").agg(F.sum("w").alias("d")).collect()}
-    share = F.array(*[F.lit(min(1.0, max(0, room[s]) / demand[s]) if demand.get(s) else 0.0) for s in range(len(room))])
+    share = F.array(*[F.lit(min(1.0, MARGIN * room[s] / demand[s]) if demand.get(s) else 0.0) for s in range(len(room))])
     dice = F.pmod(F.xxhash64("g", "k", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
     goes = F.col("t").isNotNull() & (dice < F.element_at(share, F.col("t") + 1))
     return want.select("g", "k", "w", F.when(goes, F.col("t")).otherwise(F.col("s")).alias("s"), goes.alias("went"))
