@@ -95,10 +95,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     first, sign = now, None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # the minima are tables of their own, so that adaptive execution can split the joins at a hub
+        # the minima are a table of their own, so that adaptive execution can split the join at a hub, which is
+        # always the smaller end here; below edges are met by their larger ends, of which none is hot
         low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "links")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(least, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
@@ -106,7 +107,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         )
         then = stored(small, "links")
         mark = then.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for table in (low, large, least, *([now] if now is not first else [])):
+        for table in (low, *([now] if now is not first else [])):
             forget(table)
         now = then
         if mark == sign:
