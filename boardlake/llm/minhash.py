@@ -7,13 +7,14 @@ bin in turn, so every coordinate fills whatever the size of the set. Coordinates
 minimum estimate the Jaccard similarity with the concentration of independent draws.
 
 1. Documents of equal sets form a class; one sketch stands for a class.
-2. Classes meet where all coordinates of one of `BANDS` bands agree. At similarity 0.85 a pair
-   misses all 32 bands of 6 rows with probability 3e-7.
+2. Classes meet where all coordinates of a band agree. `plan` makes the bands as wide as it can while a
+   pair at the threshold misses all of them with probability BAND_MISS at most: 32 bands of 6 rows at
+   0.85, 38 of 5 at 0.80.
 3. Within a bucket, sketches (a byte a coordinate) are compared breadth-first: each class that was
-   reached is compared with those not reached yet. A spanning forest of the pairs with an estimate
-   of at least ESTIMATE comes out, never all pairs; large buckets are cut into chunks and
-   every two chunks meet in a task of their own. At 0.85 a pair falls under that estimate
-   with probability 2e-7.
+   reached is compared with those not reached yet. A spanning forest of the pairs with at least so many
+   equal coordinates comes out, never all pairs; large buckets are cut into chunks and
+   every two chunks meet in a task of their own. `plan` sets that number so that a pair at the
+   threshold falls under it with probability ESTIMATE_MISS at most.
 4. The forest's components are families. Texts of a family's classes come together (in chunks of
    a bounded number of shingles, every two chunks in a task) and are compared exactly, by
    breadth-first search over 100 * intersection >= percent * union on full sets.
@@ -22,6 +23,7 @@ minimum estimate the Jaccard similarity with the concentration of independent dr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +34,31 @@ from pyspark.sql import functions as F
 from .shared import components, free, sieve, stored
 from .text import LOWER, SPACE, Hashed, mixed, pieces, words
 
-COORDS, BANDS, WIDTH = 192, 32, 5
-ROWS = COORDS // BANDS
-ESTIMATE = 0.72
+COORDS, WIDTH = 192, 5
+#: The probabilities that a pair at the threshold shares no band, and that its estimate is too low.
+BAND_MISS, ESTIMATE_MISS = 3e-7, 2e-7
 #: Classes of a bucket, and shingles of a family, that one side of a comparing task holds.
 BUCKET_CHUNK, FAMILY_CHUNK = 1024, 300_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0xA0761D6478BD642F)
 
 
+def plan(percent: int) -> tuple[int, int, int]:
+    """(bands, rows of a band, equal coordinates that a candidate has at least) for a threshold.
+
+    Refused (ValueError) where COORDS coordinates cannot keep BAND_MISS, which is under 8 percent.
+    """
+    j = percent / 100
+    fit = [r for r in range(1, 9) if 0 < j <= 1 and (1 - j**r) ** (COORDS // r) <= BAND_MISS]
+    if not fit:
+        raise ValueError(f"no bands of {COORDS} coordinates find pairs at {percent} percent")
+    least, under = 0, (1 - j) ** COORDS
+    while least < COORDS and under <= ESTIMATE_MISS:
+        least += 1
+        under += math.comb(COORDS, least) * j**least * (1 - j) ** (COORDS - least)
+    return COORDS // fit[-1], fit[-1], least
+
+
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; none for null and for text without words.
 
@@ -97,34 +115,37 @@ def sketches(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
     return table
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    mult = mixed(np.arange(101, 101 + ROWS, dtype=np.uint64) * _STEP) | np.uint64(1)
-    names = ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"]
-    for batch in batches:
-        ids, done = batch.column(0), 0
-        held: list[np.ndarray] = []
-        for last, s in enumerate(shingle_sets(batch.column(1)), 1):
-            held.append(s)
-            if last < batch.num_rows and len(held) < 256:
-                continue
-            table = sketches(held)
-            keys = (table.reshape(-1, BANDS, ROWS) * mult).sum(2, dtype=np.uint64)
-            keys = mixed(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP)
-            small = (mixed(table) >> np.uint64(56)).astype(np.uint8)
-            sums = np.array([[np.add.reduce(mixed(x + _STEP)), np.add.reduce(mixed(x ^ _STEP))] for x in held], np.uint64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(done, len(held)),
-                    pa.array([len(x) for x in held], pa.int64()),
-                    pa.array(sums[:, 0].view(np.int64)),
-                    pa.array(sums[:, 1].view(np.int64)),
-                    pa.ListArray.from_arrays(np.arange(0, len(held) * BANDS + 1, BANDS, dtype=np.int32), pa.array(keys.view(np.int64).ravel())),
-                    pa.array([x.tobytes() for x in small], pa.binary()),
-                ],
-                names,
-            )
-            done += len(held)
-            held = []
+def _sketched(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mult = mixed(np.arange(101, 101 + rows, dtype=np.uint64) * _STEP) | np.uint64(1)
+        names = ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"]
+        for batch in batches:
+            ids, done = batch.column(0), 0
+            held: list[np.ndarray] = []
+            for last, s in enumerate(shingle_sets(batch.column(1)), 1):
+                held.append(s)
+                if last < batch.num_rows and len(held) < 256:
+                    continue
+                table = sketches(held)
+                keys = (table[:, : bands * rows].reshape(-1, bands, rows) * mult).sum(2, dtype=np.uint64)
+                keys = mixed(keys + np.arange(1, bands + 1, dtype=np.uint64) * _STEP)
+                small = (mixed(table) >> np.uint64(56)).astype(np.uint8)
+                sums = np.array([[np.add.reduce(mixed(x + _STEP)), np.add.reduce(mixed(x ^ _STEP))] for x in held], np.uint64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.slice(done, len(held)),
+                        pa.array([len(x) for x in held], pa.int64()),
+                        pa.array(sums[:, 0].view(np.int64)),
+                        pa.array(sums[:, 1].view(np.int64)),
+                        pa.ListArray.from_arrays(np.arange(0, len(held) * bands + 1, bands, dtype=np.int32), pa.array(keys.view(np.int64).ravel())),
+                        pa.array([x.tobytes() for x in small], pa.binary()),
+                    ],
+                    names,
+                )
+                done += len(held)
+                held = []
+
+    return run
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -175,27 +196,30 @@ def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning forest of each bucket's classes by their sketches."""
-    least = ESTIMATE * COORDS
-    for table in whole_groups(batches, 3):
-        at = starts(table, 3)
-        ids = table.column(3).to_numpy()
-        sk = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(-1, COORDS)
-        first = np.repeat(at[:-1], np.diff(at))
-        near = np.empty(len(ids), bool)
-        for i in range(0, len(ids), 4096):
-            near[i : i + 4096] = (sk[i : i + 4096] == sk[first[i : i + 4096]]).sum(1) >= least
-        odd = np.add.reduceat(~near, at[:-1])
-        plain = near & (np.repeat(odd, np.diff(at)) == 0) & (ids != ids[first])
-        a, b = ids[plain].tolist(), ids[first[plain]].tolist()
-        for g in np.flatnonzero((odd > 0) & (np.diff(at) > 2)):
-            part, own = sk[at[g] : at[g + 1]], ids[at[g] : at[g + 1]]
-            for x, y in forest(len(own), lambda k, rest, part=part: (part[rest] == part[k]).sum(1) >= least):
-                a.append(own[x])
-                b.append(own[y])
-        if a:
-            yield _edges(a, b)
+def _alike(least: int):
+    """Spanning forest of each bucket's classes by the equal coordinates of their sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 3):
+            at = starts(table, 3)
+            ids = table.column(3).to_numpy()
+            sk = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint8).reshape(-1, COORDS)
+            first = np.repeat(at[:-1], np.diff(at))
+            near = np.empty(len(ids), bool)
+            for i in range(0, len(ids), 4096):
+                near[i : i + 4096] = (sk[i : i + 4096] == sk[first[i : i + 4096]]).sum(1) >= least
+            odd = np.add.reduceat(~near, at[:-1])
+            plain = near & (np.repeat(odd, np.diff(at)) == 0) & (ids != ids[first])
+            a, b = ids[plain].tolist(), ids[first[plain]].tolist()
+            for g in np.flatnonzero((odd > 0) & (np.diff(at) > 2)):
+                part, own = sk[at[g] : at[g + 1]], ids[at[g] : at[g + 1]]
+                for x, y in forest(len(own), lambda k, rest, part=part: (part[rest] == part[k]).sum(1) >= least):
+                    a.append(own[x])
+                    b.append(own[y])
+            if a:
+                yield _edges(a, b)
+
+    return run
 
 
 def exact_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -256,10 +280,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     link with nothing and form a group each. A repeated row is a copy and gets the same values;
     if one doc_id comes with several texts, each text's row is judged as its own copy of that id.
     Rows without an id keep their n_shingles, have no component and are not kept. An empty
-    table gives an empty result.
+    table gives an empty result. A pair at the threshold is missed with probability BAND_MISS + ESTIMATE_MISS
+    at most (see `plan`), whatever the threshold.
     """
+    n_bands, n_rows, least = plan(percent)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = stored(own.mapInArrow(_sketched, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary"), "sketches")
+    sketched = stored(own.mapInArrow(_sketched(n_bands, n_rows), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary"), "sketches")
     classes = stored(
         sketched.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
@@ -269,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / BUCKET_CHUNK).alias("chunks"))
     met = _paired(bands.join(full, "key"), "key", "chunks", "rep").select("key", "lo", "hi", "rep")
     met = met.join(classes.select("rep", "sketch"), "rep").select("key", "lo", "hi", "rep", "sketch")
-    alike = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_alike, "a long, b long").distinct()
+    alike = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_alike(least), "a long, b long").distinct()
     family = components(alike).join(classes.select(F.col("rep").alias("node"), "n", "f1"), "node")
     family = stored(family, "families")
     sizes = family.groupBy("component").agg(F.ceil(F.sum("n") / FAMILY_CHUNK).alias("chunks"))

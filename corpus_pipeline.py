@@ -23,8 +23,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the smallest doc_id."""
-    return first_of_each(docs, percent=85)
+    """One document of each near-duplicate group (Jaccard similarity 0.80 or more) stays: that of the smallest doc_id."""
+    return first_of_each(docs, percent=80)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
