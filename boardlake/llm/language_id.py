@@ -3,7 +3,9 @@
 A text is a normalised TF-IDF vector of its letter 1-, 2- and 3-grams (letters folded to 64
 classes, 3-grams hashed). Each language has several centroids, found by spherical k-means over a
 bounded sample of its documents. A text goes to the language of the centroid with the highest
-cosine; it is rejected if it is farther from that centroid than the language's own documents are.
+cosine; it is rejected if it is farther from that centroid than the language's own documents of
+so many letters are. Those distances are learned across halves of the sample: centroids of one half judge
+the documents of the other, and pieces of them, cut to each of `BANDS` numbers of letters, stand for short texts.
 
 The fit sees at most `SAMPLE` documents of a language, chosen by a hash of doc_id; prediction
 reads every text in full in one narrow pass, with a model of 12,352 numbers a centroid.
@@ -25,10 +27,14 @@ from .toxicity import kept_by, remainder
 
 #: Documents of a language that a fit sees at most; centroids of a language; languages at most (the most frequent).
 SAMPLE, CENTROIDS, LANGUAGES = 1000, 3, 500
-#: A text is rejected under this share of the cosine that all but one in a hundred of the language's documents reach ...
-SLACK = 0.35
-#: ... if it has so many letters; shorter texts are too short to tell far from near.
-LEAST_LETTERS = 60
+#: A text is rejected under this share of the least cosine of its band of letters: of documents, and of pieces, which
+#: are more alike than short documents are (a short one may be a license line and little else).
+SLACK, PIECE_SLACK = 0.7, 0.5
+#: Letters from which each band runs. The last holds whole documents, of which all but one in a hundred reach its
+#: least cosine; the others hold pieces, of which all but one in twenty do (pieces of repeated words are far from all).
+BANDS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
+#: Documents of a language that are cut to pieces at most; letters of a document that centroids are fitted to.
+CUT, LEAST_LETTERS = 250, 60
 UNKNOWN = "und"
 
 CLASSES, HASHED = 64, 8192
@@ -43,8 +49,8 @@ _TRIGRAM = (mixed(np.arange(CLASSES**3, dtype=np.uint64) + np.uint64(1)) >> np.u
 def gram_counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first row, row after the last, counts of the grams by row) of runs of texts."""
     for i, j, offsets, data in pieces(pc.utf8_lower(column)):
-        for a in range(i, j, 256):  # a dense row has WIDTH numbers
-            b = min(j, a + 256)
+        for a in range(i, j, 64):  # a dense row has WIDTH numbers
+            b = min(j, a + 64)
             cut = offsets[a - i : b - i + 1] - offsets[a - i]
             d = data[offsets[a - i] : offsets[b - i]]
             counts = np.zeros((b - a, WIDTH), np.float32)
@@ -80,20 +86,62 @@ def letters(column: pa.Array) -> np.ndarray:
     return pc.utf8_length(kept).to_numpy(zero_copy_only=False)
 
 
+def cut_to(text: str, n: int) -> str | None:
+    """The beginning of a text with n letters, or None if it has fewer."""
+    for at, ch in enumerate(text):
+        n -= ch.isalpha()
+        if not n:
+            return text[: at + 1]
+    return None
+
+
+def vectors(column: pa.Array, idf: np.ndarray) -> np.ndarray:
+    return np.concatenate([tf_idf(c, idf).astype(np.float32) for _, _, c in gram_counts(column)])
+
+
+def least_cosines(v: np.ndarray, texts: list[str], n: np.ndarray, centroids: int, idf: np.ndarray) -> np.ndarray:
+    """The cosine under which a text is rejected, for each band; v are the vectors of the texts, n their letters.
+
+    A band without an own text asks for nothing, and none asks for more than the last.
+    """
+    found: list[list[np.ndarray]] = [[] for _ in BANDS]
+    for own, other in ((slice(0, None, 2), slice(1, None, 2)), (slice(1, None, 2), slice(0, None, 2))):
+        if not len(v[own]) or not len(v[other]):
+            continue
+        c = clusters(v[own], centroids).T
+        found[-1].append((v[other][n[other] >= BANDS[-1]] @ c).max(1))
+        for k, letters_ in enumerate(BANDS[:-1]):
+            parts = [p for p in (cut_to(t, letters_) for t in texts[other][: CUT // 2]) if p]
+            if parts:
+                found[k].append((vectors(pa.array(parts, pa.string()), idf) @ c).max(1))
+    last = len(BANDS) - 1
+    least = np.zeros(len(BANDS))
+    for k, x in enumerate(found):
+        if sum(map(len, x)):
+            least[k] = (SLACK if k == last else PIECE_SLACK) * np.quantile(np.concatenate(x), 0.01 if k == last else 0.05)
+    least[last] = least[last] or least.max()
+    return np.minimum(least, least[last])
+
+
 def clusters(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Centroids of spherical k-means; the first is nearest the mean, each next the farthest from those before."""
+    """Centroids of spherical k-means; the first is nearest the mean, each next farther from those before than 95 % are.
+
+    A centroid that stands for less than a fiftieth of the rows goes, so that a few documents under a wrong label, or of
+    another language, never make it one of this language's.
+    """
     mean = v.mean(0)
     picked = [int(np.argmax(v @ mean))]
     near = v @ v[picked[0]]
     while len(picked) < min(k, len(v)):
-        picked.append(int(np.argmin(near)))
+        picked.append(int(np.argsort(near, kind="stable")[len(near) // 20]))
         near = np.maximum(near, v @ v[picked[-1]])
     c = v[picked]
     for _ in range(rounds):
         own = np.argmax(v @ c.T, 1)
         sums = np.array([v[own == g].sum(0) if (own == g).any() else c[g] for g in range(len(c))])
         c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return c
+    share = np.bincount(np.argmax(v @ c.T, 1), minlength=len(c))
+    return c[share * 50 >= len(v)]
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +155,9 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Centroids (a row each), their languages, idf, and each language's least cosine."""
+    """Centroids (a row each), their languages, idf, and each language's least cosine by band of letters."""
 
-    def __init__(self, langs: list[str], centroids: np.ndarray, idf: np.ndarray, least: dict[str, float]) -> None:
+    def __init__(self, langs: list[str], centroids: np.ndarray, idf: np.ndarray, least: dict[str, np.ndarray]) -> None:
         self.langs, self.centroids, self.idf, self.least = langs, centroids.astype(np.float32), idf.astype(np.float32), least
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +171,8 @@ class Model:
                 best = cos.argmax(1)
                 lang[a:b], score[a:b] = names[best], np.clip(cos[np.arange(b - a), best], 0, 1)
         lang[n == 0], score[n == 0] = UNKNOWN, 0.0
-        far = np.array([x == UNKNOWN or (m >= LEAST_LETTERS and s < self.least[x]) for x, s, m in zip(lang, score, n, strict=True)], bool)
+        band = np.maximum(np.searchsorted(BANDS, n, "right") - 1, 0)
+        far = np.array([x == UNKNOWN or s < self.least[x][k] for x, s, k in zip(lang, score, band, strict=True)], bool)
         return lang, score, far
 
 
@@ -147,17 +196,18 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     def fitted(group: pa.Table) -> pa.Table:
         own = group.column("text").combine_chunks()
         own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
-        v = np.concatenate([tf_idf(c, idf.astype(np.float32)).astype(np.float32) for _, _, c in gram_counts(own)])
-        long = letters(own) >= LEAST_LETTERS
+        v, n = vectors(own, idf.astype(np.float32)), letters(own)
+        long = n >= LEAST_LETTERS
         used = v[long] if long.any() else v
         c = clusters(used, centroids)
-        least = float(np.quantile((used @ c.T).max(1), 0.01)) * SLACK if long.any() else 0.0
-        return pa.table({"lang": [group.column("lang")[0].as_py()] * len(c), "c": pa.array(c.tolist(), pa.list_(pa.float32())), "least": [least] * len(c)})
+        some = np.flatnonzero(long if long.any() else n > 0)
+        least = least_cosines(v[some], own.take(pa.array(some)).to_pylist(), n[some], centroids, idf.astype(np.float32))
+        return pa.table({"lang": [group.column("lang")[0].as_py()] * len(c), "c": pa.array(c.tolist(), pa.list_(pa.float32())), "least": pa.array([least.tolist()] * len(c), pa.list_(pa.float64()))})
 
     # at most `sample` documents of a language
-    found = rows.groupBy("lang").applyInArrow(fitted, "lang string, c array<float>, least double").collect()
+    found = rows.groupBy("lang").applyInArrow(fitted, "lang string, c array<float>, least array<double>").collect()
     found.sort(key=lambda r: (r["lang"], r["c"]))
-    return Model([r["lang"] for r in found], np.array([r["c"] for r in found]), idf, {r["lang"]: r["least"] for r in found})
+    return Model([r["lang"] for r in found], np.array([r["c"] for r in found]), idf, {r["lang"]: np.array(r["least"]) for r in found})
 
 
 def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -3,11 +3,14 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from boardlake.llm import minhash
+from boardlake.llm import language_id, minhash
+from boardlake.sources.tables import table
 
 from test_llm_brute import shingles, smallest_reachable
 
@@ -57,3 +60,20 @@ def test_pipeline_drops_near_copies_from_80_percent(spark):
     assert 0.80 <= len(a & b) / len(a | b) < 0.85
     after = corpus_pipeline.dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r["doc_id"] for r in after.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("unseen", ["en", "de"])
+def test_language_stage_rejects_what_it_never_learned(spark, unseen):
+    """A language that nothing teaches and short texts in foreign scripts go; the other documents stay."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    foreign = [(-1, "日本語のテキスト", "xx"), (-2, "Καλημέρα κόσμε", "xx"), (-3, "שלום עולם", "xx")]
+    both = docs.unionByName(spark.createDataFrame(foreign, docs.schema)).withColumn("truth", F.col("lang")).withColumn("lang", F.when(~F.col("lang").isin(unseen, "xx"), F.col("lang")))
+    have = {r["truth"]: r["count"] for r in both.groupBy("truth").count().collect()}
+    held = language_id.remainder("doc_id", 4) == 2
+    clean = both.where(held & ~F.col("truth").isin(unseen, "xx") & (F.length("text") >= 64))
+    stay = language_id.known_language(both).select("doc_id", "truth").collect()
+    left = Counter(r["truth"] for r in stay)
+    assert left["xx"] == 0 and left[unseen] <= 0.1 * have[unseen], left
+    ids = {r["doc_id"] for r in stay}
+    want = [r["doc_id"] for r in clean.select("doc_id").collect()]
+    assert len(want) > 50 and sum(i in ids for i in want) >= 0.99 * len(want)
