@@ -86,13 +86,14 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict | None = None) ->
 
     calls: conv_id, call_id, position, name, arguments (JSON text), needs (array of call ids).
     results: conv_id, call_id, position, content.
-    Returns conv_id, call_id, position, level, name, errors, n_errors, answered, record (canonical JSON).
+    Returns conv_id, call_id, position, level, name, errors, n_errors, answered, record (canonical JSON), kind (`call` or `result`).
 
     Rows without conv_id or call_id link with nothing and are left out of both tables. Of several calls with one
     identifier the first by position (then name and arguments) counts, with the error `repeated call`;
     of several results the first by position (then content), with `repeated result`. A result without
     a call has position null, level null and the error `no call`; a call without a result has `no result`;
-    a call on a circle of needs has level null and `circular needs`. Empty tables give an empty result.
+    a call on a circle of needs has level null and `circular needs`. Empty tables give an empty result. What the calls and
+    results that do not count hold is in the rows of `repeats`.
     """
     schemas = SCHEMAS if schemas is None else schemas
     c = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(
@@ -116,7 +117,51 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict | None = None) ->
         F.lit(',"level":'), F.coalesce(F.col("level").cast("string"), F.lit("null")), F.lit(',"name":'), json_text(F.col("name")),
         F.lit(',"needs":'), F.coalesce(F.to_json(F.array_sort("needs")), F.lit("[]")), F.lit(',"result":'), json_text(F.col("content")), F.lit("}"),
     )
-    return told.select("conv_id", "call_id", "position", "level", "name", "errors", F.size("errors").cast("long").alias("n_errors"), is_answered.alias("answered"), record.alias("record"))
+    return told.select("conv_id", "call_id", "position", "level", "name", "errors", F.size("errors").cast("long").alias("n_errors"), is_answered.alias("answered"), record.alias("record"), F.when(is_call, "call").otherwise("result").alias("kind"))
+
+
+def plain(rows: DataFrame, call_id: Column, position: Column, name: Column, record: Column, kind: Column) -> DataFrame:
+    """Rows in the columns of `linked` that are neither a linked call nor a result without one."""
+    none = F.array().cast("array<string>")
+    return rows.select("conv_id", call_id.alias("call_id"), position.alias("position"), F.lit(None).cast("int").alias("level"), name.alias("name"), none.alias("errors"), F.lit(0).cast("long").alias("n_errors"), F.lit(False).alias("answered"), record.alias("record"), kind.alias("kind"))
+
+
+def repeats(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """A row, in the columns of `linked`, for each different call and result that does not count as another one has its identifier.
+
+    kind is `repeated call` or `repeated result`, the record holds the content. Exact copies of what counts hold nothing
+    else and give no row. Rows without conv_id or call_id give none.
+    """
+    out = None
+    for rows, kind, columns in ((calls, "repeated call", ["name", "arguments", "needs"]), (results, "repeated result", ["content"])):
+        own = rows.where("conv_id is not null and call_id is not null")
+        own = own.groupBy("conv_id", "call_id", F.struct(F.coalesce("position", F.lit(2**62)).alias("p"), "position", *columns).alias("x")).agg(F.count(F.lit(1)).alias("times"))
+        first = own.groupBy(F.col("conv_id").alias("c"), F.col("call_id").alias("k")).agg(F.min("x").alias("first"))
+        own = own.join(first, (F.col("conv_id") == F.col("c")) & (F.col("call_id") == F.col("k"))).where(~F.col("x").eqNullSafe(F.col("first")))
+        head = F.concat(F.lit('{"arguments":'), F.coalesce(canonical(F.col("x.arguments")), json_text(F.col("x.arguments")))) if "arguments" in columns else F.concat(F.lit('{"content":'), json_text(F.col("x.content")))
+        record = F.concat(head, F.lit(',"call_id":'), json_text(F.col("call_id")), F.lit("}"))
+        name = F.col("x.name") if "name" in columns else F.lit(None).cast("string")
+        told = plain(own, F.col("call_id"), F.col("x.position"), name, record, F.lit(kind))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+def spoken(conversations: DataFrame) -> Column:
+    """Whether a turn is one of a user or an assistant at a known place, and so a call or a result."""
+    return F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False)) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+
+
+def formatted(conversations: DataFrame) -> DataFrame:
+    """Every turn of the conversations: as a call, as its result, or as a row of kind `turn` with role and content.
+
+    The last are the turns of the system and of other or no roles, and those without conv_id or turn. An empty table gives an
+    empty result; further columns are not read.
+    """
+    calls, results = calls_of(conversations.where(spoken(conversations))), results_of(conversations.where(spoken(conversations)))
+    record = F.concat(F.lit('{"content":'), json_text(F.col("text")), F.lit(',"role":'), json_text(F.col("role")), F.lit("}"))
+    none = F.lit(None).cast("string")
+    others = plain(conversations.where(~spoken(conversations)), none, F.col("turn"), none, record, F.lit("turn"))
+    return linked(calls, results).unionByName(repeats(calls, results)).unionByName(others)
 
 
 def calls_of(conversations: DataFrame) -> DataFrame:
@@ -163,6 +208,9 @@ e AS (
 SELECT conv_id, call_id, position, CAST(level AS INTEGER) AS level, name, errors, CAST(len(errors) AS BIGINT) AS n_errors, answered,
     '{"arguments":' || arguments || ',"call_id":' || CAST(to_json(call_id) AS VARCHAR) || ',"errors":' || CAST(to_json(errors) AS VARCHAR) || ',"level":' || coalesce(CAST(level AS VARCHAR), 'null')
     || ',"name":' || coalesce(CAST(to_json(name) AS VARCHAR), 'null') || ',"needs":' || CASE WHEN is_call THEN CAST(to_json([need]) AS VARCHAR) ELSE '[]' END
-    || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS record
+    || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS record, CASE WHEN is_call THEN 'call' ELSE 'result' END AS kind
 FROM e
+UNION ALL SELECT conv_id, NULL, turn, NULL, NULL, CAST([] AS VARCHAR[]), 0, false,
+    '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}', 'turn'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
