@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ranked, stored
+from .shared import CHUNK, ranked, stored
 
 CONTEXT, BUCKETS, BUDGET = 8192, 16, 65536
 
@@ -87,10 +87,30 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contex
     lengths = optimal_buckets(histogram, buckets) or [0]
     bucket = F.size(F.filter(F.array(*[F.lit(x) for x in lengths]), lambda x: x < F.col("n_tokens")))
     dealt = pieces.withColumn("bucket", bucket).withColumn("bucket_len", F.element_at(F.array(*[F.lit(x).cast("long") for x in lengths]), F.col("bucket") + 1))
-    spread = F.xxhash64("doc_id", "piece", "n_tokens")
-    at = ranked(dealt, ["bucket"], spread, [F.xxhash64("doc_id", "piece"), F.col("doc_id"), F.col("piece"), F.col("n_tokens")], sum(histogram.values()))
+    spread = F.conv(F.substring(F.md5(F.concat_ws("-", "doc_id", "piece", "n_tokens").cast("binary")), 1, 8), 16, 10).cast("long")
+    at = ranked(dealt, ["bucket"], spread, [spread, F.col("doc_id"), F.col("piece"), F.col("n_tokens")], sum(histogram.values()))
     rows = F.greatest(F.floor(F.lit(budget) / F.greatest("bucket_len", F.lit(1))), F.lit(1))
     return at.select(
         "doc_id", "piece", "first_token", "n_tokens", "bucket", "bucket_len",
         F.floor(F.col("rank") / rows).alias("batch"), F.pmod("rank", rows).cast("int").alias("row"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
     )
+
+
+def oracle(context: int = CONTEXT, buckets: int = BUCKETS, budget: int = BUDGET) -> str:
+    """SQL with the rows of pack(documents): the dynamic program as a CTE a layer, every pair of lengths compared."""
+    layers = "".join(
+        f""",
+l{k} AS (SELECT * FROM (SELECT h.j, h.x, h.seen, p.cost + h.x * (h.seen - p.seen) AS cost, list_append(p.ends, h.x) AS ends, p.j AS via
+    FROM h JOIN l{k - 1} p ON p.j < h.j) QUALIFY row_number() OVER (PARTITION BY j ORDER BY cost, via DESC) = 1)"""
+        for k in range(1, buckets + 1)
+    )
+    ends = " UNION ALL ".join(f"SELECT {k} AS k, cost, ends FROM l{k} WHERE j = (SELECT max(j) FROM h)" for k in range(1, buckets + 1))
+    return f"""WITH t AS (SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n FROM documents),
+p AS (SELECT doc_id, n, unnest(range(0, greatest(CAST(ceil(n / {context}) AS BIGINT), 1))) AS piece FROM t),
+d AS (SELECT doc_id, CAST(piece AS INTEGER) AS piece, piece * {context} AS first_token, least(n - piece * {context}, {context}) AS n_tokens FROM p),
+h AS (SELECT x, CAST(sum(c) OVER (ORDER BY x) AS BIGINT) AS seen, row_number() OVER (ORDER BY x) AS j FROM (SELECT n_tokens AS x, count(*) AS c FROM d GROUP BY 1)),
+l0 AS (SELECT 0 AS j, 0 AS x, 0 AS seen, 0 AS cost, CAST([] AS BIGINT[]) AS ends, 0 AS via){layers},
+b AS (SELECT ends FROM ({ends}) ORDER BY cost, k LIMIT 1),
+r AS (SELECT d.*, CAST(len(list_filter(b.ends, lambda e: e < d.n_tokens)) AS INTEGER) AS bucket, b.ends, CAST('0x' || substr(md5(concat_ws('-', doc_id, piece, n_tokens)), 1, 8) AS BIGINT) AS key FROM d, b),
+m AS (SELECT *, ends[bucket + 1] AS bucket_len, row_number() OVER (PARTITION BY bucket ORDER BY key % (SELECT greatest(1, (count(*) + {CHUNK - 1}) // {CHUNK}) FROM d), key, doc_id NULLS FIRST, piece, n_tokens) - 1 AS rank FROM r)
+SELECT doc_id, piece, first_token, n_tokens, bucket, bucket_len, rank // greatest({budget} // greatest(bucket_len, 1), 1) AS batch, CAST(rank % greatest({budget} // greatest(bucket_len, 1), 1) AS INTEGER) AS row, bucket_len - n_tokens AS padding FROM m"""
