@@ -4,8 +4,9 @@ The cascade stores a list of hosts for exact membership among all hosts of the c
 a Bloom filter of the listed hosts, the next of those other hosts that pass it, the next of
 the listed ones that pass that, and so on until none passes wrongly. A host is judged by the first level that
 it does not pass. Hosts are dealt to segments by a hash, each with a cascade of its own and about `SEGMENT`
-listed hosts, so that no task and no literal holds more. One segment becomes literals of the plan and pages
-need no join; more are too large to hand out, and pages meet their segment in an equi-join.
+listed hosts, so that no task builds more. The segments' texts are an array in the plan (1.7 bytes for each listed host), so
+pages need no join; only lists of more than `LITERALS` segments (a million hosts, 1.7 MB), which are too large to be part of a
+plan, meet the pages in an equi-join on the segment.
 
 All is DataFrame and SQL functions. A Bloom filter is text, six bits a character from '0' upward.
 """
@@ -22,7 +23,7 @@ from .shared import stored
 
 #: (verdict, host, path), as the query fixes them.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-SEGMENT, BITS_A_KEY, HASHES, LEVELS = 50_000, 10, 4, 24
+SEGMENT, LITERALS, BITS_A_KEY, HASHES, LEVELS = 50_000, 20, 10, 4, 24
 
 
 def lower_ascii(c: Column) -> Column:
@@ -57,7 +58,7 @@ def _has(text: Column, place: Column) -> Column:
 
 
 class Cascade:
-    """Levels of (bits, text of the only segment or None, table of the segments' texts or None)."""
+    """Levels of (bits, the segments' texts or None, a table of them or None)."""
 
     def __init__(self, segments: int) -> None:
         self.segments, self.levels = segments, []
@@ -67,9 +68,9 @@ class Cascade:
 
     def passing(self, df: DataFrame, key: str, level: int, name: str) -> DataFrame:
         """df with a column that tells whether the key passes the level."""
-        bits, text, table = self.levels[level]
-        if text is not None:
-            word, made = F.lit(text), df
+        bits, texts, table = self.levels[level]
+        if texts is not None:
+            word, made = F.get(F.array(*map(F.lit, texts)), self.segment(F.col(key))) if len(texts) > 1 else F.lit(texts[0]), df
         else:
             word, made = F.col("_text"), df.withColumn("_segment", self.segment(F.col(key))).join(table, "_segment", "left")
         test = reduce(Column.__and__, [_has(word, p) for p in _places(F.col(key), level, bits)])
@@ -89,7 +90,7 @@ class Cascade:
         return df.withColumn(name, verdict).drop(*passed)
 
 
-def _filter(keys: DataFrame, key: str, cascade: Cascade, level: int, n: int) -> tuple[int, str | None, DataFrame | None]:
+def _filter(keys: DataFrame, key: str, cascade: Cascade, level: int, n: int, literals: int) -> tuple[int, list[str] | None, DataFrame | None]:
     """A level from n keys; its segments' texts have equal lengths."""
     bits = max(60, -(-BITS_A_KEY * n // cascade.segments // 6) * 6)
     place = F.explode(F.array(*_places(F.col(key), level, bits)))
@@ -99,12 +100,12 @@ def _filter(keys: DataFrame, key: str, cascade: Cascade, level: int, n: int) ->
     bytes_ = at.unionByName(blank).groupBy("_segment", "byte").agg(F.bit_or("v").alias("v"))
     chars = F.transform(F.array_sort(F.collect_list(F.struct("byte", "v"))), lambda x: F.char(x["v"] + 48))
     table = bytes_.groupBy("_segment").agg(F.array_join(chars, "").alias("_text"))
-    if cascade.segments == 1:
-        return bits, table.first()["_text"], None
+    if cascade.segments <= literals:
+        return bits, [r["_text"] for r in table.orderBy("_segment").collect()], None
     return bits, None, stored(table, "bloom")
 
 
-def build(universe: DataFrame, key: str, listed: str, segment: int = SEGMENT) -> Cascade:
+def build(universe: DataFrame, key: str, listed: str, segment: int = SEGMENT, literals: int = LITERALS) -> Cascade:
     """The cascade for a table of distinct keys with a boolean column for the listed ones."""
     total = {r[listed]: r["count"] for r in universe.groupBy(listed).count().collect()}
     cascade = Cascade(max(1, -(-total.get(True, 0) // segment)))
@@ -112,13 +113,13 @@ def build(universe: DataFrame, key: str, listed: str, segment: int = SEGMENT) ->
     for level in range(LEVELS):
         if not n:
             return cascade
-        cascade.levels.append(_filter(stores, key, cascade, level, n))
+        cascade.levels.append(_filter(stores, key, cascade, level, n, literals))
         wrong = stored(cascade.passing(others.select(key), key, level, "_p").where("_p").select(key), "passing")
         stores, others, n = wrong, stores, wrong.count()
     raise RuntimeError("the cascade did not close")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, segment: int = SEGMENT) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, segment: int = SEGMENT, literals: int = LITERALS) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages.
 
     The longest rule that fits decides. Where none does, the cascade of listed hosts does: a host is
@@ -132,7 +133,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, seg
     name, verdict = rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules)
     ruled = own.select("page_id", "host", "path", name.alias("rule"), verdict.alias("by_rule"))
     universe = stored(ruled.groupBy("host").agg(F.coalesce(F.max(F.col("by_rule") == "block"), F.lit(False)).alias("listed")), "hosts")
-    cascade = build(universe, "host", "listed", segment)
+    cascade = build(universe, "host", "listed", segment, literals)
     told = cascade.member(ruled, "host", "in_list")
     return told.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("in_list"), "block").otherwise("allow")).alias("verdict"))
 
