@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .shared import forget, ranked, stored
 
-SHARDS, ROUNDS, BLOCK = 40, 12, 200
+SHARDS, BLOCK = 40, 200
 #: Of a shard's room, what a round may fill on average; the dice must not overfill it.
 MARGIN = 0.9
 
@@ -40,11 +40,14 @@ def _moved(blocks: DataFrame, room: list[int], quota: list[int], turn: int) -> D
     return want.select("g", "k", "w", F.when(goes, F.col("t")).otherwise(F.col("s")).alias("s"), goes.alias("went"))
 
 
-def propagate(blocks: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Blocks (g, k, w, s) with the shards that label propagation under the quotas gives."""
+def propagate(blocks: DataFrame, quota: list[int]) -> DataFrame:
+    """Blocks (g, k, w, s) with the shards that label propagation under the quotas gives.
+
+    A group fills about one shard a round, so even a group of all rows has settled when each shard had its round.
+    """
     now = stored(blocks, "blocks")
     total = sum(quota)
-    for turn in range(rounds):
+    for turn in range(max(12, len(quota))):
         load = {r["s"]: r["n"] for r in now.groupBy("s").agg(F.sum("w").alias("n")).collect()}
         then = stored(_moved(now, [q - load.get(s, 0) for s, q in enumerate(quota)], quota, turn), "blocks")
         went = then.where("went").agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
@@ -65,24 +68,25 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     """
     text = F.col(text_col)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(16)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("g"))
-    own = stored(own, "texts")
+    # a number of each row, so that rows of one id, or of none, fall into different blocks; it is fixed once it is stored
+    own = stored(own.withColumn("u", F.monotonically_increasing_id()), "texts")
     n = own.count()
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     size = max(1, min(BLOCK, n // shards // 16))  # small against a quota, so that blocks fill shards evenly
     groups = own.where("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("g").alias("_g"), F.ceil(F.col("c") / size).alias("blocks"))
     groups = stored(groups, "groups")  # a table of its own, so that the join below can split a hot group
-    block = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("blocks"))
-    rows = stored(own.join(groups, F.col("g") == F.col("_g"), "left").select("doc_id", "size", "text_crc32", F.when(F.col("blocks").isNotNull(), F.col("g")).alias("g"), block.alias("k")), "linked")
+    block = F.pmod(F.xxhash64("doc_id", "u"), F.col("blocks"))
+    rows = stored(own.join(groups, F.col("g") == F.col("_g"), "left").select("doc_id", "u", "size", "text_crc32", F.when(F.col("blocks").isNotNull(), F.col("g")).alias("g"), block.alias("k")), "linked")
     blocks = rows.where("g is not null").groupBy("g", "k").agg(F.count(F.lit(1)).alias("w")).withColumn("s", F.pmod(F.xxhash64("g", "k"), F.lit(shards)).cast("int"))
     blocks = propagate(blocks, quota).select(F.col("g").alias("_g"), F.col("k").alias("_k"), "s")
-    linked = rows.where("g is not null").join(blocks, (F.col("g") == F.col("_g")) & (F.col("k") == F.col("_k"))).select("doc_id", "size", "text_crc32", "g", "k", "s")
-    placed = stored(ranked(linked, ["s"], F.xxhash64("g", "k"), [F.col("g"), F.col("k"), F.col("doc_id")], n), "placed")
+    linked = rows.where("g is not null").join(blocks, (F.col("g") == F.col("_g")) & (F.col("k") == F.col("_k"))).select("doc_id", "u", "size", "text_crc32", "g", "k", "s")
+    placed = stored(ranked(linked, ["s"], F.xxhash64("g", "k"), [F.col("g"), F.col("k"), F.col("doc_id"), F.col("u")], n), "placed")
     load = {r["s"]: r["n"] for r in placed.groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}
     kept = [min(q, load.get(s, 0)) for s, q in enumerate(quota)]
     within = F.col("rank") < F.element_at(F.array(*[F.lit(x).cast("long") for x in quota]), F.col("s") + 1)
     stay = placed.where(within).select("doc_id", "size", "text_crc32", F.col("s").alias("shard"), F.col("rank").alias("slot"))
-    rest = rows.where("g is null").select("doc_id", "size", "text_crc32").unionByName(placed.where(~within).select("doc_id", "size", "text_crc32"))
-    filler = ranked(rest.withColumn("_all", F.lit(0)), ["_all"], F.xxhash64("doc_id", "text_crc32", "size"), [F.col("doc_id"), F.col("text_crc32"), F.col("size")], n)
+    rest = rows.where("g is null").select("doc_id", "u", "size", "text_crc32").unionByName(placed.where(~within).select("doc_id", "u", "size", "text_crc32"))
+    filler = ranked(rest.withColumn("_all", F.lit(0)), ["_all"], F.xxhash64("doc_id", "u"), [F.col("doc_id"), F.col("u")], n)
     ends, at = [], 0
     for q, k in zip(quota, kept, strict=True):
         at += q - k
@@ -92,3 +96,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     filled = filler.withColumn("shard", shard).select("doc_id", "size", "text_crc32", "shard", (F.col("rank") + F.element_at(offset, F.col("shard") + 1)).alias("slot"))
     both = stay.unionByName(filled)
     return both.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def cut_edges(docs: DataFrame, group: list[str], shard: str = "shard") -> DataFrame:
+    """(edges, cut): pairs of linked rows, and those whose rows lie in different shards, from counts alone.
+
+    Rows are linked where all `group` columns are equal and not null. One row, with 0 and 0 for an empty table.
+    """
+    linked = docs.dropna(subset=group).groupBy(*group, shard).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("c"))
+    pairs = lambda c: c * (c - 1) / 2
+    per = linked.groupBy(*group).agg(F.sum("c").alias("all"), F.sum(pairs(F.col("c"))).alias("inside"))
+    zero = F.lit(0).cast("long")
+    edges, inside = F.sum(pairs(F.col("all"))).cast("long"), F.sum("inside").cast("long")
+    return per.agg(F.coalesce(edges, zero).alias("edges"), F.coalesce(edges - inside, zero).alias("cut"))
