@@ -25,8 +25,10 @@ from .shared import stored
 from .text import mixed, pieces
 from .toxicity import kept_by, remainder
 
-#: Documents of a language that a fit sees at most; centroids of a language; languages at most (the most frequent).
-SAMPLE, CENTROIDS, LANGUAGES = 1000, 3, 500
+#: Documents of a language that a fit sees at most; centroids of a language; languages of a model (more are refused).
+SAMPLE, CENTROIDS, LANGUAGES = 1000, 3, 2000
+#: Bytes whose grams are counted at a time.
+RUN = 1 << 17
 #: A text is rejected under this share of the least cosine of its band of letters: of documents, and of pieces, which
 #: are more alike than short documents are (a short one may be a license line and little else).
 SLACK, PIECE_SLACK = 0.7, 0.5
@@ -40,50 +42,76 @@ UNKNOWN = "und"
 CLASSES, HASHED = 64, 8192
 WIDTH = CLASSES + CLASSES * CLASSES + HASHED
 #: Class 0 is all that is no letter; a-z are 1 to 26; bytes of other letters share the rest.
-_CLASS = np.zeros(256, np.int64)
+_CLASS = np.zeros(256, np.uint8)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[128:] = 27 + np.arange(128) % 37
 _TRIGRAM = (mixed(np.arange(CLASSES**3, dtype=np.uint64) + np.uint64(1)) >> np.uint64(51)).astype(np.int32)
 
 
-def gram_counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first row, row after the last, counts of the grams by row) of runs of texts."""
-    for i, j, offsets, data in pieces(pc.utf8_lower(column)):
-        for a in range(i, j, 64):  # a dense row has WIDTH numbers
-            b = min(j, a + 64)
-            cut = offsets[a - i : b - i + 1] - offsets[a - i]
-            d = data[offsets[a - i] : offsets[b - i]]
-            counts = np.zeros((b - a, WIDTH), np.float32)
-            # a gap stands before, between and after the texts, so that no gram crosses two of them
-            c = np.zeros(len(d) + (b - a) + 2, np.int64)
-            row = np.repeat(np.arange(b - a), np.diff(cut))
-            c[np.arange(len(d)) + row + 1] = _CLASS[d]
+def grams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, row from 0, gram, count) of runs of texts: each gram of a text once.
+
+    A text longer than a run is counted slice by slice, so a byte of it takes one more byte and no more.
+    """
+    for i, j, offsets, data in pieces(column, lower=True, size=RUN):
+        n = j - i
+        # a gap stands before, between and after the texts
+        c = np.zeros(len(data) + n + 1, np.uint8)
+        owner = None
+        if n == 1:
+            c[1:-1] = _CLASS[data]
+        else:
+            row = np.repeat(np.arange(n), np.diff(offsets))
+            at = np.arange(len(data)) + row + 1
+            c[at] = _CLASS[data]
             owner = np.zeros(len(c), np.int64)
-            owner[np.arange(len(d)) + row + 1] = row
-            owner[1:] = np.maximum.accumulate(owner)[1:]
-            keep = np.ones(len(c), bool)
-            keep[1:] = (c[1:] > 0) | (c[:-1] > 0)  # runs of gaps count once
-            c, owner = c[keep], owner[keep]
-            two = c[:-1] * CLASSES + c[1:]
-            three = two[:-1] * CLASSES + c[2:]
-            flat = np.bincount(owner * WIDTH + c, minlength=counts.size)
-            flat += np.bincount(owner[1:] * WIDTH + CLASSES + two, minlength=counts.size)
-            flat += np.bincount(owner[1:-1] * WIDTH + CLASSES + CLASSES * CLASSES + _TRIGRAM[three], minlength=counts.size)
-            counts[:] = flat.reshape(counts.shape)
-            counts[:, 0] = counts[:, CLASSES] = 0  # gaps alone say nothing
-            yield a, b, counts
-
-
-def tf_idf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Rows of unit length, or zeros."""
-    v = np.log1p(counts) * idf
-    return v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)
+            owner[at] = row
+            owner = np.maximum.accumulate(owner)
+        keep = np.ones(len(c), bool)
+        keep[1:] = (c[1:] > 0) | (c[:-1] > 0)  # runs of gaps count once
+        c = c[keep]
+        if owner is None:
+            total = np.zeros(WIDTH, np.int64)
+            for s in range(0, len(c), RUN):
+                total += np.bincount(np.concatenate(_ending(c, s, min(len(c), s + RUN))), minlength=WIDTH)
+            total[[0, CLASSES]] = 0  # gaps alone say nothing
+            gram = np.flatnonzero(total)
+            yield i, j, np.zeros(len(gram), np.int64), gram, total[gram]
+            continue
+        owner = owner[keep]
+        one, two, three = _ending(c, 0, len(c))
+        within = owner[:-2] == owner[2:]  # a gap between two texts is in the middle of no gram
+        within |= c[1:-1] > 0
+        whose = np.concatenate((owner, owner[1:], owner[1:-1][within]))
+        gram = np.concatenate((one, two, three[within]))
+        says = (gram != 0) & (gram != CLASSES)
+        key, count = np.unique(whose[says] * WIDTH + gram[says], return_counts=True)
+        yield i, j, key // WIDTH, key % WIDTH, count
+
+
+def _ending(c: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 1-, 2- and 3-grams that end at the places from start to end of the classes."""
+    before = min(start, 2)
+    w = c[start - before : end].astype(np.int64)
+    two = w[:-1] * CLASSES + w[1:]
+    three = two[:-1] * CLASSES + w[2:]
+    return w[before:], CLASSES + two[max(before - 1, 0) :], CLASSES + CLASSES * CLASSES + _TRIGRAM[three]
+
+
+def tf_idf(row: np.ndarray, gram: np.ndarray, count: np.ndarray, n: int, idf: np.ndarray) -> np.ndarray:
+    """The weight of each gram in its row, of n rows of unit length (or without any)."""
+    w = np.log1p(count) * idf[gram]
+    length = np.sqrt(np.bincount(row, w * w, n))
+    return w / np.maximum(length, 1e-12)[row]
 
 
 def letters(column: pa.Array) -> np.ndarray:
     """The number of letters of each text."""
-    kept = pc.replace_substring_regex(column.cast(pa.large_string()).fill_null(""), r"\P{L}+", "")
-    return pc.utf8_length(kept).to_numpy(zero_copy_only=False)
+    out = np.zeros(len(column), np.int64)
+    for a in range(0, len(column), 256):
+        part = pc.replace_substring_regex(column.slice(a, 256).cast(pa.large_string()).fill_null(""), r"\P{L}+", "")
+        out[a : a + 256] = pc.utf8_length(part).to_numpy(zero_copy_only=False)
+    return out
 
 
 def cut_to(text: str, n: int) -> str | None:
@@ -96,7 +124,11 @@ def cut_to(text: str, n: int) -> str | None:
 
 
 def vectors(column: pa.Array, idf: np.ndarray) -> np.ndarray:
-    return np.concatenate([tf_idf(c, idf).astype(np.float32) for _, _, c in gram_counts(column)])
+    """Dense rows, for a bounded sample."""
+    out = np.zeros((len(column), WIDTH), np.float32)
+    for a, b, row, gram, count in grams(column):
+        out[a + row, gram] = tf_idf(row, gram, count, b - a, idf)
+    return out
 
 
 def least_cosines(v: np.ndarray, texts: list[str], n: np.ndarray, centroids: int, idf: np.ndarray) -> np.ndarray:
@@ -138,7 +170,8 @@ def clusters(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     c = v[picked]
     for _ in range(rounds):
         own = np.argmax(v @ c.T, 1)
-        sums = np.array([v[own == g].sum(0) if (own == g).any() else c[g] for g in range(len(c))])
+        sums = (own[None, :] == np.arange(len(c))[:, None]).astype(np.float32) @ v
+        sums = np.where(np.bincount(own, minlength=len(c))[:, None] > 0, sums, c)
         c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     share = np.bincount(np.argmax(v @ c.T, 1), minlength=len(c))
     return c[share * 50 >= len(v)]
@@ -148,8 +181,8 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each gram, summed over a task."""
     df, n = np.zeros(WIDTH, np.int64), 0
     for batch in batches:
-        for a, b, counts in gram_counts(batch.column(0)):
-            df += (counts > 0).sum(0)
+        for a, b, _, gram, _ in grams(batch.column(0)):
+            df += np.bincount(gram, minlength=WIDTH)
             n += b - a
     yield pa.RecordBatch.from_arrays([pa.array([df.tolist()], pa.list_(pa.int64())), pa.array([n], pa.int64())], ["df", "n"])
 
@@ -166,20 +199,30 @@ class Model:
         n = letters(column)
         if self.langs:
             names = np.array(self.langs, object)
-            for a, b, counts in gram_counts(column):
-                cos = tf_idf(counts, self.idf) @ self.centroids.T
-                best = cos.argmax(1)
-                lang[a:b], score[a:b] = names[best], np.clip(cos[np.arange(b - a), best], 0, 1)
+            for a, b, row, gram, count in grams(column):
+                w = tf_idf(row, gram, count, b - a, self.idf)
+                best, most = np.zeros(b - a, np.int64), np.full(b - a, -1.0)
+                for k, c in enumerate(self.centroids):
+                    cos = np.bincount(row, w * c[gram], b - a)
+                    best[cos > most] = k
+                    most = np.maximum(most, cos)
+                lang[a:b], score[a:b] = names[best], np.clip(most, 0, 1)
         lang[n == 0], score[n == 0] = UNKNOWN, 0.0
         band = np.maximum(np.searchsorted(BANDS, n, "right") - 1, 0)
         far = np.array([x == UNKNOWN or s < self.least[x][k] for x, s, k in zip(lang, score, band, strict=True)], bool)
         return lang, score, far
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
-    """A model from the documents with a language; rows to be held out are left out by the caller."""
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, centroids: int = CENTROIDS, languages: int = LANGUAGES) -> Model:
+    """A model from the documents with a language; rows to be held out are left out by the caller.
+
+    Refused (ValueError) where the table names more than `languages` of them, as none may go unlearned and the model is
+    held by every task.
+    """
     known = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null and _id is not null")
-    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    langs = known.groupBy("lang").count().limit(languages + 1).collect()
+    if len(langs) > languages:
+        raise ValueError(f"more than {languages} languages: clean the labels, or raise `languages`")
     if not langs:
         return Model([], np.zeros((0, WIDTH)), np.ones(WIDTH), {})
     # one in so many is drawn by a hash, so that what is ranked is about 1.5 samples a language
@@ -196,12 +239,12 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     def fitted(group: pa.Table) -> pa.Table:
         own = group.column("text").combine_chunks()
         own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
-        v, n = vectors(own, idf.astype(np.float32)), letters(own)
-        long = n >= LEAST_LETTERS
-        used = v[long] if long.any() else v
-        c = clusters(used, centroids)
-        some = np.flatnonzero(long if long.any() else n > 0)
-        least = least_cosines(v[some], own.take(pa.array(some)).to_pylist(), n[some], centroids, idf.astype(np.float32))
+        n = letters(own)
+        some = np.flatnonzero(n >= LEAST_LETTERS if (n >= LEAST_LETTERS).any() else n > 0 if (n > 0).any() else n == 0)
+        own, n = own.take(pa.array(some)), n[some]
+        v = vectors(own, idf.astype(np.float32))
+        c = clusters(v, centroids)
+        least = least_cosines(v, own.to_pylist(), n, centroids, idf.astype(np.float32))
         return pa.table({"lang": [group.column("lang")[0].as_py()] * len(c), "c": pa.array(c.tolist(), pa.list_(pa.float32())), "least": pa.array([least.tolist()] * len(c), pa.list_(pa.float64()))})
 
     # at most `sample` documents of a language

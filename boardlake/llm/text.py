@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time; a longer text is a piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -40,30 +41,46 @@ def table_of(bytes_in: bytes) -> np.ndarray:
 SPACE = table_of(b" \t\n\x0b\x0c\r")
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, offsets of the rows, bytes) of runs of about PIECE bytes.
-
-    Null texts have no bytes.
-    """
+def _plain(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The column without nulls, and the offsets of its rows and of its end."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
     n = len(column)
-    if not n:
-        return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
-    held = column.buffers()[2]
-    data = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)
-    i = 0
+    return column, np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+
+
+def _runs(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    i, n = 0, len(offsets) - 1
     while i < n:
-        j = int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1
+        j = int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1
         j = min(n, max(j, i + 1))
-        yield i, j, offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
+        yield i, j
         i = j
 
 
+def runs(column: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of runs of about `size` bytes of text; a longer text is a run of its own."""
+    return _runs(_plain(column)[1], size)
+
+
+def pieces(column: pa.Array, lower: bool = False, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, offsets of the rows, bytes) of the runs, in lower case if asked. Null texts have no bytes.
+
+    Only the run itself is copied, so what a task holds follows from `size` and its longest text.
+    """
+    column, ends = _plain(column)
+    for i, j in _runs(ends, size):
+        part = column.slice(i, j - i)
+        part = pc.utf8_lower(part) if lower else part
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + j - i + 1]
+        held = part.buffers()[2]
+        data = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)
+        yield i, j, offsets - offsets[0], data[offsets[0] : offsets[-1]]
+
+
 class Powers:
     """Powers of an odd number and of its inverse modulo 2**64, as far as they were asked for."""
 
@@ -71,16 +88,16 @@ class Powers:
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, PIECE + 8)
-            base = int(_ODD)
-            self.up = np.full(size, base, np.uint64)
-            self.up[0] = 1
-            self.up = np.cumprod(self.up)
-            self.down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
-            self.down[0] = 1
-            self.down = np.cumprod(self.down)
-        return self.up, self.down
+        if len(self.up) >= n:
+            return self.up, self.down
+        base, found = int(_ODD), []
+        for x in (base, pow(base, -1, 1 << 64)):
+            p = np.full(max(n, 2 * PIECE), x, np.uint64)
+            p[0] = 1
+            found.append(np.cumprod(p))
+        if n <= 2 * PIECE:  # those of a single very long text are not kept
+            self.up, self.down = found
+        return found[0], found[1]
 
 
 POWERS = Powers()
