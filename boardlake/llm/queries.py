@@ -28,8 +28,7 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as tool calls and results: linked, ordered, validated, serialised."""
-    turns = table(spark, sf_dir, "conversations")
-    return chat_tools.linked(chat_tools.calls_of(turns), chat_tools.results_of(turns))
+    return chat_tools.formatted(table(spark, sf_dir, "conversations"))
 
 
 def op5_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +36,12 @@ def op5_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-def op6_sentencepiece_suffix_array(spark: SparkSession, sf_dir: str, model: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
-    """The tokens of every document and the text that they decode to, as counts and digests."""
+def op6_sentencepiece_suffix_array(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """The tokens of every document and the text that they decode to, as counts and digests.
+
+    The model file is read on the driver; its path is the parameter, or else the session's boardlake.sentencepiece.model.
+    """
+    model = model or spark.conf.get("boardlake.sentencepiece.model", "/opt/tokenizers/piece_bpe_32k.model")
     return sentencepieces.round_trip(table(spark, sf_dir, "documents"), sentencepieces.model_pieces(model))
 
 
@@ -77,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_tool_call_linking": chat_tools.ORACLE,
+    "op8_length_bucket_packing": packing.oracle(),
     "op9_url_filter": url_filter.ORACLE,
 }

@@ -1,11 +1,12 @@
 """SentencePiece (BPE with byte fallback) encoding and decoding by suffix-array matching.
 
 Pieces have the blank mark at their front or consist of it, so a text falls into units that no piece
-crosses: a run of blanks with the word after it. The units of a batch that are new to the task are
-joined to one text with separators, and its suffixes are sorted as far as the longest piece. Every piece is
+crosses: a run of blanks with the word after it. A batch's text, each different unit once, is
+joined with separators, and its suffixes are sorted as far as the longest piece. Every piece is
 looked up by binary search; its range of suffixes gives all its occurrences at once, each
-an edge of the lattice. Edges are sorted by where they end and relaxed in that order, all units
-side by side: a prefix's last token is the one whose edge is compatible with the last token of the prefix before it.
+an edge of the lattice. Edges are sorted by where they end and relaxed in that order, short units
+side by side and long ones each on its own: a prefix's last token is the one whose edge is compatible with the last token
+of the prefix before it. Nothing of a batch is kept for the next but which tokens may be neighbours.
 
 Two tokens are compatible if merging their characters by score gives just these two. A sequence is what
 the merges make of a text if and only if all neighbours in it are compatible, and each prefix has one
@@ -22,10 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import runs
+
 BLANK = "▁"
 _UNIT = re.compile("\n|▁+[^▁\n]*|[^▁\n]+")
-#: Units whose tokens a task remembers; characters of units that are matched at a time.
-REMEMBERED, AT_ONCE = 400_000, 1_000_000
+#: Bytes of a batch of texts; characters of its units that are indexed at a time; characters from which a unit is long.
+BATCH, AT_ONCE, LONG = 4 << 20, 500_000, 200
+#: Pairs of tokens whose compatibility is remembered.
+REMEMBERED = 2_000_000
 
 
 def model_pieces(path: str) -> list[tuple[str, int, float]]:
@@ -50,9 +55,15 @@ class Encoder:
         if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.id_of):
             raise ValueError("a piece crosses units: it has a blank mark behind another character, or a line break")
         self.longest = max(map(len, self.id_of), default=1)
-        self.near: dict[int, bool] = {}
+        self.ids = np.array(list(self.id_of.values()), np.int64)
+        self.sizes = np.array(list(map(len, self.id_of)), np.int64)
+        #: A row of code points for each piece, with zeros behind.
+        self.codes = np.zeros((len(self.id_of), self.longest), np.uint32)
+        for row, p in zip(self.codes, self.id_of, strict=True):
+            row[: len(p)] = list(map(ord, p))
+        #: Pairs of tokens that were asked for, in order, and whether they may be neighbours.
+        self.pairs, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
         self.alone: dict[int, bool] = {}
-        self.units: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging the characters by score (the highest first, of equal ones that further left) leaves."""
@@ -74,69 +85,71 @@ class Encoder:
             self.alone[i] = len(self.merged(self.text[i])) == 1
         return self.alone[i]
 
+    def may_follow(self, key: int) -> bool:
+        """Whether two tokens, as one number (see fit), may be neighbours."""
+        a, b = divmod(key, len(self.text) + 1)
+        if b == 0:
+            return True
+        if a == 0:
+            return self.whole(b - 1)
+        pair = [self.text[a - 1], self.text[b - 1]]
+        return self.merged("".join(pair)) == pair
+
     def fit(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Whether the tokens may follow those before them; -1 stands for the beginning and for a character without a piece."""
         key = (before.astype(np.int64) + 1) * (len(self.text) + 1) + token + 1
         own, back = np.unique(key, return_inverse=True)
-        out = np.empty(len(own), bool)
-        for k, x in enumerate(own.tolist()):
-            known = self.near.get(x)
-            if known is None:
-                a, b = x // (len(self.text) + 1) - 1, x % (len(self.text) + 1) - 1
-                if b < 0:
-                    known = True
-                elif a < 0:
-                    known = self.whole(b)
-                else:
-                    known = self.merged(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
-                self.near[x] = known
-            out[k] = known
+        at = np.searchsorted(self.pairs, own)
+        known = np.zeros(len(own), bool)
+        some = at < len(self.pairs)
+        known[some] = self.pairs[at[some]] == own[some]
+        out = np.zeros(len(own), bool)
+        out[known] = self.fits[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = [self.may_follow(x) for x in own[new].tolist()]
+            if len(self.pairs) < REMEMBERED:
+                self.pairs, self.fits = np.insert(self.pairs, at[new], own[new]), np.insert(self.fits, at[new], out[new])
+            else:
+                self.pairs, self.fits = own[new], out[new]
         return out[back]
 
     def edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, token) of every occurrence of every piece in the text of code points, in which 0 separates units."""
         letters, rank = np.unique(code, return_inverse=True)
-        n, reach = len(code), 4
+        # ranks of 16 bits while they suffice; 0 is the separator
+        kind, bits = (">u2", 16) if len(letters) < 0xFFFF else (">u4", 32)
+        n, reach, shift = len(code), 64 // bits, int(letters[0] != 0)
         padded = np.zeros(n + 64, np.uint64)
-        padded[:n] = rank.astype(np.uint64) + np.uint64(letters[0] != 0)
-        if len(letters) >= 1 << 16:
-            raise ValueError("more kinds of characters in a batch than 16 bits tell apart")
+        padded[:n] = rank.astype(np.uint64) + np.uint64(shift)
         key = np.zeros(n, np.uint64)
-        for k in range(4):
-            key = key << np.uint64(16) | padded[k : k + n]
-        order = np.argsort(key, kind="stable")
+        for k in range(reach):
+            key = key << np.uint64(bits) | padded[k : k + n]
+        order = np.argsort(key)
         while reach < self.longest:
             place = np.zeros(n + reach, np.int64)
             sorted_key = key[order]
             place[order] = np.cumsum(np.concatenate(([1], sorted_key[1:] != sorted_key[:-1])))
             key = place[:n].astype(np.uint64) * np.uint64(n + 2) + place[reach : reach + n].astype(np.uint64)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             reach *= 2
         # the beginnings of the sorted suffixes as big-endian bytes, which compare like the suffixes
         width = self.longest
-        row = padded[:, None].astype(">u2").ravel()
-        windows = np.lib.stride_tricks.sliding_window_view(row, width)
-        keys = np.ascontiguousarray(windows[order]).view(f"S{2 * width}").ravel()
-        low_of = {int(c): int(r) + int(letters[0] != 0) for r, c in enumerate(letters)}
-        able, lows, highs = [], [], []
-        for p, i in self.id_of.items():
-            codes = [low_of.get(ord(ch)) for ch in p]
-            if None not in codes:
-                able.append((len(p), i))
-                lows.append(codes + [0] * (width - len(p)))
-                highs.append(codes + [0xFFFF] * (width - len(p)))
-        if not able:
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        first = np.searchsorted(keys, np.array(lows, ">u2").view(f"S{2 * width}").ravel(), "left")
-        last = np.searchsorted(keys, np.array(highs, ">u2").view(f"S{2 * width}").ravel(), "right")
+        whole = f"S{width * bits // 8}"
+        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded.astype(kind), width)[order]).view(whole).ravel()
+        at = np.minimum(np.searchsorted(letters, self.codes), len(letters) - 1)
+        inside = np.arange(width) < self.sizes[:, None]
+        able = np.flatnonzero(((letters[at] == self.codes) | ~inside).all(1))
+        low = np.where(inside, at + shift, 0)[able].astype(kind)
+        high = np.where(inside[able], low, np.iinfo(kind).max).astype(kind)
+        first = np.searchsorted(keys, np.ascontiguousarray(low).view(whole).ravel(), "left")
+        last = np.searchsorted(keys, np.ascontiguousarray(high).view(whole).ravel(), "right")
         count = last - first
-        size, ids = np.array(able).T
-        at = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        return order[at], np.repeat(size, count), np.repeat(ids, count)
+        at = np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()) if len(able) else np.zeros(0, np.int64)
+        return order[at], np.repeat(self.sizes[able], count), np.repeat(self.ids[able], count)
 
-    def learn(self, units: list[str]) -> None:
-        """Put the tokens of new units into self.units, as bytes of 32-bit ids."""
+    def learn(self, units: list[str]) -> list[bytes]:
+        """The tokens of each unit, as bytes of 32-bit ids."""
         joined = "\0".join(units) + "\0"
         code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         sizes = np.array([len(u) for u in units])
@@ -153,22 +166,28 @@ class Encoder:
         size = np.concatenate((size, np.ones(len(bare), np.int64)))
         token = np.concatenate((token, np.full(len(bare), -1)))
         end = start + size - begin[owner[start]]
-        by_end = np.argsort(end, kind="stable")
+        by_end = np.argsort(end)
         start, size, token, end = start[by_end], size[by_end], token[by_end], end[by_end]
         last = np.full(len(code) + 1, -2, np.int64)  # of the prefix that ends before a place of the text
         last_size = np.zeros(len(code) + 1, np.int64)
         # the place begin + length stands for the prefix of that length; a unit's separator is its last place
         last[begin] = -1
-        cut = np.searchsorted(end, np.arange(1, (sizes.max(initial=0)) + 2))
+        short = sizes <= LONG
+        for u in np.flatnonzero(~short):
+            own = owner[start] == u
+            self._relax(begin[u], sizes[u], start[own], size[own], token[own], last, last_size)
+        own = short[owner[start]]
+        start, size, token, end = start[own], size[own], token[own], end[own]
+        cut = np.searchsorted(end, np.arange(1, sizes[short].max(initial=0) + 2))
         for p in range(len(cut) - 1):
             s, z, t = (x[cut[p] : cut[p + 1]] for x in (start, size, token))
             if len(s):
                 good = self.fit(last[s], t)
                 last[s[good] + z[good]] = t[good]
                 last_size[s[good] + z[good]] = z[good]
-        at, live = begin + sizes, np.flatnonzero(sizes)
+        # back from each unit's end: a step for all short units at once
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        at = at.copy()
+        at, live = begin + sizes, np.flatnonzero(short & (sizes > 0))
         while len(live):
             found.append((live, last[at[live]], at[live] - last_size[at[live]]))
             if (last_size[at[live]] == 0).any():
@@ -179,31 +198,63 @@ class Encoder:
         order = np.lexsort((where, who))
         who, what, where = who[order], what[order], where[order]
         bounds = np.searchsorted(who, np.arange(len(units) + 1))
-        plain = what.astype(np.int32)
         bare_units = set(np.unique(who[what < 0]).tolist())
-        for u, text in enumerate(units):
-            a, b = bounds[u], bounds[u + 1]
-            if u in bare_units:
-                ids = [k for w, x in zip(what[a:b], where[a:b], strict=True) for k in (self.byte_id[list(chr(code[x]).encode())] if w < 0 else [w])]
-                self.units[text] = np.array(ids, np.int32).tobytes()
-            else:
-                self.units[text] = plain[a:b].tobytes()
+        raw, cuts = what.astype(np.int32).tobytes(), (4 * bounds).tolist()
+        out = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for u in bare_units:
+            out[u] = self._bytes(what[bounds[u] : bounds[u + 1]], where[bounds[u] : bounds[u + 1]], code)
+        for u in np.flatnonzero(~short):
+            out[u] = self._bytes(*self._back(begin[u], sizes[u], last, last_size), code)
+        return out
+
+    def _relax(self, begin: int, n: int, start: np.ndarray, size: np.ndarray, token: np.ndarray, last: np.ndarray, last_size: np.ndarray) -> None:
+        """The last tokens of a long unit's prefixes, by its edges in the order of their ends."""
+        end_token, end_size = [-2] * (n + 1), [0] * (n + 1)
+        end_token[0] = -1
+        wide, known = len(self.text) + 1, {}
+        for s, z, t in zip((start - begin).tolist(), size.tolist(), token.tolist(), strict=True):
+            if end_token[s] == -2:
+                continue
+            key = (end_token[s] + 1) * wide + t + 1
+            if key not in known:
+                known[key] = self.may_follow(key)
+            if known[key]:
+                end_token[s + z], end_size[s + z] = t, z
+        last[begin : begin + n + 1], last_size[begin : begin + n + 1] = end_token, end_size
+
+    def _back(self, begin: int, n: int, last: np.ndarray, last_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, where they begin) of a long unit."""
+        tokens, steps = last[begin : begin + n + 1].tolist(), last_size[begin : begin + n + 1].tolist()
+        what, where, at = [], [], n
+        while at:
+            if not steps[at]:
+                raise AssertionError("a prefix has no token")
+            what.append(tokens[at])
+            at -= steps[at]
+            where.append(begin + at)
+        return np.array(what[::-1], np.int64), np.array(where[::-1], np.int64)
+
+    def _bytes(self, what: np.ndarray, where: np.ndarray, code: np.ndarray) -> bytes:
+        """Tokens as bytes of ids; a character without a piece becomes its UTF-8 bytes' pieces."""
+        if (what >= 0).all():
+            return what.astype(np.int32).tobytes()
+        ids = [k for w, x in zip(what.tolist(), where.tolist(), strict=True) for k in (self.byte_id[list(chr(code[x]).encode())].tolist() if w < 0 else [w])]
+        return np.array(ids, np.int32).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The tokens of each text as bytes of 32-bit ids; none for null and empty texts."""
         split = [_UNIT.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        if len(self.units) > REMEMBERED:
-            self.units.clear()
-        fresh = list(dict.fromkeys(u for s in split for u in s if u not in self.units))
+        distinct = list(dict.fromkeys(u for s in split for u in s))
+        tokens: dict[str, bytes] = {}
         i = 0
-        while i < len(fresh):
+        while i < len(distinct):
             j, n = i, 0
-            while j < len(fresh) and (n < AT_ONCE or j == i):
-                n += len(fresh[j])
+            while j < len(distinct) and (n < AT_ONCE or j == i):
+                n += len(distinct[j])
                 j += 1
-            self.learn(fresh[i:j])
+            tokens.update(zip(distinct[i:j], self.learn(distinct[i:j]), strict=True))
             i = j
-        get = self.units.__getitem__
+        get = tokens.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
@@ -243,8 +294,8 @@ def encoded(docs: DataFrame, pieces: list[tuple[str, int, float]], text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a, b in runs(batch.column(len(others)), BATCH):
+                part = batch.slice(a, b - a)
                 held = encoder.encode(part.column(len(others)).to_pylist())
                 offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in held]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(held), np.int32)))
