@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .text import Hashed, in_words, mixed, pieces, words
+from .text import Hashed, in_words, mixed, pieces, runs, words
 
 #: Labelled rows of each class that a fit sees at most; features that a model keeps at most.
 SAMPLE, VOCABULARY = 5000, 4000
@@ -55,7 +55,7 @@ def word_features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.n
 
     A word gives itself and its beginnings of four and five bytes.
     """
-    for i, j, offsets, data in pieces(pc.utf8_lower(column)):
+    for i, j, offsets, data in pieces(column, lower=True):
         begin, end, row = words(in_words(data), offsets) if len(data) else (np.zeros(0, np.int64),) * 3
         h = Hashed(data)
         parts, rows = [h.of(begin, end) ^ _SALTS[0]], [row]
@@ -121,13 +121,15 @@ def _indexed(vocabulary: np.ndarray):
 class Sparse:
     """Rows of signed features as one matrix: products with a vector, and of a row vector with it."""
 
-    def __init__(self, plus: list, minus: list | None = None) -> None:
-        minus = minus or [[]] * len(plus)
-        size = [len(a) + len(b) for a, b in zip(plus, minus, strict=True)]
+    def __init__(self, plus: list | pa.ListArray, minus: list | pa.ListArray | None = None) -> None:
+        """Lists of features with sign 1, and others of the same rows with sign -1."""
+        lists = [x if isinstance(x, pa.ListArray) else pa.array(x, pa.list_(pa.int32())) for x in (plus, minus) if x is not None]
+        sizes = [np.diff(np.asarray(x.offsets)) for x in lists]
+        cols = [x.flatten().to_numpy().astype(np.int64) for x in lists]
         self.n = len(plus)
-        self.row = np.repeat(np.arange(self.n), size)
-        self.col = np.array([k for a, b in zip(plus, minus, strict=True) for k in (*a, *b)], np.int64)
-        self.sign = np.array([s for a, b in zip(plus, minus, strict=True) for s in (*([1.0] * len(a)), *([-1.0] * len(b)))])
+        self.row = np.concatenate([np.repeat(np.arange(self.n), z) for z in sizes])
+        self.col = np.concatenate(cols)
+        self.sign = np.repeat([1.0, -1.0][: len(cols)], [len(c) for c in cols])
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.sign * w[self.col], self.n) if self.n else np.zeros(0)
@@ -179,7 +181,7 @@ class Model:
             sieve = np.zeros(1 << 20, bool)
             mask = np.uint64((1 << 20) - 1)
             sieve[(self.features & mask).astype(np.int64)] = True
-            for i, j, f, r in word_features(column):
+            for i, j, f, r in word_features(column):  # a run holds whole texts
                 some = sieve[(f & mask).astype(np.int64)]
                 f, r = f[some], r[some]
                 at = np.minimum(np.searchsorted(self.features, f), len(self.features) - 1)
@@ -192,14 +194,15 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model from the labelled documents; rows of labels to be held out are left out by the caller.
 
-    Without labelled rows of both classes the model has no features and scores 0.5 at most.
+    Without labelled rows of both classes the model has no features and scores 0.5 at most. An id that is labelled both
+    ways counts as 1, and an id with several texts teaches the first of them in order, so that no id counts twice.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y in (0, 1)")
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("_id is not null and y in (0, 1)").groupBy("_id").agg(F.max("y").alias("y"))
     turn = F.xxhash64("_id", F.lit("toxicity"))
     picked = reduce(DataFrame.unionByName, [known.where(F.col("y") == k).orderBy(turn, "_id").limit(sample) for k in (0, 1)])
     # at most 2 * sample ids: a proven bound, so a broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_id").select("text", "y")
-    rows = stored(rows, "labelled")  # the corpus is read once for the sample, however often the sample is
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_id").groupBy("_id", "y").agg(F.min("text").alias("text"))
+    rows = stored(rows.select("text", "y"), "labelled")  # the corpus is read once for the sample, however often the sample is
     total = rows.groupBy("y").count().collect()
     n = {r["y"]: r["count"] for r in total}
     pos, neg = n.get(1, 0), n.get(0, 0)
@@ -215,8 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def fitted(batch: pa.Table) -> pa.Table:
         y = batch.column("y").to_numpy().astype(float)
-        taken, brought = ([s for t in batch.column(c).to_pylist() for s in t] for c in ("taken", "brought"))
-        w, b = fit(y, Sparse(batch.column("x").to_pylist()), Sparse(brought, taken), width)
+        x, taken, brought = (batch.column(c).combine_chunks() for c in ("x", "taken", "brought"))
+        w, b = fit(y, Sparse(x), Sparse(brought.flatten(), taken.flatten()), width)
         return pa.table({"w": pa.array([w.tolist()], pa.list_(pa.float64())), "b": pa.array([b])})
 
     # at most 2 * sample rows of at most VOCABULARY small integers
@@ -256,11 +259,17 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
     return kept_by(docs, lambda column: model.scores(column) < threshold)
 
 
+#: Bytes of text that kept_by judges and hands on at a time.
+HANDED = 4 << 20
+
+
 def kept_by(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
     """docs where keep(Arrow text column) is true, in one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(keep(batch.column(batch.schema.get_field_index(text_col)))))
+            for i, j in runs(batch.column(batch.schema.get_field_index(text_col)), HANDED):
+                part = batch.slice(i, j - i)
+                yield part.filter(pa.array(keep(part.column(batch.schema.get_field_index(text_col)))))
 
     return docs.mapInArrow(run, docs.schema)
