@@ -118,7 +118,7 @@ def sketches(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
 def _sketched(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult = mixed(np.arange(101, 101 + rows, dtype=np.uint64) * _STEP) | np.uint64(1)
-        names = ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"]
+        names = ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch", "t"]
         for batch in batches:
             ids, done = batch.column(0), 0
             held: list[np.ndarray] = []
@@ -139,6 +139,7 @@ def _sketched(bands: int, rows: int):
                         pa.array(sums[:, 1].view(np.int64)),
                         pa.ListArray.from_arrays(np.arange(0, len(held) * bands + 1, bands, dtype=np.int32), pa.array(keys.view(np.int64).ravel())),
                         pa.array([x.tobytes() for x in small], pa.binary()),
+                        batch.column(2).slice(done, len(held)),
                     ],
                     names,
                 )
@@ -283,9 +284,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result. A pair at the threshold is missed with probability BAND_MISS + ESTIMATE_MISS
     at most (see `plan`), whatever the threshold.
     """
+    return _judged(docs, id_col, text_col, percent).drop("t")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """near_duplicates with t, a hash of each row's text."""
     n_bands, n_rows, least = plan(percent)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = stored(own.mapInArrow(_sketched(n_bands, n_rows), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary"), "sketches")
+    sketched = own.withColumn("t", F.xxhash64("text")).mapInArrow(_sketched(n_bands, n_rows), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary, t long")
+    sketched = stored(sketched, "sketches")
     classes = stored(
         sketched.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
@@ -300,7 +307,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     family = stored(family, "families")
     sizes = family.groupBy("component").agg(F.ceil(F.sum("n") / FAMILY_CHUNK).alias("chunks"))
     tasks = _paired(family.join(sizes, "component"), "component", "chunks", "node").select("component", "lo", "hi", F.col("node").alias("doc_id"), "f1")
-    some = own.where(sieve(family, "node")(F.col("doc_id")))  # only texts of families are shuffled
+    # only texts of families are shuffled, and a text that its id repeats goes once
+    some = own.where(sieve(family, "node")(F.col("doc_id"))).groupBy("doc_id", F.xxhash64("text").alias("_t")).agg(F.first("text").alias("text"))
     texts = tasks.join(some, "doc_id").select("component", "lo", "hi", "doc_id", "f1", "text")
     links = texts.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(_confirmed(percent), "a long, b long").distinct()
     groups = components(links)
@@ -308,20 +316,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes.select("f1", "f2", "rep").join(groups, F.col("rep") == F.col("node"), "left")
         .select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "rep").alias("class_id"))
     )
-    found = sketched.select("doc_id", "n_shingles", "f1", "f2").join(of_class, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
+    found = sketched.select("doc_id", "n_shingles", "f1", "f2", "t").join(of_class, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
     group = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
     group = F.when(F.col("doc_id").isNotNull(), group)
-    return found.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(False)).alias("kept"))
+    return found.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(False)).alias("kept"), "t")
 
 
 def first_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group: one of its smallest doc_id. Rows without an id all stay.
 
-    Only documents that go, or whose id is repeated, and those few that the sieve takes for them are shuffled.
+    An id that comes with several texts keeps one row of each of those that are kept. Null and blank texts are groups of
+    their own and stay. An empty table gives an empty result, and all columns stay as they are. Only documents that go, or
+    whose id is repeated, and those few that the sieve takes for them are shuffled.
     """
-    ident, stays = free(docs, "judged_id"), free(docs, "judged_kept")
-    found = near_duplicates(docs, id_col, text_col, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    found = stored(found.where("n > 1 or not kept").select(F.col("doc_id").alias(ident), F.col("kept").alias(stays)), "judged")
+    ident, mark, stays = free(docs, "judged_id"), free(docs, "judged_text"), free(docs, "judged_kept")
+    found = _judged(docs, id_col, text_col, percent).where("doc_id is not null").groupBy("doc_id", "t").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    found = stored(found.where("n > 1 or not kept").select(F.col("doc_id").alias(ident), F.col("t").alias(mark), F.col("kept").alias(stays)), "judged")
     maybe = F.col(id_col).isNotNull() & sieve(found, ident)(F.col(id_col).cast("long"))
-    doubtful = docs.where(maybe).join(found, F.col(id_col) == F.col(ident), "left").where(F.coalesce(F.col(stays), F.lit(True))).drop(ident, stays)
-    return docs.where(~maybe).unionByName(doubtful.dropDuplicates([id_col]))
+    text = free(docs, "judged_hash")
+    doubtful = docs.where(maybe).withColumn(text, F.xxhash64(text_col)).join(found, (F.col(id_col) == F.col(ident)) & (F.col(text) == F.col(mark)), "left")
+    doubtful = doubtful.where(F.coalesce(F.col(stays), F.lit(True))).dropDuplicates([id_col, text]).drop(ident, mark, stays, text)
+    return docs.where(~maybe).unionByName(doubtful)
