@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .minhash import starts, whole_groups
 from .shared import components, stored
 
-CHUNK, TILE, BLOCKS, LENGTHS = 4096, 512, 4, 10_000
+CHUNK, TILE, BLOCKS, LENGTHS = 8192, 512, 4, 10_000
 
 
 def usable(v: Column) -> Column:
@@ -45,7 +45,7 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def linked_pairs(x: np.ndarray, y: np.ndarray | None, least: float, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row of x, row of y) with cosine >= least; with no y, pairs i < j of x. Rows are unit vectors in double."""
+    """(row of x, row of y) with cosine >= least, of one tile after the other; with no y, pairs i < j of x. Rows are unit vectors in double."""
     same = y is None
     y = x if same else y
     d = x.shape[1]
@@ -57,24 +57,22 @@ def linked_pairs(x: np.ndarray, y: np.ndarray | None, least: float, blocks: int)
     ox, oy = np.argsort(xr[:, 0], kind="stable"), np.argsort(yr[:, 0], kind="stable")
     xs, ys = xr[ox].astype(np.float32), yr[oy].astype(np.float32)
     lo, hi = ([f.reduceat(ys, np.arange(0, len(ys), TILE), axis=0) for f in (np.minimum, np.maximum)] if len(ys) else (ys, ys))
-    sq = [((xs[:, a:b] ** 2).sum(1), (ys[:, a:b] ** 2).sum(1)) for a, b, _ in spans]
+    # a block's squared distance is one product: (-2 x, |x|^2, 1) times (y, 1, |y|^2)
+    size = lambda v, a, b: (v[:, a:b] ** 2).sum(1, keepdims=True)
+    left = [np.hstack((-2 * xs[:, a:b], size(xs, a, b), np.ones((len(xs), 1), np.float32))) for a, b, _ in spans]
+    right = [np.ascontiguousarray(np.hstack((ys[:, a:b], np.ones((len(ys), 1), np.float32), size(ys, a, b))).T) for a, b, _ in spans]
     for i in range(0, len(xs), TILE):
         t = xs[i : i + TILE]
         tl, th = t.min(0), t.max(0)
-        for k, j in enumerate(range(i if same else 0, len(ys), TILE)):
+        for j in range(i if same else 0, len(ys), TILE):
             k = j // TILE
-            u = ys[j : j + TILE]
             gap = np.maximum(0, np.maximum(tl - hi[k], lo[k] - th)) ** 2
             found = None
-            for (a, b, most), (sx, sy) in zip(spans, sq, strict=True):
+            for (a, b, most), p, q in zip(spans, left, right, strict=True):
                 if gap[a:b].sum() > most:
                     continue
-                far = t[:, a:b] @ u[:, a:b].T
-                far *= -2
-                far += sx[i : i + TILE, None]
-                far += sy[None, j : j + TILE]
-                hit = far <= most * 1.001 + 1e-5
-                found = hit if found is None else found | hit
+                near = p[i : i + TILE] @ q[:, j : j + TILE] <= most * 1.001 + 1e-5
+                found = near if found is None else np.logical_or(found, near, out=found)
             if found is None:
                 continue
             p, q = np.nonzero(found)
@@ -91,20 +89,15 @@ def linked_pairs(x: np.ndarray, y: np.ndarray | None, least: float, blocks: int)
                     yield a[sure], b[sure]
 
 
-def _roots(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest row that each row reaches."""
-    root = np.arange(n)
-    if pairs:
-        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        while True:
-            low = np.minimum(root[a], root[b])
-            was = root.copy()
-            np.minimum.at(root, a, low)
-            np.minimum.at(root, b, low)
-            root = root[root]
-            if (root == was).all():
-                return root
-    return root
+def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give all rows that the pairs link, also by way of earlier pairs, their smallest row as root."""
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root[:] = root[root]
 
 
 def _joined(least: float, blocks: int):
@@ -122,20 +115,19 @@ def _joined(least: float, blocks: int):
                 order = np.argsort(own, kind="stable")  # then the smallest row has the smallest id
                 v, own, m, low = v[order], own[order], m[order], (mine[a:b] == lo[a])[order]
                 first, second = np.flatnonzero(low), np.flatnonzero(~low)
-                found = []
-                if len(first) and len(second):
-                    found += [(first[p], second[q]) for p, q in linked_pairs(v[first], v[second], least, blocks)]
+                met = [(first, second)] if len(first) and len(second) else []
                 # a chunk's own pairs belong to its task with the next chunk, the last one's to that before
-                if hi[a] - lo[a] <= 1 and len(first):
-                    found += [(first[p], first[q]) for p, q in linked_pairs(v[first], None, least, blocks)]
-                if hi[a] == last[a] and lo[a] + 1 == hi[a] and len(second):
-                    found += [(second[p], second[q]) for p, q in linked_pairs(v[second], None, least, blocks)]
-                if found:
-                    n = np.zeros(len(own), np.int64)
-                    for p, q in found:
-                        np.add.at(n, p, m[q])
-                        np.add.at(n, q, m[p])
-                    root, some = _roots(len(own), found), np.flatnonzero(n)
+                met += [(first, None)] if hi[a] - lo[a] <= 1 and len(first) else []
+                met += [(second, None)] if hi[a] == last[a] and lo[a] + 1 == hi[a] and len(second) else []
+                n, root = np.zeros(len(own), np.int64), np.arange(len(own))
+                for x, y in met:
+                    for p, q in linked_pairs(v[x], None if y is None else v[y], least, blocks):
+                        # pairs are counted and united as they are found, and never held
+                        p, q = x[p], (x if y is None else y)[q]
+                        n += np.bincount(p, m[q], len(n)).astype(np.int64) + np.bincount(q, m[p], len(n)).astype(np.int64)
+                        _united(root, p, q)
+                some = np.flatnonzero(n)
+                if len(some):
                     yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(own[root[some]]), pa.array(n[some])], ["a", "b", "n"])
 
     return run
