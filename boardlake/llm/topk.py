@@ -7,11 +7,13 @@ the most significant slice downward. The sum leaves out the `COARSE` lowest slic
 score by a known amount at most; rows within that of the k-th are the boundary, and their scores
 are resolved exactly from all slices.
 
-Queries go in batches against all blocks; a block returns k rows a query.
+Lists of `BATCH` queries go to the blocks, a list and a block to a task; a block returns k rows a query. Components of any finite
+size are summed exactly: where they leave 64 bits no room, slices and scores are Python integers.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +25,19 @@ from pyspark.sql import functions as F
 from .embedding_dedup import usable
 from .shared import stored
 
-ROWS, BATCH, COARSE = 16384, 256, 2
-#: Components beyond this do not fit the integer scores; see top_k.
-LARGEST = 2.0**18
+ROWS, BATCH, COARSE = 16384, 2048, 2
+#: Quantised components beyond this are Python integers, for whose products and sums 64 bits may be too few.
+WIDE = 1 << 24
+#: What a score of 64 bits can say.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(v: np.ndarray) -> np.ndarray:
-    """floor(256 * x), x as double."""
-    return np.floor(v.astype(np.float64) * 256).astype(np.int64)
+    """floor(256 * x), x as double: 64-bit integers, or Python integers if one is WIDE."""
+    whole = np.floor(v.astype(np.float64) * 256)
+    if np.abs(whole).max(initial=0) < WIDE:
+        return whole.astype(np.int64)
+    return np.array([int(x) for x in whole.ravel()], object).reshape(whole.shape)
 
 
 def packed(flags: np.ndarray) -> np.ndarray:
@@ -54,19 +61,19 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = v.min(0)
         u = v - low
         bits = max(1, int(u.max()).bit_length())
-        slices = packed(((u.T[:, None, :] >> np.arange(bits)[None, :, None]) & 1).astype(bool))
+        slices = np.stack([packed(np.ascontiguousarray(((u >> b) & 1).T, bool)) for b in range(bits)], 1)
         seq += 1
-        cols = [pa.array([(task << 24) | seq]), pa.array([d], pa.int32()), pa.array([bits], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([low.tobytes()], pa.binary()), pa.array([slices.tobytes()], pa.binary())]
+        cols = [pa.array([(task << 24) | seq]), pa.array([d], pa.int32()), pa.array([bits], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([json.dumps(low.tolist())]), pa.array([slices.tobytes()], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, ["block", "dim", "bits", "ids", "low", "slices"])
 
     for batch in batches:
         dims = batch.column(2).to_numpy()
         for d in np.unique(dims):
             part = batch.filter(pa.array(dims == d))
-            v = quantised(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
+            v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             ids = part.column(0).to_numpy()
             for i in range(0, len(ids), ROWS):
-                held.setdefault(int(d), []).append((ids[i : i + ROWS], v[i : i + ROWS]))
+                held.setdefault(int(d), []).append((ids[i : i + ROWS], quantised(v[i : i + ROWS])))
                 if sum(len(x[0]) for x in held[int(d)]) >= ROWS:
                     yield block(int(d))
     for d in sorted(held):
@@ -113,7 +120,7 @@ class Block:
         n = int(np.bitwise_count(able).sum())
         if n > k:
             coarse = min(coarse, self.slices.shape[1] - 1)
-            weight = np.abs(q)
+            weight = np.abs(q)  # also of Python integers
             upper = np.where((q < 0)[:, None, None], ~self.slices[:, coarse:], self.slices[:, coarse:])
             sums = self.added(upper, weight)
             rest, need, at = able, k, 0
@@ -135,10 +142,15 @@ class Block:
             able = more | equal
         rows = set_places(able)
         bit = (self.slices[:, :, rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
-        v = (bit.astype(np.int64) << np.arange(self.slices.shape[1])[None, :, None]).sum(1) + self.low[:, None]
-        score = q @ v
-        best = np.lexsort((self.ids[rows], -score))[:k]
-        return self.ids[rows[best]], score[best]
+        if q.dtype == self.low.dtype == np.int64 and self.slices.shape[1] <= WIDE.bit_length():
+            v = (bit.astype(np.int64) << np.arange(self.slices.shape[1])[None, :, None]).sum(1) + self.low[:, None]
+            score = q @ v
+            best = np.lexsort((self.ids[rows], -score))[:k]
+            return self.ids[rows[best]], score[best]
+        exact = self.low.astype(object)[:, None] + sum(bit[:, b].astype(object) << b for b in range(self.slices.shape[1]))
+        score = [sum(x * y for x, y in zip(q.tolist(), exact[:, r].tolist(), strict=True)) for r in range(len(rows))]
+        best = sorted(range(len(rows)), key=lambda r: (-score[r], self.ids[rows[r]]))[:k]
+        return self.ids[rows[best]], np.array([score[r] for r in best], object)
 
 
 def _searched(k: int):
@@ -146,20 +158,35 @@ def _searched(k: int):
         for batch in batches:
             for r in range(batch.num_rows):
                 d, bits = batch.column("dim")[r].as_py(), batch.column("bits")[r].as_py()
-                raw = {c: batch.column(c)[r].as_buffer() for c in ("ids", "low", "slices")}
-                block = Block(np.frombuffer(raw["ids"], np.int64), np.frombuffer(raw["low"], np.int64), np.frombuffer(raw["slices"], np.uint64).reshape(d, bits, -1))
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for q in batch.column("queries")[r].as_py():
-                    ids, score = block.search(q["vec_id"], quantised(np.array(q["embedding"])), k)
-                    out.append((np.full(len(ids), q["vec_id"]), ids, score))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                raw = {c: batch.column(c)[r].as_buffer() for c in ("ids", "slices")}
+                low = json.loads(batch.column("low")[r].as_py())
+                low = np.array(low, np.int64 if max(map(abs, low), default=0) < WIDE else object)
+                block = Block(np.frombuffer(raw["ids"], np.int64), low, np.frombuffer(raw["slices"], np.uint64).reshape(d, bits, -1))
+                asked = batch.column("queries")[r].values
+                v = asked.field("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                out: list[tuple[int, int, int]] = []
+                for query, x in zip(asked.field("vec_id").to_pylist(), v, strict=True):
+                    ids, score = block.search(query, quantised(x), k)
+                    out += [(query, i, s) for i, s in zip(ids.tolist(), score.tolist(), strict=True)]
+                who, what, score = zip(*out, strict=True) if out else ((), (), ())
+                # the order of scores that no long holds is that of their digits' number and of the digits
+                yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(what, pa.int64()), pa.array([min(max(s, LEAST), MOST) for s in score], pa.int64()), pa.array([sortable(s) for s in score], pa.string())], ["query_id", "vec_id", "score", "exact"])
 
     return run
 
 
+def sortable(score: int) -> str | None:
+    """A text that orders scores beyond 64 bits among each other; null for all others."""
+    if LEAST < score < MOST:
+        return None
+    digits = str(abs(score))
+    key = f"{len(digits):04d}{digits}"
+    return key if score > 0 else "".join(str(9 - int(c)) for c in key)
+
+
 def index(vectors: DataFrame) -> DataFrame:
     """The index of (vec_id, embedding, dim): a row for each block of at most 2 * ROWS rows of one length; no shuffle."""
-    return vectors.mapInArrow(_indexed, "block long, dim int, bits int, ids binary, low binary, slices binary")
+    return vectors.mapInArrow(_indexed, "block long, dim int, bits int, ids binary, low string, slices binary")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -168,23 +195,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     Candidates are all rows but those with the query's id; ties go to the smaller vec_id. Vectors that are
     null, empty, or hold null or non-finite components take no part, as do rows without an id; zero
     vectors do. Only vectors of the query's length are candidates. Repeated rows are candidates of
-    their own; a query id is asked once, with the smallest of its vectors. Integer scores need components
-    below 2**18 in size; a larger one fails the job rather than wrap around. An empty table gives an empty result.
+    their own; a query id is asked once, with the smallest of its vectors. Components may have any finite size: ranks follow
+    the exact scores, and a score beyond 64 bits is given as the nearest long. An empty table gives an empty result.
     """
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"), is_query.alias("q"))
     zero = F.coalesce(F.forall("embedding", lambda x: x == 0), F.lit(False)) & (F.size("embedding") > 0)
     fine = own.where(F.col("vec_id").isNotNull() & (usable(F.col("embedding")) | zero))
-    large = F.exists("embedding", lambda x: F.abs(x) >= LARGEST)
-    fine = fine.withColumn("dim", F.when(large, F.raise_error(F.lit("a component is too large for integer scores"))).otherwise(F.size("embedding")).cast("int"))
+    fine = fine.withColumn("dim", F.size("embedding"))
     blocks = stored(index(fine.select("vec_id", "embedding", "dim")), "slices")
     asked = stored(fine.where("q").groupBy("vec_id", "dim").agg(F.min("embedding").alias("embedding")), "queries")
     batches = max(1, -(-asked.count() // BATCH))
     group = F.pmod(F.xxhash64("vec_id"), F.lit(batches)).cast("int")
-    # about BATCH queries in a list
+    # about BATCH queries in a list, half as many bytes as a block's slices: either is moved once for so many of the other
     lists = asked.groupBy(F.col("dim").alias("_d"), group.alias("_b")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
     pairs = blocks.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
     met = pairs.join(lists, (F.col("dim") == F.col("_d")) & (F.col("batch") == F.col("_b"))).select("block", "batch", "dim", "bits", "ids", "low", "slices", "queries")
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = met.repartition(tasks, "block", "batch").mapInArrow(_searched(k), "query_id long, vec_id long, score long")
-    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = met.repartition(tasks, "block", "batch").mapInArrow(_searched(k), "query_id long, vec_id long, score long, exact string")
+    high, low = F.col("score") == MOST, F.col("score") == LEAST
+    beyond = [F.when(high, F.col("exact")).desc_nulls_last(), F.when(low, F.col("exact")).desc_nulls_last()]
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *beyond, "vec_id"))
     return found.withColumn("rank", at).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
