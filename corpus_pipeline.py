@@ -1,4 +1,10 @@
-"""The corpus pipeline: toxicity, language ID, MinHash near-dedup, packing."""
+"""The corpus pipeline: toxicity, language ID, MinHash near-dedup, packing.
+
+Every stage keeps the columns of documents but the last, whatever further ones docs has, and takes nulls in any of them,
+empty tables, repeated rows and texts of any length: a null or empty text has no toxic word and stays in the first stage,
+has no letter and goes in the second; rows without an id are judged by their text alone and are never merged; a repeated row
+stays once after near-dedup; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
