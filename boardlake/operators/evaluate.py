@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import exact
+
 LEAST, LOW_PERCENT, HIGH_PERCENT, WIDEST = 5, 15, 85, 1.5
 
 
@@ -24,25 +26,36 @@ def band(values: Column) -> Column:
     return F.struct(quantile_exclusive(values, LOW_PERCENT).alias("low"), quantile_exclusive(values, HIGH_PERCENT).alias("high"))
 
 
-def cells(rows: DataFrame, levels: list[tuple[str, list[str]]], pay: str, least: int = LEAST) -> DataFrame:
-    """(level, key, n, pays): for each level of a chain its keys with enough rows and their sorted pays. A key with an empty part is none."""
-    found = []
+def cells(rows: DataFrame, levels: list[tuple[str, list[str]]], pay: str, least: int = LEAST, by: tuple[str, ...] = ()) -> DataFrame:
+    """(level, key, n, least, most, low, high): for each level of a chain its keys with enough rows, their bounds and their band.
+
+    A key with an empty part is none. The band is that of `band`, from the values at its four positions. by: further columns
+    whose values have cells of their own, which come first.
+    """
+    keyed = []
     for name, keys in levels:
         whole = reduce(Column.__and__, [F.col(k).isNotNull() & (F.col(k).cast("string") != "") for k in keys], F.lit(True))
-        key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-        grouped = rows.where(whole & F.col(pay).isNotNull()).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(pay)).alias("pays"))
-        found.append(grouped.where(F.col("n") >= least).select(F.lit(name).alias("level"), "key", "n", "pays"))
-    return reduce(DataFrame.unionByName, found)
-
-
-def predict(rows: DataFrame, model: DataFrame, levels: list[tuple[str, list[str]]], widest: float = WIDEST) -> DataFrame:
-    """rows with level, low, high of the first level whose cell is not too wide."""
-    model = model.withColumn("b", band(F.col("pays"))).select("level", "key", F.col("b.low").alias("low"), F.col("b.high").alias("high"))
+        keyed.append(F.when(whole, F.struct(F.lit(name).alias("level"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"))))
+    each = rows.select(*by, F.explode(F.array_compact(F.array(*keyed))).alias("x"), F.col(pay).alias("pay")).select(*by, "x.level", "x.key", "pay")
+    known = exact.cumulative(each, [*by, "level", "key"], "pay").where(F.col("n") >= least)
+    n, sides = F.col("n"), []
+    for percent in (LOW_PERCENT, HIGH_PERCENT):
+        j = F.greatest(F.least(F.floor(F.lit(percent) * (n + 1) / 100), n - 1), F.lit(1))
+        sides += [exact.at(j - 1, "pay"), exact.at(j, "pay"), F.max(F.lit(percent) * (n + 1) - j * 100)]
+    names = [f"{x}{s}" for s in ("_low", "_high") for x in ("a", "b", "d")]
+    found = known.groupBy(*by, "level", "key").agg(F.max("n").alias("n"), F.min("pay").alias("least"), F.max("pay").alias("most"), *[c.alias(x) for c, x in zip(sides, names, strict=True)])
+    edge = lambda s: F.when(F.col("n") >= 2, (F.col(f"a{s}") * (100 - F.col(f"d{s}")) + F.col(f"b{s}") * F.col(f"d{s}")) / 100.0)
+    return found.select(*by, "level", "key", "n", "least", "most", edge("_low").alias("low"), edge("_high").alias("high"))
+
+
+def predict(rows: DataFrame, model: DataFrame, levels: list[tuple[str, list[str]]], widest: float = WIDEST, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with level, low, high of the first level whose cell is not too wide; by as in `cells`."""
     model = model.where((F.col("high") - F.col("low")) / ((F.col("high") + F.col("low")) / 2) <= widest)
     out, answers = rows, []
     for i, (name, keys) in enumerate(levels):
-        own = model.where(F.col("level") == name).select(F.col("key").alias(f"_k{i}"), F.struct(F.lit(name).alias("level"), "low", "high").alias(f"_a{i}"))
-        out = out.join(own, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
+        own = model.where(F.col("level") == name).select(*[F.col(c).alias(f"_{c}{i}") for c in by], F.col("key").alias(f"_k{i}"), F.struct(F.lit(name).alias("level"), "low", "high").alias(f"_a{i}"))
+        on = [F.col(c) == F.col(f"_{c}{i}") for c in by]
+        out = out.join(own, reduce(Column.__and__, on, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) == F.col(f"_k{i}")), "left").drop(f"_k{i}", *[f"_{c}{i}" for c in by])
         answers.append(F.col(f"_a{i}"))
     return out.withColumn("_a", F.coalesce(*answers)).select(*rows.columns, "_a.level", "_a.low", "_a.high")
 
@@ -50,30 +63,42 @@ def predict(rows: DataFrame, model: DataFrame, levels: list[tuple[str, list[str]
 def leave_one_out(rows: DataFrame, key: str, pay: str, least: int = LEAST) -> DataFrame:
     """(covered, error, flat_error): the median error of the median of a key's other pays, and of one median of all covered rows.
 
-    Leaving one out drops every equal pay of the key; a key with one pay only keeps it.
+    Leaving one out drops every equal pay of the key; a key with one pay only keeps it. The others' median is at two places of
+    the key's order, shifted by the pay's own rows where it stands before them; a key needs few different places, as many as
+    its pays have different counts, so they are a small map for each key.
     """
-    groups = rows.where(F.col(key).isNotNull() & F.col(pay).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(pay)).alias("v")).where(F.size("v") >= least)
-    each = groups.select("v", F.explode("v").alias("p"))
-    others = F.filter("v", lambda x: x != F.col("p"))
-    rest = F.when(F.size(others) > 0, others).otherwise(F.col("v"))
-    n = F.size(rest)
-    mid = (F.get(rest, F.floor((n - 1) / 2).cast("int")) + F.get(rest, F.floor(n / 2).cast("int"))) / 2
-    scored = each.select("p", (F.abs(mid - F.col("p")) / F.col("p")).alias("e"))
-    flat = scored.agg(F.median("p").alias("m"))
-    return scored.join(F.broadcast(flat)).agg(F.count(F.lit(1)).alias("covered"), F.median("e").alias("error"), F.median(F.abs(F.col("m") - F.col("p")) / F.col("p")).alias("flat_error"))
+    known = exact.cumulative(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(pay).alias("p")), ["k"], "p").where(F.col("n") >= least)
+    rest = F.when(F.col("n") > F.col("c"), F.col("n") - F.col("c")).otherwise(F.col("n"))
+    place = lambda q: F.when((F.col("n") == F.col("c")) | (q < F.col("before")), q).otherwise(q + F.col("c"))
+    known = known.withColumn("x", place(F.floor((rest - 1) / 2))).withColumn("y", place(F.floor(rest / 2))).persist()
+    places = known.select("k", F.explode(F.array("x", "y")).alias("q")).distinct().groupBy("k").agg(F.collect_list("q").alias("places"))
+    hit = known.join(places, "k").select("k", F.explode(F.filter("places", lambda q: (F.col("before") <= q) & (q < F.col("before") + F.col("c")))).alias("q"), "p")
+    value_at = hit.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("q", "p"))).alias("at"))
+    scored = known.join(value_at, "k").select("p", "c", (F.abs((F.col("at")[F.col("x")] + F.col("at")[F.col("y")]) / 2 - F.col("p")) / F.col("p")).alias("e")).persist()
+    flat = exact.middle(scored, F.col("p"), F.col("c"))
+    error, flat_error = (exact.middle(scored, e, F.col("c")) for e in (F.col("e"), F.abs(F.lit(flat).cast("double") - F.col("p")) / F.col("p")))
+    covered = scored.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    scored.unpersist()
+    known.unpersist()
+    return rows.sparkSession.createDataFrame([(covered, error, flat_error)], "covered long, error double, flat_error double")
+
+
+def fold(key: Column, folds: int) -> Column:
+    """Which of the folds a key belongs to, by its md5."""
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(folds))
 
 
 def backtest(rows: DataFrame, levels: list[tuple[str, list[str]]], pay: str, key: str, folds: int = 5) -> DataFrame:
     """(rows, coverage, error, hit_rate, width) over folds by a hash of the key; each fold is predicted by the others."""
-    dealt = rows.withColumn("_fold", F.pmod(F.xxhash64(key), F.lit(folds)))
-    told = [predict(dealt.where(F.col("_fold") == i), cells(dealt.where(F.col("_fold") != i), levels, pay), levels) for i in range(folds)]
-    both = reduce(DataFrame.unionByName, told)
-    mid = (F.col("low") + F.col("high")) / 2
-    some = F.col("low").isNotNull()
-    return both.agg(
-        F.count(F.lit(1)).alias("rows"), (F.count_if(some) / F.count(F.lit(1))).alias("coverage"), F.median(F.abs(mid - F.col(pay)) / F.col(pay)).alias("error"),
-        F.avg(F.when(some, F.col(pay).between(F.col("low"), F.col("high")).cast("double"))).alias("hit_rate"), F.median((F.col("high") - F.col("low")) / mid).alias("width"),
-    )
+    dealt = rows.withColumn("_fold", fold(F.col(key), folds))
+    others = F.filter(F.array(*[F.lit(f).cast("long") for f in range(folds)]), lambda f: f != F.col("_fold"))
+    model = cells(dealt.withColumn("_fold", F.explode(others)), levels, pay, by=("_fold",))
+    both = predict(dealt, model, levels, by=("_fold",)).select(F.col(pay).alias("pay"), "low", "high").persist()
+    mid, some = (F.col("low") + F.col("high")) / 2, F.col("low").isNotNull()
+    error, width = exact.middle(both, F.abs(mid - F.col("pay")) / F.col("pay")), exact.middle(both, (F.col("high") - F.col("low")) / mid)
+    n, covered, hit = both.agg(F.count(F.lit(1)), F.count_if(some), F.avg(F.when(some, F.col("pay").between(F.col("low"), F.col("high")).cast("double")))).first()
+    both.unpersist()
+    return rows.sparkSession.createDataFrame([(n, covered / n if n else None, error, hit, width)], "rows long, coverage double, error double, hit_rate double, width double")
 
 
 def confusion(rows: DataFrame, truth: Column, verdict: Column, unknown: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import exact
 from .predicates import compile_filters, flag
 
 LIMIT, COUNTRIES, TREE_COUNTRIES, TREE_CITIES, COMPANIES, COMPANY_HITS = 60, 60, 40, 25, 500, 50
@@ -32,7 +33,8 @@ def place_tree(rows: DataFrame, countries: int = TREE_COUNTRIES, cities: int = T
 def pay_bounds(rows: DataFrame, low: str = "salary_min_ils", high: str = "salary_max_ils") -> DataFrame:
     """Least and greatest pay, how many state one, the exact median of the midpoints."""
     known = F.col(low).isNotNull() & F.col(high).isNotNull()
-    return rows.agg(F.min(low).alias("low"), F.max(high).alias("high"), F.count_if(known).alias("known"), F.median(F.when(known, (F.col(low) + F.col(high)) / 2)).alias("median"))
+    median = F.lit(exact.middle(rows, F.when(known, (F.col(low) + F.col(high)) / 2))).cast("double")
+    return rows.agg(F.min(low).alias("low"), F.max(high).alias("high"), F.count_if(known).alias("known"), F.first(median).alias("median"))
 
 
 def compute(jobs: DataFrame, params: dict, as_of: datetime) -> dict[str, DataFrame]:

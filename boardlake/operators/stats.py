@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.dates import days_between
+from . import exact
 from .predicates import fresh
 
 DORMANT_DAYS, SERIES_DAYS = 60, 14
@@ -29,9 +30,10 @@ def within(column: str, as_of: datetime, **span: float) -> Column:
 
 
 def scoped(rows: DataFrame, as_of: datetime) -> DataFrame:
-    """One row in one pass: total, companies, median and greatest age, added and closed in a day and a week."""
+    """One row: total, companies, median and greatest age, added and closed in a day and a week."""
+    median = F.lit(exact.middle(rows, age(as_of))).cast("double")
     return rows.agg(
-        F.count(F.lit(1)).alias("total"), F.count_distinct("company_domain").alias("companies"), F.median(age(as_of)).alias("median_age"), F.max(age(as_of)).alias("oldest"),
+        F.count(F.lit(1)).alias("total"), F.count_distinct("company_domain").alias("companies"), F.first(median).alias("median_age"), F.max(age(as_of)).alias("oldest"),
         F.count_if(within("first_seen", as_of, hours=24)).alias("added_24h"), F.count_if(within("first_seen", as_of, days=7)).alias("added_7d"),
         F.count_if(within("closed_at", as_of, hours=24)).alias("closed_24h"), F.count_if(within("closed_at", as_of, days=7)).alias("closed_7d"),
     )
@@ -55,7 +57,7 @@ def totals(rows: DataFrame) -> DataFrame:
 def ages(rows: DataFrame, as_of: datetime) -> DataFrame:
     """Mean, median and greatest age of rows with a date."""
     a = age(as_of)
-    return rows.agg(F.avg(a).alias("mean"), F.median(a).alias("median"), F.max(a).alias("oldest"))
+    return rows.agg(F.avg(a).alias("mean"), F.first(F.lit(exact.middle(rows, a)).cast("double")).alias("median"), F.max(a).alias("oldest"))
 
 
 def dormant(rows: DataFrame, as_of: datetime) -> DataFrame:
