@@ -12,7 +12,7 @@ from ..functions.text import token_shaped
 # Boards whose dates are approximations, so that the first one seen stays.
 FROZEN_DATES = ["workday", "comeet", "checkpoint"]
 TAKE_NEW = ["title", "location", "department", "url", "seniority", "workplace_type", "country", "city"]
-KEEP_OLD_WHEN_EMPTY = ["description", "description_chars", "description_sha", "skills"]
+KEEP_OLD_WHEN_EMPTY = ["description", "description_sha", "skills"]
 SALARY = ["salary_text", "salary_is_estimate", "salary_source"]
 RESET_ON_RETITLE = ["role_class", "category"]
 
@@ -32,13 +32,16 @@ def empty(c: Column, kind: str) -> Column:
 
 
 def salary_branch(t, n) -> Column:
-    """Which rule decides a listing's pay, once for all its columns: new or old."""
-    disclosed = n("salary_source") == "disclosed"
-    described = n("salary_text").isNotNull() & n("description").isNotNull()
-    better = (n("salary_source") == "estimated") & (t("salary_source") == "table")
-    fill = t("salary_text").isNull()
-    withdraw = n("salary_text").isNull() & n("description").isNotNull() & (t("salary_source") != "disclosed")
-    return F.when(disclosed | described | better | fill, "new").when(withdraw, "none").otherwise("old")
+    """Which rule decides a listing's pay, once for all its columns: new, none (withdrawn) or old.
+
+    A disclosed figure counts always; an estimate with the listing's text at hand, one by the learned cells over any stored
+    estimate, or the first figure at all. A stored estimate that a read with text no longer yields is withdrawn.
+    """
+    has = lambda c: c.isNotNull() & (c != "")
+    guessed = lambda side: F.coalesce(side("salary_is_estimate").cast("boolean"), side("salary_source") != "disclosed", F.lit(False))
+    stated, described = has(n("salary_text")), has(n("description"))
+    takes = (stated & (~guessed(n) | described)) | (F.coalesce(n("salary_source") == "estimated", F.lit(False)) & guessed(t)) | (t("salary_text").isNull() & stated)
+    return F.when(takes, "new").when(~stated & described & guessed(t), "none").otherwise("old")
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, run: datetime, key: str = "id") -> DataFrame:
@@ -65,12 +68,17 @@ def upsert(stored: DataFrame, incoming: DataFrame, run: datetime, key: str = "id
             value = F.when(new, F.lit(None)).otherwise(t(c))
         elif c == "posted_at":
             keep = old & n("ats").isin(FROZEN_DATES) & t(c).isNotNull() if "ats" in kind else F.lit(False)
+            if "ats" in kind:  # its dates move with every touch, so the first sight is the best that is known
+                mine = F.when(~old & (n("ats") == "comeet"), F.lit(run)).otherwise(mine)
             value = F.when(new & ~keep, mine).otherwise(t(c))
+        elif c == "description_chars":
+            value = F.when(new & ~(old & ~F.coalesce(mine > 0, F.lit(False))), mine).otherwise(t(c))
         elif c in KEEP_OLD_WHEN_EMPTY:
             whole = "description" if c.startswith("description") else c
             value = F.when(new & ~(old & empty(n(whole) if whole in incoming.columns else F.lit(None), kind.get(whole, "string"))), mine).otherwise(t(c))
         elif c in SALARY and branch is not None:
-            value = F.when(~new, t(c)).when(~old, mine).when(branch == "new", mine).when(branch == "none", F.lit(None)).otherwise(t(c))
+            gone = F.lit(False) if c == "salary_is_estimate" else F.lit(None)
+            value = F.when(~new, t(c)).when(~old, mine).when(branch == "new", mine).when(branch == "none", gone).otherwise(t(c))
         elif c in RESET_ON_RETITLE:
             value = F.when(old & new & retitled, F.lit(None)).when(old, t(c)).otherwise(mine)
         else:
