@@ -11,61 +11,189 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.taxonomy import LEVEL_CODES, WORKPLACE_CODES, coded
+from ..functions.text import clean_text, unescaped
 
 POSTING = ["domain", "ats", "token", "external_id", "title", "location", "url", "posted_at", "department", "description", "seniority", "workplace_type", "salary_text", "complete"]
 
 
+#: A field of an item: JSON paths that are tried in order, or a rule that makes the value from the item.
+Field = tuple[str, ...] | Callable[[Column], Column]
+
+
 @dataclass
 class Spec:
-    """JSON paths of a kind's fields; several paths of a field are tried in order. items: the list's path, '' for a bare list."""
-
-    items: str
-    id: tuple[str, ...]
-    title: tuple[str, ...]
-    location: tuple[str, ...] = ()
-    url: tuple[str, ...] = ()
-    posted: tuple[str, ...] = ()
-    department: tuple[str, ...] = ()
-    description: tuple[str, ...] = ()
-    workplace: tuple[str, ...] = ()
-    level: tuple[str, ...] = ()
-    salary: tuple[str, ...] = ()
+    """Where a kind keeps its fields. items: the list's path, '' for a bare list, or a rule that finds the list in a payload."""
+
+    items: str | Callable[[Column], Column]
+    id: Field
+    title: Field
+    location: Field = ()
+    url: Field = ()
+    posted: Field = ()
+    department: Field = ()
+    description: Field = ()
+    workplace: Field = ()
+    level: Field = ()
+    salary: Field = ()
     date: Callable[[Column], Column] = dates.normalized
     where: str | None = None
     cap: int | None = None
-    base_url: str = ""
     flags: tuple[tuple[str, str], ...] = field(default=())
+    demo: tuple[str, ...] = ()
+
+
+def value(x: Column, path: str) -> Column:
+    """The text at a path; null for nothing and for blanks."""
+    return F.nullif(F.trim(F.get_json_object(x, path)), F.lit(""))
+
+
+def joined(*paths: str, by: str = ", ") -> Callable[[Column], Column]:
+    return lambda x: F.nullif(F.concat_ws(by, *[value(x, p) for p in paths]), F.lit(""))
+
+
+def in_israel(*paths: str) -> Callable[[Column], Column]:
+    """The first place that is stated, with the country, which these boards never name."""
+    return lambda x: F.coalesce(F.concat(F.coalesce(*[value(x, p) for p in paths]), F.lit(", Israel")), F.lit("Israel"))
+
+
+def sections(*parts: tuple[str, Column | str | None]) -> Callable[[Column], Column]:
+    """Parts of a body, each under its heading (a path from '$', a text, or none), an empty line between them."""
+
+    def build(x: Column) -> Column:
+        told = []
+        for path, heading in parts:
+            head = None if heading is None else F.concat(F.lit("## "), value(x, heading)) if heading.startswith("$") else F.lit(heading)
+            body = value(x, path)
+            told.append(body if head is None else F.when(body.isNotNull(), F.concat_ws("\n", head, body)))
+        return F.nullif(F.concat_ws("\n\n", *told), F.lit(""))
+
+    return build
+
+
+def listed_sections(x: Column) -> Column:
+    """An opening, lists under headings, and a closing text."""
+    lists = F.from_json(F.get_json_object(x, "$.lists"), "array<struct<text:string,content:string>>")
+    return F.nullif(F.concat_ws("\n\n", value(x, "$.descriptionPlain"), F.array_join(F.transform(lists, lambda p: F.concat_ws("\n", p["text"], p["content"])), "\n\n"), value(x, "$.additionalPlain")), F.lit(""))
+
+
+def address(*parts: str) -> Callable[[Column], Column]:
+    """An address of texts, of paths of the item, and of the capture's token: '{token}', or '{token:0}' for its parts between colons."""
+
+    def part(x: Column, p: str) -> Column:
+        if p.startswith("{token"):
+            return F.split(F.col("token"), ":")[int(p[7:-1])] if ":" in p else F.col("token")
+        return value(x, p) if p.startswith("$") else F.lit(p)
+
+    return lambda x: F.concat(*[part(x, p) for p in parts])
+
+
+def visible_pay(x: Column) -> Column:
+    """The written range where it is shown and holds a figure; 'competitive' is no pay."""
+    stated = F.coalesce(value(x, "$.compensation_minimum"), value(x, "$.compensation_maximum"))
+    return F.when((F.get_json_object(x, "$.compensation_visible") == "true") & stated.isNotNull() & (stated != "0"), value(x, "$.compensation"))
+
+
+def reversed_places(x: Column) -> Column:
+    """'Country, Region, City' read back to front; undecided places are dropped."""
+    turned = lambda t: F.array_join(F.reverse(F.filter(F.transform(F.split(t, ","), lambda p: F.trim(p)), lambda p: (p != "") & (p != "Multiple Locations"))), ", ")
+    names = F.array_distinct(F.filter(F.transform(F.from_json(F.get_json_object(x, "$.locations"), "array<string>"), turned), lambda p: p != ""))
+    standard = F.from_json(F.get_json_object(x, "$.standardizedLocations"), "array<string>")
+    return F.nullif(F.coalesce(F.nullif(F.array_join(names, "; "), F.lit("")), F.array_join(standard, "; ")), F.lit(""))
+
+
+def script_rows(payload: Column) -> Column:
+    """The rows in a results page's own data block."""
+    return F.get_json_object(F.regexp_extract(payload, r"(?s)AF_initDataCallback\(\{key: 'ds:1'.*?data:(.*?), sideChannel", 1), "$[0]")
+
+
+def row_places(x: Column) -> Column:
+    """The names of a row's places; only those of the token's country where the token is a country's two letters."""
+    places = F.from_json(F.get_json_object(x, "$[9]"), "array<string>")
+    own = F.filter(places, lambda p: (F.length("token") != 2) | (F.get_json_object(p, "$[5]") == F.upper("token")))
+    return F.nullif(F.array_join(F.transform(own, lambda p: F.get_json_object(p, "$[0]")), "; "), F.lit(""))
 
 
-# Where each kind of board keeps its fields.
+def slug(title: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), r"[^a-z0-9 -]", ""), r"[\s-]+", "-"), F.lit("-"))
+
+
+def countries_after(x: Column) -> Column:
+    """'name, country' of each place."""
+    places = F.from_json(F.get_json_object(x, "$.locations"), "array<struct<name:string,countryName:string>>")
+    return F.nullif(F.array_join(F.transform(places, lambda p: F.concat_ws(", ", p["name"], p["countryName"])), "; "), F.lit(""))
+
+
+def first_list(payload: Column) -> Column:
+    """A bare list, or the first list among an object's values."""
+    lists = F.filter(F.map_values(F.from_json(payload, "map<string,string>")), lambda v: v.startswith("["))
+    return F.when(payload.rlike(r"^\s*\["), payload).otherwise(F.get(lists, F.lit(0)))
+
+
+def own_page(x: Column) -> Column:
+    """The company's own page of a posting, unless it is only the root of its careers site; then the board's page."""
+    active, hosted = value(x, "$.careers_page_active_url"), F.coalesce(value(x, "$.careers_page_url"), value(x, "$.url_active_page"))
+    path = F.lower(F.regexp_replace(F.regexp_extract(active, r"^[a-z]+://[^/?#]+([^?#]*)", 1), "/+$", ""))
+    return F.coalesce(F.when(~path.isin("", "/careers", "/career", "/jobs"), active), hosted, active)
+
+
+def several_places(x: Column) -> Column:
+    more = F.from_json(F.get_json_object(x, "$.secondaryLocations"), "array<struct<Name:string>>")
+    return F.nullif(F.array_join(F.array_distinct(F.array_compact(F.concat(F.array(value(x, "$.PrimaryLocation")), F.coalesce(F.transform(more, lambda p: p["Name"]), F.array().cast("array<string>"))))), "; "), F.lit(""))
+
+
+def flagged_place(x: Column) -> Column:
+    """remote, hybrid, or onsite where both are denied."""
+    remote, hybrid = F.get_json_object(x, "$.location.remote"), F.get_json_object(x, "$.location.hybrid")
+    return F.when(remote == "true", "remote").when(hybrid == "true", "hybrid").when((remote == "false") & (hybrid == "false"), "onsite")
+
+
+def epoch(c: Column) -> Column:
+    return F.timestamp_seconds(c.try_cast("long"))
+
+
+def day_first(c: Column) -> Column:
+    return dates.written(c).cast("timestamp")
+
+
+# A seniority that one board writes as a kind of post; titles of a vendor's demo board.
+STUDENT_POST = "משרת סטודנט"
+DEMO_TITLES = ("IT Security Engineer", "Software Engineer", "Sales Development Representative", "Marketing Manager")
+# Workplace codes of one board.
+ORACLE_WORKPLACES = {"ora_on_site": "onsite", "ora_remote": "remote", "ora_hybrid": "hybrid"}
+
+# Where each kind of board keeps its fields, and the addresses of their pages.
 SPECS = {
-    "greenhouse": Spec("$.jobs", ("$.id",), ("$.title",), ("$.location.name",), ("$.absolute_url",), ("$.first_published", "$.updated_at"), ("$.departments[0].name",), ("$.content",)),
-    "lever": Spec("", ("$.id",), ("$.text",), ("$.categories.location",), ("$.hostedUrl",), ("$.createdAt",), ("$.categories.team", "$.categories.department"), ("$.descriptionPlain", "$.description"), ("$.workplaceType",)),
-    "ashby": Spec("$.jobs", ("$.id",), ("$.title",), ("$.location",), ("$.jobUrl",), ("$.publishedAt",), ("$.department",), ("$.descriptionPlain",), ("$.workplaceType",), salary=("$.compensation.compensationTierSummary",)),
-    "workable": Spec("$.jobs", ("$.shortcode",), ("$.title",), ("$.location.city", "$.city"), ("$.url",), ("$.published_on", "$.created_at"), ("$.department",), ("$.description",)),
+    "greenhouse": Spec("$.jobs", ("$.id",), ("$.title",), ("$.location.name",), address("https://job-boards.greenhouse.io/embed/job_app?for=", "{token}", "&token=", "$.id"), ("$.updated_at",), ("$.departments[0].name",), ("$.content",)),
+    "lever": Spec("", ("$.id",), ("$.text",), ("$.categories.location",), ("$.hostedUrl",), ("$.createdAt",), ("$.categories.team",), listed_sections, ("$.workplaceType",)),
+    "ashby": Spec("$.jobs", ("$.id",), ("$.title",), ("$.location",), ("$.jobUrl",), ("$.publishedAt",), ("$.department",), ("$.descriptionPlain",), ("$.workplaceType",), salary=("$.compensation.scrapeableCompensationSalarySummary", "$.compensation.compensationTierSummary")),
+    "workable": Spec("$.jobs", ("$.shortcode",), ("$.title",), joined("$.city", "$.country"), ("$.url",), ("$.published_on",), ("$.department",), ("$.description",)),
     "recruitee": Spec("$.offers", ("$.id",), ("$.title",), ("$.location",), ("$.careers_url",), ("$.published_at",), ("$.department",), ("$.description",), flags=(("$.remote", "remote"), ("$.hybrid", "hybrid"), ("$.on_site", "onsite"))),
-    "smartrecruiters": Spec("$.content", ("$.id",), ("$.name",), ("$.location.fullLocation", "$.location.city"), ("$.ref",), ("$.releasedDate",), ("$.department.label",), level=("$.experienceLevel.id",), cap=100),
-    "pinpoint": Spec("$.data", ("$.id",), ("$.title",), ("$.location.name",), ("$.url",), ("$.published_at",), ("$.job.department.name",), ("$.description",), ("$.workplace_type",), salary=("$.compensation",)),
-    "bamboohr": Spec("$.result", ("$.id",), ("$.jobOpeningName",), ("$.location.city",), ("$.url",), (), ("$.departmentLabel",)),
-    "breezy": Spec("", ("$.id",), ("$.name",), ("$.location.name",), ("$.url",), ("$.published_date",), ("$.department",), ("$.description",)),
-    "niloosoft": Spec("$.jobs", ("$.id",), ("$.title",), ("$.city",), ("$.url",), ("$.date",), ("$.category",), where="coalesce(get_json_object(x, '$.status'), '1') = '1'"),
-    "ness": Spec("$.jobs", ("$.id",), ("$.title",), ("$.location",), ("$.url",), ("$.date",), ("$.category",), date=lambda c: dates.written(c).cast("timestamp")),
-    "amazon": Spec("$.jobs", ("$.id_icims", "$.id"), ("$.title",), ("$.location",), ("$.job_path",), ("$.posted_date",), ("$.job_category",), ("$.description",), date=lambda c: dates.written(c).cast("timestamp"), base_url="https://www.amazon.jobs"),
-    "microsoft": Spec("$.operationResult.result.jobs", ("$.jobId",), ("$.title",), ("$.properties.primaryLocation",), ("$.url",), ("$.postingDate",), ("$.properties.profession",), ("$.properties.description",), ("$.properties.workSiteFlexibility",)),
-    "google": Spec("$.jobs", ("$[0]",), ("$[1]",), ("$[9][0][0]",), ("$[2]",), ("$[12][0]",), (), ("$[10][1]",), date=lambda c: F.timestamp_seconds(c.try_cast("long"))),
-    "apple": Spec("$.searchResults", ("$.positionId",), ("$.postingTitle",), ("$.locations[0].name",), ("$.transformedPostingTitle",), ("$.postDateInGMT",), ("$.team.teamName",), ("$.jobSummary",)),
-    "oracle": Spec("$.items[0].requisitionList", ("$.Id",), ("$.Title",), ("$.PrimaryLocation",), ("$.ExternalUrl",), ("$.PostedDate",), ("$.JobFamily",), ("$.ShortDescriptionStr",), ("$.WorkplaceType",), cap=4000),
-    "eightfold": Spec("$.positions", ("$.id",), ("$.name",), ("$.location",), ("$.canonicalPositionUrl",), ("$.t_create",), ("$.department",), ("$.job_description",), ("$.work_location_option",), date=lambda c: F.timestamp_seconds(c.try_cast("long")), cap=2000),
-    "redmatch": Spec("$.jobs", ("$.jobId",), ("$.title",), ("$.location",), ("$.url",), ("$.activationDate",), ("$.field",), ("$.description",), date=dates.local_to_utc, where="coalesce(get_json_object(x, '$.active'), 'true') <> 'false'"),
-    "wprest": Spec("", ("$.id",), ("$.title.rendered",), ("$.location",), ("$.link",), ("$.date",), ("$.field",), ("$.content.rendered",)),
-    "tycowp": Spec("$.jobs", ("$.id",), ("$.title",), ("$.location",), ("$.url",), ("$.date",), ("$.department",), ("$.description",)),
-    "comeet": Spec("", ("$.uid",), ("$.name",), ("$.location.name",), ("$.url_active_page",), ("$.time_updated",), ("$.department",), ("$.details[0].value",), ("$.workplace_type",), ("$.experience_level",)),
+    "smartrecruiters": Spec("$.content", ("$.id",), ("$.name",), joined("$.location.city", "$.location.country"), address("https://jobs.smartrecruiters.com/", "{token}", "/", "$.id"), ("$.releasedDate",), ("$.department.label",), workplace=flagged_place, level=("$.experienceLevel.id",), cap=100),
+    "pinpoint": Spec("$.data", ("$.id",), ("$.title",), lambda x: F.coalesce(joined("$.location.city", "$.location.province")(x), value(x, "$.location.name")), ("$.url",), (), ("$.job.department.name",),
+                     sections(*[(f"$.{n}", f"$.{n}_header") for n in ("description", "key_responsibilities", "skills_knowledge_expertise", "benefits")]), ("$.workplace_type",), salary=visible_pay),
+    "bamboohr": Spec("$.result", ("$.id",), ("$.jobOpeningName",), joined("$.location.city", "$.location.state"), address("https://", "{token}", ".bamboohr.com/careers/", "$.id"), (), ("$.departmentLabel",), flags=(("$.isRemote", "remote"),), demo=DEMO_TITLES),
+    "breezy": Spec("", ("$.id",), ("$.name",), joined("$.location.city", "$.location.state.name", "$.location.country.name"), ("$.url",), ("$.published_date",), ("$.department",)),
+    "niloosoft": Spec("", ("$.jobId",), ("$.jobTitle",), in_israel("$.locationAddress", "$.area"), address("https://", "{token:0}", "/?jobId=", "$.jobId"), ("$.openDate",), (), joined("$.description", "$.requirements", by=" "), where="coalesce(get_json_object(x, '$.status'), '1') = '1'"),
+    "ness": Spec("$.allOrderDetailsList", ("$.index",), ("$.title",), in_israel("$.posLocation"), address("https://", "{token}", "/careers/job/", "$.index"), ("$.lastUpdated",), ("$.profName",), ("$.posDescription",), date=day_first),
+    "amazon": Spec("$.jobs", ("$.id_icims", "$.id"), ("$.title",), ("$.location",), address("https://www.amazon.jobs", "$.job_path"), ("$.posted_date",), ("$.job_category",), ("$.description",), date=day_first),
+    "microsoft": Spec("$.data.positions", ("$.id",), ("$.name",), reversed_places, address("https://apply.careers.microsoft.com", "$.positionUrl"), ("$.postedTs",), ("$.department",), ("$.jobDescription",), ("$.workLocationOption",), date=epoch),
+    "google": Spec(script_rows, ("$[0]",), ("$[1]",), row_places, lambda x: F.concat(F.lit("https://www.google.com/about/careers/applications/jobs/results/"), value(x, "$[0]"), F.lit("-"), slug(value(x, "$[1]"))), ("$[12][0]",), (), sections(("$[10][1]", None), ("$[3][1]", None), ("$[4][1]", None)), date=epoch),
+    "apple": Spec("$.res.searchResults", ("$.positionId", "$.id"), ("$.postingTitle",), countries_after, lambda x: F.concat(F.lit("https://jobs.apple.com/en-il/details/"), F.coalesce(value(x, "$.positionId"), value(x, "$.id")), F.lit("/"), F.coalesce(value(x, "$.transformedPostingTitle"), F.lit(""))), ("$.postDateInGMT",), ("$.team.teamName",),
+                  sections(("$.jobSummary", None), ("$.description", "Description"), ("$.responsibilities", "Responsibilities"), ("$.minimumQualifications", "Minimum qualifications"), ("$.preferredQualifications", "Preferred qualifications"))),
+    "oracle": Spec("$.items[0].requisitionList", ("$.Id",), ("$.Title",), several_places, address("https://", "{token:0}", "/hcmUI/CandidateExperience/en/sites/", "{token:1}", "/job/", "$.Id"), ("$.PostedDate",), ("$.JobFamily",), ("$.ShortDescriptionStr",),
+                   lambda x: F.coalesce(coded(value(x, "$.WorkplaceTypeCode"), ORACLE_WORKPLACES), coded(value(x, "$.WorkplaceType"), WORKPLACE_CODES)), cap=4000),
+    "eightfold": Spec("$.positions", ("$.id",), ("$.name",), lambda x: F.coalesce(F.nullif(F.array_join(F.from_json(F.get_json_object(x, "$.locations"), "array<string>"), "; "), F.lit("")), value(x, "$.location")), ("$.canonicalPositionUrl",), ("$.t_create", "$.t_update"), ("$.department",), ("$.job_description",), ("$.work_location_option",), date=epoch, cap=2000),
+    "redmatch": Spec(first_list, ("$.compPositionID",), ("$.jobTitleText",), in_israel("$.displayLocation", "$.location"), address("https://", "{token:0}", "/redmatch-apply/redmatch.apply.html?compPositionID=", "$.compPositionID"), ("$.activationDate",), ("$.fieldDesc",), ("$.description",), date=dates.local_to_utc, where="coalesce(get_json_object(x, '$.isActivePosition'), 'true') <> 'false'"),
+    "wprest": Spec("", ("$.id",), ("$.title.rendered",), address("{token:2}"), ("$.link",), ("$.date",), (), ("$.content.rendered",)),
+    "tycowp": Spec("", ("$.id",), ("$.tl",), in_israel("$.ct"), address("https://", "{token}", "/job/", "$.id"), (), ("$.jc",), ("$.dc",), level=lambda x: F.when(value(x, "$.tp") == STUDENT_POST, "intern")),
+    "comeet": Spec("", ("$.uid", "$.position_uid"), ("$.name",), ("$.location.name",), own_page, ("$.time_updated",), ("$.department",), ("$.details[0].value",), ("$.workplace_type",), ("$.experience_level",)),
     "workday": Spec("$.jobPostings", ("$.bulletFields[0]", "$.externalPath"), ("$.title",), ("$.locationsText",), ("$.externalPath",), ("$.postedOn",), cap=3000),
+    "teamtailor": Spec("$.items", lambda x: F.coalesce(F.nullif(F.regexp_extract(value(x, "$.url"), r"/jobs/(\d+)-", 1), F.lit("")), value(x, "$.url")), ("$.title",), (), ("$.url",), ("$.date_published",), (), ("$.content_html",)),
 }
 
 
@@ -75,42 +203,80 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
-def _first(item: Column, paths: tuple[str, ...]) -> Column:
-    found = [F.nullif(F.get_json_object(item, p), F.lit("")) for p in paths]
+def _first(item: Column, paths: Field) -> Column:
+    if callable(paths):
+        return paths(item)
+    found = [value(item, p) for p in paths]
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
 def parse(captures: DataFrame, kind: str, as_of: Column | None = None) -> DataFrame:
-    """The postings of captures of one kind of JSON board; lists at their cap count as incomplete."""
+    """The postings of captures of one kind of JSON board, with clean texts; lists at their cap count as incomplete.
+
+    A board that shows nothing but its vendor's demo titles is a miss.
+    """
     spec = SPECS[kind]
     own = captures.where(F.col("ats") == kind)
-    raw = F.get_json_object("payload", spec.items) if spec.items else F.col("payload")
+    raw = spec.items(F.col("payload")) if callable(spec.items) else F.get_json_object("payload", spec.items) if spec.items else F.col("payload")
     listed = own.withColumn("_items", F.from_json(raw, "array<string>"))
     if spec.cap:
         listed = listed.withColumn("complete", F.col("complete") & (F.size("_items") < spec.cap))
+    if spec.demo:
+        titles = F.transform("_items", lambda x: _first(x, spec.title))
+        listed = listed.where(F.size(F.array_except(titles, F.array(*map(F.lit, spec.demo)))) > 0)
     rows = listed.select("domain", "ats", "token", "complete", F.explode("_items").alias("x"))
     rows = rows.where(spec.where) if spec.where else rows
     x = F.col("x")
     posted = dates.relative(_first(x, spec.posted), as_of if as_of is not None else F.lit(None).cast("timestamp")) if kind == "workday" else spec.date(_first(x, spec.posted))
-    place = coded(_first(x, spec.workplace), WORKPLACE_CODES)
+    place = spec.workplace(x) if callable(spec.workplace) else coded(_first(x, spec.workplace), WORKPLACE_CODES)
     for path, name in reversed(spec.flags):
         place = F.when(F.get_json_object(x, path) == "true", name).otherwise(place)
-    level = coded(_first(x, spec.level), LEVEL_CODES[kind]) if kind in LEVEL_CODES else F.lit(None).cast("string")
-    url = _first(x, spec.url)
+    level = spec.level(x) if callable(spec.level) else coded(_first(x, spec.level), LEVEL_CODES[kind]) if kind in LEVEL_CODES else F.lit(None).cast("string")
     fields = {
-        "external_id": _first(x, spec.id), "title": _first(x, spec.title), "location": _first(x, spec.location), "url": F.concat(F.lit(spec.base_url), url) if spec.base_url else url, "posted_at": posted.cast("timestamp"),
-        "department": _first(x, spec.department), "description": _first(x, spec.description), "seniority": level, "workplace_type": place, "salary_text": _first(x, spec.salary),
+        "external_id": _first(x, spec.id), "title": _first(x, spec.title), "location": _first(x, spec.location), "url": _first(x, spec.url), "posted_at": posted.cast("timestamp"),
+        "department": _first(x, spec.department), "description": clean_text(_first(x, spec.description)) if spec.description else F.lit(None).cast("string"), "seniority": level, "workplace_type": place, "salary_text": _first(x, spec.salary),
     }
-    out = rows.select("domain", "ats", "token", *[c.alias(n) for n, c in fields.items()], "complete").where("title is not null").select(*POSTING)
-    return distinct_postings(out) if kind == "greenhouse" else out.dropDuplicates(["domain", "ats", "external_id"])
+    more = {"_internal": F.get_json_object(x, "$.internal_job_id"), "_published": F.get_json_object(x, "$.first_published")} if kind == "greenhouse" else {"_item": x} if kind == "wprest" else {}
+    out = rows.select("domain", "ats", "token", *[c.alias(n) for n, c in (fields | more).items()], "complete").where("title is not null")
+    if kind == "greenhouse":
+        return distinct_postings(out).select(*POSTING)
+    return out.dropDuplicates(["domain", "ats", "external_id"]).select(*POSTING, *more)
 
 
 def distinct_postings(rows: DataFrame) -> DataFrame:
-    """One posting for each id, title and location: the one published first."""
-    keys = ["domain", "ats", "external_id", "title", "location"]
-    rest = [c for c in rows.columns if c not in keys]
-    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(F.col("posted_at").isNull(), "posted_at")).alias("_r"))
-    return one.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*rows.columns)
+    """One posting for each internal job, title and location, and for each id of postings without one: the one published first, then the lowest id."""
+    job = F.when(F.col("_internal").isNotNull(), F.struct(F.col("_internal").alias("j"), F.col("title").alias("t"), F.col("location").alias("l"))).otherwise(F.struct(F.concat(F.lit("posting "), "external_id").alias("j"), F.lit(None).cast("string").alias("t"), F.lit(None).cast("string").alias("l")))
+    order = F.struct(F.coalesce("_published", F.lit("")), F.col("external_id").try_cast("long"), F.col("posted_at").isNull(), "posted_at")
+    one = rows.groupBy("domain", "ats", job.alias("_job")).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("domain", "ats")]), order).alias("_r"))
+    return one.select("domain", "ats", "_r.*")
+
+
+def with_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings of parse(captures, 'wprest') with place and department from the site's own terms (domain, taxonomy, term_id, name, kind).
+
+    kind is `place` or `field`. A posting lists the ids of its terms under each taxonomy's name; they meet the terms in an
+    equi-join, and the country of the token follows the places.
+    """
+    taxonomies = terms.select(F.col("domain").alias("_d"), "taxonomy").distinct()
+    named = postings.join(taxonomies, F.col("domain") == F.col("_d")).select("domain", "external_id", "taxonomy", F.posexplode(F.from_json(F.call_function("get_json_object", F.col("_item"), F.concat(F.lit("$."), "taxonomy")), "array<bigint>")).alias("at", "term_id"))
+    met = named.join(terms, ["domain", "taxonomy", "term_id"])
+    texts = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("taxonomy", "at", "name")))), lambda x: x["name"]), "; ")
+    of = met.groupBy("domain", "external_id").agg(F.nullif(texts("place"), F.lit("")).alias("_place"), F.nullif(texts("field"), F.lit("")).alias("_field"))
+    both = postings.join(of, ["domain", "external_id"], "left")
+    return both.withColumn("location", F.coalesce(F.concat("_place", F.lit(", "), "location"), "location")).withColumn("department", F.coalesce("_field", "department")).select(*POSTING)
+
+
+def with_places(postings: DataFrame, pages: DataFrame) -> DataFrame:
+    """Postings of parse(captures, 'teamtailor') with the line that their site's list (domain, html) shows under each link.
+
+    The line's parts, which mean different things on different sites, are joined to one location.
+    """
+    line = r'(?s)href="(https://[^"]+/jobs/\d+-[^"]*)"[^>]*>.*?</a>\s*<div[^>]*>(.*?)</div>'
+    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(line), F.lit(1)).alias("url"), F.regexp_extract_all("html", F.lit(line), F.lit(2)).alias("line"))
+    found = pages.select(F.col("domain").alias("_d"), F.explode(pairs).alias("p")).select("_d", F.col("p.url").alias("_u"), unescaped(F.regexp_replace("p.line", "<[^>]+>", " ")).alias("line"))
+    parts = F.filter(F.transform(F.split("line", "·"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
+    of = found.groupBy("_d", "_u").agg(F.first(F.array_join(parts, ", ")).alias("_line"))
+    return postings.join(of, (F.col("domain") == F.col("_d")) & (F.col("url") == F.col("_u")), "left").withColumn("location", F.coalesce("_line", "location")).select(*POSTING)
 
 
 def parse_xml(captures: DataFrame, kind: str = "personio") -> DataFrame:
@@ -124,10 +290,15 @@ def parse_xml(captures: DataFrame, kind: str = "personio") -> DataFrame:
     return rows.select("domain", "ats", "token", tag("id").alias("external_id"), tag("name").alias("title"), F.nullif(offices, F.lit("")).alias("location"), none.alias("url"), dates.normalized(tag("createdAt")).alias("posted_at"), tag("department").alias("department"), none.alias("description"), none.alias("seniority"), none.alias("workplace_type"), none.alias("salary_text"), "complete")
 
 
-def parse_cards(captures: DataFrame, kind: str, card: str, fields: dict[str, str], stated_total: str | None = None) -> DataFrame:
-    """Postings of an HTML list by patterns (a card, and a group for each field); fewer cards than the page states is a miss."""
+def parse_cards(captures: DataFrame, kind: str, card: str, fields: dict[str, str], stated_total: str | None = None, miss: str | None = None) -> DataFrame:
+    """Postings of an HTML list by patterns (a card, and a group for each field).
+
+    Fewer cards than the page states is a miss, and so is a page with the pattern `miss`: a redirect, or a note that the board is
+    no longer active.
+    """
     cards = F.regexp_extract_all("payload", F.lit(card), F.lit(0))
     own = captures.where(F.col("ats") == kind).withColumn("_cards", cards)
+    own = own.where(~F.col("payload").rlike(miss)) if miss else own
     if stated_total:
         own = own.where(F.size("_cards") >= F.coalesce(F.regexp_extract("payload", stated_total, 1).try_cast("int"), F.lit(0)))
     rows = own.select("domain", "ats", "token", "complete", F.explode("_cards").alias("x"))
@@ -160,8 +331,12 @@ def tokens_in_urls(urls: DataFrame, pattern: str, url: str = "url") -> DataFrame
 
 def fingerprint(postings: DataFrame, newest: int = 20) -> DataFrame:
     """Per board a hash of its size and newest ids, which tells an unchanged list without its details."""
-    ids = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("posted_at", "external_id")))), 1, newest)
-    return postings.groupBy("domain", "ats", "token").agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.array_join(F.transform(ids, lambda x: x["external_id"]), ",")).cast("binary"), 256).alias("content_hash"))
+    board = ["domain", "ats", "token"]
+    at = F.row_number().over(Window.partitionBy(*board).orderBy(F.desc("posted_at"), F.desc("external_id")))
+    top = postings.select(*board, "posted_at", "external_id", at.alias("_at")).where(F.col("_at") <= newest)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("_at", "external_id"))), lambda x: x["external_id"])
+    both = postings.groupBy(*board).agg(F.count(F.lit(1)).alias("_n")).join(top.groupBy(*board).agg(F.array_join(ids, ",").alias("_ids")), board)
+    return both.select(*board, F.sha2(F.concat_ws("|", F.col("_n").cast("string"), "_ids").cast("binary"), 256).alias("content_hash"))
 
 
 def resolve(pins: DataFrame, hints: DataFrame, guesses: DataFrame, scraped: DataFrame) -> DataFrame:
