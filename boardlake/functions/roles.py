@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .taxonomy import category
 
 TECH_SHARE = 0.15
-# Categories that speak for and against tech.
+# Categories that speak for and against tech; the weights and thresholds of `classify`.
 TECH_CATEGORIES = ["Software Engineering", "Infrastructure", "Data & AI", "Security", "QA", "Product & Design"]
 ADJACENT_CATEGORIES = ["Sales & Marketing", "Operations & Business", "Customer Success"]
 
@@ -52,8 +52,9 @@ def classify(title: Column, department: Column, skills: Column, share: Column, f
     said = F.when(strong & ~(non & ~tech), "title:tech").when(non, "title:non-tech").when(adj_strong, "title:adjacent").when(tech, "title:tech-loose").when(adj, "title:adjacent").when(of_tech | of_adj, F.concat(F.lit("category:"), kind))
     spoke = said.isNotNull()
     t_tech, t_adj, t_non = (_has(team, n) for n in (f.tech_team, f.adjacent_team, f.non_tech_team))
-    by_team = F.when(t_non & ~t_tech, F.when(strong, -0.05).when(spoke, -0.25).otherwise(-0.3)).when(t_adj & ~t_tech, F.when(spoke, -0.05).otherwise(-0.25)).when(t_tech, F.when(spoke, 0.05).otherwise(0.2))
-    said_team = F.when(t_non & ~t_tech, "team:non-tech").when(t_adj & ~t_tech, "team:adjacent").when(t_tech, "team:tech")
+    team_kind = F.coalesce(category(team, F.lit(None).cast("string")).isin(TECH_CATEGORIES), F.lit(False))
+    by_team = F.when(t_non & ~t_tech, F.when(strong, -0.05).when(spoke, -0.25).otherwise(-0.3)).when(t_adj & ~t_tech, F.when(spoke, -0.05).otherwise(-0.25)).when(t_tech | team_kind, F.when(spoke, 0.05).otherwise(0.2))
+    said_team = F.when(t_non & ~t_tech, "team:non-tech").when(t_adj & ~t_tech, "team:adjacent").when(t_tech | team_kind, "team:tech")
     hard = F.array_sort(F.array_intersect(F.transform(F.coalesce(skills, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))), F.array(*map(F.lit, f.hard_skills))))
     bump = F.when(F.size(hard) == 0, 0.0).when(F.size(hard) == 1, 0.05).when(F.size(hard) == 2, 0.12).otherwise(0.3)
     bump = F.when(non & ~strong, F.least(bump, F.lit(0.1))).otherwise(bump)
@@ -63,7 +64,7 @@ def classify(title: Column, department: Column, skills: Column, share: Column, f
     leaning = adj | of_adj | (t_adj & ~t_tech)
     verdict = F.when(non & ~strong & ~(tech & (score >= 0.5)), "non-tech").when(score >= 0.45, "tech").when(leaning, F.when(score <= 0.2, "adjacent").otherwise("unknown")).when(score <= -0.2, "non-tech").otherwise("unknown")
     raised = (verdict == "adjacent") & F.coalesce(share >= TECH_SHARE, F.lit(False))
-    evidence = F.array_compact(F.array(said, said_team, said_skills, F.when(_has(title, f.software), "software"), F.when(raised, "company-tech")))
+    evidence = F.array_compact(F.array(said, said_team, said_skills, F.when(_has(title, f.software), "software"), F.concat(F.lit("company2:"), F.coalesce(F.format_number(share, 2), F.lit("na"))), F.when(raised, "company-tech")))
     return F.struct(F.when(raised, "tech").otherwise(verdict).alias("verdict"), F.round(score, 3).alias("score"), evidence.alias("evidence"))
 
 
