@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import days_between
 from ..functions.taxonomy import category
-from .predicates import compile_filters, integer, skills
+from .predicates import compile_filters, integer, lowered, skills
 from .search import relevance
 
 SORTS = {"age", "company", "title", "location", "ats", "match", "relevance"}
@@ -18,8 +18,8 @@ MATCH_DECAY, RELEVANCE_DECAY, DECAY_DAYS = 1, 5, 14
 
 
 def match_score(wanted: list[str]) -> Column:
-    """How many of the wanted labels a listing has."""
-    return F.least(F.size(F.array_intersect(F.coalesce("skills", F.array().cast("array<string>")), F.array(*map(F.lit, wanted)).cast("array<string>"))), F.lit(STORED_SKILLS))
+    """How many of the wanted labels a listing has, whatever their case."""
+    return F.least(F.size(F.array_intersect(lowered(F.coalesce("skills", F.array().cast("array<string>"))), F.array(*[F.lit(w.lower()) for w in wanted]).cast("array<string>"))), F.lit(STORED_SKILLS))
 
 
 def fortnights(as_of: datetime) -> Column:
@@ -29,7 +29,10 @@ def fortnights(as_of: datetime) -> Column:
 
 
 def order(params: dict, as_of: datetime) -> list[Column]:
-    """The total order of a page: nulls last, id last of all. Without skills or terms, match and relevance fall back to age."""
+    """The total order of a page: nulls last, id last of all. Without skills or terms, match and relevance fall back to age.
+
+    `dir` is the direction of what is sorted by, so of the age itself: asc has the newest first. `order` is that of the date.
+    """
     sort = params.get("sort") or "age"
     if sort not in SORTS:
         raise ValueError(f"sort must be one of {', '.join(sorted(SORTS))}")
@@ -39,12 +42,13 @@ def order(params: dict, as_of: datetime) -> list[Column]:
         return [(match_score(wanted) - MATCH_DECAY * fortnights(as_of)).desc(), *newest]
     if sort == "relevance" and params.get("search"):
         return [(relevance(params["search"]) - RELEVANCE_DECAY * fortnights(as_of)).desc(), *newest]
-    up = params.get("order") == "asc"
+    way = params.get("dir")
+    up = params.get("order") == "asc" or way == "desc"
     if sort in ("age", "match", "relevance"):
         return [F.col("posted_at").asc_nulls_last() if up else newest[0], newest[1]]
     column = {"company": "company_domain"}.get(sort, sort)
     key = F.lower(F.trim(F.col(column)))
-    down = params.get("order") == "desc"
+    down = "desc" in (params.get("order"), way)
     return [key.desc_nulls_last() if down else key.asc_nulls_last(), newest[1]]
 
 
@@ -70,7 +74,7 @@ def with_company(jobs: DataFrame, companies: DataFrame) -> DataFrame:
 
 def page(jobs: DataFrame, companies: DataFrame, params: dict, as_of: datetime) -> DataFrame:
     """One page of a question. The page's rows are chosen before companies are joined, so the join sees a page only."""
-    limit = integer(params, "limit", DEFAULT_LIMIT, 1, MAX_LIMIT)
+    limit = 0 if params.get("count") == "only" else integer(params, "limit", DEFAULT_LIMIT, 1, MAX_LIMIT)
     offset = integer(params, "offset", 0, 0, MAX_OFFSET)
     found = jobs.where(compile_filters(params, as_of)).orderBy(*order(params, as_of)).offset(offset).limit(limit)
     shown = with_company(found, companies)
@@ -84,7 +88,7 @@ def page(jobs: DataFrame, companies: DataFrame, params: dict, as_of: datetime) -
 
 
 def total(jobs: DataFrame, params: dict, as_of: datetime) -> int | None:
-    """The number of rows of the question; None where count=skip."""
+    """The number of rows of the question; None where count=skip. With count=only it is all there is: the page is empty."""
     return None if params.get("count") == "skip" else jobs.where(compile_filters(params, as_of)).count()
 
 

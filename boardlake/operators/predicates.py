@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_between
+from ..functions.places import names_israel
 from ..functions.text import search_terms
 
 MAX_IDS, MAX_SKILLS, MAX_COUNTRIES, MAX_CITIES, FRESH_DAYS = 200, 40, 20, 20, 365
@@ -79,8 +80,13 @@ def fresh(as_of: datetime) -> Column:
     return F.col("posted_at").isNull() | (F.col("posted_at") >= F.lit(as_of - timedelta(days=FRESH_DAYS)))
 
 
-def compile_filters(params: dict, as_of: datetime, vocabulary: Iterable[str] | None = None, drop: Iterable[str] = ()) -> Column:
-    """One Column for all parameters but those in drop."""
+def lowered(labels: Column) -> Column:
+    """The labels of an array in lower case."""
+    return F.transform(labels, lambda x: F.lower(x))
+
+
+def compile_filters(params: dict, as_of: datetime, vocabulary: Iterable[str] | None = None, drop: Iterable[str] = (), places: bool = True) -> Column:
+    """One Column for all parameters but those in drop. places: whether the rows have countries; without, the location's words tell."""
     p = {k: v for k, v in params.items() if k not in set(drop)}
     parts: list[Column] = []
     if not flag(p, "include_closed"):
@@ -101,16 +107,16 @@ def compile_filters(params: dict, as_of: datetime, vocabulary: Iterable[str] | N
         parts.append(fresh(as_of))
     if q := (p.get("q") or "").strip():
         parts.append(any_field(q, ["title", "company_domain", "location", "department"]))
-    for some, column in ((skills(p, vocabulary), "skills"), (countries(p), "country"), (cities(p), "city")):
+    for some, column in ((skills(p, vocabulary), lowered(F.col("skills"))), (countries(p), F.col("country")), (cities(p), F.col("city"))):
         if some:
-            parts.append(F.arrays_overlap(F.col(column), F.array(*map(F.lit, some))))
+            parts.append(F.arrays_overlap(column, F.array(*map(F.lit, some))))
     terms, _ = search_terms(p.get("search"))
     if terms:
         parts.append(reduce(or_ if p.get("search_mode") == "any" else and_, [any_field(t, SEARCH_FIELDS) for t in terms]))
     for term in [t.strip() for t in (p.get("keywords") or "").split(";") if t.strip()]:
         parts.append(any_field(term, ["title", "description"]))
     if flag(p, "israel_only"):
-        parts.append(F.array_contains("country", "IL"))
+        parts.append(F.array_contains("country", "IL") if places else names_israel(F.col("location")))
     age = days_between(F.lit(as_of), F.col("posted_at"))
     if (n := integer(p, "min_age_days")) is not None:
         parts.append(F.col("posted_at").isNotNull() & (age >= n))
@@ -137,7 +143,7 @@ def pay_filters(p: dict, low: str = "salary_min_ils", high: str = "salary_max_il
 
 def narrowing(params: dict) -> bool:
     """Whether anything but confidence and roles narrows the question."""
-    ignored = {"confidence", "roles", "sort", "limit", "offset", "count", "order"}
+    ignored = {"confidence", "roles", "sort", "limit", "offset", "count", "order", "dir"}
     return any(str(v).strip() and not (k.startswith("include_") and not flag(params, k)) for k, v in params.items() if k not in ignored and v is not None)
 
 

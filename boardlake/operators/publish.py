@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import w3c
 from ..functions.money import base_salary
 
-RETAIN_DAYS, SITEMAP_SIZE, FEED_SIZE, FRAGMENT_ROWS = 30, 40_000, 100, 25
+RETAIN_DAYS, SITEMAP_SIZE, FEED_SIZE, FRAGMENT_ROWS, ARCHIVE_PARTS = 30, 40_000, 100, 25, 8
 
 
 def archived(jobs: DataFrame, as_of: datetime, days: int = RETAIN_DAYS) -> tuple[DataFrame, DataFrame]:
@@ -20,8 +20,9 @@ def archived(jobs: DataFrame, as_of: datetime, days: int = RETAIN_DAYS) -> tuple
 
 
 def write_archive(rows: DataFrame, path: str) -> None:
-    """Compressed JSON lines by the month of the close; a month's rows are first brought together, so it has few files."""
-    rows.repartition("closed_month").write.mode("append").partitionBy("closed_month").option("compression", "gzip").json(path)
+    """Compressed JSON lines by the month of the close; a month's rows are first brought to a few tasks, so it has few files and no task has it all."""
+    part = F.pmod(F.xxhash64(rows.columns[0]), F.lit(ARCHIVE_PARTS))
+    rows.repartition("closed_month", part).write.mode("append").partitionBy("closed_month").option("compression", "gzip").json(path)
 
 
 def write_fragments(results: DataFrame, path: str) -> None:

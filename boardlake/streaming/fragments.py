@@ -6,6 +6,7 @@ one twice gives the same table.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -15,11 +16,15 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.merge import close_missing, latest, upsert
+from ..session import shared_folder
 
 
 def fragments(spark: SparkSession, path: str, schema: str | StructType, files: int | None = None, bytes_: str | None = None, pattern: str = "*.json") -> DataFrame:
-    """The log as a stream; a trigger takes at most so many files or bytes, and always one."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("mode", "PERMISSIVE")
+    """The log as a stream; a trigger takes at most so many files or bytes, and always one.
+
+    Where the schema has a text column _corrupt, it holds lines that are no JSON (see `corrupt`).
+    """
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
     if files:
         reader = reader.option("maxFilesPerTrigger", files)
     if bytes_:
@@ -44,11 +49,27 @@ def run_once(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkp
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_by_key(stream: DataFrame, name: str, key: str, order: list[str], checkpoint: str | None = None) -> DataFrame:
-    """The latest row of each key of all that a stream has now, kept as streaming state."""
-    rest = [c for c in stream.columns if c != key]
-    best = stream.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-    writer = best.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+def latest_by_key(stream: DataFrame, name: str, key: str, order: list[str], folder: str | None = None) -> DataFrame:
+    """The latest row of each key of all that a stream has now.
+
+    Each batch is merged with the version before it into a version of its own, Parquet in the shared folder. A batch that is
+    delivered again overwrites its own version with the same rows, and neither driver nor memory holds the keys.
+    """
+    spark = stream.sparkSession
+    folder = folder or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    done: list[str] = []
+
+    def merged(batch: DataFrame, number: int) -> None:
+        rows = batch if not number else batch.unionByName(batch.sparkSession.read.schema(stream.schema).parquet(f"{folder}/v={number - 1}"))
+        latest(rows, key, order).select(*stream.columns).write.mode("overwrite").parquet(f"{folder}/v={number}")
+        done.append(f"{folder}/v={number}")
+
+    run_once(stream, merged, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(done[-1]) if done else spark.createDataFrame([], stream.schema)
+
+
+def corrupt(batch: DataFrame, path: str, number: int) -> DataFrame:
+    """The batch without the lines that are no JSON, which are kept aside (fragment, line) under the batch's number."""
+    aside = batch.where(F.col("_corrupt").isNotNull()).select("_fragment", "_corrupt")
+    aside.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return batch.where(F.col("_corrupt").isNull()).drop("_corrupt")
