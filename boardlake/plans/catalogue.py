@@ -209,6 +209,12 @@ def q26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.shared_timestamps(listings(spark, sf_dir), keep_midnight=True)
 
 
+@query("q26b_shared_timestamp_not_midnight", "SELECT date_trunc('hour', ts) AS posted_at, count(*) AS n, count(DISTINCT user_id) AS companies FROM events WHERE strftime(date_trunc('hour', ts), '%H:%M:%S') <> '00:00:00' GROUP BY 1 HAVING count(*) >= 5 AND count(DISTINCT user_id) >= 2")
+def q26b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours that several users share, without midnight, which says no more than a day."""
+    return stats.shared_timestamps(table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("posted_at"), F.col("user_id").alias("company_domain")))
+
+
 @query("q27_tech_share_having", f"WITH {LISTINGS} SELECT company_domain, count(*) FILTER (WHERE seniority IS NOT NULL) AS decided, count(*) FILTER (WHERE seniority IN ('1-URGENT', '2-HIGH')) AS software, count(*) FILTER (WHERE seniority IN ('1-URGENT', '2-HIGH')) / count(*) FILTER (WHERE seniority IS NOT NULL) AS share FROM l WHERE closed_at IS NULL GROUP BY 1 HAVING decided >= 3 AND software >= 2")
 def q27(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of companies with enough decided rows."""
@@ -359,7 +365,7 @@ def q45(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).select("id", dates.days_open(F.col("first_seen"), F.col("closed_at"), F.lit(AS_OR)).alias("days_open"))
 
 
-def _first_match_sql(column: str, rules: list[tuple[str, list[str]]]) -> str:
+def first_match_sql(column: str, rules: list[tuple[str, list[str]]]) -> str:
     cases = " ".join(f"WHEN regexp_matches({column}, '{taxonomy.whole_words(n)}') THEN '{label}'" for label, n in rules)
     return f"CASE {cases} END"
 
@@ -367,7 +373,7 @@ def _first_match_sql(column: str, rules: list[tuple[str, list[str]]]) -> str:
 PRIORITY_RULES = [("exec", ["urgent"]), ("senior", ["high"]), ("mid", ["medium"]), ("junior", ["low"])]
 
 
-@query("q46_level_first_match", f"SELECT o_orderkey, {_first_match_sql('o_orderpriority', PRIORITY_RULES)} AS level FROM orders")
+@query("q46_level_first_match", f"SELECT o_orderkey, {first_match_sql('o_orderpriority', PRIORITY_RULES)} AS level FROM orders")
 def q46(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels by the first rule that matches."""
     return table(spark, sf_dir, "orders").select("o_orderkey", taxonomy.first_match(F.col("o_orderpriority"), PRIORITY_RULES).alias("level"))
@@ -376,7 +382,7 @@ def q46(spark: SparkSession, sf_dir: str) -> DataFrame:
 TYPE_RULES = [("remote", ["polished", "burnished"]), ("hybrid", ["plated"]), ("onsite", ["steel", "tin"])]
 
 
-@query("q47_type_first_match", f"SELECT p_partkey, {_first_match_sql('p_type', TYPE_RULES)} AS workplace FROM part")
+@query("q47_type_first_match", f"SELECT p_partkey, {first_match_sql('p_type', TYPE_RULES)} AS workplace FROM part")
 def q47(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workplaces by the first rule that matches."""
     return table(spark, sf_dir, "part").select("p_partkey", taxonomy.first_match(F.col("p_type"), TYPE_RULES).alias("workplace"))
@@ -431,7 +437,7 @@ CELLS = "c AS (" + " UNION ALL ".join(_cell_sql(*x) for x in LEVELS) + ")"
 @query("q53_cells_backoff_levels", f"WITH {LISTINGS}, {CELLS} SELECT level, key, CAST(len(pays) AS BIGINT) AS n, pays[1] AS least, pays[len(pays)] AS most FROM c")
 def q53(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pay cells of each level of a chain."""
-    return evaluate.cells(listings(spark, sf_dir), LEVELS, "pay").select("level", "key", "n", F.element_at("pays", 1).alias("least"), F.element_at("pays", -1).alias("most"))
+    return evaluate.cells(listings(spark, sf_dir), LEVELS, "pay").select("level", "key", "n", "least", "most")
 
 
 def _quantile_sql(q: int) -> str:
@@ -442,8 +448,18 @@ def _quantile_sql(q: int) -> str:
 @query("q54_exclusive_band", f"WITH {LISTINGS}, {CELLS}, x AS (SELECT level, key, pays AS v, len(pays) AS n FROM c) SELECT level, key, round({_quantile_sql(15)}, 4) AS low, round({_quantile_sql(85)}, 4) AS high FROM x")
 def q54(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15th and 85th percentiles of each cell, by the exclusive rule."""
-    b = evaluate.band(F.col("pays"))
-    return evaluate.cells(listings(spark, sf_dir), LEVELS, "pay").select("level", "key", F.round(b["low"], 4).alias("low"), F.round(b["high"], 4).alias("high"))
+    return evaluate.cells(listings(spark, sf_dir), LEVELS, "pay").select("level", "key", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+
+
+def predict_sql(rows: str, widest: float, folds: int = 1) -> str:
+    """CTEs from c (pays by fold, level and key; a fold's cells are of the other folds) to t: rows with level, low and high."""
+    other = "l.fold <> f.f" if folds > 1 else "true"
+    cell = " UNION ALL ".join(f"SELECT f.f, '{name}' AS level, {' || chr(124) || '.join(keys)} AS key, list_sort(list(pay)) AS v FROM {rows} l JOIN f ON {other} WHERE {' AND '.join(f"{k} <> ''" for k in keys)} GROUP BY f.f, {', '.join(keys)} HAVING count(*) >= 5" for name, keys in LEVELS)
+    joins = " ".join(f"LEFT JOIN b b{i} ON b{i}.f = l.fold AND b{i}.level = '{name}' AND b{i}.key = {' || chr(124) || '.join(f'l.{k}' for k in keys)}" for i, (name, keys) in enumerate(LEVELS))
+    pick = lambda c: "CASE " + " ".join(f"WHEN b{i}.low IS NOT NULL THEN b{i}.{c}" for i in range(len(LEVELS))) + " END"
+    return f"""f AS (SELECT unnest(range({folds})) AS f), c AS ({cell}), x AS (SELECT f, level, key, v, len(v) AS n FROM c),
+b AS (SELECT * FROM (SELECT f, level, key, {_quantile_sql(15)} AS low, {_quantile_sql(85)} AS high FROM x) WHERE (high - low) / ((high + low) / 2) <= {widest}),
+t AS (SELECT l.*, {pick('level')} AS level, {pick('low')} AS low, {pick('high')} AS high FROM {rows} l {joins})"""
 
 
 @query("q55_leave_one_out_error", f"""WITH {LISTINGS}, g AS (SELECT location, list_sort(list(pay)) AS v FROM l GROUP BY 1 HAVING count(*) >= 5), e AS (SELECT v, unnest(v) AS p FROM g),
@@ -472,22 +488,51 @@ def q60(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The latest events of each user before and after a day, as stored and incoming listings with all fields that have rules."""
     e = table(spark, sf_dir, "events").where("user_id is not null")
     row = lambda d: merge.latest(d.select(F.col("user_id").alias("id"), "ts", "event_id", F.col("event_type").alias("title"), F.col("props").alias("description"), F.col("ts").alias("posted_at")), "id", ["ts", "event_id"])
-    cut = F.lit(AS_EV - timedelta(days=15)).cast("timestamp_ntz")
-    old = row(e.where(F.col("ts") < cut)).withColumns({"first_seen": F.col("ts"), "last_seen": F.col("ts"), "closed_at": F.when(F.col("event_id") % 3 == 0, F.col("ts")), "category": F.lit("known")})
-    return old.drop("ts"), row(e.where(F.col("ts") >= cut)).withColumn("description", F.when(F.col("event_id") % 2 == 0, F.col("description"))).drop("ts")
-
-
-@query("q61_upsert_merge", f"""WITH a AS (SELECT user_id AS id, max(ts) AS ts, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS title, arg_max(props, ts) AS description FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
-n AS (SELECT user_id AS id, max(ts) AS ts, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS title, arg_max(props, ts) AS description FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1)
-SELECT coalesce(a.id, n.id) AS id, coalesce(n.event_id, a.event_id) AS event_id, coalesce(n.title, a.title) AS title,
-CASE WHEN n.id IS NOT NULL AND n.event_id % 2 = 0 THEN n.description ELSE a.description END AS description, coalesce(n.ts, a.ts) AS posted_at,
+    k, cut = F.col("event_id"), F.lit(AS_EV - timedelta(days=15)).cast("timestamp_ntz")
+
+    def full(rows: DataFrame) -> DataFrame:
+        board = F.element_at(F.array(*map(F.lit, ["workday", "comeet", "lever", "ashby"])), (F.floor(k / 3) % 4 + 1).cast("int"))
+        text = F.when(k % 5 != 0, F.concat(F.lit("$"), (k % 1000).cast("string"))).when(k % 10 == 0, "")
+        source = F.when(k % 3 == 0, "disclosed").when(k % 3 == 1, "table").otherwise("estimated")
+        return rows.withColumns({
+            "department": F.concat(F.lit("team "), (k % 2).cast("string")), "ats": board, "skills": F.when(k % 7 != 0, F.array("title")).otherwise(F.array().cast("array<string>")), "salary_text": text,
+            "salary_is_estimate": k % 3 != 0, "salary_source": F.when(text != "", source),
+        })
+
+    old = full(row(e.where(F.col("ts") < cut))).withColumns({"first_seen": F.col("ts"), "last_seen": F.col("ts"), "closed_at": F.when(k % 3 == 0, F.col("ts")), "category": F.lit("known")})
+    new = full(row(e.where(F.col("ts") >= cut))).withColumn("description", F.when(k % 2 == 0, F.col("description")).when(k % 4 == 1, ""))
+    return old.drop("ts"), new.drop("ts")
+
+
+def _half_sql(where: str) -> str:
+    return f"""SELECT *, 'team ' || (event_id % 2) AS department, (['workday', 'comeet', 'lever', 'ashby'])[event_id // 3 % 4 + 1] AS ats, CASE WHEN event_id % 7 <> 0 THEN [title] ELSE CAST([] AS VARCHAR[]) END AS skills,
+    CASE WHEN event_id % 5 <> 0 THEN '$' || (event_id % 1000) WHEN event_id % 10 = 0 THEN '' END AS salary_text, event_id % 3 <> 0 AS salary_is_estimate,
+    CASE WHEN event_id % 5 <> 0 THEN CASE event_id % 3 WHEN 0 THEN 'disclosed' WHEN 1 THEN 'table' ELSE 'estimated' END END AS salary_source
+    FROM (SELECT user_id AS id, max(ts) AS ts, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS title, arg_max(props, ts) AS description FROM events WHERE user_id IS NOT NULL AND ts {where} TIMESTAMP '2024-01-16' GROUP BY 1)"""
+
+
+def _pay_sql(column: str, gone: str) -> str:
+    """The pay ladder, branch by branch."""
+    return f"""CASE WHEN n.id IS NULL THEN a.{column} WHEN a.id IS NULL THEN n.{column} WHEN n.salary_text <> '' AND NOT n.salary_is_estimate THEN n.{column} WHEN n.salary_text <> '' AND n.description <> '' THEN n.{column}
+    WHEN n.salary_source = 'estimated' AND a.salary_is_estimate THEN n.{column} WHEN a.salary_text IS NULL AND n.salary_text <> '' THEN n.{column}
+    WHEN coalesce(n.salary_text, '') = '' AND n.description <> '' AND a.salary_is_estimate THEN {gone} ELSE a.{column} END AS {column}"""
+
+
+@query("q61_upsert_merge", f"""WITH a AS ({_half_sql('<')}),
+n AS (SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN description WHEN event_id % 4 = 1 THEN '' END AS description) FROM ({_half_sql('>=')}))
+SELECT coalesce(a.id, n.id) AS id, coalesce(n.event_id, a.event_id) AS event_id, coalesce(n.title, a.title) AS title, coalesce(n.department, a.department) AS department, coalesce(n.ats, a.ats) AS ats,
+CASE WHEN n.id IS NOT NULL AND (a.id IS NULL OR n.description <> '') THEN n.description ELSE a.description END AS description,
+CASE WHEN n.id IS NOT NULL AND (a.id IS NULL OR len(n.skills) > 0) THEN n.skills ELSE a.skills END AS skills,
+CASE WHEN a.id IS NULL AND n.ats = 'comeet' THEN {T_EV} WHEN a.id IS NOT NULL AND n.ats IN ('workday', 'comeet') THEN a.ts ELSE coalesce(n.ts, a.ts) END AS posted_at,
+{_pay_sql('salary_text', 'NULL')}, {_pay_sql('salary_is_estimate', 'false')}, {_pay_sql('salary_source', 'NULL')},
 CASE WHEN a.id IS NOT NULL THEN a.ts ELSE {T_EV} END AS first_seen, CASE WHEN n.id IS NOT NULL THEN {T_EV} ELSE a.ts END AS last_seen,
-CASE WHEN n.id IS NULL AND a.event_id % 3 = 0 THEN a.ts END AS closed_at, CASE WHEN a.id IS NOT NULL AND (n.id IS NULL OR n.title = a.title) THEN 'known' END AS category
+CASE WHEN n.id IS NULL AND a.event_id % 3 = 0 THEN a.ts END AS closed_at, CASE WHEN a.id IS NOT NULL AND (n.id IS NULL OR n.title = a.title AND n.department = a.department) THEN 'known' END AS category
 FROM a FULL JOIN n ON a.id = n.id""")
 def q61(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first half of the events as stored rows, merged with the second."""
+    """The first half of the events as stored rows, merged with the second by the rules of every field."""
     old, new = _halves(spark, sf_dir)
     return merge.upsert(old, new, AS_EV)
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, places, text
+from ..functions import dates, money, places, taxonomy, text
 from ..operators import evaluate, explore, facets, listing, merge, predicates, publish, search, stats
+from ..sources import boards
 from ..sources.tables import table
 from ..streaming import poll_state
-from .catalogue import LEVELS, T_EV, T_OR, companies, query
+from .catalogue import LEVELS, T_EV, T_OR, companies, first_match_sql, predict_sql, query
 from .views import AS_EV, AS_OR, LISTINGS, OPEN, SKILLS, documents, listings, skill_rows
 
 WEEKS = f"CASE WHEN posted_at IS NULL OR posted_at > {T_OR} THEN 0 ELSE floor((epoch_us({T_OR}) - epoch_us(posted_at)) / 86400000000.0 / 14) END"
@@ -159,18 +160,20 @@ def q90(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.token_table(documents(spark, sf_dir), ["description"]).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 50")
 
 
-@query("q91_learned_estimates")
+@query("q91_learned_estimates", f"WITH {LISTINGS}, r AS (SELECT *, 0 AS fold FROM l), {predict_sql('r', 2.0)} SELECT id, level, round(low, 4) AS low, round(high, 4) AS high FROM t")
 def q91(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each listing's pay range from the first level of cells that is narrow enough."""
     rows = listings(spark, sf_dir).select("id", "category", "ats", "location", "seniority", "pay")
     return evaluate.predict(rows, evaluate.cells(rows, LEVELS, "pay"), LEVELS, widest=2.0).select("id", "level", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
-@query("q92_backtest")
+@query("q92_backtest", f"""WITH {LISTINGS}, r AS (SELECT *, CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % 5 AS fold FROM l), {predict_sql('r', 1.5, 5)}
+SELECT count(*) AS rows, round(count(low) / count(*), 6) AS coverage, round(median(abs((low + high) / 2 - pay) / pay), 6) AS error, round(avg(CASE WHEN low IS NOT NULL THEN CAST(pay BETWEEN low AND high AS INTEGER) END), 6) AS hit_rate,
+round(median((high - low) / ((low + high) / 2)), 6) AS width FROM t""")
 def q92(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage, error, hit rate and width over five folds."""
     rows = listings(spark, sf_dir).select("id", "category", "ats", "location", "seniority", "pay")
-    return evaluate.backtest(rows, LEVELS, "pay", "id")
+    return evaluate.backtest(rows, LEVELS, "pay", "id").select("rows", *[F.round(c, 6).alias(c) for c in ("coverage", "error", "hit_rate", "width")])
 
 
 @query("q93_explore_facets", f"""WITH {LISTINGS} SELECT 'ats' AS field, ats AS value, ats AS label, count(*) AS n FROM l WHERE closed_at IS NULL GROUP BY 2
@@ -183,8 +186,83 @@ def q93(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.mart(rows, companies(spark, sf_dir), AS_OR)["facets"]
 
 
-@query("q94_stable_content_hash")
+@query("q94_stable_content_hash", f"""WITH {LISTINGS}, h AS (SELECT company_domain, md5(concat_ws(chr(31), id, title, location, '')) AS h FROM l)
+SELECT company_domain, sha256(concat_ws(':', count(*), sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)), sum(CAST('0x' || substr(h, 16, 15) AS HUGEINT)))) AS content_hash FROM h GROUP BY 1""")
 def q94(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per company a hash of its listings, whatever their order."""
-    rows = listings(spark, sf_dir).select("company_domain", F.struct(F.col("id").alias("external_id"), "title", "location", F.lit("").alias("url")).alias("j"))
-    return rows.groupBy("company_domain").agg(text.content_hash(F.collect_list("j")).alias("content_hash"))
+    """Per company a hash of its listings, whatever their order and number."""
+    return listings(spark, sf_dir).groupBy("company_domain").agg(text.content_digest(F.col("id"), F.col("title"), F.col("location"), F.lit("")).alias("content_hash"))
+
+
+@query("q95_captures_greenhouse", """WITH j AS (SELECT l_orderkey, l_linenumber AS id, CASE WHEN l_partkey % 4 > 0 THEN l_partkey % 3 END AS internal, l_returnflag AS title, l_linestatus AS location, strftime(l_shipdate, '%Y-%m-%d') AS published, l_shipdate FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, coalesce(CAST(internal AS VARCHAR), 'p' || id), CASE WHEN internal IS NOT NULL THEN title || location END ORDER BY published, id) AS k FROM j)
+SELECT CAST(l_orderkey AS VARCHAR) AS token, CAST(id AS VARCHAR) AS external_id, title, location, 'https://job-boards.greenhouse.io/embed/job_app?for=' || l_orderkey || '&token=' || id AS url, l_shipdate AS posted_at FROM r WHERE k = 1""")
+def q95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as captured boards and their lines (seven at most) as postings: parsed, several postings of one job as one."""
+    li = table(spark, sf_dir, "lineitem")
+    shipped = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    job = F.struct(F.col("l_linenumber").alias("id"), F.when(F.col("l_partkey") % 4 > 0, F.col("l_partkey") % 3).alias("internal_job_id"), F.col("l_returnflag").alias("title"), F.struct(F.col("l_linestatus").alias("name")).alias("location"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("first_published"), shipped.alias("updated_at"))
+    token = F.col("l_orderkey").cast("string")
+    captures = li.groupBy(token.alias("domain")).agg(F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("payload")).select("domain", F.lit("greenhouse").alias("ats"), F.col("domain").alias("token"), "payload", F.lit(True).alias("complete"))
+    return boards.parse(captures, "greenhouse").select("token", "external_id", "title", "location", "url", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"))
+
+
+@query("q96_captures_niloosoft", """SELECT CAST(c_custkey AS VARCHAR) AS token, CAST(c_custkey AS VARCHAR) AS external_id, c_name AS title, CASE WHEN c_nationkey % 3 = 0 THEN 'Israel' ELSE c_mktsegment || ', Israel' END AS location,
+'https://' || c_custkey || '/?jobId=' || c_custkey AS url FROM customer WHERE c_custkey % 5 <> 0""")
+def q96(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as captured boards of one posting: closed ones left out, the country named."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
+    job = F.struct(F.col("c_custkey").alias("jobId"), F.col("c_name").alias("jobTitle"), F.when(F.col("c_nationkey") % 3 != 0, F.col("c_mktsegment")).alias("area"), F.when(F.col("c_custkey") % 5 != 0, 1).otherwise(2).alias("status"))
+    captures = c.select(key.alias("domain"), F.lit("niloosoft").alias("ats"), key.alias("token"), F.to_json(F.array(job)).alias("payload"), F.lit(True).alias("complete"))
+    return boards.parse(captures, "niloosoft").select("token", "external_id", "title", "location", "url")
+
+
+TITLES = ["Security Analyst", "Senior Data Engineer", "VP of Sales", "QA Team Lead", "Backend Developer", "Junior Product Manager", "Director of Marketing", "Customer Support Intern", "Principal Site Reliability Engineer", "Office Manager", "Truck Driver", "Staff UX Researcher"]
+PLACES = ["Remote, London", "Haifa (hybrid)", "On-site Tel Aviv", "Austin", "work from home"]
+TITLE_SQL = "t AS (SELECT o_orderkey, ([" + ", ".join(f"'{t}'" for t in TITLES) + f"])[o_orderkey % {len(TITLES)} + 1] AS title, ([" + ", ".join(f"'{p}'" for p in PLACES) + f"])[o_orderkey % {len(PLACES)} + 1] AS place, CASE WHEN o_custkey % 7 = 0 THEN 'Finance' END AS team FROM orders)"
+
+
+@query("q97_real_taxonomies", f"WITH {TITLE_SQL} SELECT o_orderkey, {first_match_sql('coalesce(team, chr(0)) || chr(32) || title', taxonomy.CATEGORY_RULES)} AS category, {first_match_sql('title', taxonomy.SENIORITY_RULES)} AS seniority, {first_match_sql('place', taxonomy.WORKPLACE_RULES)} AS workplace FROM t")
+def q97(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category, level and workplace of every order, under a title and place by its key, by the real rule lists."""
+    k = F.col("o_orderkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", pick(TITLES).alias("title"), pick(PLACES).alias("place"), F.when(F.col("o_custkey") % 7 == 0, "Finance").alias("team"))
+    return rows.select("o_orderkey", taxonomy.category(F.col("team"), F.col("title")).alias("category"), taxonomy.seniority(F.col("title")).alias("seniority"), taxonomy.workplace(F.col("place")).alias("workplace"))
+
+
+@query("q98_board_dates", f"SELECT o_orderkey, o_orderdate AS from_millis, o_orderdate AS from_text, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN {T_OR} - INTERVAL 1 DAY ELSE {T_OR} - to_days(CAST(o_orderkey % 40 AS INTEGER)) END AS told FROM orders")
+def q98(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates as boards write them, and read again: milliseconds, text with UTC, days before the clock."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    millis = F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string")
+    told = F.when(k % 3 == 0, "Posted Today").when(k % 3 == 1, "Posted Yesterday").otherwise(F.concat(F.lit("Posted "), (k % 40).cast("string"), F.lit("+ Days Ago")))
+    ntz = lambda c, name: c.cast("timestamp_ntz").alias(name)
+    return o.select("o_orderkey", ntz(dates.normalized(millis), "from_millis"), ntz(dates.normalized(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))), "from_text"), ntz(dates.relative(told, F.lit(AS_OR)), "told"))
+
+
+@query("q99_pay_texts", """WITH k AS (SELECT o_orderkey, o_orderkey % 4 AS kind, o_orderkey % 300 + 10 AS n FROM orders)
+SELECT o_orderkey, CASE kind WHEN 0 THEN '$' WHEN 1 THEN '£' WHEN 3 THEN '₪' END AS currency, CAST(CASE kind WHEN 0 THEN n * 1000 WHEN 1 THEN n * 2080 WHEN 3 THEN n * 1000 END AS DOUBLE) AS low, CAST(CASE kind WHEN 0 THEN (n + 10) * 1000 WHEN 1 THEN n * 2080 WHEN 3 THEN n * 1000 END AS DOUBLE) AS high,
+CASE WHEN kind = 3 AND n * 1000 / 12 BETWEEN 2000 AND 400000 THEN CAST(round_even(n * 1000 / 12, 0) AS INTEGER) END AS month_low FROM k""")
+def q99(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pay as listings write it, read as annual figures and as monthly shekels."""
+    k = F.col("o_orderkey")
+    n = k % 300 + 10
+    s = lambda c: c.cast("string")
+    written = F.when(k % 4 == 0, F.concat(F.lit("$"), s(n), F.lit("K – $"), s(n + 10), F.lit("K"))).when(k % 4 == 1, F.concat(F.lit("£"), s(n), F.lit(" per hour"))).when(k % 4 == 2, F.concat(F.lit("$"), s(n), F.lit("K or €9K"))).otherwise(F.concat(F.lit("₪"), s(n * 1000), F.lit(" per year • bonus ₪9")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", money.disclosed(written).alias("d"), money.monthly_shekels(written).alias("m"))
+    return rows.select("o_orderkey", "d.currency", "d.low", "d.high", F.col("m.low").alias("month_low"))
+
+
+@query("q100_skills_whatever_the_case", f"WITH {LISTINGS}, {SKILLS}, s AS (SELECT order_key, list_distinct(list(lower(skill))) AS skills FROM k GROUP BY 1) SELECT id FROM l JOIN s USING (order_key) WHERE {OPEN} AND list_has_any(skills, ['brand#11', 'brand#22']) AND lower(title) LIKE '%1%'")
+def q100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings with one of two skills, which question and listing spell differently, and a keyword."""
+    sets = skill_rows(spark, sf_dir).groupBy("order_key").agg(F.collect_set("skill").alias("skills"))
+    rows = listings(spark, sf_dir).withColumn("description", F.lit(None).cast("string")).join(sets, "order_key")
+    return rows.where(predicates.compile_filters({"skills": "BRAND#11, brand#22", "keywords": "1"}, AS_OR)).select("id")
+
+
+@query("q101_names_israel", "SELECT n_nationkey, page_id, contains(replace(lower(n_name || ' ' || url), 'beth israel', ' '), 'israel') OR regexp_matches(replace(lower(n_name || ' ' || url), 'beth israel', ' '), 'haifa|tlv|kiryat|rishon|yehud|yavne|modiin') AS israel FROM pages JOIN nation ON n_nationkey = page_id % 25")
+def q101(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' addresses beside nations' names: which of them name Israel."""
+    both = table(spark, sf_dir, "pages").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("page_id") % 25)
+    return both.select("n_nationkey", "page_id", places.names_israel(F.concat_ws(" ", "n_name", "url")).alias("israel"))
