@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import w3c
 from ..functions.money import base_salary
+from . import evaluate, facets, listing, stats
+from .predicates import compile_filters
 
 RETAIN_DAYS, SITEMAP_SIZE, FEED_SIZE, FRAGMENT_ROWS, ARCHIVE_PARTS = 30, 40_000, 100, 25, 8
+FRAGMENT_BYTES = 12 << 20
 
 
 def archived(jobs: DataFrame, as_of: datetime, days: int = RETAIN_DAYS) -> tuple[DataFrame, DataFrame]:
@@ -25,9 +29,15 @@ def write_archive(rows: DataFrame, path: str) -> None:
     rows.repartition("closed_month", part).write.mode("append").partitionBy("closed_month").option("compression", "gzip").json(path)
 
 
-def write_fragments(results: DataFrame, path: str) -> None:
-    """Changed company results as JSON, at most 25 in a file; unchanged ones are left out."""
-    results.where(~F.coalesce("unchanged", F.lit(False))).write.mode("append").option("maxRecordsPerFile", FRAGMENT_ROWS).json(path)
+def write_fragments(results: DataFrame, path: str, most: int = FRAGMENT_ROWS, most_bytes: int = FRAGMENT_BYTES) -> None:
+    """Changed company results as JSON in the order of their keys, at most `most` in a file and about most_bytes; unchanged ones are left out.
+
+    The bytes of a file are kept by the mean size of a result, so that a file's rows times their size stay within the bound.
+    """
+    changed = results.where(~F.coalesce("unchanged", F.lit(False)))
+    mean = changed.agg(F.avg(F.octet_length(F.to_json(F.struct(*changed.columns))))).first()[0] or 1
+    fit = max(1, min(most, int(most_bytes // mean)))
+    changed.sortWithinPartitions(changed.columns[0]).write.mode("append").option("maxRecordsPerFile", fit).json(path)
 
 
 def write_shards(rows: DataFrame, path: str, shard: Column) -> None:
@@ -63,15 +73,49 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def json_ld() -> Column:
-    """A listing as schema.org JobPosting."""
+    """A listing as schema.org JobPosting, with its pay where it is disclosed."""
     place = F.struct(F.lit("Place").alias("@type"), F.col("location").alias("address"))
-    pay = F.get_json_object(base_salary(F.col("salary_text"), F.col("salary_source")), "$.currency")
+    pay = F.from_json(base_salary(F.col("salary_text"), F.col("salary_source")), "currency string, value struct<maxValue:double,minValue:double,unitText:string>")
+    worth = F.struct(F.lit("QuantitativeValue").alias("@type"), *[pay["value"][c].alias(c) for c in ("minValue", "maxValue", "unitText")])
+    salary = F.when(pay.isNotNull(), F.struct(F.lit("MonetaryAmount").alias("@type"), pay["currency"].alias("currency"), worth.alias("value")))
     return F.to_json(F.struct(
         F.lit("https://schema.org/").alias("@context"), F.lit("JobPosting").alias("@type"), F.col("title"), F.date_format("posted_at", "yyyy-MM-dd").alias("datePosted"),
-        F.struct(F.lit("Organization").alias("@type"), F.col("company_domain").alias("name")).alias("hiringOrganization"), place.alias("jobLocation"), pay.alias("salaryCurrency"),
+        F.struct(F.lit("Organization").alias("@type"), F.col("company_domain").alias("name")).alias("hiringOrganization"), place.alias("jobLocation"), salary.alias("baseSalary"),
     ))
 
 
+#: The questions whose answers are stored: confidence, roles, country.
+VARIANTS = [{"confidence": c, **({"roles": "tech"} if r else {}), **({"israel_only": "1"} if i else {})} for c in ("verified", "all") for r in (False, True) for i in (False, True)]
+
+
+def precomputed(jobs: DataFrame, as_of: datetime, variants: list[dict] | None = None) -> DataFrame:
+    """(key, name, answer): each variant's facets and figures as JSON, under the key by which `facets.precomputed_key` finds them.
+
+    A facet is a short list by its own limit, so an answer is one row.
+    """
+    out = []
+    for params in VARIANTS if variants is None else variants:
+        tables = facets.compute(jobs, params, as_of) | {"stats": stats.scoped(jobs.where(compile_filters(params | {"include_closed": "1"}, as_of)), as_of)}
+        for name, rows in tables.items():
+            answer = F.to_json(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("_n"), *rows.columns)))) if "n" in rows.columns else F.to_json(F.collect_list(F.struct(*rows.columns)))
+            out.append(rows.agg(answer.alias("answer")).select(F.lit(facets.precomputed_key(params)).alias("key"), F.lit(name).alias("name"), "answer"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def first_page(jobs: DataFrame, companies: DataFrame, as_of: datetime, limit: int = 50) -> DataFrame:
+    """(rank, listing): the opening page as JSON, a row for each listing, and the number of all under rank 0."""
+    page = listing.page(jobs, companies, {"limit": str(limit)}, as_of)
+    at = F.row_number().over(Window.orderBy(*listing.order({}, as_of)))  # a page's rows
+    rows = page.select(at.alias("rank"), F.to_json(F.struct(*page.columns)).alias("listing"))
+    total = jobs.where(compile_filters({}, as_of)).agg(F.to_json(F.struct(F.count(F.lit(1)).alias("total"))).alias("listing"))
+    return total.select(F.lit(0).alias("rank"), "listing").unionByName(rows)
+
+
+def salary_matrix(rows: DataFrame, levels: list[tuple[str, list[str]]], pay: str, least: int = evaluate.LEAST) -> DataFrame:
+    """(level, key, cell): the learned pay cells as JSON, for answers without the listings themselves."""
+    return evaluate.cells(rows, levels, pay, least).select("level", "key", F.to_json(F.struct("n", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))).alias("cell"))
+
+
 def write_version(rows: DataFrame, path: str, version: int) -> str:
     """A new version of a table in a folder of its own; readers move on when they are told its name."""
     where = f"{path}/v={version}"

@@ -34,6 +34,27 @@ def token_table(jobs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     return jobs.select("id", texts).select("id", "x.field", F.posexplode(tokens(F.col("x.text"))).alias("pos", "token"))
 
 
+def write_index(table: DataFrame, path: str, parts: int = 64) -> DataFrame:
+    """The token table as Parquet whose files each hold their own tokens in order, so that a word's question reads a few row groups.
+
+    A token's rows are spread over four files at least, as a frequent word may be a large share of all.
+    """
+    rows = table.repartition(parts, "token", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("token", "id")
+    rows.write.mode("errorifexists").parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def complete(table: DataFrame, jobs: DataFrame) -> bool:
+    """Whether every listing with a text has tokens in the table; a search must not trust an index that lacks some."""
+    some = reduce(Column.__or__, [F.size(tokens(F.coalesce(F.col(f), F.lit("")))) > 0 for f in SEARCH_FIELDS if f in jobs.columns])
+    return jobs.where(some).select("id").join(table.select("id").distinct(), "id", "left_anti").isEmpty()
+
+
+def rebuilt(jobs: DataFrame, path: str, version: int) -> DataFrame:
+    """A new index of all listings in a folder of its own; readers move on once it is whole."""
+    return write_index(token_table(jobs), f"{path}/v={version}")
+
+
 def changed_tokens(table: DataFrame, jobs: DataFrame, changed: DataFrame) -> DataFrame:
     """The token table after the listings whose ids are in changed got new texts or went."""
     return table.join(changed, "id", "left_anti").unionByName(token_table(jobs.join(changed, "id", "left_semi")))
@@ -51,11 +72,14 @@ def matches(table: DataFrame, term: str, field: str | None = None) -> DataFrame:
     return (rows.limit(0) if found is None else found).select("id").distinct()
 
 
-def search(jobs: DataFrame, table: DataFrame, raw: str, mode: str = "all") -> DataFrame:
-    """Listings with all or any of the terms; terms that the tokens cannot answer are met as substrings."""
+def search(jobs: DataFrame, table: DataFrame | None, raw: str, mode: str = "all") -> DataFrame:
+    """Listings with all or any of the terms; terms that the tokens cannot answer are met as substrings, without a table all are."""
     terms, _ = search_terms(raw)
     if not terms:
         return jobs
+    if table is None:
+        parts = [any_field(t, [f for f in SEARCH_FIELDS if f in jobs.columns]) for t in terms]
+        return jobs.where(reduce(Column.__or__ if mode == "any" else Column.__and__, parts))
     if mode == "any":
         ids = [matches(table, t) if index_safe(t) else jobs.where(any_field(t, [f for f in SEARCH_FIELDS if f in jobs.columns])).select("id") for t in terms]
         return jobs.join(reduce(DataFrame.union, ids).distinct(), "id", "left_semi")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,14 +39,16 @@ def record(state: DataFrame, results: DataFrame, watched: DataFrame) -> DataFram
 
 
 def streamed(polls: DataFrame) -> DataFrame:
-    """The same intervals as state of a stream of polls (domain, changed, failed, polled_at), in the order of their times."""
+    """The same intervals as state of a stream of polls (domain, changed, failed, polled_at, and watched if there is), in the order of their times."""
+    watched = "watched" in polls.columns
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         interval = state.get[0] if state.exists else BUSY
         rows = pd.concat(list(batches)).sort_values("polled_at")
-        for changed, failed in zip(rows["changed"], rows["failed"], strict=True):
-            interval = interval if failed else BUSY if changed else min(int(interval * GROWTH), QUIET)
+        for changed, failed, seen in zip(rows["changed"], rows["failed"], rows["watched"] if watched else [False] * len(rows), strict=True):
+            interval = interval if failed else BUSY if changed else min(int(interval * GROWTH), WATCHED if seen else QUIET)
         state.update((interval,))
-        yield pd.DataFrame({"domain": [key[0]], "interval_s": [interval], "next_at": [rows["polled_at"].iloc[-1] + timedelta(seconds=interval)]})
+        yield pd.DataFrame({"domain": [key[0]], "interval_s": [interval], "polled_at": [rows["polled_at"].iloc[-1]]})
 
-    return polls.groupBy("domain").applyInPandasWithState(step, "domain string, interval_s int, next_at timestamp", "interval_s int", "update", GroupStateTimeout.NoTimeout)
+    kept = polls.groupBy("domain").applyInPandasWithState(step, "domain string, interval_s int, polled_at timestamp", "interval_s int", "update", GroupStateTimeout.NoTimeout)
+    return kept.select("domain", "interval_s", F.timestamp_add("SECOND", jittered(F.col("interval_s"), F.col("domain")), F.col("polled_at")).alias("next_at"))
