@@ -135,6 +135,9 @@ def repeats(calls: DataFrame, results: DataFrame) -> DataFrame:
     out = None
     for rows, kind, columns in ((calls, "repeated call", ["name", "arguments", "needs"]), (results, "repeated result", ["content"])):
         own = rows.where("conv_id is not null and call_id is not null")
+        # only identifiers are shuffled to find the repeated ones, which are a table of their own whose size Spark knows
+        often = own.groupBy(F.col("conv_id").alias("often_conv"), F.col("call_id").alias("often_id")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+        own = own.join(stored(often, "repeated"), (F.col("conv_id") == F.col("often_conv")) & (F.col("call_id") == F.col("often_id")), "left_semi")
         own = own.groupBy("conv_id", "call_id", F.struct(F.coalesce("position", F.lit(2**62)).alias("p"), "position", *columns).alias("x")).agg(F.count(F.lit(1)).alias("times"))
         first = own.groupBy(F.col("conv_id").alias("c"), F.col("call_id").alias("k")).agg(F.min("x").alias("first"))
         own = own.join(first, (F.col("conv_id") == F.col("c")) & (F.col("call_id") == F.col("k"))).where(~F.col("x").eqNullSafe(F.col("first")))
