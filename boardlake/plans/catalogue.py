@@ -525,7 +525,7 @@ def _pay_sql(column: str, gone: str) -> str:
 n AS (SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN description WHEN event_id % 4 = 1 THEN '' END AS description) FROM ({_half_sql('>=')}))
 SELECT coalesce(a.id, n.id) AS id, coalesce(n.event_id, a.event_id) AS event_id, coalesce(n.title, a.title) AS title, coalesce(n.department, a.department) AS department, coalesce(n.ats, a.ats) AS ats,
 CASE WHEN n.id IS NOT NULL AND (a.id IS NULL OR n.description <> '') THEN n.description ELSE a.description END AS description,
-CASE WHEN n.id IS NOT NULL AND (a.id IS NULL OR len(n.skills) > 0) THEN n.skills ELSE a.skills END AS skills,
+array_to_string(CASE WHEN n.id IS NOT NULL AND (a.id IS NULL OR len(n.skills) > 0) THEN n.skills ELSE a.skills END, ',') AS skills,
 CASE WHEN a.id IS NULL AND n.ats = 'comeet' THEN {T_EV} WHEN a.id IS NOT NULL AND n.ats IN ('workday', 'comeet') THEN a.ts ELSE coalesce(n.ts, a.ts) END AS posted_at,
 {_pay_sql('salary_text', 'NULL')}, {_pay_sql('salary_is_estimate', 'false')}, {_pay_sql('salary_source', 'NULL')},
 CASE WHEN a.id IS NOT NULL THEN a.ts ELSE {T_EV} END AS first_seen, CASE WHEN n.id IS NOT NULL THEN {T_EV} ELSE a.ts END AS last_seen,
@@ -534,7 +534,7 @@ FROM a FULL JOIN n ON a.id = n.id""")
 def q61(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first half of the events as stored rows, merged with the second by the rules of every field."""
     old, new = _halves(spark, sf_dir)
-    return merge.upsert(old, new, AS_EV)
+    return merge.upsert(old, new, AS_EV).withColumn("skills", F.array_join("skills", ","))
 
 
 @query("q62_close_missing", f"""WITH {LISTINGS}, whole AS (SELECT DISTINCT company_domain FROM l WHERE order_key % 4 = 0), seen AS (SELECT id FROM l WHERE order_key % 2 = 0)
