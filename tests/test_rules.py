@@ -39,7 +39,9 @@ def test_pay_ladder(spark):
     assert got[99]["posted_at"] == NOW and got[0]["posted_at"] == NOW - timedelta(days=3)
 
 
-def test_middle(spark):
+@pytest.mark.parametrize("few", [0, exact.FEW])
+def test_middle(spark, monkeypatch, few):
+    monkeypatch.setattr(exact, "FEW", few)
     for v in ([3.0], [1.0, 2.0], [5.0, 5.0, 1.0], [float(i * i % 101) for i in range(500)], [1e-300, 1e300, 0.0, -1e300], [7.0] * 9 + [8.0] * 9):
         s = sorted(v)
         assert exact.middle(spark.createDataFrame([(x,) for x in v], "x double"), F.col("x")) == (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
