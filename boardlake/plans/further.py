@@ -194,7 +194,7 @@ def q94(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("q95_captures_greenhouse", """WITH j AS (SELECT l_orderkey, l_linenumber AS id, CASE WHEN l_partkey % 4 > 0 THEN l_partkey % 3 END AS internal, l_returnflag AS title, l_linestatus AS location, strftime(l_shipdate, '%Y-%m-%d') AS published, l_shipdate FROM lineitem),
-r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, coalesce(CAST(internal AS VARCHAR), 'p' || id), CASE WHEN internal IS NOT NULL THEN title || location END ORDER BY published, id) AS k FROM j)
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, coalesce(CAST(internal AS VARCHAR), 'p' || id), CASE WHEN internal IS NOT NULL THEN title || location END ORDER BY published, id, l_shipdate, title, location) AS k FROM j)
 SELECT CAST(l_orderkey AS VARCHAR) AS token, CAST(id AS VARCHAR) AS external_id, title, location, 'https://job-boards.greenhouse.io/embed/job_app?for=' || l_orderkey || '&token=' || id AS url, l_shipdate AS posted_at FROM r WHERE k = 1""")
 def q95(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as captured boards and their lines (seven at most) as postings: parsed, several postings of one job as one."""

@@ -244,9 +244,9 @@ def parse(captures: DataFrame, kind: str, as_of: Column | None = None) -> DataFr
 
 
 def distinct_postings(rows: DataFrame) -> DataFrame:
-    """One posting for each internal job, title and location, and for each id of postings without one: the one published first, then the lowest id."""
+    """One posting for each internal job, title and location, and for each id of postings without one: the one published first, then the lowest id; of repeated ids the first title, then the first location."""
     job = F.when(F.col("_internal").isNotNull(), F.struct(F.col("_internal").alias("j"), F.col("title").alias("t"), F.col("location").alias("l"))).otherwise(F.struct(F.concat(F.lit("posting "), "external_id").alias("j"), F.lit(None).cast("string").alias("t"), F.lit(None).cast("string").alias("l")))
-    order = F.struct(F.coalesce("_published", F.lit("")), F.col("external_id").try_cast("long"), F.col("posted_at").isNull(), "posted_at")
+    order = F.struct(F.coalesce("_published", F.lit("")), F.col("external_id").try_cast("long"), F.col("posted_at").isNull(), "posted_at", "title", F.coalesce("location", F.lit("")))
     one = rows.groupBy("domain", "ats", job.alias("_job")).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("domain", "ats")]), order).alias("_r"))
     return one.select("domain", "ats", "_r.*")
 
