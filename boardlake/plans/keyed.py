@@ -172,13 +172,13 @@ def q119(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.clean_company_name(titled).alias("name"))
 
 
-@query("q120_names_of_tokens", "SELECT c_custkey, 'acme-' || c_custkey AS stem, ['acme-' || c_custkey, 'acme' || c_custkey, 'acme-' || c_custkey || 'io'] AS candidates, ['acme' || c_custkey || '-jobs', 'acme' || c_custkey, 'acme' || c_custkey || 'jobs'] AS stems, c_custkey % 2 = 0 AS shaped FROM customer")
+@query("q120_names_of_tokens", "SELECT c_custkey, 'acme-' || c_custkey AS stem, concat_ws(' ', 'acme-' || c_custkey, 'acme' || c_custkey, 'acme-' || c_custkey || 'io') AS candidates, concat_ws(' ', 'acme' || c_custkey || '-jobs', 'acme' || c_custkey, 'acme' || c_custkey || 'jobs') AS stems, c_custkey % 2 = 0 AS shaped FROM customer")
 def q120(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A domain's first label, the board tokens worth trying for it, a token's names, and whether a domain is shaped like a token."""
     k = F.col("c_custkey").cast("string")
     domain, token = F.concat(F.lit("Acme-"), k, F.lit(".io")), F.concat(F.lit("Acme"), k, F.lit("-jobs"))
     board = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("ACME-"), k, F.lit("/careers"))).otherwise(token)
-    return table(spark, sf_dir, "customer").select("c_custkey", text.domain_stem(domain).alias("stem"), text.token_candidates(domain).alias("candidates"), text.name_stems(token).alias("stems"), text.token_shaped(domain, board).alias("shaped"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.domain_stem(domain).alias("stem"), F.array_join(text.token_candidates(domain), " ").alias("candidates"), F.array_join(text.name_stems(token), " ").alias("stems"), text.token_shaped(domain, board).alias("shaped"))
 
 
 @query("q121_real_logos", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE url || '/logo.png' END AS logo, CAST(bit_count(xor(page_id * 2654435761, CAST(length(url) AS BIGINT) * 40503)) AS INTEGER) AS distance FROM pages")
@@ -287,3 +287,14 @@ def q131(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q132(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a word that no letter or digit touches, without an index."""
     return documents(spark, sf_dir).where(predicates.whole_word(F.col("description"), "Anat")).select("id")
+
+
+#: crc32 of a text of ASCII characters, bit by bit: 3988292384 is its polynomial.
+CRC32 = """xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split({0}, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: list_reduce([xor(c, b)] || CAST(range(8) AS BIGINT[]), lambda d, i: xor(d >> 1, 3988292384 * (d & 1)))))"""
+
+
+@query("q156_hash_shard_sizes", f"WITH {LISTINGS} SELECT {CRC32.format('id')} % 30 AS shard, count(*) AS n, min(id) AS first_id FROM l GROUP BY 1")
+def q156(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings in shards by crc32 of their ids: each shard's size and first id."""
+    rows = listings(spark, sf_dir).select("id", merge.hash_shard(F.col("id"), 30).alias("shard"))
+    return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))

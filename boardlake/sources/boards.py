@@ -213,7 +213,7 @@ def _first(item: Column, paths: Field) -> Column:
 def parse(captures: DataFrame, kind: str, as_of: Column | None = None) -> DataFrame:
     """The postings of captures of one kind of JSON board, with clean texts; lists at their cap count as incomplete.
 
-    A board that shows nothing but its vendor's demo titles is a miss.
+    A board that shows nothing but its vendor's demo titles is a miss. Of an id that a board lists again the first posting counts.
     """
     spec = SPECS[kind]
     own = captures.where(F.col("ats") == kind)
@@ -224,7 +224,7 @@ def parse(captures: DataFrame, kind: str, as_of: Column | None = None) -> DataFr
     if spec.demo:
         titles = F.transform("_items", lambda x: _first(x, spec.title))
         listed = listed.where(F.size(F.array_except(titles, F.array(*map(F.lit, spec.demo)))) > 0)
-    rows = listed.select("domain", "ats", "token", "complete", F.explode("_items").alias("x"))
+    rows = listed.select("domain", "ats", "token", "complete", F.posexplode("_items").alias("_at", "x"))
     rows = rows.where(spec.where) if spec.where else rows
     x = F.col("x")
     posted = dates.relative(_first(x, spec.posted), as_of if as_of is not None else F.lit(None).cast("timestamp")) if kind == "workday" else spec.date(_first(x, spec.posted))
@@ -237,10 +237,12 @@ def parse(captures: DataFrame, kind: str, as_of: Column | None = None) -> DataFr
         "department": _first(x, spec.department), "description": clean_text(_first(x, spec.description)) if spec.description else F.lit(None).cast("string"), "seniority": level, "workplace_type": place, "salary_text": _first(x, spec.salary),
     }
     more = {"_internal": F.get_json_object(x, "$.internal_job_id"), "_published": F.get_json_object(x, "$.first_published")} if kind == "greenhouse" else {"_item": x} if kind == "wprest" else {}
-    out = rows.select("domain", "ats", "token", *[c.alias(n) for n, c in (fields | more).items()], "complete").where("title is not null")
+    out = rows.select("domain", "ats", "token", *[c.alias(n) for n, c in (fields | more).items()], "complete", "_at").where("title is not null")
     if kind == "greenhouse":
         return distinct_postings(out).select(*POSTING)
-    return out.dropDuplicates(["domain", "ats", "external_id"]).select(*POSTING, *more)
+    rest = [c for c in out.columns if c not in ("domain", "ats", "external_id")]
+    one = out.groupBy("domain", "ats", "external_id").agg(F.min_by(F.struct(*rest), F.struct("token", "_at")).alias("_r"))
+    return one.select("domain", "ats", "external_id", "_r.*").select(*POSTING, *more)
 
 
 def distinct_postings(rows: DataFrame) -> DataFrame:

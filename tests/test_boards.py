@@ -60,6 +60,17 @@ def test_kind(captures, kind):
         assert rows[1]["location"] == "DC" and rows[1]["salary_text"] is None
 
 
+def test_the_first_posting_of_an_id_counts(spark):
+    rows = [("r.com", "workable", "t", json.dumps({"jobs": [{"shortcode": "s", "title": t} for t in ("one", "two", "one")]}), True)]
+    got = boards.parse(spark.createDataFrame(rows, "domain string, ats string, token string, payload string, complete boolean"), "workable")
+    assert [(r["external_id"], r["title"]) for r in got.collect()] == [("s", "one")]
+    same = {"id": 5, "updated_at": "2024-01-02T00:00:00Z"}
+    rows = [("g.com", "greenhouse", "t", json.dumps({"jobs": [same | {"title": t} for t in order]}), True) for order in (("b", "a"), ("a", "b"))]
+    for row in rows:
+        got = boards.parse(spark.createDataFrame([row], "domain string, ats string, token string, payload string, complete boolean"), "greenhouse")
+        assert [r["title"] for r in got.collect()] == ["a"]
+
+
 def test_terms_and_lines(captures, spark):
     terms = spark.createDataFrame([("wprest.com", "region", 1, "Gush Dan", "place"), ("wprest.com", "region", 2, "North", "place"), ("wprest.com", "job-category", 9, "QA", "field"), ("wprest.com", "region", 3, "unused", "place")], "domain string, taxonomy string, term_id long, name string, kind string")
     got = boards.with_terms(boards.parse(captures, "wprest"), terms).first()
