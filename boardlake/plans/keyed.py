@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import places, text
+from ..functions import places, skills, text
 from ..operators import alerts, explore, facets, listing, merge, predicates, publish, search, stats
 from ..sources import boards
 from ..sources.tables import table
@@ -298,3 +298,18 @@ def q156(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings in shards by crc32 of their ids: each shard's size and first id."""
     rows = listings(spark, sf_dir).select("id", merge.hash_shard(F.col("id"), 30).alias("shard"))
     return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+VOCABULARY = [skills.Rule("Python", ["python"]), skills.Rule("Spark", exact=["Spark"], context=True, also=["Big Data"]), skills.Rule("Ruby", exact=["Ruby"], context=True), skills.Rule("Canva", ["canva"], whole=True)]
+
+
+@query("q157_skills_by_rule", "SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'Spark, Big Data' WHEN 2 THEN 'Python' WHEN 5 THEN 'Python, Ruby' WHEN 6 THEN 'Ruby' WHEN 7 THEN 'Canva' ELSE '' END AS skills FROM customer")
+def q157(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills by a cue, not in a person's name, of a version, not of a longer word, under a heading after a name, in a list, beside a cue, and after a negation."""
+    name = F.col("c_name")
+    told = [
+        F.concat(name, F.lit(": Senior Spark Engineer")), F.concat(F.lit("Call Ruby Chen, "), name), F.concat(F.lit("python3 for "), name), F.concat(F.lit("A canvas of "), name),
+        F.concat(F.lit("References: Ruby Chen; "), name), F.concat(name, F.lit("\n- Python\n- Ruby")), F.concat(F.lit("Tools: Ruby\n"), name), F.concat(F.lit("No prior experience with Python, "), name, F.lit(". Uses canva")),
+    ]
+    said = F.element_at(F.array(*told), (F.col("c_custkey") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(skills.skills_udf(VOCABULARY)(said), ", ").alias("skills"))

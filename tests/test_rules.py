@@ -74,6 +74,20 @@ def test_skill_context(spark):
     assert skills.extractor(skills.rules_from(table))("RUST, Zig; the Zig") == ["Rust", "Zig"]
 
 
+def test_skill_names_versions_and_implied_labels():
+    rules = [skills.Rule("Kubernetes", ["kubernetes"]), skills.Rule("EKS", ["eks"], also=["Kubernetes", "AWS"]), skills.Rule("Swift", exact=["Swift"], context=True), skills.Rule("Canva", ["canva"], whole=True), skills.Rule("C++", ["c++"])]
+    of = skills.extractor(rules)
+    assert of("Taylor Swift") == of("Interests: Taylor Swift") == []
+    assert of("Swift Chen, kubernetes") == ["Kubernetes"] and of("Taylor Swift\nkubernetes") == ["Kubernetes"]
+    assert of("Senior Swift Engineer") == of("Skills: Swift") == of("Frontend: Swift") == ["Swift"]
+    assert of("Native Swift; kubernetes") == ["Kubernetes"] and of("Native Swift, kubernetes") == ["Swift", "Kubernetes"]
+    assert of("EKS") == ["Kubernetes", "EKS", "AWS"]  # one place: by the vocabulary's order
+    assert of("kubernetes2, eks2, canva2, canvas, C++17") == ["Kubernetes", "C++"]  # a short spelling takes no version, a whole one nothing
+    assert of("currently learning kubernetes. canva") == ["Canva"]
+    assert of("* Swift\n\n* kubernetes") == ["Swift", "Kubernetes"] and of("* Swift is what this one longer line tells of\n* kubernetes") == ["Kubernetes"]
+    assert skills.extractor([])("python") == of(None) == of("") == []
+
+
 def test_places_by_every_rule(spark):
     got = values(spark, lambda c: places.countries_udf()(c), "Austin, TX", "DEU", "Zurich, Switzerland", "Herzliya", "Ohio", "Beth Israel Deaconess", "All France (remote)", "US Remote", "Lyon, France; Yehud office", "New York Office")
     assert got == [["US"], ["DE"], ["CH"], ["IL"], ["US"], [], ["FR"], ["US"], ["IL", "FR"], ["US"]]
