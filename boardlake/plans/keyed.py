@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import places, skills, text
+from ..functions import places, salary, skills, text
 from ..operators import alerts, explore, facets, listing, merge, predicates, publish, search, stats
 from ..sources import boards
 from ..sources.tables import table
@@ -313,3 +313,20 @@ def q157(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     said = F.element_at(F.array(*told), (F.col("c_custkey") % 8 + 1).cast("int"))
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(skills.skills_udf(VOCABULARY)(said), ", ").alias("skills"))
+
+
+@query("q158_pay_table", """WITH p AS (SELECT n_nationkey % 3 AS role, n_nationkey // 3 % 4 AS band, max(20 + n_nationkey) AS low, arg_max(20 + n_nationkey + 12 * (n_nationkey % 5), n_nationkey) AS high FROM nation WHERE n_nationkey % 3 <> 1 OR n_nationkey // 3 % 4 < 2 GROUP BY 1, 2),
+j AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END WHEN 1 THEN 1 WHEN 2 THEN 2 END AS role, CASE o_orderkey % 7 WHEN 0 THEN 0 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN NULL ELSE 1 END AS band FROM orders)
+SELECT o_orderkey, CASE WHEN high <= 2 * low THEN CAST(low AS DOUBLE) END AS est_low, CASE WHEN high <= 2 * low THEN CAST(high AS DOUBLE) END AS est_high
+FROM j LEFT JOIN p ON j.role = p.role AND CASE WHEN j.role = 1 AND j.band > 1 THEN 1 ELSE j.band END = p.band""")
+def q158(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates of a pay table: roles by title, generic ones by text, the nearest band of a role that lacks its own, and no wide ranges."""
+    n, k = F.col("n_nationkey"), F.col("o_orderkey")
+    pick = lambda of, *values: F.element_at(F.array(*map(F.lit, values)), (of % len(values) + 1).cast("int"))
+    pay = table(spark, sf_dir, "nation").select(pick(n, "backend", "python", "java").alias("role"), pick(F.floor(n / 3), *salary.BANDS).alias("band"), (20 + n).cast("double").alias("low"), (20 + n + 12 * (n % 5)).cast("double").alias("high"))
+    pay = pay.where("role <> 'python' or band in ('0-2', '3-5')")
+    jobs = table(spark, sf_dir, "orders").select(
+        "o_orderkey", pick(k, "Backend Engineer", "Python Developer", "Java Developer", "Brand Designer").alias("title"), pick(k, "We write Python", "A Java shop", None, "Security", "").alias("description"),
+        pick(k, "junior", "mid", "senior", "lead", "exec", None, "unknown").alias("seniority"),
+    )
+    return salary.table_estimate(jobs, pay, [("python", ["python"]), ("java", ["java"]), ("backend", ["backend"])]).select("o_orderkey", "est_low", "est_high")

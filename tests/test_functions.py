@@ -104,3 +104,13 @@ def test_pay_table(spark):
     pay = spark.createDataFrame([("backend", "3-5", 20.0, 30.0), ("backend", "5-8", 1.0, 99.0)], "role string, band string, low double, high double")
     got = {r["id"]: r["est_low"] for r in salary.table_estimate(jobs, pay, [("backend", ["backend"])]).collect()}
     assert got == {1: 20.0, 2: 20.0, 3: None, 4: None}
+
+
+def test_pay_table_refines_generic_roles_and_hides_wide_ranges(spark):
+    rows = [(1, "Backend Developer", "Python and Java", "mid"), (2, "Python Developer", "java", "mid"), (3, "Designer", "python", "mid"), (4, "Backend Developer", "", "lead"), (5, "Backend Developer", None, "junior"), (6, None, "python", "mid"), (7, "Backend Developer", "security", "director")]
+    jobs = spark.createDataFrame(rows, "id int, title string, description string, seniority string")
+    pay = spark.createDataFrame([("backend", "0-2", 10.0, 21.0), ("backend", "3-5", 20.0, 40.0), ("backend", "mgmt", None, 9.0), ("python", "3-5", 5.0, 6.0), ("python", "3-5", 30.0, 31.0), ("java", "3-5", 40.0, 41.0)], "role string, band string, low double, high double")
+    roles = [("python", ["python"]), ("java", ["java"]), ("backend", ["backend"])]
+    got = {r["id"]: (r["est_low"], r["est_high"]) for r in salary.table_estimate(jobs, pay, roles).collect()}
+    assert got == {1: (30.0, 31.0), 2: (30.0, 31.0), 3: (None, None), 4: (20.0, 40.0), 5: (None, None), 6: (None, None), 7: (None, None)}
+    assert salary.table_estimate(jobs.limit(0), pay.limit(0), roles).collect() == []
