@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat_tools, embedding_dedup, language_id, minhash, packing, sentencepieces, sharding, topk, toxicity, url_filter
+from . import chat_tools, conversation_trie, embedding_dedup, interpolation, language_id, lloyd, minhash, packing, sentencepieces, sharding, topk, toxicity, url_filter
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document under a model of deleted interpolation, and under single tokens."""
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
+def op12_dimension_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors after ten rounds in integers."""
+    return lloyd.clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10)
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations, with totals of its subtree."""
+    return conversation_trie.prefixes(conversation_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_balanced_sharding": op2_balanced_sharding,
@@ -76,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_length_bucket_packing": op8_length_bucket_packing,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_lm_scoring": op11_lm_scoring,
+    "op12_dimension_sharded_lloyd": op12_dimension_sharded_lloyd,
+    "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {

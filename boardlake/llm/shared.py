@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -34,19 +35,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
     It cuts the lineage, so that a lost executor costs a read of files instead of the whole plan.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     again = spark.read.schema(df.schema).parquet(path)
     again.stored_at = path
     return again
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a write go when the write has ended; for tables that are stored one after the other."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def free(df: DataFrame, name: str) -> str:
     """The name, with underscores in front until df has no such column."""
     while name in df.columns:
@@ -58,9 +71,13 @@ def forget(df: DataFrame) -> None:
     """Delete the files of a stored() table that nothing will read again."""
     path = df.__dict__.get("stored_at")
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        dropped(df.sparkSession, path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ranked(df: DataFrame, group: list[str], spread: Column, order: list[Column], rows: int, name: str = "rank", by: int = CHUNK) -> DataFrame:
