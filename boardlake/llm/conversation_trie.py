@@ -281,3 +281,22 @@ def prefixes(parts: tuple[DataFrame, DataFrame], limit: int = LIMIT, ratio: int
         told = found.join(digests(ends), KEY, "left").join(parents, (F.col("depth") == F.col("_d")) & (F.col("pa") == F.col("_a")) & (F.col("pb") == F.col("_b")), "left")
         nothing = F.lit(hashlib.sha256().hexdigest())
         return told.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", nothing).alias("ends_sha256"))
+
+
+#: crc32 of a conversation's id in decimal, bit by bit: 3988292384 is its polynomial.
+_CRC32 = "xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: list_reduce([xor(c, b)] || CAST(range(8) AS BIGINT[]), lambda d, i: xor(d >> 1, 3988292384 * (d & 1)))))"
+
+ORACLE = f"""WITH t AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS n FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id, n, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id)),
+r AS MATERIALIZED (SELECT c.conv_id, t.n AS depth, role, text FROM c JOIN t ON t.conv_id = c.base AND t.n <= c.h
+    UNION ALL SELECT c.conv_id, t.n - c.h + least(c.h, coalesce(b.n, 0)), role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.n > c.h LEFT JOIN c b ON b.conv_id = c.base),
+p AS MATERIALIZED (SELECT conv_id, length(text) AS points, list(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r
+    UNION ALL SELECT conv_id, 0, CAST([] AS VARCHAR[]) FROM c),
+n AS MATERIALIZED (SELECT path, min(conv_id) AS conv_id, count(*) AS n_convs, max(points) AS points FROM p GROUP BY path),
+k AS MATERIALIZED (SELECT path[1:len(path) - 1] AS path, count(*) AS n_children FROM n WHERE len(path) > 0 GROUP BY 1),
+u AS (SELECT n.path[1:g.d] AS path, count(*) FILTER (WHERE k.path IS NULL) AS n_leaves, sum((n_convs - 1) * points) AS saved
+    FROM n LEFT JOIN k USING (path), LATERAL (SELECT unnest(range(len(n.path) + 1)) AS d) g GROUP BY 1),
+e AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS s FROM (SELECT conv_id, arg_max(path, len(path)) AS path FROM p GROUP BY conv_id) GROUP BY path)
+SELECT n.conv_id, CAST(len(n.path) AS BIGINT) AS depth, CASE WHEN len(n.path) > 0 THEN o.conv_id END AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+    CAST(saved AS BIGINT) AS saved_tokens, coalesce(e.s, sha256('')) AS ends_sha256
+FROM n LEFT JOIN k USING (path) JOIN u USING (path) LEFT JOIN e USING (path) LEFT JOIN n o ON o.path = n.path[1:len(n.path) - 1]"""

@@ -222,3 +222,17 @@ def _rounds(blocks: DataFrame, kept: DataFrame, k: int, rounds: int, dims: int,
         forget(slices)
         slices = then
     return assigned(slices), slices
+
+
+def oracle(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """The same in SQL, round after round."""
+    near = lambda i: f"a{i} AS MATERIALIZED (SELECT r, CAST(min(d * {k} + c) % {k} AS INTEGER) AS c, min(d * {k} + c) // {k} AS d FROM (SELECT x.r, m.c, sum(CAST(x.x - m.x AS HUGEINT) * (x.x - m.x)) AS d FROM x JOIN m{i} m USING (j) GROUP BY x.r, m.c) GROUP BY r)"
+    moved = lambda i: f"m{i + 1} AS MATERIALIZED (SELECT m.c, m.j, coalesce(s.x, m.x) AS x FROM m{i} m LEFT JOIN (SELECT a.c, x.j, CAST((sum(CAST(x.x AS HUGEINT)) - (sum(CAST(x.x AS HUGEINT)) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS x FROM a{i} a JOIN x USING (r) GROUP BY a.c, x.j) s USING (c, j))"
+    steps = ", ".join(f"{near(i)}, {moved(i)}" for i in range(rounds))
+    return f"""WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, embedding) - 1 AS r, embedding AS e
+    FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = {dims}),
+x AS MATERIALIZED (SELECT r, j, CAST(floor({scale} * CAST(e[j] AS DOUBLE)) AS BIGINT) AS x FROM v, range(1, {dims + 1}) g(j)),
+m0 AS MATERIALIZED (SELECT r AS c, j, x FROM x WHERE r < {k}), {steps}, {near(rounds)},
+h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS s FROM m{rounds} GROUP BY c)
+SELECT vec_id, a.c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, h.s AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN h ON h.c = a.c"""

@@ -100,4 +100,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_tool_call_linking": chat_tools.ORACLE,
     "op8_length_bucket_packing": packing.oracle(),
     "op9_url_filter": url_filter.ORACLE,
+    "op12_dimension_sharded_lloyd": lloyd.oracle(),
+    "op13_conversation_prefix_trie": conversation_trie.ORACLE,
 }
