@@ -56,3 +56,20 @@ def table_estimate(jobs: DataFrame, pay: DataFrame, roles: list[tuple[str, list[
 def sourced(salary_text: Column, metro: Column, table_low: Column, learned_low: Column) -> Column:
     """Where a listing's pay comes from: disclosed, the table (in its own market), learned cells elsewhere, or nothing."""
     return F.when(disclosed(salary_text).isNotNull(), "disclosed").when((metro == "il") & table_low.isNotNull(), "table").when((metro != "il") & learned_low.isNotNull(), "estimated")
+
+
+# The currencies of markets with learned cells; those of the United States have names of their own.
+CURRENCIES = {"uk": "£", "ca": "CA$"}
+DOLLAR_MARKETS, DOLLAR = "us-", "$"
+
+
+def market_currency(metro: Column) -> Column:
+    """The currency in which a market's pay is learned; null for markets without one, the home market (which has a pay table) among them."""
+    known = F.create_map(*[F.lit(x) for kv in CURRENCIES.items() for x in kv])[metro]
+    return F.when(metro.startswith(DOLLAR_MARKETS), DOLLAR).otherwise(known)
+
+
+def monthly_thousands(low: Column, high: Column, currency: Column) -> Column:
+    """Annual ends as monthly thousands, '$8K - $11K', halves to even; one figure where both ends read alike."""
+    one = lambda x: F.concat(currency, F.format_number(F.bround(x / 12 / 1000, 0), 0), F.lit("K"))
+    return F.when(one(low) == one(high), one(low)).otherwise(F.concat(one(low), F.lit(" - "), one(high)))

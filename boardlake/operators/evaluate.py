@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.places import metro
+from ..functions.salary import market_currency, monthly_thousands
 from . import exact
 
 LEAST, LOW_PERCENT, HIGH_PERCENT, WIDEST = 5, 15, 85, 1.5
@@ -26,17 +28,22 @@ def band(values: Column) -> Column:
     return F.struct(quantile_exclusive(values, LOW_PERCENT).alias("low"), quantile_exclusive(values, HIGH_PERCENT).alias("high"))
 
 
+def _keys(levels: list[tuple[str, list[str]]]) -> Column:
+    """An array of struct(order, level, key): a row's key at each level of which it has all parts."""
+    out = []
+    for i, (name, parts) in enumerate(levels):
+        whole = reduce(Column.__and__, [F.col(k).isNotNull() & (F.col(k).cast("string") != "") for k in parts], F.lit(True))
+        out.append(F.when(whole, F.struct(F.lit(i).alias("order"), F.lit(name).alias("level"), F.concat_ws("|", *[F.col(k).cast("string") for k in parts]).alias("key"))))
+    return F.array_compact(F.array(*out))
+
+
 def cells(rows: DataFrame, levels: list[tuple[str, list[str]]], pay: str, least: int = LEAST, by: tuple[str, ...] = ()) -> DataFrame:
     """(level, key, n, least, most, low, high): for each level of a chain its keys with enough rows, their bounds and their band.
 
     A key with an empty part is none. The band is that of `band`, from the values at its four positions. by: further columns
     whose values have cells of their own, which come first.
     """
-    keyed = []
-    for name, keys in levels:
-        whole = reduce(Column.__and__, [F.col(k).isNotNull() & (F.col(k).cast("string") != "") for k in keys], F.lit(True))
-        keyed.append(F.when(whole, F.struct(F.lit(name).alias("level"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"))))
-    each = rows.select(*by, F.explode(F.array_compact(F.array(*keyed))).alias("x"), F.col(pay).alias("pay")).select(*by, "x.level", "x.key", "pay")
+    each = rows.select(*by, F.explode(_keys(levels)).alias("x"), F.col(pay).alias("pay")).select(*by, "x.level", "x.key", "pay")
     known = exact.cumulative(each, [*by, "level", "key"], "pay").where(F.col("n") >= least)
     n, sides = F.col("n"), []
     for percent in (LOW_PERCENT, HIGH_PERCENT):
@@ -48,16 +55,21 @@ def cells(rows: DataFrame, levels: list[tuple[str, list[str]]], pay: str, least:
     return found.select(*by, "level", "key", "n", "least", "most", edge("_low").alias("low"), edge("_high").alias("high"))
 
 
-def predict(rows: DataFrame, model: DataFrame, levels: list[tuple[str, list[str]]], widest: float = WIDEST, by: tuple[str, ...] = ()) -> DataFrame:
-    """rows with level, low, high of the first level whose cell is not too wide; by as in `cells`."""
-    model = model.where((F.col("high") - F.col("low")) / ((F.col("high") + F.col("low")) / 2) <= widest)
-    out, answers = rows, []
-    for i, (name, keys) in enumerate(levels):
-        own = model.where(F.col("level") == name).select(*[F.col(c).alias(f"_{c}{i}") for c in by], F.col("key").alias(f"_k{i}"), F.struct(F.lit(name).alias("level"), "low", "high").alias(f"_a{i}"))
-        on = [F.col(c) == F.col(f"_{c}{i}") for c in by]
-        out = out.join(own, reduce(Column.__and__, on, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) == F.col(f"_k{i}")), "left").drop(f"_k{i}", *[f"_{c}{i}" for c in by])
-        answers.append(F.col(f"_a{i}"))
-    return out.withColumn("_a", F.coalesce(*answers)).select(*rows.columns, "_a.level", "_a.low", "_a.high")
+def narrow(low: Column, high: Column, widest: float = WIDEST) -> Column:
+    """Whether a range may be shown: its low end is positive, and it is no wider than so many times that."""
+    return (low > 0) & ((high - low) / low <= widest)
+
+
+def predict(rows: DataFrame, model: DataFrame, levels: list[tuple[str, list[str]]], widest: float = WIDEST, by: tuple[str, ...] = (), key: str = "id") -> DataFrame:
+    """rows with level, low, high of the first level whose cell is not too wide; by as in `cells`. Rows are told apart by their key.
+
+    A row asks for its cells of all levels at once: one join, whatever the number of levels, and the answer of the first level stays.
+    """
+    own = [F.col(c).alias(f"_{c}") for c in by]
+    wanted = rows.select(F.col(key).alias("_id"), *own, F.explode(_keys(levels)).alias("a")).select("_id", *[f"_{c}" for c in by], "a.order", "a.level", "a.key")
+    told = model.where(narrow(F.col("low"), F.col("high"), widest)).select(*own, "level", "key", "low", "high")
+    best = wanted.join(told, [*[f"_{c}" for c in by], "level", "key"]).groupBy("_id").agg(F.min_by(F.struct("level", "low", "high"), "order").alias("_a"))
+    return rows.join(best, F.col(key) == F.col("_id"), "left").select(*rows.columns, "_a.level", "_a.low", "_a.high")
 
 
 def leave_one_out(rows: DataFrame, key: str, pay: str, least: int = LEAST) -> DataFrame:
@@ -88,17 +100,35 @@ def fold(key: Column, folds: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(folds))
 
 
-def backtest(rows: DataFrame, levels: list[tuple[str, list[str]]], pay: str, key: str, folds: int = 5) -> DataFrame:
-    """(rows, coverage, error, hit_rate, width) over folds by a hash of the key; each fold is predicted by the others."""
+def backtested(rows: DataFrame, levels: list[tuple[str, list[str]]], pay: str, key: str, folds: int = 5, widest: float = WIDEST) -> DataFrame:
+    """rows with level, low, high as the other folds' rows tell them, and flat, the median of all other folds; folds are by a hash of the key."""
     dealt = rows.withColumn("_fold", fold(F.col(key), folds))
-    others = F.filter(F.array(*[F.lit(f).cast("long") for f in range(folds)]), lambda f: f != F.col("_fold"))
-    model = cells(dealt.withColumn("_fold", F.explode(others)), levels, pay, by=("_fold",))
-    both = predict(dealt, model, levels, by=("_fold",)).select(F.col(pay).alias("pay"), "low", "high").persist()
+    others = F.explode(F.filter(F.array(*[F.lit(f).cast("long") for f in range(folds)]), lambda f: f != F.col("_fold")))
+    learned = dealt.withColumn("_fold", others)
+    found = predict(dealt, cells(learned, levels, pay, by=("_fold",)), levels, widest, ("_fold",), key)
+    known = exact.cumulative(learned, ["_fold"], pay)
+    middles = known.groupBy("_fold").agg(((exact.at(F.floor((F.col("n") - 1) / 2), pay) + exact.at(F.floor(F.col("n") / 2), pay)) / 2).alias("flat"))
+    return found.join(F.broadcast(middles), "_fold", "left").drop("_fold")  # a row for each fold
+
+
+def backtest(rows: DataFrame, levels: list[tuple[str, list[str]]], pay: str, key: str, folds: int = 5, widest: float = WIDEST) -> DataFrame:
+    """(rows, coverage, error, flat_error, hit_rate, width) over folds by a hash of the key; each fold is predicted by the others.
+
+    error is of the range's middle, flat_error of one median for all rows, width in parts of the range's low end.
+    """
+    both = backtested(rows, levels, pay, key, folds, widest).select(F.col(pay).alias("pay"), "low", "high", "flat").persist()
     mid, some = (F.col("low") + F.col("high")) / 2, F.col("low").isNotNull()
-    error, width = exact.middle(both, F.abs(mid - F.col("pay")) / F.col("pay")), exact.middle(both, (F.col("high") - F.col("low")) / mid)
+    error, width = exact.middle(both, F.abs(mid - F.col("pay")) / F.col("pay")), exact.middle(both, (F.col("high") - F.col("low")) / F.col("low"))
+    flat = exact.middle(both, F.abs(F.col("flat") - F.col("pay")) / F.col("pay"))
     n, covered, hit = both.agg(F.count(F.lit(1)), F.count_if(some), F.avg(F.when(some, F.col("pay").between(F.col("low"), F.col("high")).cast("double")))).first()
     both.unpersist()
-    return rows.sparkSession.createDataFrame([(n, covered / n if n else None, error, hit, width)], "rows long, coverage double, error double, hit_rate double, width double")
+    return rows.sparkSession.createDataFrame([(n, covered / n if n else None, error, flat, hit, width)], "rows long, coverage double, error double, flat_error double, hit_rate double, width double")
+
+
+def answered(found: DataFrame) -> DataFrame:
+    """(level, n, share): which level's cells answered how many of the rows that have an answer."""
+    n = found.where("level is not null").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))  # a row for each level
 
 
 def confusion(rows: DataFrame, truth: Column, verdict: Column, unknown: Column) -> DataFrame:
@@ -108,3 +138,24 @@ def confusion(rows: DataFrame, truth: Column, verdict: Column, unknown: Column)
         tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"), F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, tp + fn).alias("recall"),
         F.try_divide(F.count_if(unknown), F.count(F.lit(1))).alias("unknown_share"),
     )
+
+
+#: The chain of an estimate by learned cells, the tightest first; a market stands for the location.
+CHAIN = [
+    ("company+metro+seniority", ["company_domain", "metro", "seniority"]), ("company+seniority", ["company_domain", "seniority"]), ("metro+dept+seniority", ["metro", "department", "seniority"]),
+    ("metro+seniority", ["metro", "seniority"]), ("dept+seniority", ["department", "seniority"]), ("company+metro", ["company_domain", "metro"]), ("seniority", ["seniority"]),
+]
+
+
+def learned_pay(jobs: DataFrame, told: DataFrame, key: str = "id") -> DataFrame:
+    """jobs with learned_level, learned_low, learned_high, learned_currency, learned_text.
+
+    told: listings with disclosed annual pay (currency, pay). Cells are of one currency each. A job asks those of its market's
+    currency; one in no known market, or in the home market, has no answer.
+    """
+    placed = lambda df: df.withColumn("metro", metro(F.col("location")))
+    model = cells(placed(told), CHAIN, "pay", by=("currency",))
+    own = placed(jobs).withColumn("currency", market_currency(F.col("metro")))
+    found = predict(own, model, CHAIN, by=("currency",), key=key)
+    text = monthly_thousands(F.col("low"), F.col("high"), F.col("currency"))
+    return found.select(*jobs.columns, F.col("level").alias("learned_level"), F.col("low").alias("learned_low"), F.col("high").alias("learned_high"), F.when(F.col("level").isNotNull(), F.col("currency")).alias("learned_currency"), F.when(F.col("level").isNotNull(), text).alias("learned_text"))

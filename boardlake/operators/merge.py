@@ -11,6 +11,7 @@ from ..functions.text import token_shaped
 
 # Boards whose dates are approximations, so that the first one seen stays.
 FROZEN_DATES = ["workday", "comeet", "checkpoint"]
+CREEPING_DATES = "comeet"
 TAKE_NEW = ["title", "location", "department", "url", "seniority", "workplace_type", "country", "city"]
 KEEP_OLD_WHEN_EMPTY = ["description", "description_sha", "skills"]
 SALARY = ["salary_text", "salary_is_estimate", "salary_source"]
@@ -44,12 +45,22 @@ def salary_branch(t, n) -> Column:
     return F.when(takes, "new").when(~stated & described & guessed(t), "none").otherwise("old")
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, run: datetime, key: str = "id") -> DataFrame:
+def tracked_domains(companies: DataFrame, ats: str = CREEPING_DATES) -> DataFrame:
+    """(company_domain) of companies that were on that kind of board before a run."""
+    return companies.where(F.col("ats") == ats).select(F.col("domain").alias("company_domain")).distinct()
+
+
+def upsert(stored: DataFrame, incoming: DataFrame, run: datetime, key: str = "id", tracked: DataFrame | None = None) -> DataFrame:
     """The stored table with incoming rows merged in by the rules of each field.
 
-    Both have one row for a key. Rows that are only stored stay as they are; merged rows are open and seen now.
+    Both have one row for a key. Rows that are only stored stay as they are; merged rows are open and seen now. tracked: the
+    companies (company_domain) that were on a comeet board before this run. That board's dates move with every touch, so of these a
+    listing that is new takes the run's time; all others keep the date that is told, the whole backlog of a new company too.
     """
     t, n = (lambda c: F.col(f"t.{c}")), (lambda c: F.col(f"n.{c}"))
+    if tracked is not None:
+        known = tracked.select(F.col("company_domain").alias("_known")).distinct()
+        incoming = incoming.join(known, F.col("company_domain") == F.col("_known"), "left").withColumn("_tracked", F.col("_known").isNotNull()).drop("_known")
     both = stored.alias("t").join(incoming.alias("n"), F.col(f"t.{key}") == F.col(f"n.{key}"), "full_outer")
     old, new = t(key).isNotNull(), n(key).isNotNull()
     kind = dict(stored.dtypes)
@@ -68,8 +79,8 @@ def upsert(stored: DataFrame, incoming: DataFrame, run: datetime, key: str = "id
             value = F.when(new, F.lit(None)).otherwise(t(c))
         elif c == "posted_at":
             keep = old & n("ats").isin(FROZEN_DATES) & t(c).isNotNull() if "ats" in kind else F.lit(False)
-            if "ats" in kind:  # its dates move with every touch, so the first sight is the best that is known
-                mine = F.when(~old & (n("ats") == "comeet"), F.lit(run)).otherwise(mine)
+            if "ats" in kind and tracked is not None:
+                mine = F.when(~old & (n("ats") == CREEPING_DATES) & n("_tracked"), F.lit(run)).otherwise(mine)
             value = F.when(new & ~keep, mine).otherwise(t(c))
         elif c == "description_chars":
             value = F.when(new & ~(old & ~F.coalesce(mine > 0, F.lit(False))), mine).otherwise(t(c))

@@ -458,7 +458,7 @@ def predict_sql(rows: str, widest: float, folds: int = 1) -> str:
     joins = " ".join(f"LEFT JOIN b b{i} ON b{i}.f = l.fold AND b{i}.level = '{name}' AND b{i}.key = {' || chr(124) || '.join(f'l.{k}' for k in keys)}" for i, (name, keys) in enumerate(LEVELS))
     pick = lambda c: "CASE " + " ".join(f"WHEN b{i}.low IS NOT NULL THEN b{i}.{c}" for i in range(len(LEVELS))) + " END"
     return f"""f AS (SELECT unnest(range({folds})) AS f), c AS ({cell}), x AS (SELECT f, level, key, v, len(v) AS n FROM c),
-b AS (SELECT * FROM (SELECT f, level, key, {_quantile_sql(15)} AS low, {_quantile_sql(85)} AS high FROM x) WHERE (high - low) / ((high + low) / 2) <= {widest}),
+b AS (SELECT * FROM (SELECT f, level, key, {_quantile_sql(15)} AS low, {_quantile_sql(85)} AS high FROM x) WHERE low > 0 AND (high - low) / low <= {widest}),
 t AS (SELECT l.*, {pick('level')} AS level, {pick('low')} AS low, {pick('high')} AS high FROM {rows} l {joins})"""
 
 
@@ -488,7 +488,7 @@ def q60(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The latest events of each user before and after a day, as stored and incoming listings with all fields that have rules."""
+    """The latest events of each user before and after a day, as stored and incoming listings with all fields that have rules; every fifth user is new."""
     e = table(spark, sf_dir, "events").where("user_id is not null")
     row = lambda d: merge.latest(d.select(F.col("user_id").alias("id"), "ts", "event_id", F.col("event_type").alias("title"), F.col("props").alias("description"), F.col("ts").alias("posted_at")), "id", ["ts", "event_id"])
     k, cut = F.col("event_id"), F.lit(AS_EV - timedelta(days=15)).cast("timestamp_ntz")
@@ -498,20 +498,20 @@ def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         text = F.when(k % 5 != 0, F.concat(F.lit("$"), (k % 1000).cast("string"))).when(k % 10 == 0, "")
         source = F.when(k % 3 == 0, "disclosed").when(k % 3 == 1, "table").otherwise("estimated")
         return rows.withColumns({
-            "department": F.concat(F.lit("team "), (k % 2).cast("string")), "ats": board, "skills": F.when(k % 7 != 0, F.array("title")).otherwise(F.array().cast("array<string>")), "salary_text": text,
+            "department": F.concat(F.lit("team "), (k % 2).cast("string")), "ats": board, "company_domain": F.concat(F.lit("c"), (F.col("id") % 71).cast("string")), "skills": F.when(k % 7 != 0, F.array("title")).otherwise(F.array().cast("array<string>")), "salary_text": text,
             "salary_is_estimate": k % 3 != 0, "salary_source": F.when(text != "", source),
         })
 
-    old = full(row(e.where(F.col("ts") < cut))).withColumns({"first_seen": F.col("ts"), "last_seen": F.col("ts"), "closed_at": F.when(k % 3 == 0, F.col("ts")), "category": F.lit("known")})
+    old = full(row(e.where((F.col("ts") < cut) & (F.col("user_id") % 5 != 0)))).withColumns({"first_seen": F.col("ts"), "last_seen": F.col("ts"), "closed_at": F.when(k % 3 == 0, F.col("ts")), "category": F.lit("known")})
     new = full(row(e.where(F.col("ts") >= cut))).withColumn("description", F.when(k % 2 == 0, F.col("description")).when(k % 4 == 1, ""))
     return old.drop("ts"), new.drop("ts")
 
 
 def _half_sql(where: str) -> str:
-    return f"""SELECT *, 'team ' || (event_id % 2) AS department, (['workday', 'comeet', 'lever', 'ashby'])[event_id // 3 % 4 + 1] AS ats, CASE WHEN event_id % 7 <> 0 THEN [title] ELSE CAST([] AS VARCHAR[]) END AS skills,
+    return f"""SELECT *, 'team ' || (event_id % 2) AS department, 'c' || (id % 71) AS company_domain, (['workday', 'comeet', 'lever', 'ashby'])[event_id // 3 % 4 + 1] AS ats, CASE WHEN event_id % 7 <> 0 THEN [title] ELSE CAST([] AS VARCHAR[]) END AS skills,
     CASE WHEN event_id % 5 <> 0 THEN '$' || (event_id % 1000) WHEN event_id % 10 = 0 THEN '' END AS salary_text, event_id % 3 <> 0 AS salary_is_estimate,
     CASE WHEN event_id % 5 <> 0 THEN CASE event_id % 3 WHEN 0 THEN 'disclosed' WHEN 1 THEN 'table' ELSE 'estimated' END END AS salary_source
-    FROM (SELECT user_id AS id, max(ts) AS ts, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS title, arg_max(props, ts) AS description FROM events WHERE user_id IS NOT NULL AND ts {where} TIMESTAMP '2024-01-16' GROUP BY 1)"""
+    FROM (SELECT user_id AS id, max(ts) AS ts, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS title, arg_max(props, ts) AS description FROM events WHERE user_id IS NOT NULL AND {'user_id % 5 <> 0 AND ' if where == '<' else ''}ts {where} TIMESTAMP '2024-01-16' GROUP BY 1)"""
 
 
 def _pay_sql(column: str, gone: str) -> str:
@@ -523,18 +523,19 @@ def _pay_sql(column: str, gone: str) -> str:
 
 @query("q61_upsert_merge", f"""WITH a AS ({_half_sql('<')}),
 n AS (SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN description WHEN event_id % 4 = 1 THEN '' END AS description) FROM ({_half_sql('>=')}))
-SELECT coalesce(a.id, n.id) AS id, coalesce(n.event_id, a.event_id) AS event_id, coalesce(n.title, a.title) AS title, coalesce(n.department, a.department) AS department, coalesce(n.ats, a.ats) AS ats,
+SELECT coalesce(a.id, n.id) AS id, coalesce(n.event_id, a.event_id) AS event_id, coalesce(n.title, a.title) AS title, coalesce(n.department, a.department) AS department, coalesce(n.ats, a.ats) AS ats, coalesce(n.company_domain, a.company_domain) AS company_domain,
 CASE WHEN n.id IS NOT NULL AND (a.id IS NULL OR n.description <> '') THEN n.description ELSE a.description END AS description,
 array_to_string(CASE WHEN n.id IS NOT NULL AND (a.id IS NULL OR len(n.skills) > 0) THEN n.skills ELSE a.skills END, ',') AS skills,
-CASE WHEN a.id IS NULL AND n.ats = 'comeet' THEN {T_EV} WHEN a.id IS NOT NULL AND n.ats IN ('workday', 'comeet') THEN a.ts ELSE coalesce(n.ts, a.ts) END AS posted_at,
+CASE WHEN a.id IS NULL AND n.ats = 'comeet' AND n.company_domain IN (SELECT company_domain FROM a WHERE ats = 'comeet') THEN {T_EV} WHEN a.id IS NOT NULL AND n.ats IN ('workday', 'comeet') THEN a.ts ELSE coalesce(n.ts, a.ts) END AS posted_at,
 {_pay_sql('salary_text', 'NULL')}, {_pay_sql('salary_is_estimate', 'false')}, {_pay_sql('salary_source', 'NULL')},
 CASE WHEN a.id IS NOT NULL THEN a.ts ELSE {T_EV} END AS first_seen, CASE WHEN n.id IS NOT NULL THEN {T_EV} ELSE a.ts END AS last_seen,
 CASE WHEN n.id IS NULL AND a.event_id % 3 = 0 THEN a.ts END AS closed_at, CASE WHEN a.id IS NOT NULL AND (n.id IS NULL OR n.title = a.title AND n.department = a.department) THEN 'known' END AS category
 FROM a FULL JOIN n ON a.id = n.id""")
 def q61(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first half of the events as stored rows, merged with the second by the rules of every field."""
+    """The first half of the events as stored rows, merged with the second by the rules of every field; companies are tracked that had a comeet listing."""
     old, new = _halves(spark, sf_dir)
-    return merge.upsert(old, new, AS_EV).withColumn("skills", F.array_join("skills", ","))
+    tracked = merge.tracked_domains(old.select(F.col("company_domain").alias("domain"), "ats"))
+    return merge.upsert(old, new, AS_EV, tracked=tracked).withColumn("skills", F.array_join("skills", ","))
 
 
 @query("q62_close_missing", f"""WITH {LISTINGS}, whole AS (SELECT DISTINCT company_domain FROM l WHERE order_key % 4 = 0), seen AS (SELECT id FROM l WHERE order_key % 2 = 0)

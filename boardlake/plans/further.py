@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, money, places, taxonomy, text
+from ..functions import dates, money, places, salary, taxonomy, text
 from ..operators import evaluate, explore, facets, listing, merge, predicates, publish, search, stats
 from ..sources import boards
 from ..sources.tables import table
 from ..streaming import poll_state
-from .catalogue import LEVELS, T_EV, T_OR, companies, first_match_sql, predict_sql, query
+from .catalogue import LEVELS, T_EV, T_OR, _quantile_sql, companies, first_match_sql, predict_sql, query
 from .views import AS_EV, AS_OR, LISTINGS, OPEN, SKILLS, documents, listings, skill_rows
 
+#: Prices of orders spread more than pay does: a range may be so many times its low end wide.
+WIDE = 4.0
 WEEKS = f"CASE WHEN posted_at IS NULL OR posted_at > {T_OR} THEN 0 ELSE floor((epoch_us({T_OR}) - epoch_us(posted_at)) / 86400000000.0 / 14) END"
 
 
@@ -160,20 +162,74 @@ def q90(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.token_table(documents(spark, sf_dir), ["description"]).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 50")
 
 
-@query("q91_learned_estimates", f"WITH {LISTINGS}, r AS (SELECT *, 0 AS fold FROM l), {predict_sql('r', 2.0)} SELECT id, level, round(low, 4) AS low, round(high, 4) AS high FROM t")
+@query("q91_learned_estimates", f"WITH {LISTINGS}, r AS (SELECT *, 0 AS fold FROM l), {predict_sql('r', WIDE)} SELECT id, level, round(low, 4) AS low, round(high, 4) AS high FROM t")
 def q91(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each listing's pay range from the first level of cells that is narrow enough."""
+    """Each listing's pay range from the first level of cells that is narrow enough, in parts of its low end."""
     rows = listings(spark, sf_dir).select("id", "category", "ats", "location", "seniority", "pay")
-    return evaluate.predict(rows, evaluate.cells(rows, LEVELS, "pay"), LEVELS, widest=2.0).select("id", "level", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+    return evaluate.predict(rows, evaluate.cells(rows, LEVELS, "pay"), LEVELS, widest=WIDE).select("id", "level", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
-@query("q92_backtest", f"""WITH {LISTINGS}, r AS (SELECT *, CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % 5 AS fold FROM l), {predict_sql('r', 1.5, 5)}
-SELECT count(*) AS rows, round(count(low) / count(*), 6) AS coverage, round(median(abs((low + high) / 2 - pay) / pay), 6) AS error, round(avg(CASE WHEN low IS NOT NULL THEN CAST(pay BETWEEN low AND high AS INTEGER) END), 6) AS hit_rate,
-round(median((high - low) / ((low + high) / 2)), 6) AS width FROM t""")
+FOLDS = f"r AS (SELECT *, CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % 5 AS fold FROM l), {predict_sql('r', WIDE, 5)}"
+
+
+@query("q92_backtest", f"""WITH {LISTINGS}, {FOLDS}, m AS (SELECT f.f, median(pay) AS flat FROM r JOIN f ON r.fold <> f.f GROUP BY f.f)
+SELECT count(*) AS rows, round(count(low) / count(*), 6) AS coverage, round(median(abs((low + high) / 2 - pay) / pay), 6) AS error, round(median(abs(flat - pay) / pay), 6) AS flat_error,
+round(avg(CASE WHEN low IS NOT NULL THEN CAST(pay BETWEEN low AND high AS INTEGER) END), 6) AS hit_rate, round(median((high - low) / low), 6) AS width FROM t JOIN m ON m.f = t.fold""")
 def q92(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage, error, hit rate and width over five folds."""
+    """Coverage, error, hit rate and width over five folds, and the error of one median for all."""
+    rows = listings(spark, sf_dir).select("id", "category", "ats", "location", "seniority", "pay")
+    return evaluate.backtest(rows, LEVELS, "pay", "id", widest=WIDE).select("rows", *[F.round(c, 6).alias(c) for c in ("coverage", "error", "flat_error", "hit_rate", "width")])
+
+
+@query("q159_backtest_levels", f"WITH {LISTINGS}, {FOLDS} SELECT level, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM t WHERE level IS NOT NULL GROUP BY level")
+def q159(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which level's cells answer, over five folds."""
     rows = listings(spark, sf_dir).select("id", "category", "ats", "location", "seniority", "pay")
-    return evaluate.backtest(rows, LEVELS, "pay", "id").select("rows", *[F.round(c, 6).alias(c) for c in ("coverage", "error", "hit_rate", "width")])
+    return evaluate.answered(evaluate.backtested(rows, LEVELS, "pay", "id", widest=WIDE))
+
+
+#: Places of every market, and some of none, by a listing's key.
+MARKET_PLACES = ["Palo Alto - Hybrid", "Brooklyn", "Redmond", "Cambridge, MA", "Irvine", "Austin", "Washington, DC", "Evanston", "Boulder", "Durham", "Remote - United States", "London", "Waterloo", "Haifa, Israel", "Remote - Singapore", "Paris", ""]
+MARKET_NAMES = ["us-sf", "us-nyc", "us-sea", "us-bos", "us-la", "us-tex", "us-dc", "us-chi", "us-den", "us-atl", "us-remote", "uk", "ca", "il", None, None, None]
+
+
+def market_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings in a place by their key."""
+    place = F.element_at(F.array(*map(F.lit, MARKET_PLACES)), (F.col("order_key") % len(MARKET_PLACES) + 1).cast("int"))
+    return listings(spark, sf_dir).withColumn("location", place)
+
+
+_NAMES = "[" + ", ".join("NULL" if m is None else f"'{m}'" for m in MARKET_NAMES) + "]"
+
+
+def _learned_sql() -> str:
+    """Levels as grouping sets of one aggregate, and the answers by one join, as a list of each row's keys."""
+    whole = lambda keys: " AND ".join(f"coalesce({k}, '') <> ''" for k in keys)
+    key = lambda keys: " || chr(124) || ".join(keys)
+    lists = ", ".join(f"CASE WHEN {whole(keys)} THEN {{'o': {i}, 'level': '{name}', 'key': {key(keys)}}} END" for i, (name, keys) in enumerate(evaluate.CHAIN))
+    return f"""m AS (SELECT *, ({_NAMES})[order_key % {len(MARKET_NAMES)} + 1] AS metro FROM l),
+w AS (SELECT *, CASE WHEN metro LIKE 'us-%' THEN '$' WHEN metro = 'uk' THEN '£' WHEN metro = 'ca' THEN 'CA$' END AS currency FROM m),
+e AS (SELECT id, currency, CASE WHEN salary_source = 'disclosed' THEN pay END AS pay, unnest(list_filter([{lists}], lambda x: x IS NOT NULL)) AS x FROM w WHERE currency IS NOT NULL),
+c AS (SELECT currency, x.level AS level, x.key AS key, list_sort(list(pay)) AS v, count(*) AS n FROM e WHERE pay IS NOT NULL GROUP BY ALL HAVING count(*) >= 5),
+b AS (SELECT * FROM (SELECT currency, level, key, {_quantile_sql(15)} AS low, {_quantile_sql(85)} AS high FROM c) WHERE low > 0 AND (high - low) / low <= 1.5),
+a AS (SELECT e.id, arg_min({{'level': b.level, 'low': low, 'high': high}}, x.o) AS a FROM e JOIN b ON b.currency = e.currency AND b.level = x.level AND b.key = x.key GROUP BY e.id),
+k AS (SELECT id, a.level AS level, a.low AS low, a.high AS high, CASE WHEN a.level IS NOT NULL THEN currency END AS currency FROM w LEFT JOIN a USING (id)),
+t AS (SELECT *, currency || format('{{:,}}', CAST(round_even(low / 12 / 1000, 0) AS BIGINT)) || 'K' AS low_text, currency || format('{{:,}}', CAST(round_even(high / 12 / 1000, 0) AS BIGINT)) || 'K' AS high_text FROM k)"""
+
+
+@query("q160_learned_pay", f"WITH {LISTINGS}, {_learned_sql()} SELECT id, level AS learned_level, round(low, 4) AS learned_low, round(high, 4) AS learned_high, currency AS learned_currency, CASE WHEN low_text = high_text THEN low_text ELSE low_text || ' - ' || high_text END AS learned_text FROM t")
+def q160(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pay as a reader sees it: of the market's currency, from the tightest of seven levels of disclosed pay, as monthly thousands."""
+    rows = market_listings(spark, sf_dir)
+    told = rows.where("salary_source = 'disclosed'").withColumn("currency", salary.market_currency(places.metro(F.col("location")))).where("currency is not null")
+    found = evaluate.learned_pay(rows, told)
+    return found.select("id", "learned_level", F.round("learned_low", 4).alias("learned_low"), F.round("learned_high", 4).alias("learned_high"), "learned_currency", "learned_text")
+
+
+@query("q161_markets", f"WITH {LISTINGS} SELECT id, ({_NAMES})[order_key % {len(MARKET_NAMES)} + 1] AS metro FROM l")
+def q161(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The market of every listing, in places of all markets and of none."""
+    return market_listings(spark, sf_dir).select("id", places.metro(F.col("location")).alias("metro"))
 
 
 @query("q93_explore_facets", f"""WITH {LISTINGS} SELECT 'ats' AS field, ats AS value, ats AS label, count(*) AS n FROM l WHERE closed_at IS NULL GROUP BY 2

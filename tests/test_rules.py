@@ -30,13 +30,17 @@ LADDER = [
 
 
 def test_pay_ladder(spark):
-    kind = "id int, title string, ats string, description string, posted_at timestamp, salary_text string, salary_is_estimate boolean, salary_source string"
-    old = spark.createDataFrame([(i, "t", "comeet", "d", NOW - timedelta(days=3), *s) for i, (s, _, _, _) in enumerate(LADDER)], kind)
-    new = spark.createDataFrame([(i, "t", "comeet", d, NOW - timedelta(days=1), *n) for i, (_, n, d, _) in enumerate(LADDER)] + [(99, "t", "comeet", None, NOW - timedelta(days=9), None, None, None)], kind)
-    got = {r["id"]: r for r in merge.upsert(old, new, NOW).collect()}
+    kind = "id int, company_domain string, title string, ats string, description string, posted_at timestamp, salary_text string, salary_is_estimate boolean, salary_source string"
+    old = spark.createDataFrame([(i, "known", "t", "comeet", "d", NOW - timedelta(days=3), *s) for i, (s, _, _, _) in enumerate(LADDER)], kind)
+    fresh = lambda i, c, ats: (i, c, "t", ats, None, NOW - timedelta(days=9), None, None, None)
+    new = spark.createDataFrame([(i, "known", "t", "comeet", d, NOW - timedelta(days=1), *n) for i, (_, n, d, _) in enumerate(LADDER)] + [fresh(99, "known", "comeet"), fresh(98, "new", "comeet"), fresh(97, "known", "lever"), fresh(96, "moved", "comeet"), fresh(95, None, "comeet")], kind)
+    companies = spark.createDataFrame([("known", "comeet"), ("moved", "lever")], "domain string, ats string")
+    got = {r["id"]: r for r in merge.upsert(old, new, NOW, tracked=merge.tracked_domains(companies)).collect()}
     assert [tuple(got[i][c] for c in PAY) for i in range(len(LADDER))] == [w for _, _, _, w in LADDER]
-    # a board whose dates creep: the first sight is the run's own time, and a stored date stays
+    # a board whose dates creep: a new listing of a company that was on it takes the run's time, a new company's backlog keeps its dates, and a stored date stays
     assert got[99]["posted_at"] == NOW and got[0]["posted_at"] == NOW - timedelta(days=3)
+    assert all(got[i]["posted_at"] == NOW - timedelta(days=9) for i in (95, 96, 97, 98)) and "_tracked" not in got[99]
+    assert {r["posted_at"] for r in merge.upsert(old.limit(0), new, NOW).collect()} == {NOW - timedelta(days=1), NOW - timedelta(days=9)}
 
 
 @pytest.mark.parametrize("few", [0, exact.FEW])
