@@ -52,37 +52,55 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.frexp(context.astype(np.float64))[1]
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed bytes: first the lowest byte of each, then the next, so that what they have in common lies together."""
+    planes = np.ascontiguousarray(x.astype(np.int64, copy=False).view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel()
+
+
+def _blobs(arrays: list[np.ndarray | None]) -> pa.Array:
+    return pa.array([None if x is None else packed(x) for x in arrays], pa.binary())
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of texts of one kind."""
     task, seq = TaskContext.get().partitionId(), 0
     for batch in batches:
-        ids, parts = batch.column("doc_id"), batch.column("part")
-        for i, j, offsets, data in pieces(batch.column("text"), size=RUN):
-            low = LOWER[data]
-            begin, end, row = words(~SPACE[low], offsets)
-            ends = np.cumsum(np.bincount(row, minlength=j - i) + 1)
-            tokens = np.full(ends[-1], _END, np.uint64)
-            if len(begin):
-                tokens[np.arange(len(begin)) + row] = Hashed(low).of(begin, end)
-            keys, at = np.unique(tokens, return_inverse=True)
-            one = lambda x, kind: pa.array([x], pa.list_(kind))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([(task << 32) | seq]), one(ids.slice(i, j - i).to_pylist(), pa.int64()), one(parts.slice(i, j - i).to_numpy(), pa.int8()), one(ends, pa.int64()), one(keys.view(np.int64), pa.int64()), one(at.astype(np.int32), pa.int32())],
-                ["run", "ids", "parts", "ends", "words", "tokens"],
-            )
-            seq += 1
+        kinds = batch.column("kind").to_numpy()
+        for kind in np.unique(kinds):
+            own = batch.filter(pa.array(kinds == kind))
+            for i, j, offsets, data in pieces(own.column("text"), size=RUN):
+                low = LOWER[data]
+                begin, end, row = words(~SPACE[low], offsets)
+                ends = np.cumsum(np.bincount(row, minlength=j - i) + 1)
+                tokens = np.full(ends[-1], _END, np.uint64)
+                if len(begin):
+                    tokens[np.arange(len(begin)) + row] = Hashed(low).of(begin, end)
+                keys, at = np.unique(tokens, return_inverse=True)
+                ids = pa.array([own.column("doc_id").slice(i, j - i).to_pylist()], pa.list_(pa.int64()))
+                sizes = [pa.array([x]) for x in (j - i, int(ends[-1]))]
+                blobs = [_blobs([x]) for x in (ends, np.diff(keys.view(np.int64), prepend=0), at)]
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) | seq]), pa.array([kind], pa.int32()), *sizes, ids, *blobs], ["run", "kind", "n_texts", "n_tokens", "ids", "ends", "words", "places"])
+                seq += 1
 
 
-RUNS = "run long, ids array<long>, parts array<tinyint>, ends array<long>, words array<long>, tokens array<int>"
+RUNS = "run long, kind int, n_texts long, n_tokens long, ids array<long>, ends binary, words binary, places binary"
 
 
-def _column(rows: pa.RecordBatch | pa.Table, name: str, r: int = 0) -> np.ndarray:
-    return np.asarray(rows.column(name)[r].values)
+def _values(rows: pa.RecordBatch | pa.Table, name: str, r: int = 0) -> np.ndarray:
+    return unpacked(rows.column(name)[r].as_py())
 
 
 def grams(rows: pa.RecordBatch | pa.Table, r: int, order: int) -> Iterator[np.ndarray]:
     """The hash of the n-gram that ends at each token of a run, for n from 1 to order; before a text stands a mark."""
-    first = _column(rows, "words", r).view(np.uint64)[_column(rows, "tokens", r)]
-    begins = np.append(0, _column(rows, "ends", r)[:-1])
+    first = np.cumsum(_values(rows, "words", r)).view(np.uint64)[_values(rows, "places", r)]
+    begins = np.append(0, _values(rows, "ends", r)[:-1])
     gram = first
     yield gram
     for _ in range(1, order):
@@ -93,63 +111,67 @@ def grams(rows: pa.RecordBatch | pa.Table, r: int, order: int) -> Iterator[np.nd
 
 
 def _asked(order: int, parts: int):
+    """The different n-grams of each run with their number there, by the part that their hash names."""
     cuts = np.array([-(-(p << 64) // parts) for p in range(1, parts)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                kind = np.repeat(_column(batch, "parts", r), np.diff(_column(batch, "ends", r), prepend=0))
+                name, kind = batch.column("run")[r].as_py(), batch.column("kind")[r].as_py()
                 for o, gram in enumerate(grams(batch, r, order), 1):
-                    keys, at = np.unique(gram, return_inverse=True)
-                    n, d = (np.bincount(at, x, len(keys)).astype(np.int64) for x in (kind >= LEARNED, kind == HELD))
-                    edges = np.concatenate(([0], np.searchsorted(keys, cuts), [len(keys)])).astype(np.int32)
-                    lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x)) for x in (keys.view(np.int64), n, d)]
-                    run = pa.array(np.full(parts, batch.column("run")[r].as_py()))
-                    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), run, pa.array(np.full(parts, o, np.int32)), *lists], ["part", "run", "o", "keys", "n", "d"])
-                    yield rows.filter(pa.array(edges[1:] > edges[:-1]))
+                    keys, _, n = np.unique(gram, return_index=True, return_counts=True)  # with the index it sorts, which is faster
+                    edges = np.concatenate(([0], np.searchsorted(keys, cuts), [len(keys)]))
+                    full = np.flatnonzero(edges[1:] > edges[:-1])
+                    own = [slice(edges[p], edges[p + 1]) for p in full]
+                    blobs = [_blobs([np.diff(keys[x].view(np.int64), prepend=0) for x in own]), _blobs([n[x] if kind >= LEARNED else None for x in own])]
+                    same = [pa.array(np.full(len(full), x), t) for x, t in ((name, pa.int64()), (kind, pa.int32()), (o, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *same, *blobs], ["part", "run", "kind", "o", "keys", "n"])
 
     return run
 
 
+ASKED = "part int, run long, kind int, o int, keys binary, n binary"
+
+
 def _answered(rows: pa.Table) -> pa.Table:
-    """For each row of a part the corpus' counts of its n-grams; a row without a run says how many different ones were learned."""
+    """For each row of a part the corpus' counts of its n-grams, and the held-out ones if it is held out itself; known, once: how many different ones were learned."""
     out = []
     for o in np.unique(rows.column("o").to_numpy()):
         own = rows.filter(pa.array(rows.column("o").to_numpy() == o))
-        keys, n, d = (own.column(c).combine_chunks() for c in ("keys", "n", "d"))
-        offsets = np.append(0, np.cumsum(keys.value_lengths().to_numpy())).astype(np.int32)
-        found, at = np.unique(keys.flatten().to_numpy(), return_inverse=True)
-        total = [np.bincount(at, x.flatten().to_numpy(), len(found)).astype(np.int64) for x in (n, d)]
-        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[at])) for x in total]
-        out.append(pa.table([own.column("run").combine_chunks(), own.column("part").combine_chunks(), own.column("o").combine_chunks(), *lists], names=["run", "part", "o", "c", "d"]))
-        known = pa.array([[int((total[0] > 0).sum())]], pa.list_(pa.int64()))
-        out.append(pa.table([pa.array([None], pa.int64()), own.column("part")[:1].combine_chunks(), pa.array([o], pa.int32()), known, pa.array([[]], pa.list_(pa.int64()))], names=["run", "part", "o", "c", "d"]))
+        kinds = own.column("kind").to_numpy()
+        keys = [np.cumsum(unpacked(x)) for x in own.column("keys").to_pylist()]
+        n = [unpacked(x) if x else np.zeros(len(k), np.int64) for x, k in zip(own.column("n").to_pylist(), keys, strict=True)]
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total, held = (np.bincount(at, np.concatenate(x), len(found)).astype(np.int64) for x in (n, [a * (k == HELD) for a, k in zip(n, kinds, strict=True)]))
+        c = np.split(total[at], cuts)
+        d = [x if k == HELD else None for x, k in zip(np.split(held[at], cuts), kinds, strict=True)]
+        known = [int((total > 0).sum())] + [0] * (len(keys) - 1)
+        out.append(pa.table([own.column("run"), own.column("part"), own.column("o"), _blobs(c), _blobs(d), pa.array(known)], names=["run", "part", "o", "c", "d", "known"]))
     return pa.concat_tables(out)
 
 
-ANSWERS = "run long, part int, o int, c array<long>, d array<long>"
+ANSWERS = "run long, part int, o int, c binary, d binary, known long"
 
 
 def _told(order: int):
-    """The run's texts with each token's counts, order by order; the lists of an order follow each other."""
+    """The run's texts with the counts of each token's n-grams, an entry for each n; held-out ones without what is held out in `left` too."""
 
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
-        if not own.num_rows:
-            return pa.table({"ids": pa.array([], pa.list_(pa.int64())), "parts": pa.array([], pa.list_(pa.int8())), "ends": pa.array([], pa.list_(pa.int64())), "c": pa.array([], pa.list_(pa.list_(pa.int64()))), "d": pa.array([], pa.list_(pa.list_(pa.int64())))})
-        counts: dict[str, list] = {"c": [], "d": []}
-        held = np.repeat(_column(own, "parts") == HELD, np.diff(_column(own, "ends"), prepend=0))
+        c, left = [], []
         for o, gram in enumerate(grams(own, 0, order), 1):
             mine = answers.filter(pa.array(answers.column("o").to_numpy() == o)).sort_by("part")
             at = np.unique(gram, return_inverse=True)[1]
-            for name, told in counts.items():
-                x = mine.column(name).combine_chunks().flatten().to_numpy()[at]
-                told.append(x if name == "c" else np.where(held, x, 0))  # others are not looked at
-        return pa.table([own.column(c).combine_chunks() for c in ("ids", "parts", "ends")] + [pa.array([x], pa.list_(pa.list_(pa.int64()))) for x in counts.values()], names=["ids", "parts", "ends", "c", "d"])
+            counts = np.concatenate([unpacked(x) for x in mine.column("c").to_pylist()])
+            c.append(packed(counts[at]))
+            if own.column("kind")[0].as_py() == HELD:
+                left.append(packed((counts - np.concatenate([unpacked(x) for x in mine.column("d").to_pylist()]))[at]))
+        return pa.table([*[own.column(x).combine_chunks() for x in ("kind", "ids", "ends")], *[pa.array([x], pa.list_(pa.binary())) for x in (c, left)]], names=["kind", "ids", "ends", "c", "left"])
 
     return run
 
 
-TOLD = "ids array<long>, parts array<tinyint>, ends array<long>, c array<array<long>>, d array<array<long>>"
+TOLD = "kind int, ids array<long>, ends binary, c array<binary>, left array<binary>"
 
 
 def _contexts(counts: list[np.ndarray], ends: np.ndarray, texts: int) -> list[np.ndarray]:
@@ -163,7 +185,7 @@ def _contexts(counts: list[np.ndarray], ends: np.ndarray, texts: int) -> list[np
 
 
 def _lists(batch: pa.RecordBatch, name: str, r: int) -> list[np.ndarray]:
-    return [np.asarray(x.values) for x in batch.column(name)[r].values.cast(pa.list_(pa.int64()))] if len(batch.column(name)[r]) else []
+    return [unpacked(x) for x in batch.column(name)[r].as_py()]
 
 
 def _shares(counts: list[np.ndarray], contexts: list[np.ndarray], tokens: int) -> list[np.ndarray]:
@@ -177,15 +199,10 @@ def _deleted(order: int, tokens: int, texts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                ends = _column(batch, "ends", r)
-                held = np.repeat(_column(batch, "parts", r) == HELD, np.diff(ends, prepend=0))
-                if not held.any():
-                    continue
-                left = [c - d for c, d in zip(_lists(batch, "c", r), _lists(batch, "d", r), strict=True)]
-                contexts = _contexts(left, ends, texts)
-                seen = contexts[-1] if contexts else np.zeros(len(held), np.int64)
-                each = np.stack([bucket(seen), *_shares(left, contexts, tokens)], 1)[held]
-                own, n = np.unique(each, axis=0, return_counts=True)
+                left = _lists(batch, "left", r)
+                contexts = _contexts(left, _values(batch, "ends", r), texts)
+                seen = contexts[-1] if contexts else np.zeros(len(left[0]), np.int64)
+                own, n = np.unique(np.stack([bucket(seen), *_shares(left, contexts, tokens)], 1), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own[:, 0].astype(np.int32)), *[pa.array(np.ascontiguousarray(own[:, k])) for k in range(1, order + 1)], pa.array(n)], ["b", *[f"p{k}" for k in range(1, order + 1)], "n"])
 
     return run
@@ -223,7 +240,7 @@ def _scored(weights: np.ndarray, tokens: int, kinds: int, texts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                ends, counts = _column(batch, "ends", r), _lists(batch, "c", r)
+                ends, counts = _values(batch, "ends", r), _lists(batch, "c", r)
                 begins = np.append(0, ends[:-1])
                 contexts = _contexts(counts, ends, texts)
                 mine = weights[bucket(contexts[-1] if contexts else np.zeros(len(counts[0]), np.int64))]
@@ -231,7 +248,7 @@ def _scored(weights: np.ndarray, tokens: int, kinds: int, texts: int):
                 base = np.log10((counts[0] + 1) / (tokens + kinds + 1))
                 sums = [np.add.reduceat(x, begins) for x in ((counts[0] > 0).astype(np.int64), base, np.log10(p))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("ids")[r].values, pa.array(_column(batch, "parts", r) == HELD_OUT), pa.array(np.diff(ends, prepend=0)), pa.array(sums[0]), pa.array(np.full(len(ends), tokens)), pa.array(sums[1]), pa.array(sums[2])],
+                    [batch.column("ids")[r].values, pa.array(np.full(len(ends), batch.column("kind")[r].as_py() == HELD_OUT)), pa.array(np.diff(ends, prepend=0)), pa.array(sums[0]), pa.array(np.full(len(ends), tokens)), pa.array(sums[1]), pa.array(sums[2])],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
@@ -257,23 +274,19 @@ def model(docs: DataFrame, order: int, id_col: str, text_col: str, remainder: in
     """The stored runs with their counts, the weights, and the numbers of learned tokens, of different ones, and of texts."""
     spark = docs.sparkSession
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    part = F.when(crc.isNull(), NOT_LEARNED).when(crc % by == remainder, HELD_OUT).when(F.pmod(F.xxhash64(crc), F.lit(DELETED)) == 0, HELD).otherwise(LEARNED).cast("tinyint")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), part.alias("part"))
+    kind = F.when(crc.isNull(), NOT_LEARNED).when(crc % by == remainder, HELD_OUT).when(F.pmod(F.xxhash64(crc), F.lit(DELETED)) == 0, HELD).otherwise(LEARNED)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), kind.alias("kind"))
     with tidied(spark):
-        runs = stored(own.mapInArrow(_read, RUNS), "runs", "zstd")
-        size = lambda p: F.aggregate(F.zip_with("parts", F.zip_with("ends", F.concat(F.array(F.lit(0).cast("long")), F.slice("ends", 1, F.size("ends") - 1)), lambda a, b: a - b), lambda k, n: F.when(k >= p, n).otherwise(0)), F.lit(0).cast("long"), lambda a, b: a + b)
-        texts = lambda p: F.size(F.filter("parts", lambda k: k >= p))
-        told = runs.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (size(HELD_OUT), size(LEARNED), size(HELD), texts(LEARNED), texts(HELD))]).first()
-        everything, tokens, held_tokens, learned_texts, held_texts = told
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-everything // PART))
-        asked = runs.mapInArrow(_asked(order, parts), "part int, run long, o int, keys array<long>, n array<long>, d array<long>")
-        answers = stored(asked.groupBy("part").applyInArrow(_answered, ANSWERS), "answers", "zstd")
-        kinds = answers.where("run is null and o = 1").agg(F.coalesce(F.sum(F.element_at("c", 1)), F.lit(0))).first()[0]
-        both = runs.groupBy("run").cogroup(answers.where("run is not null").groupBy("run")).applyInArrow(_told(order), TOLD)
-        counted = stored(both, "counted", "zstd")
+        runs = stored(own.mapInArrow(_read, RUNS), "runs")
+        sizes = {r["kind"]: (r["tokens"], r["texts"]) for r in runs.groupBy("kind").agg(F.sum("n_tokens").alias("tokens"), F.sum("n_texts").alias("texts")).collect()}
+        (tokens, texts), (held_tokens, held_texts) = (tuple(map(sum, zip((0, 0), *[sizes[k] for k in some if k in sizes], strict=True))) for some in ((LEARNED, HELD), (HELD,)))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(n for n, _ in sizes.values()) // PART))
+        answers = stored(runs.mapInArrow(_asked(order, parts), ASKED).groupBy("part").applyInArrow(_answered, ANSWERS), "answers")
+        kinds = answers.where("o = 1").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+        counted = stored(runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_told(order), TOLD), "counted")
         forget(runs)
         forget(answers)
-        held = stored(counted.mapInArrow(_deleted(order, tokens - held_tokens, learned_texts - held_texts), ", ".join(["b int", *[f"p{k} double" for k in range(1, order + 1)], "n long"])), "held", "zstd")
+        held = stored(counted.where(F.col("kind") == HELD).mapInArrow(_deleted(order, tokens - held_tokens, texts - held_texts), ", ".join(["b int", *[f"p{k} double" for k in range(1, order + 1)], "n long"])), "held")
         weights = learned(held, order, 1 / (kinds + 1))
         forget(held)
-    return counted, weights, tokens, kinds, learned_texts
+    return counted, weights, tokens, kinds, texts
