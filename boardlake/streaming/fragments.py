@@ -1,7 +1,7 @@
-"""The fragment log as a stream: a stream of JSON files, merged batch by batch into a versioned table.
+"""The fragment log as a stream: a stream of JSON files, merged batch by batch into a versioned table in buckets.
 
-A batch is idempotent: it is named by its id, its rows are the latest of each key, and applying
-one twice gives the same table.
+A batch is idempotent: a version names the last batch of its stream, rows that come late change nothing, and a call without new
+input reads what is there.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.merge import close_missing, latest, upsert
+from ..operators.versions import Merge, Versions
 from ..session import shared_folder
 
 
@@ -37,10 +38,10 @@ def parquet_stream(spark: SparkSession, folder: str, name: str, schema: StructTy
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
 
 
-def apply_batch(stored: DataFrame, batch: DataFrame, run: datetime, complete: DataFrame | None = None) -> DataFrame:
+def apply_batch(stored: DataFrame, batch: DataFrame, run: datetime, complete: DataFrame | None = None, tracked: DataFrame | None = None) -> DataFrame:
     """The table after a batch of postings: of each id the latest fragment's row is merged; boards that were read whole close what they omit."""
     incoming = latest(batch, "id", ["_fragment"]).drop("_fragment")
-    merged = upsert(stored, incoming, run)
+    merged = upsert(stored, incoming, run, tracked=tracked)
     return merged if complete is None else close_missing(merged, incoming, complete, run)
 
 
@@ -49,23 +50,54 @@ def run_once(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkp
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_by_key(stream: DataFrame, name: str, key: str, order: list[str], folder: str | None = None) -> DataFrame:
-    """The latest row of each key of all that a stream has now.
+def merge_late(order: list[str], key: str) -> Merge:
+    """Latest wins, whenever a row comes: one that is not newer than the stored one changes nothing."""
+    return lambda stored, incoming: latest(stored.unionByName(incoming), key, order)
 
-    Each batch is merged with the version before it into a version of its own, Parquet in the shared folder. A batch that is
-    delivered again overwrites its own version with the same rows, and neither driver nor memory holds the keys.
+
+def latest_by_key(stream: DataFrame, name: str, key: str, order: list[str], folder: str | None = None, buckets: int | None = None) -> DataFrame:
+    """The latest row of each key of all that a stream has had so far.
+
+    A batch rewrites only the buckets of its keys, in a version that names the batch; delivered again, it is known and changes nothing, and
+    a call without new input reads what is there. Neither driver nor memory holds the keys. folder keeps table and progress; without one
+    they are new.
     """
     spark = stream.sparkSession
     folder = folder or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    done: list[str] = []
+    stored = Versions(spark, f"{folder}/table", stream.schema, key)
 
     def merged(batch: DataFrame, number: int) -> None:
-        rows = batch if not number else batch.unionByName(batch.sparkSession.read.schema(stream.schema).parquet(f"{folder}/v={number - 1}"))
-        latest(rows, key, order).select(*stream.columns).write.mode("overwrite").parquet(f"{folder}/v={number}")
-        done.append(f"{folder}/v={number}")
+        rows = latest(batch, key, order).select(*stream.columns)
+        Versions(batch.sparkSession, f"{folder}/table", stream.schema, key).merge(rows, merge_late(order, key), "stream", number, buckets)
 
     run_once(stream, merged, f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(done[-1]) if done else spark.createDataFrame([], stream.schema)
+    return stored.read()
+
+
+def apply_log(stream: DataFrame, stored: Versions, run: datetime, checkpoint: str, tracked: Callable[[], DataFrame] | None = None) -> Versions:
+    """Merge a log of postings into a table that is bucketed by company, by the rules of every field.
+
+    A row has id, company_domain, _fragment and _complete (whether its board was read whole), and `seq`, a number that rises with the
+    fragments: a posting of a lower one than the stored row's comes late and changes nothing. A board that was read whole closes what
+    it omits; its postings share a bucket, so that only this is rewritten.
+    """
+
+    def merged(batch: DataFrame, number: int) -> None:
+        table = Versions(batch.sparkSession, stored.path, stored.schema, stored.bucket_by)
+        rows = latest(batch, "id", ["seq", "_fragment"]).persist()
+        known = tracked() if tracked else None
+
+        def how(before: DataFrame, incoming: DataFrame) -> DataFrame:
+            newer = incoming.join(before.select("id", F.col("seq").alias("_had")), "id", "left").where(F.col("_had").isNull() | (F.col("seq") > F.col("_had"))).drop("_had")
+            after = upsert(before, newer.drop("_fragment", "_complete"), run, tracked=known)
+            whole = newer.where("_complete").select("company_domain")
+            return close_missing(after, incoming, whole, run)
+
+        table.merge(rows, how, "log", number)
+        rows.unpersist()
+
+    run_once(stream, merged, checkpoint).awaitTermination()
+    return stored
 
 
 def corrupt(batch: DataFrame, path: str, number: int) -> DataFrame:
