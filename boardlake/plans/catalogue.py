@@ -598,4 +598,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q15(spark, sf_dir).join(q10(spark, sf_dir).withColumnsRenamed({"value": "category", "n": "category_n"}))
 
 
-from . import captures, further, keyed  # noqa: E402,F401  their queries register themselves beside these
+from . import captures, further, keyed, scale  # noqa: E402,F401  their queries register themselves beside these
