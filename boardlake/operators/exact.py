@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Bins of a histogram that the driver sees; ranges of values that are summed up apart.
 BINS, CELLS = 4096, 100
+#: Rows for each further range, and ranges at most: a comparison with each cut is an expression of the plan.
+CELL_ROWS, MOST_CELLS = 500_000, 2000
 #: Rows whose values one task may hold, so that a median of no more is one pass.
 FEW = 200_000
 
@@ -38,16 +40,18 @@ def middle(rows: DataFrame, value: Column, weight: Column | None = None) -> floa
     return low
 
 
-def cumulative(rows: DataFrame, keys: list[str], value: str, cells: int = CELLS) -> DataFrame:
+def cumulative(rows: DataFrame, keys: list[str], value: str, cells: int | None = None, weight: str | None = None) -> DataFrame:
     """(keys, value, c, before, n) for each different value of a key: its rows, the key's rows with smaller values, all of the key's.
 
     Equal values are counted before they are shuffled, and a key's values are summed up in ranges, cut at a sketch's quantiles,
-    so a hot key is many tasks' work.
+    so a hot key is many tasks' work. Ranges follow the rows, one for CELL_ROWS of them, at least CELLS and as many as the sketch tells
+    apart. A row counts weight times.
     """
     known = rows.where(F.col(value).isNotNull())
+    cells = cells or max(CELLS, min(MOST_CELLS, known.count() // CELL_ROWS))
     cuts = sorted(set(known.approxQuantile(value, [i / cells for i in range(1, cells)], 0.5 / cells)))
     cell = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(value))) if cuts else F.lit(0)
-    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c")).withColumn("_cell", cell)
+    counts = known.groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("c")).withColumn("_cell", cell)
     per = counts.groupBy(*keys, "_cell").agg(F.sum("c").alias("_m"))
     sofar = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select(*keys, "_cell", F.coalesce(F.sum("_m").over(sofar), F.lit(0)).alias("_off"), F.sum("_m").over(Window.partitionBy(*keys)).alias("n"))

@@ -77,7 +77,9 @@ def page(jobs: DataFrame, companies: DataFrame, params: dict, as_of: datetime) -
     limit = 0 if params.get("count") == "only" else integer(params, "limit", DEFAULT_LIMIT, 1, MAX_LIMIT)
     offset = integer(params, "offset", 0, 0, MAX_OFFSET)
     found = jobs.where(compile_filters(params, as_of)).orderBy(*order(params, as_of)).offset(offset).limit(limit)
-    shown = with_company(found, companies)
+    # a page is MAX_LIMIT rows at most, so its domains are handed out and companies are read by them, not summed up as a whole
+    asked = F.broadcast(found.select(F.col("company_domain").alias("domain")).distinct())
+    shown = with_company(found, companies.join(asked, "domain", "left_semi"))
     source, wanted = salary_source(jobs), skills(params)
     extra = {"category": F.coalesce(F.col("category"), category(F.col("department"), F.col("title"))) if "category" in jobs.columns else category(F.col("department"), F.col("title")), "salary_source": source}
     if "token" in shown.columns and "external_id" in shown.columns:

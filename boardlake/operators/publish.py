@@ -91,14 +91,18 @@ VARIANTS = [{"confidence": c, **({"roles": "tech"} if r else {}), **({"israel_on
 def precomputed(jobs: DataFrame, as_of: datetime, variants: list[dict] | None = None) -> DataFrame:
     """(key, name, answer): each variant's facets and figures as JSON, under the key by which `facets.precomputed_key` finds them.
 
-    A facet is a short list by its own limit, so an answer is one row.
+    The facets of all variants come from one scan (`facets.all_facets`). A facet is a short list by its own limit, so an answer is one row.
     """
-    out = []
-    for params in VARIANTS if variants is None else variants:
-        tables = facets.compute(jobs, params, as_of) | {"stats": stats.scoped(jobs.where(compile_filters(params | {"include_closed": "1"}, as_of)), as_of)}
-        for name, rows in tables.items():
-            answer = F.to_json(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("_n"), *rows.columns)))) if "n" in rows.columns else F.to_json(F.collect_list(F.struct(*rows.columns)))
-            out.append(rows.agg(answer.alias("answer")).select(F.lit(facets.precomputed_key(params)).alias("key"), F.lit(name).alias("name"), "answer"))
+    asked = {facets.precomputed_key(params): params for params in (VARIANTS if variants is None else variants)}
+    found = facets.all_facets(jobs, asked, as_of)
+    entry = F.when(F.col("name") == "places", F.to_json(F.struct(F.col("value").alias("country"), F.col("n").alias("country_n"), F.col("part").alias("city"), F.col("part_n").alias("n"))))
+    entry = entry.when(F.col("name") == "pay", F.to_json(F.struct("low", "high", F.col("n").alias("known"), F.col("part").cast("double").alias("median")))).when(F.col("name") == "disclosed", F.to_json(F.struct("n"))).otherwise(F.to_json(F.struct("value", "n")))
+    place = F.when(F.col("name") == "places", F.struct((-F.col("n")).alias("n"), "value", "rank")).otherwise(F.struct(F.lit(0).cast("long").alias("n"), F.lit("").alias("value"), "rank"))
+    lists = found.groupBy(F.col("variant").alias("key"), "name").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), entry.alias("e")))).alias("all"))
+    out = [lists.select("key", "name", F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["e"]), ","), F.lit("]")).alias("answer"))]
+    for key, params in asked.items():
+        told = stats.scoped(jobs.where(compile_filters(params | {"include_closed": "1"}, as_of)), as_of)
+        out.append(told.agg(F.to_json(F.collect_list(F.struct(*told.columns))).alias("answer")).select(F.lit(key).alias("key"), F.lit("stats").alias("name"), "answer"))
     return reduce(DataFrame.unionByName, out)
 
 

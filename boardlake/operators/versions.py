@@ -20,12 +20,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import shared_folder
+
 #: Rows of a bucket, about, when a table is made; buckets that a table has at most; tries of a writer.
 ROWS, MOST, ATTEMPTS = 1_000_000, 65_536, 5
 
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
 
+def settled(df: DataFrame, what: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: what several later steps read is computed once, and a lost executor costs a read."""
+    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Conflict(Exception):
     """Another writer was first, as often as was tried."""
 

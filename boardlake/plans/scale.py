@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts
+from ..operators import alerts, facets
 from ..sources.tables import table
 from .catalogue import T_OR, query
 from .views import AS_OR, LISTINGS, OPEN, listings
@@ -50,3 +50,40 @@ SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY first_
 def q162(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven standing questions of every customer over all listings: the newest fifty of each since its last answer."""
     return alerts.matches(listings(spark, sf_dir), customer_alerts(spark, sf_dir), AS_OR)
+
+
+#: Questions whose facets come from one scan: the stored variants' kinds, and one with filters of several facets.
+FACETED = {
+    "verified": {}, "all": {"confidence": "all"}, "closed too": {"include_closed": "1", "include_outdated": "1"},
+    "narrow": {"ats": "1-URGENT,2-HIGH", "department": "BUILDING,MACHINERY", "location": "CHINA,PERU,FRANCE", "salary_min": "100000", "salary_disclosed": "1"},
+}
+_OPEN_ALL = "closed_at IS NULL AND (posted_at IS NULL OR posted_at >= TIMESTAMP '2000-08-02 00:00:00')"
+_VARIANTS = {"verified": (OPEN, {}), "all": (_OPEN_ALL, {}), "closed too": ("confidence = 'verified'", {}), "narrow": (OPEN, {
+    "ats": "ats IN ('1-URGENT', '2-HIGH')", "department": "category IN ('BUILDING', 'MACHINERY')", "location": "location IN ('CHINA', 'PERU', 'FRANCE')", "salary_min": "(salary_max_ils >= 100000 OR salary_max_ils IS NULL)", "salary_disclosed": "salary_source = 'disclosed'"})}
+
+
+def _facets_sql() -> str:
+    """Each facet of each question by itself."""
+
+
+    out = []
+    for variant, (always, own) in _VARIANTS.items():
+        where = lambda drop, always=always, own=own: " AND ".join([always, *[f"coalesce({c}, false)" for p, c in own.items() if p not in drop]])
+        head = lambda name, variant=variant: f"SELECT '{variant}' AS variant, '{name}' AS name"
+        for name, (column, param) in facets.SCALAR.items():
+            most = facets.COMPANIES if name == "company" else facets.LIMIT
+            out.append(f"{head(name)}, rank, value, NULL AS part, n, NULL AS part_n, NULL AS low, NULL AS high FROM (SELECT {column} AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {column}) AS rank FROM l WHERE {where([param])} AND trim({column}) <> '' GROUP BY 1) WHERE rank <= {most}")
+        placed = where(facets._PLACES)
+        out.append(f"{head('country')}, rank, value, NULL, n, NULL, NULL, NULL FROM (SELECT country AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, country) AS rank FROM l WHERE {placed} GROUP BY 1) WHERE rank <= 60")
+        out.append(f"{head('places')}, rank, value, part, n, part_n, NULL, NULL FROM (SELECT country AS value, city AS part, sum(count(*)) OVER (PARTITION BY country) AS n, count(*) AS part_n, row_number() OVER (PARTITION BY country ORDER BY count(*) DESC, city) AS rank FROM l WHERE {placed} GROUP BY 1, 2) WHERE rank <= 25")
+        out.append(f"{head('pay')}, 1, NULL, CAST(round(median((salary_min_ils + salary_max_ils) / 2), 4) AS VARCHAR), count(*) FILTER (WHERE salary_min_ils IS NOT NULL AND salary_max_ils IS NOT NULL), NULL, min(salary_min_ils), max(salary_max_ils) FROM l WHERE {where(facets._PAY)}")
+        out.append(f"{head('disclosed')}, 1, NULL, NULL, count(*) FILTER (WHERE salary_source = 'disclosed'), NULL, NULL, NULL FROM l WHERE {where(['salary_disclosed'])}")
+    return " UNION ALL ".join(out)
+
+
+@query("q163_facets_in_one_scan", f"WITH {LISTINGS}, x AS ({_facets_sql()}) SELECT variant, name, CAST(rank AS INTEGER) AS rank, value, CASE WHEN name <> 'pay' THEN part END AS part, CASE WHEN name = 'pay' THEN round(CAST(part AS DOUBLE), 4) END AS median, n, CAST(part_n AS BIGINT) AS part_n, low, high FROM x")
+def q163(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facets of four questions, each without its own filter, from one scan of the listings."""
+    found = facets.all_facets(listings(spark, sf_dir).withColumn("description", F.lit(None).cast("string")), FACETED, AS_OR)
+    pay = F.col("name") == "pay"
+    return found.withColumns({"median": F.round(F.when(pay, F.col("part").cast("double")), 4), "part": F.when(~pay, F.col("part"))})
