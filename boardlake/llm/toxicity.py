@@ -1,6 +1,6 @@
 """Toxicity: a counterfactual-regularised classifier of whole texts.
 
-Logistic regression on the presence of words and word beginnings. Beside the loss on labelled
+Logistic regression on words and word beginnings: whether a text has them, has them twice, and three times. Beside the loss on labelled
 documents, each labelled sentence that names an identity group is taken again with the term
 swapped for another of its kind, and the squared change of the score is penalised: weight on the
 mention of a group is not worth its price, so neutral mentions don't raise a score.
@@ -26,9 +26,13 @@ from .text import Hashed, in_words, mixed, pieces, runs, words
 
 #: Labelled rows of each class that a fit sees at most; features that a model keeps at most.
 SAMPLE, VOCABULARY = 5000, 4000
-#: Documents with a feature, at least; its least |z| of the log-odds.
+#: Documents with a feature, at least; the least root of twice its log-likelihood ratio.
 LEAST_DOCS, LEAST_Z = 5, 4.0
+#: Times that a word or beginning counts: once, twice, three times.
+LEVELS = 3
 RIDGE, FAIRNESS = 3e-5, 1.0
+#: The score at which a fit, in which both classes weigh the same, takes either for as likely.
+MEETS = 0.7
 
 # Identity terms by kind; a term is swapped for the next of its kind and language.
 IDENTITY_TERMS = [
@@ -66,27 +70,44 @@ def word_features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield i, j, np.concatenate(parts), np.concatenate(rows)
 
 
+def level(f: np.ndarray, k: int) -> np.ndarray:
+    """The feature that f occurs k times at least; f itself for once."""
+    return f if k == 1 else mixed(f + np.uint64(k) * _SALTS[1])
+
+
+def occurring(f: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, what it is a level of, row), each once, from occurrences: a text that has a word three times has three features of it."""
+    order = np.lexsort((r, f))
+    f, r = f[order], r[order]
+    new = np.ones(len(f), bool)
+    new[1:] = (f[1:] != f[:-1]) | (r[1:] != r[:-1])
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(f)))
+    some = [at[n >= k] for k in range(1, LEVELS + 1)]
+    return np.concatenate([level(f[x], k) for k, x in enumerate(some, 1)]), np.concatenate([f[x] for x in some]), np.concatenate([r[x] for x in some])
+
+
 def features_of(texts: list[str]) -> list[np.ndarray]:
     """The distinct features of each text."""
     out: list[np.ndarray] = []
     for i, j, f, r in word_features(pa.array(texts, pa.string())):
+        f, _, r = occurring(f, r)
         out += [np.unique(f[r == k]) for k in range(j - i)]
     return out
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, documents labelled 1, documents labelled 0) of the task's batches, a row for each batch and feature."""
+    """(feature, what it is a level of, documents labelled 1, documents labelled 0) of the task's batches, a row for each batch and feature."""
     for batch in batches:
         y = batch.column(1).to_numpy(zero_copy_only=False)
         for i, j, f, r in word_features(batch.column(0)):
-            order = np.lexsort((r, f))
-            f, r = f[order], r[order]
-            new = np.ones(len(f), bool)
-            new[1:] = (f[1:] != f[:-1]) | (r[1:] != r[:-1])
-            own, at, n = np.unique(f[new], return_index=True, return_counts=True)
-            if len(own):
-                pos = np.add.reduceat(y[i + r[new]], at).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(pos), pa.array(n - pos)], ["f", "pos", "neg"])
+            f, base, r = occurring(f, r)
+            if not len(f):
+                continue
+            order = np.argsort(f, kind="stable")
+            own, at, n = np.unique(f[order], return_index=True, return_counts=True)
+            pos = np.add.reduceat(y[i + r[order]], at).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(base[order][at].view(np.int64)), pa.array(pos), pa.array(n - pos)], ["f", "base", "pos", "neg"])
 
 
 def _indexed(vocabulary: np.ndarray):
@@ -101,6 +122,7 @@ def _indexed(vocabulary: np.ndarray):
             texts = pc.utf8_lower(batch.column(0)).to_pylist()
             xs = []
             for i, j, f, r in word_features(batch.column(0)):
+                f, _, r = occurring(f, r)
                 order = np.argsort(r, kind="stable")
                 cut = np.searchsorted(r[order], np.arange(j - i + 1))
                 xs += [places(f[order[cut[k] : cut[k + 1]]]).tolist() for k in range(j - i)]
@@ -169,10 +191,10 @@ def fit(y: np.ndarray, x: Sparse, swaps: Sparse, width: int, steps: int = 600) -
 
 
 class Model:
-    """Sorted features, their weights, and the intercept."""
+    """Sorted features, their weights, the intercept, and the sorted words and beginnings that features are levels of."""
 
-    def __init__(self, features: np.ndarray, weights: np.ndarray, intercept: float) -> None:
-        self.features, self.weights, self.intercept = features, weights, intercept
+    def __init__(self, features: np.ndarray, weights: np.ndarray, intercept: float, bases: np.ndarray) -> None:
+        self.features, self.weights, self.intercept, self.bases = features, weights, intercept, bases
 
     def scores(self, column: pa.Array) -> np.ndarray:
         """The score of each text; null and empty texts get that of no words."""
@@ -180,14 +202,16 @@ class Model:
         if len(self.features):
             sieve = np.zeros(1 << 20, bool)
             mask = np.uint64((1 << 20) - 1)
-            sieve[(self.features & mask).astype(np.int64)] = True
+            sieve[(self.bases & mask).astype(np.int64)] = True
             for i, j, f, r in word_features(column):  # a run holds whole texts
                 some = sieve[(f & mask).astype(np.int64)]
                 f, r = f[some], r[some]
+                at = np.minimum(np.searchsorted(self.bases, f), len(self.bases) - 1)
+                hit = self.bases[at] == f
+                f, _, r = occurring(f[hit], r[hit])
                 at = np.minimum(np.searchsorted(self.features, f), len(self.features) - 1)
                 hit = self.features[at] == f
-                pair = np.unique(r[hit] * len(self.features) + at[hit])
-                out[i:j] += np.bincount(pair // len(self.features), self.weights[pair % len(self.features)], j - i)
+                out[i:j] += np.bincount(r[hit], self.weights[at[hit]], j - i)
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
@@ -207,13 +231,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = {r["y"]: r["count"] for r in total}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -1.0 if not pos else 0.0)
-    counts = rows.mapInArrow(_counted, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    a, b = F.col("pos") + 0.5, F.col("neg") + 0.5
-    z = (F.log(a / (pos + 1 - a)) - F.log(b / (neg + 1 - b))) / F.sqrt(1 / a + 1 / b)
-    chosen = counts.where(F.col("pos") + F.col("neg") >= LEAST_DOCS).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(VOCABULARY)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -1.0 if not pos else 0.0, np.zeros(0, np.uint64))
+    counts = rows.mapInArrow(_counted, "f long, base long, pos long, neg long").groupBy("f").agg(F.min("base").alias("base"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # the root of twice the log-likelihood ratio of the four cells, which holds where a cell is empty too
+    all_, both = F.lit(pos + neg), F.col("pos") + F.col("neg")
+    cells = [(F.col("pos"), both, pos), (F.col("neg"), both, neg), (pos - F.col("pos"), all_ - both, pos), (neg - F.col("neg"), all_ - both, neg)]
+    terms = [F.when(n > 0, n * F.log(n * all_ / (row * column))).otherwise(0.0) for n, row, column in cells]
+    z = F.sqrt(F.greatest(2 * sum(terms[1:], terms[0]), F.lit(0.0)))
+    chosen = counts.where(F.col("pos") + F.col("neg") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(VOCABULARY)
     named = np.concatenate(features_of(list(SWAPS)))
-    vocabulary = np.unique(np.concatenate([np.array([r["f"] for r in chosen.select("f").collect()], np.int64).view(np.uint64), named]))
+    found = np.array(chosen.select("f", "base").collect(), np.int64).reshape(-1, 2).view(np.uint64)
+    vocabulary = np.unique(np.concatenate([found[:, 0], named]))
+    bases = np.unique(np.concatenate([found[:, 1], named]))
     width = len(vocabulary)
 
     def fitted(batch: pa.Table) -> pa.Table:
@@ -227,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = indexed.groupBy(F.lit(1).alias("all")).applyInArrow(fitted, "w array<double>, b double").first()
     w = np.array(got["w"])
     used = np.abs(w) > 1e-6
-    return Model(vocabulary[used], w[used], got["b"])
+    return Model(vocabulary[used], w[used], got["b"] + np.log(MEETS / (1 - MEETS)), bases)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:

@@ -179,10 +179,24 @@ def test_language_accuracy(spark):
 
 
 def test_toxicity_accuracy(spark):
+    """Of held-out labels nine in ten are found, and nine in ten of those that are found are right; some 6 % of them mark texts without a toxic word."""
     sf = "/root/testdata/sf0.1"
     got = queries.QUERIES["op10_toxicity"](spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out and toxic is not null")
     c = {(r["toxic"], r["predicted"]): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
-    assert c[1, 1] / (c[1, 1] + c.get((1, 0), 0)) > 0.8 and c.get((0, 1), 0) / (c[0, 0] + c.get((0, 1), 0)) < 0.02
+    assert c[1, 1] / (c[1, 1] + c.get((1, 0), 0)) >= 0.9 and c[1, 1] / (c[1, 1] + c.get((0, 1), 0)) >= 0.9
+
+
+def test_toxicity_counts_repeats():
+    """A text that has a word three times has three features of it; scores follow them."""
+    import pyarrow as pa
+
+    from boardlake.llm import toxicity
+
+    (f, r), word = next((f, r) for _, _, f, r in toxicity.word_features(pa.array(["ab ab x ab", "ab", "ab ab"]))), toxicity.features_of(["ab"])[0][0]
+    got, base, row = toxicity.occurring(f, r)
+    assert [sorted(row[got == toxicity.level(np.array([word]), k)[0]].tolist()) for k in (1, 2, 3)] == [[0, 1, 2], [0, 2], [0]] and (base[got == word] == word).all()
+    model = toxicity.Model(np.sort([word, *toxicity.level(np.array([word]), 3)]), np.array([1.0, 1.0]), 0.0, np.array([word]))
+    assert np.allclose(model.scores(pa.array(["ab ab x ab", "ab", "ab ab", None])), 1 / (1 + np.exp(-np.array([2, 1, 1, 0]))))
 
 
 def test_swaps_are_penalised():
