@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_shaped
+from .ordered import ranked
 
 # Boards whose dates are approximations, so that the first one seen stays.
 FROZEN_DATES = ["workday", "comeet", "checkpoint"]
@@ -191,31 +192,10 @@ def hash_shard(c: Column, n: int) -> Column:
     return F.pmod(F.crc32(c.cast("binary")), F.lit(n))
 
 
-#: Ranges that range_shard ranks apart, at most.
-RANGES = 200
-
-
 def range_shard(rows: DataFrame, order: str, size: int = 50) -> DataFrame:
-    """Shards of `size` rows in the order of a column.
-
-    Ranges of the column, cut at a sample's values, are ranked in a task each; the rows before a range come from one count of
-    each. Equal values share a range.
-    """
-    n = rows.count()
-    share = min(1.0, 50 * RANGES / max(n, 1))
-    drawn = sorted(r[0] for r in rows.select(order).where(F.col(order).isNotNull()).sample(share, seed=1).collect())
-    step = max(1, len(drawn) // min(RANGES, max(1, n // 100)))
-    cuts = drawn[step::step]
-    at = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col(order))) if cuts else F.lit(0)
-    dealt = rows.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(at))
-    counts = {r["_range"]: r["count"] for r in dealt.groupBy("_range").count().collect()}
-    before, total = [], 0
-    for k in sorted(counts):
-        before += [F.lit(k), F.lit(total).cast("long")]
-        total += counts[k]
-    offset = F.create_map(*before)[F.col("_range")] if before else F.lit(0)
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1 + offset
-    return dealt.withColumn("shard", F.floor(rank / size)).drop("_range")
+    """Shards of `size` rows in the order of a column, nulls first; ranges of it are ranked apart, and rows of equal values are told apart by the rest."""
+    at = ranked(rows, [F.col(order).asc_nulls_first(), F.xxhash64(*rows.columns)], "_rank")
+    return at.select(*rows.columns, F.floor(F.col("_rank") / size).alias("shard"))
 
 
 def best_board(candidates: DataFrame, as_of: datetime, stale_days: int = 180) -> DataFrame:

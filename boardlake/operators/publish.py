@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import w3c
 from ..functions.money import base_salary
-from . import evaluate, facets, listing, stats
+from . import evaluate, facets, listing, ordered, stats
 from .predicates import compile_filters
+from .versions import settled
 
 RETAIN_DAYS, SITEMAP_SIZE, FEED_SIZE, FRAGMENT_ROWS, ARCHIVE_PARTS = 30, 40_000, 100, 25, 8
 FRAGMENT_BYTES = 12 << 20
@@ -29,15 +30,22 @@ def write_archive(rows: DataFrame, path: str) -> None:
     rows.repartition("closed_month", part).write.mode("append").partitionBy("closed_month").option("compression", "gzip").json(path)
 
 
-def write_fragments(results: DataFrame, path: str, most: int = FRAGMENT_ROWS, most_bytes: int = FRAGMENT_BYTES) -> None:
-    """Changed company results as JSON in the order of their keys, at most `most` in a file and about most_bytes; unchanged ones are left out.
+def fragments(results: DataFrame, most: int = FRAGMENT_ROWS, most_bytes: int = FRAGMENT_BYTES) -> DataFrame:
+    """Changed company results with rank and chunk: in the order of their keys, at most `most` and at most most_bytes of JSON lines in a chunk.
 
-    The bytes of a file are kept by the mean size of a result, so that a file's rows times their size stay within the bound.
+    Unchanged results are left out. Both bounds hold for every chunk; a result that is larger by itself is a chunk of its own.
     """
     changed = results.where(~F.coalesce("unchanged", F.lit(False)))
-    mean = changed.agg(F.avg(F.octet_length(F.to_json(F.struct(*changed.columns))))).first()[0] or 1
-    fit = max(1, min(most, int(most_bytes // mean)))
-    changed.sortWithinPartitions(changed.columns[0]).write.mode("append").option("maxRecordsPerFile", fit).json(path)
+    line = F.octet_length(F.to_json(F.struct(*changed.columns))) + 1
+    key = [c for c in changed.columns if c != "unchanged"][0]
+    return ordered.chunks(changed, [key, F.xxhash64(*changed.columns)], line, most, most_bytes)
+
+
+def write_fragments(results: DataFrame, path: str, most: int = FRAGMENT_ROWS, most_bytes: int = FRAGMENT_BYTES) -> None:
+    """A file of JSON lines for each chunk of `fragments`, named and filled in the order of their keys: a task writes one."""
+    cut = settled(fragments(results, most, most_bytes), "fragments")
+    n = (cut.agg(F.max("chunk")).first()[0] or 0) + 1
+    cut.repartitionById(n, F.col("chunk").cast("int")).sortWithinPartitions("rank").drop("rank", "chunk").write.mode("append").json(path)
 
 
 def write_shards(rows: DataFrame, path: str, shard: Column) -> None:
@@ -50,10 +58,19 @@ def changed_descriptions(jobs: DataFrame, blobs: DataFrame) -> DataFrame:
     return now.join(blobs.select("job_id", "sha"), ["job_id", "sha"], "left_anti")
 
 
-def sitemap(jobs: DataFrame, base: str, shards: int) -> DataFrame:
-    """(shard, xml): an entry for each open listing, in shards by a hash of the id; shards = ceil(count / 40,000)."""
-    entry = F.concat(F.lit(f"<url><loc>{base}/job/"), "id", F.lit("</loc><lastmod>"), w3c(F.coalesce("last_seen", "first_seen")), F.lit("</lastmod></url>"))
-    return jobs.where("closed_at is null").select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), entry.alias("xml"))
+def sitemap(jobs: DataFrame, base: str, size: int = SITEMAP_SIZE) -> DataFrame:
+    """(shard, rank, id, modified, xml): an entry for each open listing, in the order of their ids, exactly `size` in a shard but the last."""
+    seen = F.coalesce("last_seen", "first_seen")
+    entry = F.concat(F.lit(f"<url><loc>{base}/job/"), "id", F.lit("</loc><lastmod>"), w3c(seen), F.lit("</lastmod></url>"))
+    rows = ordered.ranked(jobs.where("closed_at is null").select("id", seen.alias("modified"), entry.alias("xml")), ["id", "xml"])
+    return rows.select(F.floor(F.col("rank") / size).cast("long").alias("shard"), "rank", "id", "modified", "xml")
+
+
+def sitemap_index(entries: DataFrame) -> DataFrame:
+    """(shard, name, n, lastmod, first_id, last_id): what the index of the sitemap says of each shard's file."""
+    name = F.concat(F.lit("sitemap-"), F.lpad(F.col("shard").cast("string"), 5, "0"), F.lit(".xml"))
+    told = entries.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), w3c(F.max("modified")).alias("lastmod"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return told.select("shard", name.alias("name"), "n", "lastmod", "first_id", "last_id")
 
 
 def company_sitemap(jobs: DataFrame) -> DataFrame:

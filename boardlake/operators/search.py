@@ -34,12 +34,12 @@ def token_table(jobs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     return jobs.select("id", texts).select("id", "x.field", F.posexplode(tokens(F.col("x.text"))).alias("pos", "token"))
 
 
-def write_index(table: DataFrame, path: str, parts: int = 64) -> DataFrame:
-    """The token table as Parquet whose files each hold their own tokens in order, so that a word's question reads a few row groups.
+def write_index(table: DataFrame, path: str) -> DataFrame:
+    """The token table as Parquet whose files hold ranges of (token, id), so that a word's question reads a few row groups and a frequent word is many tasks' work.
 
-    A token's rows are spread over four files at least, as a frequent word may be a large share of all.
+    For a large corpus take `postings`, whose rows are blocks.
     """
-    rows = table.repartition(parts, "token", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("token", "id")
+    rows = table.repartitionByRange("token", "id").sortWithinPartitions("token", "id")
     rows.write.mode("errorifexists").parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, status, taxonomy, text
-from ..operators import alerts, evaluate, explore, facets, listing, merge, predicates, publish, search, stats
+from ..operators import alerts, evaluate, explore, facets, listing, merge, postings, predicates, publish, search, stats
 from ..sources.tables import table
 from ..streaming.fragments import latest_by_key, parquet_stream
 from .views import AS_EV, AS_OR, DOCUMENTS, LISTINGS, OPEN, SKILLS, documents, listings, skill_rows
@@ -297,14 +297,14 @@ def q33(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q34_whole_word_tokens", f"WITH {DOCUMENTS} SELECT id FROM d WHERE list_contains(regexp_split_to_array(lower(description), '[^\\p{{L}}\\p{{N}}]+'), 'moron')")
 def q34(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a whole word, from the token table."""
-    return search.matches(search.token_table(documents(spark, sf_dir), ["description"]), "moron").select("id")
+    """Documents with a whole word, from the stored index."""
+    return postings.phrase(scale.documents_index(spark, sf_dir), "moron", ["description"]).select(F.col("number").alias("id"))
 
 
 @query("q34b_phrase_tokens", f"WITH {DOCUMENTS} SELECT id FROM d WHERE contains(' ' || array_to_string(list_filter(regexp_split_to_array(lower(description), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), ' ') || ' ', ' of the ')")
 def q34b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with two whole words next to each other."""
-    return search.matches(search.token_table(documents(spark, sf_dir), ["description"]), "of the").select("id")
+    """Documents with two whole words next to each other, from the stored index."""
+    return postings.phrase(scale.documents_index(spark, sf_dir), "of the", ["description"]).select(F.col("number").alias("id"))
 
 
 @query("q35_company_contains_search", f"WITH {LISTINGS} SELECT company_domain AS domain, min(company_name) AS company_name, count(*) AS n FROM l WHERE closed_at IS NULL AND (contains(lower(company_domain), '00001') OR contains(lower(company_name), '00001')) GROUP BY 1 ORDER BY n DESC, 1 LIMIT 50")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts, facets
+from ..operators import alerts, facets, ordered, postings, publish
+from ..session import shared_folder
 from ..sources.tables import table
 from .catalogue import T_OR, query
-from .views import AS_OR, LISTINGS, OPEN, listings
+from .views import AS_OR, DOCUMENTS, LISTINGS, OPEN, documents, listings
 
 #: Alerts of a customer.
 KINDS = 7
@@ -87,3 +90,61 @@ def q163(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = facets.all_facets(listings(spark, sf_dir).withColumn("description", F.lit(None).cast("string")), FACETED, AS_OR)
     pay = F.col("name") == "pay"
     return found.withColumns({"median": F.round(F.when(pay, F.col("part").cast("double")), 4), "part": F.when(~pay, F.col("part"))})
+
+
+_FILLED = 60_000
+
+
+@query("q164_ordered_chunks", f"""WITH RECURSIVE r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k, strlen(coalesce(text, '')) AS size FROM documents),
+g AS (SELECT doc_id, k, size, CAST(0 AS BIGINT) AS chunk, 1 AS n, size AS total FROM r WHERE k = 1
+UNION ALL SELECT r.doc_id, r.k, r.size, CASE WHEN g.n < 25 AND g.total + r.size <= {_FILLED} THEN g.chunk ELSE g.chunk + 1 END, CASE WHEN g.n < 25 AND g.total + r.size <= {_FILLED} THEN g.n + 1 ELSE 1 END, CASE WHEN g.n < 25 AND g.total + r.size <= {_FILLED} THEN g.total + r.size ELSE r.size END FROM g JOIN r ON r.k = g.k + 1)
+SELECT chunk, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, min(doc_id) AS first_id, max(doc_id) AS last_id FROM g GROUP BY chunk""")
+def q164(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the order of their ids in chunks of 25 rows and 60,000 bytes at most, each as full as can be."""
+    docs = table(spark, sf_dir, "documents").withColumn("size", F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).select("doc_id", "size")
+    cut = ordered.chunks(docs, ["doc_id"], F.col("size"), publish.FRAGMENT_ROWS, _FILLED)
+    return cut.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+
+
+@query("q165_sitemap_index", f"""WITH {LISTINGS}, r AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 1000 AS shard FROM l WHERE closed_at IS NULL)
+SELECT shard, 'sitemap-' || lpad(CAST(shard AS VARCHAR), 5, '0') || '.xml' AS name, count(*) AS n, strftime(max(first_seen), '%Y-%m-%dT%H:%M:%SZ') AS lastmod, min(id) AS first_id, max(id) AS last_id FROM r GROUP BY 1""")
+def q165(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the sitemap's files, each of exactly a thousand listings but the last."""
+    rows = listings(spark, sf_dir).withColumn("last_seen", F.col("first_seen"))
+    return publish.sitemap_index(publish.sitemap(rows, "https://example.com", 1000))
+
+
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def documents_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index of the documents, made by the first question of an application."""
+    docs = documents(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEPT:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        _KEPT[key] = path
+        return postings.write(postings.build(docs, ["title", "company_domain", "description"]), path)
+    return spark.read.parquet(_KEPT[key])
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+@query("q166_words_of_any_field", f"WITH {DOCUMENTS}, w AS (SELECT id, {_WORDS.format('title')} || {_WORDS.format('company_domain')} || {_WORDS.format('description')} AS words FROM d) SELECT id AS number FROM w WHERE list_has_all(words, ['the', 'src1', 'and'])")
+def q166(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with three words in whichever field, by blocks of the stored index."""
+    return postings.every(documents_index(spark, sf_dir), "and the SRC1")
+
+
+@query("q167_phrase_in_a_field", f"WITH {DOCUMENTS} SELECT id AS number FROM d WHERE contains(' ' || array_to_string({_WORDS.format('title')}, ' ') || ' ', ' of the ')")
+def q167(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with two words next to each other in their titles."""
+    return postings.phrase(documents_index(spark, sf_dir), "of the", ["title"])
+
+
+@query("q168_posting_blocks", f"WITH {DOCUMENTS}, t AS (SELECT DISTINCT id, unnest({_WORDS.format('description')}) AS token FROM d WHERE NOT regexp_matches(description, '[àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀ-Ýß]')) SELECT token, count(*) AS n FROM t GROUP BY 1")
+def q168(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of plain documents that have each word, added up over the blocks of an index of their own."""
+    plain = documents(spark, sf_dir).where("not regexp(description, '[àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀ-Ýß]')")
+    return postings.build(plain, ["description"]).groupBy("token").agg(F.sum("n").alias("n"))
