@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exact
+from .images import first_of_shapes
 from .predicates import compile_filters, flag
 
 LIMIT, COUNTRIES, TREE_COUNTRIES, TREE_CITIES, COMPANIES, COMPANY_HITS = 60, 60, 40, 25, 500, 50
+#: Logos that are looked at for each that is shown, where near copies are left out.
+SPARE = 6
 #: facet -> (column, parameter that it leaves out)
 SCALAR = {"ats": ("ats", "ats"), "company": ("company_domain", "company"), "category": ("category", "department"), "seniority": ("seniority", "seniority"), "workplace": ("workplace_type", "workplace")}
 
@@ -153,11 +156,19 @@ def company_search(jobs: DataFrame, companies: DataFrame, needle: str, limit: in
 
 
 def logo_row(jobs: DataFrame, companies: DataFrame, curated: list[str], limit: int = 30) -> DataFrame:
-    """Companies with a logo: hand-picked ones first, then the busiest; the first of an image stays."""
+    """Companies with a logo: hand-picked ones first, then the busiest; the first of an image stays.
+
+    Where companies have a logo_shape (see `images.shape`), the first of near copies stays too.
+    """
     counts = jobs.where("closed_at is null").groupBy(F.col("company_domain").alias("domain")).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.join(companies.select("domain", "company_name", "logo_url"), "domain").where("logo_url <> ''").withColumn("picked", F.col("domain").isin(curated))
+    shaped = [F.col("logo_shape").alias("shape")] if "logo_shape" in companies.columns else []
+    rows = counts.join(companies.select("domain", "company_name", "logo_url", *shaped), "domain").where("logo_url <> ''").withColumn("picked", F.col("domain").isin(curated))
     at = F.row_number().over(Window.partitionBy("logo_url").orderBy(F.desc("picked"), F.desc("n"), "domain"))
-    return rows.withColumn("_at", at).where("_at = 1").drop("_at").orderBy(F.desc("picked"), F.desc("n"), "domain").limit(limit)
+    order = [F.desc("picked"), F.desc("n"), F.col("domain")]
+    kept = rows.withColumn("_at", at).where("_at = 1").drop("_at").orderBy(*order)
+    if shaped:  # near copies of what is shown may take its place, so some more are looked at
+        kept = first_of_shapes(kept.limit(limit * SPARE), order).drop("shape").orderBy(*order)
+    return kept.limit(limit)
 
 
 def precomputed_key(params: dict) -> str | None:
