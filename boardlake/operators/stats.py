@@ -10,7 +10,7 @@ from pyspark.sql import Window
 
 from ..functions.dates import days_between
 from . import exact
-from .predicates import fresh
+from .predicates import compile_filters, fresh
 
 DORMANT_DAYS, SERIES_DAYS = 60, 14
 
@@ -174,3 +174,64 @@ def name_coverage(rows: DataFrame, companies: DataFrame) -> DataFrame:
     both = rows.join(named, "company_domain", "left")
     has = F.coalesce("has", F.lit(False))
     return both.agg(F.count_distinct("company_domain").alias("companies"), F.count_distinct(F.when(has, F.col("company_domain"))).alias("named_companies"), F.count(F.lit(1)).alias("listings"), F.count_if(has).alias("named_listings"))
+
+
+#: Companies of a scope's list; warnings that are stored, and that a health answer shows.
+SCOPED_TOP, MOST_WARNINGS, SHOWN_WARNINGS = 10, 40, 20
+
+
+def scoped_answer(jobs: DataFrame, params: dict, as_of: datetime, companies: DataFrame | None = None) -> DataFrame:
+    """One row: the figures of a question's own rows, and what was added and closed in its scope.
+
+    open_jobs, companies_hiring, median_open_days, oldest_open_days and top_companies (domain, n, logo_url) are of the rows that the question
+    shows, so open_jobs is its total. new_* and closed_* lift what hides closed and outdated rows, and keep every filter that was asked for.
+    One aggregate by company gives all counts; a null company counts its rows, not itself.
+    """
+    shown = compile_filters(params, as_of)
+    wide = jobs.where(compile_filters(params | {"include_closed": "1", "include_outdated": "1"}, as_of)).withColumn("_shown", shown)
+    flows = {"new_jobs_24h": ("first_seen", 1), "new_jobs_7d": ("first_seen", 7), "closed_jobs_24h": ("closed_at", 1), "closed_jobs_7d": ("closed_at", 7)}
+    recent = [F.count_if(within(c, as_of, days=d)).alias(n) for n, (c, d) in flows.items()]
+    per = wide.groupBy(F.col("company_domain").alias("domain")).agg(F.count_if(F.col("_shown")).alias("n"), F.max(F.when(F.col("_shown"), age(as_of))).alias("_oldest"), *recent).persist()
+    listed = per.where("n > 0 and domain is not null").orderBy(F.desc("n"), "domain").limit(SCOPED_TOP)
+    logo = F.lit(None).cast("string").alias("logo_url")
+    if companies is not None:
+        asked = companies.join(F.broadcast(listed.select("domain")), "domain", "left_semi").groupBy("domain").agg(F.max("logo_url").alias("logo_url"))
+        listed, logo = listed.join(asked, "domain", "left"), F.col("logo_url")
+    top10 = listed.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "domain", "n", logo))), lambda x: F.struct(x["domain"].alias("domain"), x["n"].alias("n"), x["logo_url"].alias("logo_url"))).alias("top_companies"))
+    median = exact.middle(jobs.where(shown), age(as_of))
+    figures = per.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("open_jobs"), F.count_if((F.col("n") > 0) & F.col("domain").isNotNull()).alias("companies_hiring"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in flows],
+        F.first(F.round(F.lit(median).cast("double"), 1)).alias("median_open_days"), F.round(F.max("_oldest"), 1).alias("oldest_open_days"),
+    )
+    return figures.join(top10)  # one row each
+
+
+def warnings(jobs: DataFrame, keep_midnight: bool = False) -> DataFrame:
+    """(posted_at, warning): exact times that open rows of several companies share, said as a line."""
+    found = shared_timestamps(jobs.where("closed_at is null"), keep_midnight=keep_midnight)
+    line = F.concat(F.col("posted_at").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" jobs across "), F.col("companies").cast("string"), F.lit(" different companies share this exact timestamp"))
+    return found.select("posted_at", "n", line.alias("warning"))
+
+
+def meta(jobs: DataFrame, companies: DataFrame, as_of: datetime, keep_midnight: bool = False) -> DataFrame:
+    """(key, value): what a load notes for the health answer; of the warnings the MOST_WARNINGS with most rows, joined by '; ', and their number."""
+    open_ = F.col("closed_at").isNull()
+    of = lambda c: F.count_if(open_ & (F.col("confidence") == c))
+    a = jobs.agg(F.count(F.lit(1)).alias("jobs_total"), F.count_if(open_).alias("jobs_open"), of("verified").alias("open_jobs_verified"), of("best_effort").alias("open_jobs_best_effort"))
+    b = companies.agg(F.count(F.lit(1)).alias("companies_total"), F.count_if(F.col("ats").isNotNull()).alias("companies_resolved"))
+    found = warnings(jobs, keep_midnight).persist()
+    most = found.orderBy(F.desc("n"), "posted_at").limit(MOST_WARNINGS)
+    c = most.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "posted_at", "warning"))), lambda x: x["warning"]), "; ").alias("timestamp_clustering_warnings"))
+    d = found.agg(F.count(F.lit(1)).alias("timestamp_clustering_warning_count"))
+    one = a.join(b).join(c).join(d).withColumn("last_loaded", F.date_format(F.lit(as_of), "yyyy-MM-dd'T'HH:mm:ss'Z'"))  # one row each
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in one.columns])).alias("x")).select("x.key", "x.value")
+
+
+def health_answer(stored: DataFrame, companies: DataFrame, as_of: datetime) -> DataFrame:
+    """One row of the health answer from stored meta: counts, the minutes since the last check, the first SHOWN_WARNINGS warnings and how many there are."""
+    of = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))
+    told = stored.agg(*[of(k).cast("long").alias(k) for k in ("jobs_total", "jobs_open", "companies_resolved")], of("timestamp_clustering_warnings").alias("w"), of("timestamp_clustering_warning_count").cast("long").alias("timestamp_clustering_warning_count"))
+    checked = companies.agg(F.max("last_checked").alias("last_checked"))
+    minutes = F.round((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col("last_checked").cast("timestamp"))) / 60e6, 1)
+    lines = F.slice(F.filter(F.split("w", "; "), lambda x: x != ""), 1, SHOWN_WARNINGS)
+    return told.join(checked).select("jobs_total", "jobs_open", "companies_resolved", "last_checked", minutes.alias("minutes_since_check"), lines.alias("timestamp_clustering_warnings"), "timestamp_clustering_warning_count")
