@@ -80,7 +80,7 @@ kind(151, "workday", "to_json(named_struct('jobPostings', array(named_struct('ti
 kind(152, "teamtailor", f"to_json(named_struct('items', array(named_struct('url', if(k % 2 = 0, concat('https://t.teamtailor.com/jobs/', k, '-x'), concat('https://t/', k)), 'title', n, 'date_published', {STAMP}, 'content_html', '<p>b</p>'))))",
      {"external_id": "CASE WHEN k % 2 = 0 THEN CAST(k AS VARCHAR) ELSE 'https://t/' || k END", "title": "n", "posted_at": TIME, "description": "'b'"})
 kind(153, "personio", f"concat('<workzag-jobs><position><id>', k, '</id><office>', s, '</office><additionalOffices><office>B</office></additionalOffices><name><![CDATA[', n, ']]></name><department>D</department><createdAt>', {STAMP}, '</createdAt></position></workzag-jobs>')",
-     {"external_id": ID, "title": "n", "location": "s || ', B'", "posted_at": TIME, "department": "'D'"}, parse=boards.parse_xml)
+     {"external_id": ID, "title": "n", "location": "s || ', B'", "url": "'https://' || k || '.jobs.personio.de/job/' || k", "posted_at": TIME, "department": "'D'"}, parse=boards.parse_xml)
 kind(154, "cards", "if(k % 4 = 0, 'This board is no longer active', concat('<p>', if(k % 5 = 0, 2, 1), ' jobs</p><li class=j><a href=\"/j/', k, '\">', n, '</a><i>', s, '</i></li>'))",
      {"external_id": ID, "title": "n", "location": "s"}, where="k % 4 > 0 AND k % 5 > 0",
      parse=lambda c: boards.parse_cards(c, "cards", r"<li class=j>.*?</li>", {"external_id": r"/j/(\d+)", "title": r'">(.*?)</a>', "location": "<i>(.*?)</i>"}, stated_total=r"(\d+) jobs", miss="no longer active"))

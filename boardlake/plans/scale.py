@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts, facets, ordered, postings, publish
+from ..operators import alerts, facets, images, ordered, postings, publish, stats
 from ..session import shared_folder
+from ..sources import boards
 from ..sources.tables import table
-from .catalogue import T_OR, query
+from .catalogue import AGE, T_OR, companies, query
 from .views import AS_OR, DOCUMENTS, LISTINGS, OPEN, documents, listings
 
 #: Alerts of a customer.
@@ -148,3 +150,63 @@ def q168(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of plain documents that have each word, added up over the blocks of an index of their own."""
     plain = documents(spark, sf_dir).where("not regexp(description, '[àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀ-Ýß]')")
     return postings.build(plain, ["description"]).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+_CODE = "CAST(list_sum([CASE WHEN embedding[i] > 0 AND i < 64 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END for i in range(1, 65)]) AS BIGINT)"
+
+
+@query("q169_near_shapes", f"""WITH e AS (SELECT vec_id, {_CODE} AS code FROM embeddings), v AS (SELECT vec_id * 4 + k AS id, xor(code, CASE k WHEN 0 THEN 0 WHEN 1 THEN 7 WHEN 2 THEN 4398046511112 ELSE 281479271743489 END) AS shape FROM e, range(4) r(k))
+SELECT a.shape AS a, b.shape AS b, CAST(bit_count(xor(a.shape, b.shape)) AS INTEGER) AS distance FROM (SELECT DISTINCT shape FROM v) a JOIN (SELECT DISTINCT shape FROM v) b ON bit_count(xor(a.shape, b.shape)) <= 6""")
+def q169(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of shapes within six bits: the signs of every vector, and three versions of each with some bits changed."""
+    one = F.lit(1).cast("long")
+    code = F.aggregate(F.transform("embedding", lambda x, i: F.when((x > 0) & (i < 63), F.call_function("shiftleft", one, i.cast("int"))).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
+    changed = F.array(*[code.bitwiseXOR(F.lit(x).cast("long")) for x in (0, 7, 4398046511112, 281479271743489)])
+    shapes = table(spark, sf_dir, "embeddings").select(F.explode(changed).alias("shape"))
+    return images.near_pairs(shapes, shapes)
+
+
+_WIDE = "confidence = 'verified' AND ats IN ('1-URGENT', '2-HIGH')"
+_FLOWS = ", ".join(f"count(*) FILTER (WHERE {c} >= {T_OR} - INTERVAL {d} DAY) AS {n}" for n, c, d in (("new_jobs_24h", "first_seen", 1), ("new_jobs_7d", "first_seen", 7), ("closed_jobs_24h", "closed_at", 1), ("closed_jobs_7d", "closed_at", 7)))
+
+
+@query("q170_scoped_answer", f"""WITH {LISTINGS}, o AS (SELECT *, {AGE} AS age FROM l WHERE {OPEN} AND ats IN ('1-URGENT', '2-HIGH')), c AS (SELECT company_domain AS d, count(*) AS n FROM o GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+SELECT (SELECT count(*) FROM o) AS open_jobs, (SELECT count(DISTINCT company_domain) FROM o) AS companies_hiring, {_FLOWS}, (SELECT round(median(age), 1) FROM o) AS median_open_days, (SELECT round(max(age), 1) FROM o) AS oldest_open_days,
+(SELECT string_agg(d || ' ' || n || ' logo ' || d, ', ' ORDER BY n DESC, d) FROM c) AS top_companies FROM l WHERE {_WIDE}""")
+def q170(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of a narrowed question: its own rows, its companies, and what came and went in its scope."""
+    named = companies(spark, sf_dir).withColumn("logo_url", F.concat(F.lit("logo "), "domain"))
+    found = stats.scoped_answer(listings(spark, sf_dir), {"ats": "1-URGENT,2-HIGH"}, AS_OR, named)
+    return found.withColumn("top_companies", F.array_join(F.transform("top_companies", lambda x: F.concat_ws(" ", x["domain"], x["n"], x["logo_url"])), ", "))
+
+
+_SHARED = f"x AS (SELECT posted_at, count(*) AS n, strftime(posted_at, '%Y-%m-%d %H:%M:%S') || ': ' || count(*) || ' jobs across ' || count(DISTINCT company_domain) || ' different companies share this exact timestamp' AS w FROM l WHERE closed_at IS NULL AND posted_at IS NOT NULL GROUP BY 1 HAVING count(*) >= 5 AND count(DISTINCT company_domain) >= 2)"
+
+
+@query("q171_meta_and_health", f"""WITH {LISTINGS}, {_SHARED}, m AS (SELECT count(*) AS jobs_total, count(*) FILTER (WHERE closed_at IS NULL) AS jobs_open, count(*) FILTER (WHERE closed_at IS NULL AND confidence = 'verified') AS verified, count(*) FILTER (WHERE closed_at IS NULL AND confidence = 'best_effort') AS best FROM l)
+SELECT 'jobs_total' AS key, CAST(jobs_total AS VARCHAR) AS value FROM m UNION ALL SELECT 'jobs_open', CAST(jobs_open AS VARCHAR) FROM m UNION ALL SELECT 'open_jobs_verified', CAST(verified AS VARCHAR) FROM m UNION ALL SELECT 'open_jobs_best_effort', CAST(best AS VARCHAR) FROM m
+UNION ALL SELECT 'companies_total', CAST(count(*) AS VARCHAR) FROM customer UNION ALL SELECT 'companies_resolved', CAST(count(*) FILTER (WHERE c_custkey % 4 > 0) AS VARCHAR) FROM customer
+UNION ALL SELECT 'timestamp_clustering_warnings', coalesce((SELECT string_agg(w, '; ' ORDER BY n DESC, posted_at) FROM (SELECT * FROM x ORDER BY n DESC, posted_at LIMIT 40)), '') UNION ALL SELECT 'timestamp_clustering_warning_count', CAST(count(*) AS VARCHAR) FROM x UNION ALL SELECT 'last_loaded', '2001-08-02T00:00:00Z'
+UNION ALL SELECT 'shown', CAST(least(20, count(*)) AS VARCHAR) FROM x UNION ALL SELECT 'minutes', '2880.0'""")
+def q171(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a load notes of all listings and companies, and two figures of the health answer that reads it."""
+    named = companies(spark, sf_dir).withColumn("ats", F.when(F.col("domain").cast("long") % 4 > 0, F.col("ats"))).withColumn("last_checked", F.lit(AS_OR - timedelta(days=2)))
+    stored = stats.meta(listings(spark, sf_dir), named, AS_OR, keep_midnight=True)
+    told = stats.health_answer(stored, named, AS_OR)
+    return stored.unionByName(told.select(F.explode(F.array(F.struct(F.lit("shown").alias("key"), F.size("timestamp_clustering_warnings").cast("string").alias("value")), F.struct(F.lit("minutes").alias("key"), F.col("minutes_since_check").cast("string").alias("value")))).alias("x")).select("x.key", "x.value"))
+
+
+@query("q172_pins_and_hints", """WITH s AS (SELECT s_suppkey AS k, s_name AS n FROM supplier), p AS (SELECT n AS domain, 'comeet' AS ats, CASE WHEN k % 5 > 0 THEN lpad(CAST(k AS VARCHAR), 6, '0') END AS token FROM s WHERE k % 3 = 0), h AS (SELECT n AS domain, 'lever' AS ats, 't' || k AS token FROM s WHERE k % 2 = 0 AND k % 7 > 0)
+SELECT domain, coalesce(p.ats, h.ats) AS ats, CASE WHEN p.domain IS NOT NULL THEN p.token ELSE h.token END AS token, CASE WHEN p.domain IS NOT NULL THEN 0 ELSE 1 END AS tier FROM p FULL JOIN h USING (domain)""")
+def q172(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boards of suppliers by files of pins and of hints, written from the table and read again; pins come first."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    s, folder = table(spark, sf_dir, "supplier"), f"{shared_folder(spark)}/pins-{uuid.uuid4().hex}"
+    entry = F.concat(F.lit("  - domain: "), name, F.lit("   # by hand\n"), F.when(k % 5 > 0, F.concat(F.lit('    token: "'), F.lpad(k.cast("string"), 6, "0"), F.lit('"\n'))).otherwise(""), F.lit("    jobs_seen: many"))
+    pins = s.where(k % 3 == 0).groupBy((k % 4).alias("part")).agg(F.concat(F.lit("# pins\ncomeet:\n"), F.array_join(F.sort_array(F.collect_list(entry)), "\n")).alias("value"))
+    pins.repartitionById(4, F.col("part").cast("int")).select("value").write.text(f"{folder}/pins")
+    hint = F.struct(name.alias("domain"), F.lit("lever").alias("ats"), F.when(k % 7 > 0, F.concat(F.lit("t"), k.cast("string"))).alias("token"))
+    hints = s.where(k % 2 == 0).groupBy((k % 3).alias("part")).agg(F.to_json(F.collect_list(hint)).alias("value"))
+    hints.repartitionById(3, F.col("part").cast("int")).select("value").write.text(f"{folder}/hints")
+    none = spark.createDataFrame([], "domain string, ats string, token string")
+    return boards.resolve(boards.read_pins(spark, f"{folder}/pins"), boards.read_hints(spark, f"{folder}/hints"), none, none)

@@ -281,15 +281,33 @@ def with_places(postings: DataFrame, pages: DataFrame) -> DataFrame:
     return postings.join(of, (F.col("domain") == F.col("_d")) & (F.col("url") == F.col("_u")), "left").withColumn("location", F.coalesce("_line", "location")).select(*POSTING)
 
 
+#: What is read of an XML feed of positions; `broken` holds a payload that is no XML.
+FEED = "position array<struct<id:string,name:string,office:string,additionalOffices:struct<office:array<string>>,createdAt:string,department:string>>, broken string"
+
+
+def _feed(captures: DataFrame, kind: str) -> DataFrame:
+    """Captures of a kind with x, their feed; namespaces of elements are ignored."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken", "ignoreNamespace": "true", "ignoreSurroundingSpaces": "true"}
+    return captures.where(F.col("ats") == kind).withColumn("x", F.from_xml("payload", FEED, options))
+
+
 def parse_xml(captures: DataFrame, kind: str = "personio") -> DataFrame:
-    """Postings of an XML feed of <position> elements; offices are joined, bodies are absent."""
-    def tag(name: str) -> Column:
-        return F.nullif(F.trim(F.regexp_replace(F.regexp_extract("x", rf"(?s)<{name}>(.*?)</{name}>", 1), r"<!\[CDATA\[|\]\]>", "")), F.lit(""))
+    """Postings of an XML feed of <position> elements: the office and further offices are joined, the address follows the id, bodies are absent.
 
-    rows = captures.where(F.col("ats") == kind).select("domain", "ats", "token", "complete", F.explode(F.regexp_extract_all("payload", F.lit(r"(?s)<position>.*?</position>"), F.lit(0))).alias("x"))
-    offices = F.array_join(F.array_distinct(F.regexp_extract_all("x", F.lit(r"<office>(.*?)</office>"), F.lit(1))), ", ")
+    A payload that is no XML gives no rows (see `broken_feeds`), and neither does one without positions.
+    """
+    rows = _feed(captures, kind).where("x.broken is null").select("domain", "ats", "token", "complete", F.explode("x.position").alias("p"))
+    text = lambda name: F.nullif(F.trim(F.col(f"p.{name}")), F.lit(""))
+    offices = F.concat(F.array(F.col("p.office")), F.coalesce(F.col("p.additionalOffices.office"), F.array().cast("array<string>")))
+    offices = F.array_join(F.filter(F.transform(offices, lambda x: F.trim(x)), lambda x: x != ""), ", ")
+    url = F.concat(F.lit("https://"), F.col("token"), F.lit(f".jobs.{kind}.de/job/"), text("id"))
     none = F.lit(None).cast("string")
-    return rows.select("domain", "ats", "token", tag("id").alias("external_id"), tag("name").alias("title"), F.nullif(offices, F.lit("")).alias("location"), none.alias("url"), dates.normalized(tag("createdAt")).alias("posted_at"), tag("department").alias("department"), none.alias("description"), none.alias("seniority"), none.alias("workplace_type"), none.alias("salary_text"), "complete")
+    return rows.select("domain", "ats", "token", text("id").alias("external_id"), text("name").alias("title"), F.nullif(offices, F.lit("")).alias("location"), url.alias("url"), dates.normalized(text("createdAt")).alias("posted_at"), text("department").alias("department"), none.alias("description"), none.alias("seniority"), none.alias("workplace_type"), none.alias("salary_text"), "complete")
+
+
+def broken_feeds(captures: DataFrame, kind: str = "personio") -> DataFrame:
+    """Captures of a kind that are no XML, set aside: (domain, token, payload)."""
+    return _feed(captures, kind).where("x.broken is not null or x is null").select("domain", "token", "payload")
 
 
 def parse_cards(captures: DataFrame, kind: str, card: str, fields: dict[str, str], stated_total: str | None = None, miss: str | None = None) -> DataFrame:
@@ -368,3 +386,29 @@ def discovery_queue(pending: DataFrame, found: DataFrame, tracked: DataFrame, he
     one = both.groupBy("ats", "token").agg(F.min_by(F.struct(*rest), "_new").alias("r")).select("ats", "token", "r.*")
     left = one.join(tracked.select("ats", "token"), ["ats", "token"], "left_anti").orderBy(F.desc("local_jobs"), F.desc("jobs"), "ats", "token")
     return left.limit(size if healthy else 0)
+
+
+def read_pins(spark: SparkSession, path: str) -> DataFrame:
+    """(ats, domain, uid, token, jobs_seen) of files of pinned boards: under a kind's name a list of entries, a field a line.
+
+    Every value is text, whatever it looks like; jobs_seen alone is a number, 0 where it is none. Quotes around a value go, comments
+    too. Entries without a domain are left out; of a domain's entries of a kind in one file the last counts. A folder's files are read by many tasks.
+    """
+    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    lines = files.where(~F.col("line").rlike(r"^\s*(#.*)?$"))
+    kind = F.nullif(F.regexp_extract("line", r"^([A-Za-z_][\w.-]*):\s*(#.*)?$", 1), F.lit(""))
+    so_far = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    entry = r"^\s+(?:-\s+)?([\w.-]+):\s*(.*?)\s*$"
+    rows = lines.select("file", "n", F.last(kind, True).over(so_far).alias("ats"), F.sum(F.col("line").rlike(r"^\s*-\s").cast("int")).over(so_far).alias("entry"), F.regexp_extract("line", entry, 1).alias("key"), F.regexp_extract("line", entry, 2).alias("raw")).where("key <> '' and entry > 0")
+    quoted = r"""^(?:"([^"]*)"|'([^']*)').*$"""
+    value = F.when(F.col("raw").rlike(quoted), F.concat(F.regexp_extract("raw", quoted, 1), F.regexp_extract("raw", quoted, 2))).otherwise(F.regexp_replace("raw", r"\s+#.*$", ""))
+    fields = {f: F.max_by(F.when(F.col("key") == f, value), F.when(F.col("key") == f, F.col("n"))) for f in ("domain", "uid", "token", "jobs_seen")}
+    each = rows.groupBy("file", "ats", "entry").agg(*[c.alias(f) for f, c in fields.items()]).where("domain <> ''")
+    last = each.groupBy("file", "ats", "domain").agg(F.max_by(F.struct("uid", "token", "jobs_seen"), "entry").alias("e"))
+    return last.select("ats", "domain", "e.uid", "e.token", F.when(F.col("e.jobs_seen").isNotNull(), F.coalesce(F.col("e.jobs_seen").try_cast("int"), F.lit(0))).alias("jobs_seen"))
+
+
+def read_hints(spark: SparkSession, path: str) -> DataFrame:
+    """(domain, ats, token) of JSON files of boards that were resolved before; entries without one of them, and files that are no JSON, are left out."""
+    rows = spark.read.schema("domain string, ats string, token string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return rows.where("domain <> '' and ats <> '' and token <> ''")

@@ -92,3 +92,28 @@ def test_fingerprint_follows_size_and_newest(spark):
     of = lambda rows: boards.fingerprint(spark.createDataFrame(rows, kind), newest=3).first()["content_hash"]
     base = [row(i) for i in range(10)]
     assert of(base) == of(base[::-1]) != of(base + [row(11)]) and of(base) != of([row(20)] + base[1:])
+
+
+def test_xml_feeds(spark):
+    feed = """<?xml version="1.0"?><w:jobs xmlns:w="urn:x">
+    <w:position><w:id> 7 </w:id><w:office>Berlin</w:office><w:additionalOffices><w:office>Wien</w:office><w:office> </w:office><w:office>Berlin</w:office></w:additionalOffices><w:name><![CDATA[ R & D <Lead> ]]></w:name><w:createdAt>2024-01-05T10:00:00+00:00</w:createdAt></w:position>
+    <w:position><w:id/><w:name>No id</w:name><w:department>X</w:department></w:position></w:jobs>"""
+    rows = [("a", feed), ("b", "<jobs><position><id>1</id>"), ("c", "<jobs></jobs>"), ("d", "no feed"), ("e", None)]
+    caps = spark.createDataFrame([(d, "personio", d, p, True) for d, p in rows], "domain string, ats string, token string, payload string, complete boolean")
+    got = {r["title"]: r for r in boards.parse_xml(caps).collect()}
+    one = got["R & D <Lead>"]
+    assert (one["external_id"], one["location"], one["url"], str(one["posted_at"])) == ("7", "Berlin, Wien, Berlin", "https://a.jobs.personio.de/job/7", "2024-01-05 10:00:00")
+    assert got["No id"]["url"] is None and got["No id"]["location"] is None and got["No id"]["department"] == "X" and len(got) == 2
+    assert {r["domain"] for r in boards.broken_feeds(caps).collect()} >= {"b"} and "a" not in {r["domain"] for r in boards.broken_feeds(caps).collect()}
+
+
+def test_pins_and_hints(spark, tmp_path):
+    (tmp_path / "pins").mkdir()
+    (tmp_path / "pins/a.yml").write_text('# top\ncomeet:\n  - domain: yes.co.il\n    uid: "91.001"  # quoted\n    token: 01\n    jobs_seen: 6\n\n  - uid: "no domain"\n  - domain: twice.com\n    token: old\n  - domain: twice.com\n    token: \'new\'\n    jobs_seen: lots\nlever:\n  - domain: b.com\n    token: yes   # kept as text\n')
+    (tmp_path / "pins/empty.yml").write_text("")
+    got = sorted(tuple(r) for r in boards.read_pins(spark, str(tmp_path / "pins")).collect())
+    assert got == [("comeet", "twice.com", None, "new", 0), ("comeet", "yes.co.il", "91.001", "01", 6), ("lever", "b.com", None, "yes", None)]
+    (tmp_path / "hints").mkdir()
+    (tmp_path / "hints/a.json").write_text('[{"domain": "a.com", "ats": "lever", "token": "t"}, {"domain": "b.com", "ats": null, "token": "x"}, {"domain": ""}]')
+    (tmp_path / "hints/broken.json").write_text("[{")
+    assert [tuple(r) for r in boards.read_hints(spark, str(tmp_path / "hints")).collect()] == [("a.com", "lever", "t")]
