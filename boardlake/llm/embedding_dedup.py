@@ -69,9 +69,10 @@ def linked_pairs(x: np.ndarray, y: np.ndarray | None, least: float, blocks: int)
             gap = np.maximum(0, np.maximum(tl - hi[k], lo[k] - th)) ** 2
             found = None
             for (a, b, most), p, q in zip(spans, left, right, strict=True):
-                if gap[a:b].sum() > most:
+                loose = most * 1.001 + 1e-5  # both are in single precision
+                if gap[a:b].sum() > loose:
                     continue
-                near = p[i : i + TILE] @ q[:, j : j + TILE] <= most * 1.001 + 1e-5
+                near = p[i : i + TILE] @ q[:, j : j + TILE] <= loose
                 found = near if found is None else np.logical_or(found, near, out=found)
             if found is None:
                 continue

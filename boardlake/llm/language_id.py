@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import forget, stored, text_batches
 from .text import mixed, pieces
 from .toxicity import kept_by, remainder
 
@@ -249,6 +249,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
 
     # at most `sample` documents of a language
     found = rows.groupBy("lang").applyInArrow(fitted, "lang string, c array<float>, least array<double>").collect()
+    forget(rows)
     found.sort(key=lambda r: (r["lang"], r["c"]))
     return Model([r["lang"] for r in found], np.array([r["c"] for r in found]), idf, {r["lang"]: np.array(r["least"]) for r in found})
 
@@ -264,6 +265,7 @@ def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     Repeated rows get equal results. Further columns are not read.
     """
     model = train(docs.where(remainder("doc_id", 4) != 2), sample=sample)
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,6 +279,10 @@ def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def known_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without the rows that language ID rejects; all columns stay as they are."""
+    """docs without the rows that language ID rejects; all columns stay as they are.
+
+    Null texts and texts without a letter go; long texts are judged whole; rows without an id are judged like others. An empty table
+    stays empty.
+    """
     model = train(docs.where(remainder("doc_id", 4) != 2), sample=sample)
     return kept_by(docs, lambda column: ~model.predict(column)[2])

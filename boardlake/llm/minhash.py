@@ -12,8 +12,8 @@ minimum estimate the Jaccard similarity with the concentration of independent dr
    0.85, 38 of 5 at 0.80.
 3. Within a bucket, sketches (a byte a coordinate) are compared breadth-first: each class that was
    reached is compared with those not reached yet. A spanning forest of the pairs with at least so many
-   equal coordinates comes out, never all pairs; large buckets are cut into chunks and
-   every two chunks meet in a task of their own. `plan` sets that number so that a pair at the
+   equal coordinates comes out, never all pairs. In a bucket of over BUCKET_CHUNK classes all are compared with the
+   first; only those that are far from it meet all others, chunk by chunk. `plan` sets that number so that a pair at the
    threshold falls under it with probability ESTIMATE_MISS at most.
 4. The forest's components are families. Texts of a family's classes come together (in chunks of
    a bounded number of shingles, every two chunks in a task) and are compared exactly, by
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, free, sieve, stored
+from .shared import components, forget, free, sieve, stored, text_batches
 from .text import LOWER, SPACE, Hashed, mixed, pieces, words
 
 COORDS, WIDTH = 192, 5
@@ -272,6 +272,39 @@ def _paired(df: DataFrame, key: str, chunks: str, of: str) -> DataFrame:
     return df.withColumn("_o", F.explode(others)).withColumn("lo", F.least("_o", mine)).withColumn("hi", F.greatest("_o", mine)).drop("_o")
 
 
+def _near_lead(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDS) for c in ("sketch", "lead_sketch"))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("key", "rep", "lead", "c")], pa.array((a == b).sum(1) >= least)], ["key", "rep", "lead", "c", "near"])
+
+    return run
+
+
+def _led(bands: DataFrame, hot: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """(key, rep, lead, c, near), stored: the classes of hot buckets, and whether each is near its bucket's first. A hot bucket's rows are split by adaptive execution."""
+    leads = stored(hot.join(classes.select(F.col("rep").alias("lead"), F.col("sketch").alias("lead_sketch")), "lead"), "leads")
+    own = bands.join(leads.select("key", "c", "lead", "lead_sketch"), "key").join(classes.select("rep", "sketch"), "rep")
+    found = stored(own.select("key", "rep", "lead", "c", "sketch", "lead_sketch").mapInArrow(_near_lead(least), "key long, rep long, lead long, c long, near boolean"), "led")
+    forget(leads)
+    return found
+
+
+def _odd_ones(led: DataFrame) -> DataFrame:
+    """(key, lo, hi, rep): tasks in which the classes of a hot bucket that are far from its first meet all of the bucket.
+
+    Those near the first are one family whatever else they are near, so they need not meet each other. A task has a chunk of the far ones (lo)
+    and a chunk of all (hi), so rows grow as the bucket times its chunks of far ones, and the far ones times the bucket's chunks: in
+    proportion, where few are far, as in a family of copies.
+    """
+    odd = led.where("not near").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET_CHUNK).alias("odds"))
+    both = led.join(odd, "key").withColumn("chunks", F.ceil(F.col("c") / BUCKET_CHUNK))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    far = both.where("not near").withColumn("lo", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("odds"))).withColumn("hi", F.explode(upto("chunks")))
+    whole = both.withColumn("hi", F.pmod(F.xxhash64("rep", F.lit(13)), F.col("chunks"))).withColumn("lo", F.explode(upto("odds")))
+    return far.select("key", "lo", "hi", "rep").unionByName(whole.select("key", "lo", "hi", "rep")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """Groups of documents whose sets have 100 * intersection >= percent * union, directly or by way of others.
 
@@ -284,12 +317,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result. A pair at the threshold is missed with probability BAND_MISS + ESTIMATE_MISS
     at most (see `plan`), whatever the threshold.
     """
-    return _judged(docs, id_col, text_col, percent).drop("t")
+    return _judged(docs, id_col, text_col, percent)[0].drop("t")
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """near_duplicates with t, a hash of each row's text."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """near_duplicates with t, a hash of each row's text; and the stored tables that it reads."""
     n_bands, n_rows, least = plan(percent)
+    text_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = own.withColumn("t", F.xxhash64("text")).mapInArrow(_sketched(n_bands, n_rows), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary, t long")
     sketched = stored(sketched, "sketches")
@@ -299,12 +333,22 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
         "classes",
     )
     bands = classes.select("rep", F.explode("bands").alias("key"))
-    full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / BUCKET_CHUNK).alias("chunks"))
-    met = _paired(bands.join(full, "key"), "key", "chunks", "rep").select("key", "lo", "hi", "rep")
+    full = stored(bands.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lead")).where("c > 1"), "buckets")
+    zero = F.lit(0).cast("long")
+    met = bands.join(full.where(F.col("c") <= BUCKET_CHUNK).select("key"), "key").select("key", zero.alias("lo"), zero.alias("hi"), "rep")
+    hot, edges, led = full.where(F.col("c") > BUCKET_CHUNK), None, None
+    if not hot.isEmpty():
+        led = _led(bands, hot, classes, least)
+        edges = led.where("near and rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+        met = met.unionByName(_odd_ones(led))
     met = met.join(classes.select("rep", "sketch"), "rep").select("key", "lo", "hi", "rep", "sketch")
-    alike = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_alike(least), "a long, b long").distinct()
+    alike = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_alike(least), "a long, b long")
+    alike = (alike if edges is None else alike.unionByName(edges)).distinct()
     family = components(alike).join(classes.select(F.col("rep").alias("node"), "n", "f1"), "node")
     family = stored(family, "families")
+    for table in (full, led):
+        if table is not None:
+            forget(table)
     sizes = family.groupBy("component").agg(F.ceil(F.sum("n") / FAMILY_CHUNK).alias("chunks"))
     tasks = _paired(family.join(sizes, "component"), "component", "chunks", "node").select("component", "lo", "hi", F.col("node").alias("doc_id"), "f1")
     # only texts of families are shuffled, and a text that its id repeats goes once
@@ -312,6 +356,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     texts = tasks.join(some, "doc_id").select("component", "lo", "hi", "doc_id", "f1", "text")
     links = texts.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(_confirmed(percent), "a long, b long").distinct()
     groups = components(links)
+    forget(family)
     of_class = (
         classes.select("f1", "f2", "rep").join(groups, F.col("rep") == F.col("node"), "left")
         .select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "rep").alias("class_id"))
@@ -319,7 +364,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     found = sketched.select("doc_id", "n_shingles", "f1", "f2", "t").join(of_class, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
     group = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
     group = F.when(F.col("doc_id").isNotNull(), group)
-    return found.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(False)).alias("kept"), "t")
+    return found.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(False)).alias("kept"), "t"), [sketched, classes]
 
 
 def first_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,8 +375,11 @@ def first_of_each(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     whose id is repeated, and those few that the sieve takes for them are shuffled.
     """
     ident, mark, stays = free(docs, "judged_id"), free(docs, "judged_text"), free(docs, "judged_kept")
-    found = _judged(docs, id_col, text_col, percent).where("doc_id is not null").groupBy("doc_id", "t").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    judged, read = _judged(docs, id_col, text_col, percent)
+    found = judged.where("doc_id is not null").groupBy("doc_id", "t").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     found = stored(found.where("n > 1 or not kept").select(F.col("doc_id").alias(ident), F.col("t").alias(mark), F.col("kept").alias(stays)), "judged")
+    for table in read:
+        forget(table)
     maybe = F.col(id_col).isNotNull() & sieve(found, ident)(F.col(id_col).cast("long"))
     text = free(docs, "judged_hash")
     doubtful = docs.where(maybe).withColumn(text, F.xxhash64(text_col)).join(found, (F.col(id_col) == F.col(ident)) & (F.col(text) == F.col(mark)), "left")

@@ -24,8 +24,8 @@ SHARDS, BLOCK = 40, 200
 MARGIN = 0.9
 
 
-def _moved(blocks: DataFrame, room: list[int], quota: list[int], turn: int) -> DataFrame:
-    """Blocks (g, k, w, s) after one round; room: rows that each shard may still take. A shard is full from seven eighths of its quota on."""
+def _moved(blocks: DataFrame, room: list[int], quota: list[int], turn: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks (g, k, w, s) after one round, and the stored table that they read; room: rows that each shard may still take. A shard is full from seven eighths of its quota on."""
     room = [r if r * 8 > q else 0 for r, q in zip(room, quota, strict=True)]
     left = F.array(*[F.lit(max(0, r)).cast("long") for r in room])
     open_now = F.element_at(left, F.col("s") + 1) > 0
@@ -37,7 +37,7 @@ def _moved(blocks: DataFrame, room: list[int], quota: list[int], turn: int) -> D
     share = F.array(*[F.lit(min(1.0, MARGIN * room[s] / demand[s]) if demand.get(s) else 0.0) for s in range(len(room))])
     dice = F.pmod(F.xxhash64("g", "k", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
     goes = F.col("t").isNotNull() & (dice < F.element_at(share, F.col("t") + 1))
-    return want.select("g", "k", "w", F.when(goes, F.col("t")).otherwise(F.col("s")).alias("s"), goes.alias("went"))
+    return want.select("g", "k", "w", F.when(goes, F.col("t")).otherwise(F.col("s")).alias("s"), goes.alias("went")), want
 
 
 def propagate(blocks: DataFrame, quota: list[int]) -> DataFrame:
@@ -49,7 +49,9 @@ def propagate(blocks: DataFrame, quota: list[int]) -> DataFrame:
     total = sum(quota)
     for turn in range(max(12, len(quota))):
         load = {r["s"]: r["n"] for r in now.groupBy("s").agg(F.sum("w").alias("n")).collect()}
-        then = stored(_moved(now, [q - load.get(s, 0) for s, q in enumerate(quota)], quota, turn), "blocks")
+        moved, want = _moved(now, [q - load.get(s, 0) for s, q in enumerate(quota)], quota, turn)
+        then = stored(moved, "blocks")
+        forget(want)
         went = then.where("went").agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
         forget(now)
         now = then

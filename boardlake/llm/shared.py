@@ -45,9 +45,39 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again.stored_at = path
+    for made in _SCRATCH:
+        made.append(path)
     return again
 
 
+#: The tables that were stored within each open `scratch`.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are stored within it are deleted at its end; for whoever writes a result there. What is to stay is taken from the list."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield made
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            dropped(spark, path)
+
+
+#: Rows of a table of texts that a task's batch has; as many as Spark takes of itself are some 34 MB, held on both sides.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Arrow batches have TEXT_ROWS rows in this session, unless it has a setting of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 @contextmanager
 def tidied(spark: SparkSession) -> Iterator[None]:
     """Within it, the shuffle files of a write go when the write has ended; for tables that are stored one after the other."""
@@ -113,7 +143,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """
     sides = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     now = stored(sides.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    first, sign = now, None
+    sign = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the minima are a table of their own, so that adaptive execution can split the join at a hub, which is
@@ -128,7 +158,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         )
         then = stored(small, "links")
         mark = then.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for table in (low, *([now] if now is not first else [])):
+        for table in (low, now):
             forget(table)
         now = then
         if mark == sign:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import forget, stored, text_batches
 from .text import Hashed, in_words, mixed, pieces, runs, words
 
 #: Labelled rows of each class that a fit sees at most; features that a model keeps at most.
@@ -254,6 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # at most 2 * sample rows of at most VOCABULARY small integers
     indexed = rows.mapInArrow(_indexed(vocabulary), "y int, x array<int>, taken array<array<int>>, brought array<array<int>>")
     got = indexed.groupBy(F.lit(1).alias("all")).applyInArrow(fitted, "w array<double>, b double").first()
+    forget(rows)
     w = np.array(got["w"])
     used = np.abs(w) > 1e-6
     return Model(vocabulary[used], w[used], got["b"] + np.log(MEETS / (1 - MEETS)), bases)
@@ -262,6 +263,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", name: str = "score") -> DataFrame:
     """(id, score) for each row; one narrow pass, whatever the length of the texts."""
 
+    text_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1)))], ["doc_id", name])
@@ -283,7 +286,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """docs without the rows whose score reaches the threshold; all columns stay as they are."""
+    """docs without the rows whose score reaches the threshold; all columns stay as they are.
+
+    Null and empty texts have no toxic word and stay; long texts are judged whole; rows without an id are judged like others. An empty
+    table stays empty.
+    """
     model = train(docs, labels.where(remainder("doc_id", 3) != 1))
     return kept_by(docs, lambda column: model.scores(column) < threshold)
 
@@ -293,7 +300,8 @@ HANDED = 4 << 20
 
 
 def kept_by(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
-    """docs where keep(Arrow text column) is true, in one narrow pass."""
+    """docs where keep(Arrow text column) is true, in one narrow pass; keep gets texts as they are, null and empty ones too."""
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

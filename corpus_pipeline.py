@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from boardlake.llm.language_id import known_language
 from boardlake.llm.minhash import first_of_each
 from boardlake.llm.packing import pack
-from boardlake.llm.shared import stored
+from boardlake.llm.shared import forget, scratch, stored
 from boardlake.llm.toxicity import clean_documents
 from boardlake.sources.tables import table
 
@@ -45,10 +45,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are stored and read again."""
+    """All stages over documents; each stage's rows are stored and read again, and what a stage has stored and read goes when they are."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as made:
+            after = stored(stage(spark, docs, sf_dir), name)
+            made.remove(after.stored_at)
+        forget(docs)
+        docs = after
+    # the last stage's tables stay, as its rows are yet to be read; it has read its documents
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    forget(docs)
+    return packed

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from boardlake.llm import chat_tools, language_id, minhash, sentencepieces, sharding, shared, topk, toxicity, url_filter
+from boardlake.llm import chat_tools, embedding_dedup, language_id, minhash, sentencepieces, sharding, shared, topk, toxicity, url_filter
 from boardlake.sources.tables import table
 
 SF = "/root/testdata/sf0.001"
@@ -240,3 +240,62 @@ def test_pipeline_stages_at_the_edges(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, kept, sf).count() >= kept.count()
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_a_hot_bucket_is_compared_with_its_first(spark, monkeypatch):
+    """Near copies of one text, and texts that only some of them are near: the groups are those of all pairs, and rows grow with the bucket."""
+    monkeypatch.setattr(minhash, "BUCKET_CHUNK", 16)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+
+    def edited(words, n):
+        out = list(words)
+        for _ in range(n):
+            out[rng.randrange(len(out))] = f"e{rng.randrange(10**6)}"
+        return out
+
+    far = edited(base, 9)
+    texts = [edited(base, rng.randrange(4)) for _ in range(150)] + [edited(far, rng.randrange(9)) for _ in range(60)] + [[f"x{rng.randrange(10**6)}" for _ in range(60)] for _ in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {i: find(i) for i in range(len(sets))}
+
+
+def test_rows_of_a_hot_bucket_grow_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BUCKET_CHUNK", 10)
+    size = []
+    for n in (200, 400):
+        led = spark.range(n).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("rep"), F.lit(0).cast("long").alias("lead"), F.lit(n).cast("long").alias("c"), (F.col("id") >= 6).alias("near"))
+        size.append(minhash._odd_ones(led).count())
+    assert size[1] <= 2.1 * size[0]
+
+
+def test_a_pair_at_the_edge_of_a_block_is_met():
+    """Pairs whose distance lies in one block alone, at its budget: the box test may not lose them to rounding."""
+    rng, d, least = np.random.default_rng(3), 64, 0.9
+    r = embedding_dedup.rotation(d)
+    for _ in range(40):
+        x = embedding_dedup.unit(rng.standard_normal((3, d)))
+        y = x @ r
+        turn = 0.9999 * np.arccos(least)
+        z = y.copy()
+        a = rng.standard_normal((3, 16))
+        for k in range(3):  # turned towards a direction of the first block
+            e = np.zeros(d)
+            e[:16] = a[k]
+            e -= (e @ y[k]) * y[k]
+            z[k] = np.cos(turn) * y[k] + np.sin(turn) * e / np.linalg.norm(e)
+        found = {(int(p), int(q)) for ps, qs in embedding_dedup.linked_pairs(x, z @ r.T, least, 4) for p, q in zip(ps, qs, strict=True)}
+        assert {(0, 0), (1, 1), (2, 2)} <= found
