@@ -96,6 +96,23 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contex
     )
 
 
+def token_batches(docs: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", context: int = CONTEXT, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """(bucket, batch, row, doc_id, piece, bucket_len, ids, padding): the token ids of every piece of docs, whose column ids_col holds them (see `sentencepieces.encoded`).
+
+    Pieces, buckets and batches are those of `pack` over the numbers of tokens. A document is told by its id and tokens, so an id that
+    comes with several texts has the pieces of each; rows that are equal in both are packed as often as they come. Null ids_col counts as no token.
+    """
+    key = F.xxhash64(id_col, ids_col)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"), key.alias("_text"))
+    # equal rows are told apart by their number, so that each piece meets its own tokens once
+    own = own.groupBy("_text", "doc_id").agg(F.any_value("ids").alias("ids"), F.count(F.lit(1)).cast("int").alias("_n")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    own = stored(own.select(F.xxhash64("_text", "doc_id", "_copy").alias("_key"), "doc_id", "ids"), "tokens")
+    packed = pack(own, "_key", "ids", context, buckets, budget, F.size).withColumnRenamed("doc_id", "_piece_of")
+    both = packed.join(own, F.col("_piece_of") == F.col("_key"))
+    part = F.slice("ids", (F.col("first_token") + 1).cast("int"), F.col("n_tokens").cast("int"))
+    return both.select("bucket", "batch", "row", "doc_id", "piece", "bucket_len", part.alias("ids"), "padding")
+
+
 def oracle(context: int = CONTEXT, buckets: int = BUCKETS, budget: int = BUDGET) -> str:
     """SQL with the rows of pack(documents): the dynamic program as a CTE a layer, every pair of lengths compared."""
     layers = "".join(

@@ -299,3 +299,21 @@ def test_a_pair_at_the_edge_of_a_block_is_met():
             z[k] = np.cos(turn) * y[k] + np.sin(turn) * e / np.linalg.norm(e)
         found = {(int(p), int(q)) for ps, qs in embedding_dedup.linked_pairs(x, z @ r.T, least, 4) for p, q in zip(ps, qs, strict=True)}
         assert {(0, 0), (1, 1), (2, 2)} <= found
+
+
+def test_token_ids_in_batches(spark):
+    """The tokens of every text come back from the batches, whole and in order; copies come as often as they are."""
+    from boardlake.llm import packing
+
+    pieces = sentencepieces.model_pieces("/opt/tokenizers/piece_bpe_32k.model")
+    texts = [(1, "a text of some words"), (1, "a text of some words"), (1, "the same id with another text"), (2, None), (None, "no id at all"), (3, "word " * 90), (4, "")]
+    tokens = sentencepieces.encoded(spark.createDataFrame(texts, "doc_id long, text string"), pieces)
+    rows = packing.token_batches(tokens, context=16, buckets=3, budget=64).collect()
+    by = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["piece"])):
+        assert len(r["ids"]) + r["padding"] == r["bucket_len"]
+        by[r["doc_id"]].append(r["ids"])
+    want = [(r["doc_id"], r["ids"]) for r in tokens.collect()]
+    assert sum(by[3], []) == next(i for d, i in want if d == 3) and len(by[3]) > 5 and by[2] == [[]] and by[4] == [[]]
+    assert sorted(by[1]) == sorted(i for d, i in want if d == 1) and by[None] == [i for d, i in want if d is None]
+    assert max(Counter((r["bucket"], r["batch"]) for r in rows).values()) <= 64
