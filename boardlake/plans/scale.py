@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts, facets, images, ordered, postings, publish, stats
+from ..operators import alerts, facets, images, ordered, placing, postings, publish, stats
 from ..session import shared_folder
 from ..sources import boards
 from ..sources.tables import table
@@ -210,3 +210,21 @@ def q172(spark: SparkSession, sf_dir: str) -> DataFrame:
     hints.repartitionById(3, F.col("part").cast("int")).select("value").write.text(f"{folder}/hints")
     none = spark.createDataFrame([], "domain string, ats string, token string")
     return boards.resolve(boards.read_pins(spark, f"{folder}/pins"), boards.read_hints(spark, f"{folder}/hints"), none, none)
+
+
+#: Locations as boards write them, and the countries and cities that they name, by the gazetteer of the query.
+LOCATIONS = {
+    "Haifa, Israel": ("IL", "Haifa"), "Atlanta, Georgia": ("US", "Atlanta"), "Berlin / Paris": ("DE,FR", "Berlin,Paris"), "Remote - France": ("FR", ""), "New York Office": ("US", "New York"), "Chicago, IL": ("US", "Chicago"), "il": ("IL", ""), "Kiryat Ono; Berlin, Germany": ("IL,DE", "Kiryat Ono,Berlin"),
+    "São Paulo, Brazil": ("BR", "São Paulo"), "Tel-Aviv; tel aviv": ("IL", "Tel Aviv"), "All over Japan": ("JP", ""), "Beth Israel Deaconess": ("", ""), "UK": ("GB", ""), "DEU": ("DE", ""), "Lehi, Utah": ("US", "Lehi"), "Remote": ("", ""),
+}
+_PLACED = ", ".join("{{'l': '{}', 'c': '{}', 't': '{}'}}".format(*(x.replace("'", "''") for x in (k, c, t))).replace("{{", "{").replace("}}", "}") for k, (c, t) in LOCATIONS.items())
+
+
+@query("q173_places_by_gazetteer", f"WITH p AS (SELECT c_custkey, ([{_PLACED}])[c_custkey % {len(LOCATIONS)} + 1] AS x FROM customer) SELECT c_custkey, x.c AS countries, x.t AS cities FROM p")
+def q173(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Countries and cities of every customer's location, in the spellings of boards, by joins with a gazetteer."""
+    at = F.element_at(F.array(*map(F.lit, LOCATIONS)), (F.col("c_custkey") % len(LOCATIONS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", at.alias("location"))
+    known = placing.gazetteer(spark, cities={"haifa": "IL", "tel aviv": "IL", "berlin": "DE", "paris": "FR", "new york": "US", "Atlanta": "US", "São Paulo": "BR"})
+    found = placing.cities(placing.countries(rows, known), known)
+    return found.select("c_custkey", F.array_join("country", ",").alias("countries"), F.array_join("city", ",").alias("cities"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boardlake.functions import dates, money, places, roles, salary, skills, status, taxonomy, text
+from boardlake.operators import placing
 
 NOW = datetime(2024, 1, 31)
 
@@ -15,6 +16,11 @@ def values(spark, fn, *inputs, kind="string"):
     return [r["y"] for r in df.select("i", fn(F.col("x")).alias("y")).orderBy("i").collect()]
 
 
+def placed(spark, how, *inputs):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(inputs)], "i int, location string")
+    return [r["y"] for r in how(df, placing.gazetteer(spark), name="y").orderBy("i").collect()]
+
+
 def test_categories(spark):
     got = values(spark, lambda c: taxonomy.category(F.lit(None).cast("string"), c), "Security Analyst", "Data Engineer", "DevOps", "QA", "Backend", "Executive Assistant", "", None)
     assert got == ["Security", "Data & AI", "Infrastructure", None, "Software Engineering", None, None, None]
@@ -72,8 +78,8 @@ def test_monthly_shekels(spark, pay, want):
 
 def test_places(spark):
     assert values(spark, places.metro, "Remote - London", "Remote, United States", "Remote", "SF Bay Area", "Haifa") == ["uk", "us-remote", None, "us-sf", "il"]
-    assert values(spark, lambda c: places.countries_udf()(c), "Tel Aviv, Israel; Remote, Israel", "Berlin / Paris", "de", "New York, USA", None, "Moon") == [["IL"], ["DE", "FR"], ["DE"], ["US"], [], []]
-    assert values(spark, lambda c: places.cities_udf()(c), "Tel-Aviv, Israel; Haifa", "Greater London", None) == [["Tel Aviv", "Haifa"], ["London"], []]
+    assert placed(spark, placing.countries, "Tel Aviv, Israel; Remote, Israel", "Berlin / Paris", "de", "New York, USA", None, "Moon") == [["IL"], ["DE", "FR"], ["DE"], ["US"], [], []]
+    assert placed(spark, placing.cities, "Tel-Aviv, Israel; Haifa", "Greater London", None) == [["Tel Aviv", "Haifa"], ["London"], []]
     assert values(spark, places.country_label, "GB", "MV") == ["United Kingdom", "MV"]
 
 

@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from boardlake.functions import places, roles, skills, text
-from boardlake.operators import evaluate, exact, listing, merge, predicates
+from boardlake.operators import evaluate, exact, listing, merge, placing, predicates
 from boardlake.session import shared_folder
 from boardlake.streaming import fragments
 
-from test_functions import values
+from test_functions import placed, values
 
 NOW = datetime(2024, 1, 31)
 PAY = ["salary_text", "salary_is_estimate", "salary_source"]
@@ -93,7 +93,7 @@ def test_skill_names_versions_and_implied_labels():
 
 
 def test_places_by_every_rule(spark):
-    got = values(spark, lambda c: places.countries_udf()(c), "Austin, TX", "DEU", "Zurich, Switzerland", "Herzliya", "Ohio", "Beth Israel Deaconess", "All France (remote)", "US Remote", "Lyon, France; Yehud office", "New York Office")
+    got = placed(spark, placing.countries, "Austin, TX", "DEU", "Zurich, Switzerland", "Herzliya", "Ohio", "Beth Israel Deaconess", "All France (remote)", "US Remote", "Lyon, France; Yehud office", "New York Office")
     assert got == [["US"], ["DE"], ["CH"], ["IL"], ["US"], [], ["FR"], ["US"], ["IL", "FR"], ["US"]]
     assert values(spark, places.names_israel, "R&D, Kiryat Ono", "Beth Israel", None, "TLV") == [True, False, False, True]
 
