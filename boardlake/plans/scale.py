@@ -86,7 +86,7 @@ def _facets_sql() -> str:
     return " UNION ALL ".join(out)
 
 
-@query("q163_facets_in_one_scan", f"WITH {LISTINGS}, x AS ({_facets_sql()}) SELECT variant, name, CAST(rank AS INTEGER) AS rank, value, CASE WHEN name <> 'pay' THEN part END AS part, CASE WHEN name = 'pay' THEN round(CAST(part AS DOUBLE), 4) END AS median, n, CAST(part_n AS BIGINT) AS part_n, low, high FROM x")
+@query("q163_facets_in_one_scan", f"WITH {LISTINGS}, x AS ({_facets_sql()}) SELECT variant, name, CAST(rank AS INTEGER) AS rank, value, CASE WHEN name <> 'pay' THEN part END AS part, CASE WHEN name = 'pay' THEN round(CAST(part AS DOUBLE), 4) END AS median, CAST(n AS BIGINT) AS n, CAST(part_n AS BIGINT) AS part_n, low, high FROM x")
 def q163(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All facets of four questions, each without its own filter, from one scan of the listings."""
     found = facets.all_facets(listings(spark, sf_dir).withColumn("description", F.lit(None).cast("string")), FACETED, AS_OR)
