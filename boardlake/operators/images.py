@@ -2,7 +2,8 @@
 
 A shape is an average hash: of 8 x 8 grey pixels, a bit for each that is above their mean. Shapes that differ in few bits meet in an equi-join:
 cut into `pieces` pieces, two shapes within a distance differ by at most distance // pieces bits in one piece, so one side asks for
-its own pieces and the other for its pieces and all that differ from them by so little. What meets is counted exactly.
+its own pieces and the other for its pieces and all that differ from them by so little. What meets is counted exactly. Both sides are
+shuffled: statistics do not know how many rows a shape becomes, and would send them all through the driver.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def near_pairs(left: DataFrame, right: DataFrame, distance: int = SHAPE_DISTANCE
     told = [F.struct(F.lit(k).alias("k"), value.alias("v")) for k, (_, value) in enumerate(_pieces(F.col("shape"), pieces))]
     a = own.select(F.col("shape").alias("a"), F.explode(F.array(*told)).alias("x")).select("a", "x.k", "x.v")
     b = other.select(F.col("shape").alias("b"), F.explode(F.array(*asked)).alias("x")).select("b", "x.k", "x.v")
-    met = a.join(b, ["k", "v"]).withColumn("distance", image_distance(F.col("a"), F.col("b"))).where(F.col("distance") <= distance)
+    met = a.join(b.hint("merge"), ["k", "v"]).withColumn("distance", image_distance(F.col("a"), F.col("b"))).where(F.col("distance") <= distance)
     # a pair that meets at several pieces counts at the first of them
     parts = list(zip(_pieces(F.col("a"), pieces), _pieces(F.col("b"), pieces), strict=True))
     first = F.lit(None)

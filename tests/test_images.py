@@ -31,6 +31,14 @@ def test_all_pairs_within_the_distance(spark, distance, pieces):
     assert sorted(got) == sorted(w for w in want if w[2] <= distance) and len(got) >= 40
 
 
+def test_pieces_are_not_broadcast(spark):
+    shapes = spark.range(500).select((F.col("id") * 7919).alias("shape"))
+    pairs = images.near_pairs(shapes, shapes, 2)
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    values = [i * 7919 for i in range(500)]
+    assert pairs.count() == sum(bin(x ^ y).count("1") <= 2 for x in values for y in values)
+
+
 def test_shape_of_pixels(spark):
     rng = random.Random(3)
     pixels = [[rng.randrange(256) for _ in range(64)] for _ in range(5)]
