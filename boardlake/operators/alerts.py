@@ -4,8 +4,9 @@ Alerts are a table of any length. `questions` reads their parameters with the ru
 equal questions together; `matches` answers all of them in one scan of the listings. A question is looked up under its rarest kind of
 condition, its anchor: listings carry a posting for each of their values, and meet the questions in an equi-join on
 (attribute, value). All other conditions are checked on the pair: sets of values first, then words, then ranges. No expression of the plan
-is an alert's own, so the plan is the same for two alerts and for a million. Only the newest matches of a question are kept, before they are shuffled too,
-and an alert takes from them what came after its last answer.
+is an alert's own, so the plan is the same for two alerts and for a million. Listings carry postings of those attributes only that are some question's anchor; where
+an attribute has at most `FEW` questions, they go to the listings, else both meet in a shuffle. Only the newest matches of a question are kept, before they are shuffled too,
+and an alert takes from them what came after its last answer. Listings are asked from the newest on, in `SLICES`: a question that is full in the newer ones does not meet the older ones.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from ..functions.places import names_israel
 from ..functions.status import digest_due
 from ..functions.text import MAX_TERMS
 from .predicates import IN_FILTERS, MAX_CITIES, MAX_COUNTRIES, MAX_IDS, MAX_SKILLS, SEARCH_FIELDS, TRUE, compile_filters, fresh
+from .versions import settled
 
 MATCHES, WATCH_DAYS, WATCH_MATCHES = 50, 14, 200
 #: Attributes with postings, those of fewer listings a value first; a question's anchor is the first that it has.
 ANCHORS = ["id", "company_domain", "city", "location", "skills", "country", "category", "ats", "seniority", "workplace_type"]
 #: The anchor of questions without any of them.
 ANY = "any"
+#: Questions of an attribute that may be broadcast; listings that are one slice; the parts of more that are asked first, the newest.
+FEW, WHOLE, SLICES = 10_000, 200_000, [1 / 64, 1 / 8]
 
 
 def _given(name: str) -> Column:
@@ -93,12 +97,13 @@ def _pairs(attribute: str, values: Column) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(attribute).alias("attribute"), v.alias("value")))
 
 
-def _postings(columns: list[str], dtypes: dict[str, str]) -> Column:
-    """A listing's (attribute, value) pairs, and one for questions without an anchor."""
-    values = {a: F.transform(F.col(a), lambda x: F.lower(x)) if a == "skills" else F.col(a) if dtypes[a].startswith("array") else F.array(F.col(a).cast("string")) for a in ANCHORS if a in columns}
+def _postings(attributes: list[str], dtypes: dict[str, str]) -> Column:
+    """A listing's (attribute, value) pairs of some attributes; for ANY, the one of questions without an anchor."""
+    none = F.array().cast("array<struct<attribute:string,value:string>>")
+    values = {a: F.transform(F.col(a), lambda x: F.lower(x)) if a == "skills" else F.col(a) if dtypes[a].startswith("array") else F.array(F.col(a).cast("string")) for a in attributes if a in dtypes}
     each = [_pairs(a, F.filter(F.array_distinct(v), lambda x: x.isNotNull())) for a, v in values.items()]
-    each = [F.coalesce(x, F.array().cast("array<struct<attribute:string,value:string>>")) for x in each]
-    return F.concat(*each, F.array(F.struct(F.lit(ANY).alias("attribute"), F.lit("").alias("value"))))
+    each = [F.coalesce(x, none) for x in each]
+    return F.concat(none, *each, *[F.array(F.struct(F.lit(ANY).alias("attribute"), F.lit("").alias("value"))) for a in attributes if a == ANY])
 
 
 def _holds(question: Column, columns: list[str], dtypes: dict[str, str], as_of: datetime) -> Column:
@@ -153,19 +158,47 @@ def matches(jobs: DataFrame, alerts: DataFrame, as_of: datetime, limit: int = MA
     anchors = [F.when(sets[a].isNotNull(), _pairs(a, sets[a])) for a in ANCHORS]
     first = F.coalesce(*anchors, F.array(F.struct(F.lit(ANY).alias("attribute"), F.lit("").alias("value"))))
     anchored = own.select(F.col("key").alias("_key"), "_q", "_from", F.explode(first).alias("_anchor")).select("_key", "_q", "_from", F.col("_anchor.attribute").alias("_a"), F.col("_anchor.value").alias("_v"))
-    dtypes = dict(jobs.dtypes)
-    posted = jobs.withColumn("_p", F.explode(_postings(jobs.columns, dtypes)))
-    seen = F.col("first_seen").cast("timestamp")
+    anchored = settled(anchored, "questions")
+    seen, micros = F.col("first_seen").cast("timestamp"), F.unix_micros(F.col("first_seen").cast("timestamp"))
+    oldest = anchored.agg(F.unix_micros(F.min("_from"))).first()[0]
+    rows = jobs.where(micros > (oldest or 0))
+    n, cuts = rows.agg(F.count(F.lit(1)), F.percentile_approx(micros, [1 - x for x in SLICES], 1000)).first() if oldest is not None else (0, None)
+    bounds = [None, *dict.fromkeys(cuts), None] if n > WHOLE else [None, None]
+    found, left = None, anchored
+    for k, (high, low) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        per = {r["_a"]: r["n"] for r in left.groupBy("_a").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each attribute
+        part = rows if high is None else rows.where(micros < high)
+        part = part if low is None else part.where(micros >= low)
+        new = newest(_met(part, left, per, as_of), limit, "_key")
+        if k == len(bounds) - 2:
+            found = newest(found.unionByName(new), limit, "_key") if found is not None else new
+            break
+        new = settled(new, "matches")
+        found = new if found is None else found.unionByName(new)
+        full = found.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit).select("_key")
+        left = anchored.join(full, "_key", "left_anti")
+    told = found.join(asked.select("alert_id", "after", "key"), F.col("_key") == F.col("key")).where(F.col("after").isNull() | (seen > F.col("after")))
+    return told.select("alert_id", *SHOWN)
+
+
+def _met(jobs: DataFrame, anchored: DataFrame, per: dict[str, int], as_of: datetime) -> DataFrame:
+    """(_key, SHOWN): listings that answer a question, met at its anchor. per: questions of each attribute."""
+    dtypes, sets, out = dict(jobs.dtypes), F.col("_q.sets"), []
     # a listing with several of the anchor's values meets the question at each of them, and counts at the first
     once = F.lit(True)
     for a in ("skills", "country", "city"):
         if a in jobs.columns:
             own_values = F.transform(F.col(a), lambda x: F.lower(x)) if a == "skills" else F.col(a)
             once = F.when(F.col("_a") == a, F.array_min(F.array_intersect(own_values, sets[a])) == F.col("_v")).otherwise(once)
-    met = posted.join(anchored, (F.col("_p.attribute") == F.col("_a")) & (F.col("_p.value") == F.col("_v"))).where((seen > F.col("_from")) & once).where(_holds(F.col("_q"), jobs.columns, dtypes, as_of))
-    found = newest(met.select("_key", *SHOWN), limit, "_key")
-    told = found.join(asked.select("alert_id", "after", "key"), F.col("_key") == F.col("key")).where(F.col("after").isNull() | (seen > F.col("after")))
-    return told.select("alert_id", *SHOWN)
+    for few in (True, False):
+        own = [a for a in [*ANCHORS, ANY] if (per.get(a, 0) <= FEW) == few and a in per]
+        if not own and (few and len(per) or not few):
+            continue
+        posted = jobs.withColumn("_p", F.explode(_postings(own, dtypes)))
+        asking = anchored.where(F.col("_a").isin(own))
+        met = posted.join(F.broadcast(asking) if few else asking.hint("merge"), (F.col("_p.attribute") == F.col("_a")) & (F.col("_p.value") == F.col("_v")))
+        out.append(met.where((F.col("first_seen").cast("timestamp") > F.col("_from")) & once).where(_holds(F.col("_q"), jobs.columns, dtypes, as_of)).select("_key", *SHOWN))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def as_table(spark, alerts: list[dict]) -> DataFrame:

@@ -68,3 +68,9 @@ def test_watched_by_a_table(spark, jobs):
     table = spark.createDataFrame([("a", {"company": "x.com,y.com"}), ("b", {"ats": "lever"})], "alert_id string, filter map<string,string>").withColumn("last_notified_at", F.lit(None).cast("timestamp"))
     recent = jobs.where(compile_filters({"ats": "lever"}, NOW)).where(F.col("first_seen") > F.lit(NOW - timedelta(days=14)))
     assert {r["domain"] for r in alerts.watched_by(jobs, table, NOW).collect()} == {r["company_domain"] for r in recent.collect()} | {"x.com", "y.com"}
+
+
+def test_only_anchors_have_postings(spark, jobs):
+    table = alerts.as_table(spark, [{"alert_id": "a", "filter": {"ats": "lever"}}, {"alert_id": "b", "filter": {"company": "c1.com", "seniority": "senior"}}])
+    plan = alerts.matches(jobs, table, NOW)._jdf.queryExecution().optimizedPlan().toString()
+    assert "attribute, ats" in plan and "attribute, company_domain" in plan and not any(f"attribute, {a}" in plan for a in ("seniority", "location", "workplace_type"))
