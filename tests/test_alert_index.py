@@ -74,3 +74,16 @@ def test_only_anchors_have_postings(spark, jobs):
     table = alerts.as_table(spark, [{"alert_id": "a", "filter": {"ats": "lever"}}, {"alert_id": "b", "filter": {"company": "c1.com", "seniority": "senior"}}])
     plan = alerts.matches(jobs, table, NOW)._jdf.queryExecution().optimizedPlan().toString()
     assert "attribute, ats" in plan and "attribute, company_domain" in plan and not any(f"attribute, {a}" in plan for a in ("seniority", "location", "workplace_type"))
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_slices_from_the_newest_on(spark, jobs, monkeypatch, few):
+    asked = alerts.as_table(spark, [{"alert_id": str(n), "filter": f} for n, f in enumerate(FILTERS)])
+    told = lambda: sorted(map(tuple, alerts.matches(jobs, asked, NOW, 7).collect()))
+    want, met = told(), []
+    own = alerts._met
+    monkeypatch.setattr(alerts, "WHOLE", 50)
+    monkeypatch.setattr(alerts, "SLICES", [1 / 8, 1 / 2])
+    monkeypatch.setattr(alerts, "FEW", few)
+    monkeypatch.setattr(alerts, "_met", lambda j, a, per, at: met.append(sum(per.values())) or own(j, a, per, at))
+    assert told() == want and len(met) == 3 and met[0] > met[1] > met[2] > 0
