@@ -3,14 +3,17 @@
 A row is a block: of one token in one field, the numbers of the texts that have it, as distances from the block's least, and the
 places of the token in each. A block covers 2**width numbers; the width follows the token's frequency, so that a block has about `BLOCK`
 texts whether the word is rare or in every text. Files hold ranges of tokens, and row groups their least and greatest token, so a
-question reads the row groups of its words. The rarest word gives the candidates; of each other word only blocks that candidates fall in are met.
+question reads the row groups of its words. Words meet text by text; of a word with more blocks than the rarest has texts only blocks that those fall in are read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,13 @@ def build(texts: DataFrame, fields: Iterable[str], number: str = "id") -> DataFr
     blank texts have no tokens; rows without a number are left out; of a repeated number the places of all its rows count.
     """
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields])).alias("x")
-    occurring = texts.where(F.col(number).isNotNull()).select(F.col(number).cast("long").alias("number"), each).select("number", "x.field", F.posexplode(tokens(F.col("x.text"))).alias("place", "token"))
-    posted = settled(occurring.groupBy("token", "field", "number").agg(F.array_sort(F.collect_list("place")).alias("places")), "postings")
+    own = texts.where(F.col(number).isNotNull()).withColumn("_number", F.col(number).cast("long"))
+    posted = own.select(F.col("_number").alias("number"), each).select("number", "x.field", tokens(F.col("x.text")).alias("tokens")).mapInArrow(_places, "token string, field string, number long, places array<int>")
+    repeated = own.groupBy(F.col("_number").alias("number")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("number")
+    if not repeated.isEmpty():
+        merged = posted.join(repeated, "number", "left_semi").groupBy("token", "field", "number").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+        posted = posted.join(repeated, "number", "left_anti").unionByName(merged)
+    posted = settled(posted.select("token", "field", "number", "places"), "postings")
     low, high = posted.agg(F.min("number"), F.max("number")).first()
     span = (high or 0) - (low or 0) + 1
     found = posted.groupBy("token", "field").agg(F.count(F.lit(1)).alias("texts"))
@@ -40,6 +48,23 @@ def build(texts: DataFrame, fields: Iterable[str], number: str = "id") -> DataFr
     return blocks.select("token", "field", "width", "block", least.alias("least"), F.element_at("all", -1)["number"].alias("most"), F.size("all").alias("n"), "texts", F.transform("all", lambda x: x["number"] - least).alias("offsets"), F.transform("all", lambda x: x["places"]).alias("places"))
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, field, number, places) of rows (number, field, tokens): a text's tokens are put together where it is read, so that occurrences are never shuffled or sorted as rows."""
+    for batch in batches:
+        number, field, lists = (batch.column(c) for c in ("number", "field", "tokens"))
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = row * max(len(coded.dictionary), 1) + coded.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        places = pa.ListArray.from_arrays(pa.array(np.append(begin, len(key)), pa.int32()), pa.array(place[order], pa.int32()))
+        at = pa.array(row[order][begin])
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(coded.indices.take(pa.array(order[begin]))), field.take(at), number.take(at), places], ["token", "field", "number", "places"])
+
+
 def _shifted(number: Column, width: Column) -> Column:
     """number divided by 2**width, downward."""
     return F.call_function("shiftright", number, width)
@@ -76,21 +101,30 @@ def _known(index: DataFrame, asked: list[str], fields: list[str] | None) -> tupl
 def _candidates(index: DataFrame, asked: list[str], fields: list[str] | None) -> DataFrame:
     """(number, field, starts) of texts in which the words stand next to each other, and the places at which they begin."""
     counts, widths = _known(index, asked, fields)
-    found = None
-    for k in sorted(range(len(asked)), key=lambda k: (counts[asked[k]], k)):
+    order = sorted(range(len(asked)), key=lambda k: (counts[asked[k]], k))
+    rarest, found = asked[order[0]], None
+    for k in order:
         begin = lambda places, k=k: F.transform(places, lambda p: p - k)
-        blocks = _of(index, asked[k], fields)
+        blocks = _met(index, asked[k], rarest, counts, widths, fields).select("field", "least", F.explode(F.arrays_zip("offsets", "places")).alias("x"))
+        each = blocks.select((F.col("least") + F.col("x.offsets")).alias("number"), "field", begin(F.col("x.places")).alias("_starts"))
         if found is None:
-            each = blocks.select("field", "least", F.explode(F.arrays_zip("offsets", "places")).alias("x"))
-            found = each.select((F.col("least") + F.col("x.offsets")).alias("number"), "field", begin(F.col("x.places")).alias("starts"))
+            found = each.withColumnRenamed("_starts", "starts")
             continue
-        met = found.withColumn("block", _shifted(F.col("number"), _width(widths[asked[k]]))).where("block is not null")
-        met = met.join(blocks.select("field", "block", "least", "offsets", "places"), ["field", "block"]).withColumn("_at", F.array_position("offsets", F.col("number") - F.col("least"))).where("_at > 0")
-        met = met.withColumn("starts", F.array_intersect("starts", begin(F.get("places", F.col("_at").cast("int") - 1))))
-        found = met.where(F.size("starts") > 0).select("number", "field", "starts")
+        both = found.join(each, ["number", "field"]).withColumn("starts", F.array_intersect("starts", "_starts"))
+        found = both.where(F.size("starts") > 0).select("number", "field", "starts")
     return found
 
 
+def _met(index: DataFrame, word: str, rarest: str, counts: dict[str, int], widths: dict[str, dict[str, int]], fields: list[str] | None, across: bool = False) -> DataFrame:
+    """The blocks of a word; where the rarest word has fewer texts than those are, only the blocks that its texts fall in, across: in whichever field."""
+    blocks = _of(index, word, fields)
+    if counts[rarest] * BLOCK >= counts[word]:
+        return blocks
+    texts = _of(index, rarest, fields).select("field", "least", F.explode("offsets").alias("o")).select("field", (F.col("least") + F.col("o")).alias("number"))
+    texts = texts.select("number", F.explode(F.array(*map(F.lit, widths[word]))).alias("field")) if across else texts
+    return blocks.join(texts.select("field", _shifted(F.col("number"), _width(widths[word])).alias("block")).distinct(), ["field", "block"], "left_semi")
+
+
 def _width(widths: dict[str, int]) -> Column:
     """The width of a word's blocks in the row's field; null where it is not in that field."""
     out = F.lit(None).cast("int")
@@ -113,13 +147,8 @@ def every(index: DataFrame, term: str, fields: list[str] | None = None) -> DataF
     if not asked:
         return index.select(F.col("least").alias("number")).limit(0)
     counts, widths = _known(index, asked, fields)
-    found = None
-    for w in sorted(asked, key=lambda w: counts[w]):
-        blocks = _of(index, w, fields)
-        if found is None:
-            found = blocks.select("least", F.explode("offsets").alias("o")).select((F.col("least") + F.col("o")).alias("number")).distinct()
-            continue
-        here = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("width")) for f, k in widths[w].items()]).cast("array<struct<field:string,width:int>>")
-        met = found.select("number", F.explode(here).alias("x")).select("number", "x.field", _shifted(F.col("number"), F.col("x.width")).alias("block"))
-        found = met.join(blocks.select("field", "block", "least", "offsets"), ["field", "block"]).where(F.array_contains("offsets", F.col("number") - F.col("least"))).select("number").distinct()
+    order, found = sorted(asked, key=lambda w: counts[w]), None
+    for w in order:
+        each = _met(index, w, order[0], counts, widths, fields, across=True).select("least", F.explode("offsets").alias("o")).select((F.col("least") + F.col("o")).alias("number"))
+        found = each.distinct() if found is None else found.join(each, "number", "left_semi")
     return found

@@ -109,3 +109,16 @@ def test_blocks_follow_frequency(spark, texts, monkeypatch, index):
     assert [r["number"] for r in postings.every(small, "hot cold").orderBy("number").collect()] == list(range(0, 4000, 500))
     plan = postings.phrase(index, "of the")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(token), EqualTo(token,of)" in plan
+
+
+def test_words_meet_text_by_text(spark, index):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" not in plan(postings.phrase(index, "of the")) and "array_contains" not in plan(postings.every(index, "of the"))
+
+
+def test_occurrences_are_no_rows(spark, monkeypatch):
+    plans, own = [], postings.settled
+    monkeypatch.setattr(postings, "settled", lambda df, what: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or own(df, what))
+    built = postings.build(spark.createDataFrame([(i, "b a b") for i in range(5)], "id long, body string"), ["body"])
+    assert len(plans) == 1 and "Aggregate" not in plans[0]
+    assert {r["token"]: sorted(tuple(p) for p in r["places"]) for r in built.collect()} == {"a": [(1,)] * 5, "b": [(0, 2)] * 5}
