@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.places import metro
 from ..functions.salary import market_currency, monthly_thousands
 from . import exact
+from .versions import settled
 
 LEAST, LOW_PERCENT, HIGH_PERCENT, WIDEST = 5, 15, 85, 1.5
+#: Cells of all levels together that go to every task; levels with more are met in an equi-join.
+SENT_CELLS = 200_000
 
 
 def quantile_exclusive(values: Column, percent: int) -> Column:
@@ -37,22 +40,36 @@ def _keys(levels: list[tuple[str, list[str]]]) -> Column:
     return F.array_compact(F.array(*out))
 
 
+def _key_of(order: int) -> Column:
+    """A row's key at one level, of its _keys."""
+    return F.get(F.filter("_keys", lambda x: x["order"] == order), F.lit(0))["key"]
+
+
 def cells(rows: DataFrame, levels: list[tuple[str, list[str]]], pay: str, least: int = LEAST, by: tuple[str, ...] = ()) -> DataFrame:
     """(level, key, n, least, most, low, high): for each level of a chain its keys with enough rows, their bounds and their band.
 
     A key with an empty part is none. The band is that of `band`, from the values at its four positions. by: further columns
     whose values have cells of their own, which come first.
     """
-    each = rows.select(*by, F.explode(_keys(levels)).alias("x"), F.col(pay).alias("pay")).select(*by, "x.level", "x.key", "pay")
-    known = exact.cumulative(each, [*by, "level", "key"], "pay").where(F.col("n") >= least)
-    n, sides = F.col("n"), []
-    for percent in (LOW_PERCENT, HIGH_PERCENT):
-        j = F.greatest(F.least(F.floor(F.lit(percent) * (n + 1) / 100), n - 1), F.lit(1))
-        sides += [exact.at(j - 1, "pay"), exact.at(j, "pay"), F.max(F.lit(percent) * (n + 1) - j * 100)]
-    names = [f"{x}{s}" for s in ("_low", "_high") for x in ("a", "b", "d")]
-    found = known.groupBy(*by, "level", "key").agg(F.max("n").alias("n"), F.min("pay").alias("least"), F.max("pay").alias("most"), *[c.alias(x) for c, x in zip(sides, names, strict=True)])
-    edge = lambda s: F.when(F.col("n") >= 2, (F.col(f"a{s}") * (100 - F.col(f"d{s}")) + F.col(f"b{s}") * F.col(f"d{s}")) / 100.0)
-    return found.select(*by, "level", "key", "n", "least", "most", edge("_low").alias("low"), edge("_high").alias("high"))
+    parts = dict.fromkeys(k for _, keys in levels for k in keys)
+    own = settled(rows.where(F.col(pay).isNotNull()).select(*by, *[F.col(k) for k in parts if k not in by], F.col(pay).alias("_pay")), "pays")
+    return _cells(exact.ranged(own, "_pay"), levels, "_pay", least, by)
+
+
+def _cells(rows: DataFrame, levels: list[tuple[str, list[str]]], pay: str, least: int, by: tuple[str, ...] = (), folds: int = 0) -> DataFrame:
+    """`cells` of rows in ranges; folds: for each fold those of all others, without bounds."""
+    dealt = ["_fold"] if folds else []
+    each = rows.select(*by, *dealt, F.explode(_keys(levels)).alias("x"), F.col(pay).alias("pay"), "_cell").select(*by, *dealt, "x.level", "x.key", "pay", "_cell")
+    first = lambda percent, n: F.greatest(F.least(F.floor(F.lit(percent) * (n + 1) / 100), n - 1), F.lit(1))
+    positions = {}
+    for s, percent in (("_low", LOW_PERCENT), ("_high", HIGH_PERCENT)):
+        positions |= {f"a{s}": lambda n, percent=percent: first(percent, n) - 1, f"b{s}": lambda n, percent=percent: first(percent, n)}
+    found = exact.picked(each, [*by, "level", "key"], "pay", positions, least, folds)
+    n, ends = F.col("n"), []
+    for s, percent in (("_low", LOW_PERCENT), ("_high", HIGH_PERCENT)):
+        d = F.lit(percent) * (n + 1) - first(percent, n) * 100
+        ends.append(F.when(n >= 2, (F.col(f"a{s}") * (100 - d) + F.col(f"b{s}") * d) / 100.0).alias(s[1:]))
+    return found.select(*by, *dealt, "level", "key", "n", *([] if folds else ["least", "most"]), *ends)
 
 
 def narrow(low: Column, high: Column, widest: float = WIDEST) -> Column:
@@ -63,13 +80,34 @@ def narrow(low: Column, high: Column, widest: float = WIDEST) -> Column:
 def predict(rows: DataFrame, model: DataFrame, levels: list[tuple[str, list[str]]], widest: float = WIDEST, by: tuple[str, ...] = (), key: str = "id") -> DataFrame:
     """rows with level, low, high of the first level whose cell is not too wide; by as in `cells`. Rows are told apart by their key.
 
-    A row asks for its cells of all levels at once: one join, whatever the number of levels, and the answer of the first level stays.
+    Levels of few cells, SENT_CELLS together, are sent to the rows, which stay where they are. For the others a row asks for its cells of all of them at
+    once: one join, whatever their number, and the answer of the first level stays.
     """
     own = [F.col(c).alias(f"_{c}") for c in by]
-    wanted = rows.select(F.col(key).alias("_id"), *own, F.explode(_keys(levels)).alias("a")).select("_id", *[f"_{c}" for c in by], "a.order", "a.level", "a.key")
-    told = model.where(narrow(F.col("low"), F.col("high"), widest)).select(*own, "level", "key", "low", "high")
-    best = wanted.join(told, [*[f"_{c}" for c in by], "level", "key"]).groupBy("_id").agg(F.min_by(F.struct("level", "low", "high"), "order").alias("_a"))
-    return rows.join(best, F.col(key) == F.col("_id"), "left").select(*rows.columns, "_a.level", "_a.low", "_a.high")
+    told = settled(model.where(narrow(F.col("low"), F.col("high"), widest)).select(*own, "level", "key", "low", "high"), "bands")
+    sizes = {r["level"]: r["n"] for r in told.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sent, total = set(), 0
+    for name in sorted((x for x, _ in levels if x in sizes), key=lambda x: sizes[x]):
+        total += sizes[name]
+        if total <= SENT_CELLS:
+            sent.add(name)
+    out, answers = rows.withColumn("_keys", _keys(levels)), []
+    for i, (name, _) in enumerate(levels):
+        if name in sent:
+            few = told.where(F.col("level") == name).select(*[F.col(f"_{c}").alias(f"_{c}{i}") for c in by], F.col("key").alias(f"_key{i}"), F.struct(F.lit(i).alias("order"), "level", "low", "high").alias(f"_a{i}"))
+            asked = _key_of(i)
+            same = reduce(Column.__and__, [F.col(c) == F.col(f"_{c}{i}") for c in by], asked == F.col(f"_key{i}"))
+            out = out.join(F.broadcast(few), same, "left").drop(f"_key{i}", *[f"_{c}{i}" for c in by])
+            answers.append(F.col(f"_a{i}"))
+    many = [x for x in sizes if x not in sent]
+    if many:
+        wanted = rows.select(F.col(key).alias("_id"), *own, F.explode(_keys(levels)).alias("a")).select("_id", *[f"_{c}" for c in by], "a.order", "a.level", "a.key").where(F.col("level").isin(many))
+        best = wanted.join(told.where(F.col("level").isin(many)), [*[f"_{c}" for c in by], "level", "key"]).groupBy("_id").agg(F.min_by(F.struct("order", "level", "low", "high"), "order").alias("_many"))
+        out = out.join(best, F.col(key) == F.col("_id"), "left")
+        answers.append(F.col("_many"))
+    none = F.lit(None).cast("struct<order:int,level:string,low:double,high:double>")
+    out = out.withColumn("_a", F.least(none, none, *answers))
+    return out.select(*rows.columns, "_a.level", "_a.low", "_a.high")
 
 
 def leave_one_out(rows: DataFrame, key: str, pay: str, least: int = LEAST) -> DataFrame:
@@ -100,15 +138,16 @@ def fold(key: Column, folds: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(folds))
 
 
-def backtested(rows: DataFrame, levels: list[tuple[str, list[str]]], pay: str, key: str, folds: int = 5, widest: float = WIDEST) -> DataFrame:
-    """rows with level, low, high as the other folds' rows tell them, and flat, the median of all other folds; folds are by a hash of the key."""
-    dealt = rows.withColumn("_fold", fold(F.col(key), folds))
-    others = F.explode(F.filter(F.array(*[F.lit(f).cast("long") for f in range(folds)]), lambda f: f != F.col("_fold")))
-    learned = dealt.withColumn("_fold", others)
-    found = predict(dealt, cells(learned, levels, pay, by=("_fold",)), levels, widest, ("_fold",), key)
-    known = exact.cumulative(learned, ["_fold"], pay)
-    middles = known.groupBy("_fold").agg(((exact.at(F.floor((F.col("n") - 1) / 2), pay) + exact.at(F.floor(F.col("n") / 2), pay)) / 2).alias("flat"))
-    return found.join(F.broadcast(middles), "_fold", "left").drop("_fold")  # a row for each fold
+def backtested(rows: DataFrame, levels: list[tuple[str, list[str]]], pay: str, key: str, folds: int = 5, widest: float = WIDEST, flat: bool = True) -> DataFrame:
+    """rows with level, low, high as the other folds' rows tell them, and, if asked for, flat, the median of all other folds; folds are by a hash of the key."""
+    dealt = settled(rows.withColumn("_fold", fold(F.col(key), folds)), "folds")
+    learned = exact.ranged(dealt.where(F.col(pay).isNotNull()), pay)
+    found = predict(dealt, _cells(learned, levels, pay, LEAST, folds=folds), levels, widest, ("_fold",), key)
+    if flat:
+        ends = exact.picked(learned.select("_fold", "_cell", pay), [], pay, {"a": lambda n: F.floor((n - 1) / 2), "b": lambda n: F.floor(n / 2)}, folds=folds)
+        middles = ends.select("_fold", ((F.col("a") + F.col("b")) / 2).alias("flat"))
+        found = found.join(F.broadcast(middles), "_fold", "left")  # a row for each fold
+    return found.drop("_fold")
 
 
 def backtest(rows: DataFrame, levels: list[tuple[str, list[str]]], pay: str, key: str, folds: int = 5, widest: float = WIDEST) -> DataFrame:

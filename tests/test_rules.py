@@ -1,5 +1,6 @@
 """Rules of single fields, case by case."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -133,3 +134,60 @@ def test_streams_merge_and_keep_bad_lines_aside(spark, tmp_path):
 
 def test_shared_folder_is_set_once(spark):
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_picked(spark):
+    """Values at places, of all of a key's rows and of those in other folds, are those of a sort."""
+    rng = random.Random(5)
+    data = [(rng.choice("ab"), rng.randrange(3), float(rng.randrange(4000))) for _ in range(20_000)] + [("c", 0, 1.0), ("c", 1, 2.0), ("d", 0, None)]
+    rows = exact.ranged(spark.createDataFrame(data, "k string, _fold int, v double"), "v")
+    middle, last = (lambda n: F.floor(n / 2)), (lambda n: n - 1)
+    whole = {r["k"]: r for r in exact.picked(rows, ["k"], "v", {"middle": middle, "last": last}).collect()}
+    assert set(whole) == {"a", "b", "c"}
+    for k, r in whole.items():
+        s = sorted(v for a, _, v in data if a == k)
+        assert (r["n"], r["least"], r["most"], r["middle"], r["last"]) == (len(s), s[0], s[-1], s[len(s) // 2], s[-1])
+    dealt = {(r["k"], r["_fold"]): r for r in exact.picked(rows, ["k"], "v", {"middle": middle}, least=2, folds=3).collect()}
+    assert set(dealt) == {*((k, f) for k in "ab" for f in range(3)), ("c", 2)}
+    for (k, f), r in dealt.items():
+        s = sorted(v for a, g, v in data if a == k and g != f)
+        assert (r["n"], r["middle"]) == (len(s), s[len(s) // 2])
+
+
+def _shuffled(df):
+    """Rows written to shuffles by the executed plan of a frame, which adaptive execution made final."""
+    df.collect()
+    plan, found = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        p = plan.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plan.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plan.append(p.plan())
+        else:
+            found += p.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+            plan += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
+def test_ranges_and_estimates_shuffle_few_rows(spark):
+    """Places of a hot key shuffle far fewer rows than it has, and rows meet few cells without being shuffled at all."""
+    rows = spark.range(60_000).selectExpr("cast(id as string) id", "cast(id % 3 as string) a", "cast((id * 7919) % 60000 as double) + 1 pay")
+    ranged = exact.ranged(rows, "pay")
+    assert _shuffled(exact.picked(ranged, ["a"], "pay", {"middle": lambda n: F.floor(n / 2)})) < 6_000
+    levels = [("a", ["a"])]
+    model = evaluate.cells(rows, levels, "pay")
+    told = evaluate.predict(rows, model, levels, widest=1e9)
+    assert _shuffled(told) == 0 and told.where("level = 'a'").count() == 60_000
+
+
+def test_levels_of_many_cells_answer_alike(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("cast(id as string) id", "cast(id % 200 as string) a", "case when id % 4 > 0 then cast(id % 3 as string) end b", "cast(100 + id % 200 % 3 * (id % 17) as double) pay")
+    levels = [("ab", ["a", "b"]), ("a", ["a"]), ("b", ["b"])]
+    ask = lambda: sorted(map(tuple, evaluate.predict(rows, evaluate.cells(rows, levels, "pay"), levels, widest=0.1).collect()))
+    sent = ask()
+    for most in (0, 10):
+        monkeypatch.setattr(evaluate, "SENT_CELLS", most)
+        assert ask() == sent
+    assert {r[4] for r in sent} == {"ab", "a", None}
