@@ -185,7 +185,7 @@ def q92(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q159(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which level's cells answer, over five folds."""
     rows = listings(spark, sf_dir).select("id", "category", "ats", "location", "seniority", "pay")
-    return evaluate.answered(evaluate.backtested(rows, LEVELS, "pay", "id", widest=WIDE))
+    return evaluate.answered(evaluate.backtested(rows, LEVELS, "pay", "id", widest=WIDE, flat=False))
 
 
 #: Places of every market, and some of none, by a listing's key.
