@@ -8,6 +8,7 @@ close anything); `complete` says whether a read was whole, and only whole reads
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -84,12 +85,12 @@ def listed_sections(x: Column) -> Column:
 def address(*parts: str) -> Callable[[Column], Column]:
     """An address of texts, of paths of the item, and of the capture's token: '{token}', or '{token:0}' for its parts between colons."""
 
-    def part(x: Column, p: str) -> Column:
+    def part(x: Column, p: str, known: dict[str, Column]) -> Column:
         if p.startswith("{token"):
             return F.split(F.col("token"), ":")[int(p[7:-1])] if ":" in p else F.col("token")
-        return value(x, p) if p.startswith("$") else F.lit(p)
+        return known.get(p, value(x, p)) if p.startswith("$") else F.lit(p)
 
-    return lambda x: F.concat(*[part(x, p) for p in parts])
+    return lambda x, known=None: F.concat(*[part(x, p, known or {}) for p in parts])
 
 
 def visible_pay(x: Column) -> Column:
@@ -227,30 +228,42 @@ def parse(captures: DataFrame, kind: str, as_of: Column | None = None) -> DataFr
     rows = listed.select("domain", "ats", "token", "complete", F.posexplode("_items").alias("_at", "x"))
     rows = rows.where(spec.where) if spec.where else rows
     x = F.col("x")
-    posted = dates.relative(_first(x, spec.posted), as_of if as_of is not None else F.lit(None).cast("timestamp")) if kind == "workday" else spec.date(_first(x, spec.posted))
+    board = kind == "greenhouse"
+    posting = {"external_id": spec.id, "title": spec.title} | ({"location": spec.location, "posted_at": spec.posted, "_internal": ("$.internal_job_id",), "_published": ("$.first_published",)} if board else {})
+    names = sorted({p[2:] for paths in posting.values() if not callable(paths) for p in paths if re.fullmatch(r"\$\.\w+", p)})
+    if names:
+        rows = rows.select("*", F.json_tuple("x", *names).alias(*[f"_of_{n}" for n in names]))
+    read = lambda paths: paths(x) if callable(paths) else F.coalesce(*[F.nullif(F.trim(f"_of_{p[2:]}"), F.lit("")) if p[2:] in names else value(x, p) for p in paths])
+    found = {n: F.col(f"_of_{paths[0][2:]}") if n.startswith("_") else read(paths) for n, paths in posting.items()}
+    date = lambda text: (dates.relative(text, as_of if as_of is not None else F.lit(None).cast("timestamp")) if kind == "workday" else spec.date(text)).cast("timestamp")
+    if board:
+        found["posted_at"] = date(found["posted_at"])
+    out = rows.select("domain", "ats", "token", *[c.alias(n) for n, c in found.items()], "complete", "_at", "x").where("title is not null")
+    if board:
+        one = distinct_postings(out)
+    else:
+        rest = [c for c in out.columns if c not in ("domain", "ats", "external_id")]
+        one = out.groupBy("domain", "ats", "external_id").agg(F.min_by(F.struct(*rest), F.struct("token", "_at")).alias("_r")).select("domain", "ats", "external_id", "_r.*")
     place = spec.workplace(x) if callable(spec.workplace) else coded(_first(x, spec.workplace), WORKPLACE_CODES)
     for path, name in reversed(spec.flags):
         place = F.when(F.get_json_object(x, path) == "true", name).otherwise(place)
     level = spec.level(x) if callable(spec.level) else coded(_first(x, spec.level), LEVEL_CODES[kind]) if kind in LEVEL_CODES else F.lit(None).cast("string")
+    # what does not decide which posting stays is read from those that do; a board's address is of its id
+    url = spec.url(x, {spec.id[0]: F.col("external_id")}) if board else _first(x, spec.url)
     fields = {
-        "external_id": _first(x, spec.id), "title": _first(x, spec.title), "location": _first(x, spec.location), "url": _first(x, spec.url), "posted_at": posted.cast("timestamp"),
+        "location": _first(x, spec.location), "url": url, "posted_at": date(_first(x, spec.posted)),
         "department": _first(x, spec.department), "description": clean_text(_first(x, spec.description)) if spec.description else F.lit(None).cast("string"), "seniority": level, "workplace_type": place, "salary_text": _first(x, spec.salary),
     }
-    more = {"_internal": F.get_json_object(x, "$.internal_job_id"), "_published": F.get_json_object(x, "$.first_published")} if kind == "greenhouse" else {"_item": x} if kind == "wprest" else {}
-    out = rows.select("domain", "ats", "token", *[c.alias(n) for n, c in (fields | more).items()], "complete", "_at").where("title is not null")
-    if kind == "greenhouse":
-        return distinct_postings(out).select(*POSTING)
-    rest = [c for c in out.columns if c not in ("domain", "ats", "external_id")]
-    one = out.groupBy("domain", "ats", "external_id").agg(F.min_by(F.struct(*rest), F.struct("token", "_at")).alias("_r"))
-    return one.select("domain", "ats", "external_id", "_r.*").select(*POSTING, *more)
+    more = [x.alias("_item")] if kind == "wprest" else []
+    return one.select(*[fields[c].alias(c) if c in fields and c not in found else F.col(c) for c in POSTING], *more)
 
 
 def distinct_postings(rows: DataFrame) -> DataFrame:
     """One posting for each internal job, title and location, and for each id of postings without one: the one published first, then the lowest id; of repeated ids the first title, then the first location."""
     job = F.when(F.col("_internal").isNotNull(), F.struct(F.col("_internal").alias("j"), F.col("title").alias("t"), F.col("location").alias("l"))).otherwise(F.struct(F.concat(F.lit("posting "), "external_id").alias("j"), F.lit(None).cast("string").alias("t"), F.lit(None).cast("string").alias("l")))
-    order = F.struct(F.coalesce("_published", F.lit("")), F.col("external_id").try_cast("long"), F.col("posted_at").isNull(), "posted_at", "title", F.coalesce("location", F.lit("")))
-    one = rows.groupBy("domain", "ats", job.alias("_job")).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("domain", "ats")]), order).alias("_r"))
-    return one.select("domain", "ats", "_r.*")
+    order = [F.coalesce("_published", F.lit("")), F.col("external_id").try_cast("long"), F.col("posted_at").isNull(), F.col("posted_at"), F.col("title"), F.coalesce("location", F.lit(""))]
+    first = Window.partitionBy("domain", "ats", job).orderBy(*order)
+    return rows.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
 
 
 def with_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:

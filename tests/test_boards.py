@@ -117,3 +117,16 @@ def test_pins_and_hints(spark, tmp_path):
     (tmp_path / "hints/a.json").write_text('[{"domain": "a.com", "ats": "lever", "token": "t"}, {"domain": "b.com", "ats": null, "token": "x"}, {"domain": ""}]')
     (tmp_path / "hints/broken.json").write_text("[{")
     assert [tuple(r) for r in boards.read_hints(spark, str(tmp_path / "hints")).collect()] == [("a.com", "lever", "t")]
+
+
+def test_a_board_is_shuffled_once_and_texts_are_cleaned_where_asked(spark):
+    """Postings of a board stay with it while repeated jobs are found, and no text is cleaned for a question that does not ask for texts."""
+    job = '{"id": %d, "internal_job_id": %d, "title": "T", "location": {"name": "P"}, "first_published": "2024-01-0%d", "updated_at": "2024-01-05T00:00:00Z", "content": "&lt;p&gt;body %d&lt;/p&gt;"}'
+    rows = [("a", job % (k, k // 2, 9 - k, k)) for k in range(6)]
+    listed = spark.createDataFrame(rows, "domain string, job string").groupBy("domain").agg(F.concat(F.lit('{"jobs": ['), F.array_join(F.collect_list("job"), ","), F.lit("]}")).alias("payload"))
+    captures = listed.select("domain", F.lit("greenhouse").alias("ats"), F.col("domain").alias("token"), "payload", F.lit(True).alias("complete"))
+    out = boards.parse(captures, "greenhouse")
+    plan = out.select("external_id", "url")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "ArrowEvalPython" not in plan
+    got = {r["external_id"]: r for r in out.collect()}
+    assert set(got) == {"1", "3", "5"} and got["3"]["description"] == "body 3" and got["3"]["url"] == "https://job-boards.greenhouse.io/embed/job_app?for=a&token=3"
