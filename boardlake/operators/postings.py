@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import versions
 from .search import _ACCENTS, tokens
 from .versions import settled
 
@@ -32,37 +33,109 @@ def build(texts: DataFrame, fields: Iterable[str], number: str = "id") -> DataFr
     """
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields])).alias("x")
     own = texts.where(F.col(number).isNotNull()).withColumn("_number", F.col(number).cast("long"))
-    posted = own.select(F.col("_number").alias("number"), each).select("number", "x.field", tokens(F.col("x.text")).alias("tokens")).mapInArrow(_places, "token string, field string, number long, places array<int>")
+    listed = lambda df: df.select("number", "x.field", tokens(F.col("x.text")).alias("tokens")).mapInArrow(_lists, "token string, field string, numbers array<long>, places array<array<int>>")
+    told = own.select(F.col("_number").alias("number"), each)
     repeated = own.groupBy(F.col("_number").alias("number")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("number")
-    if not repeated.isEmpty():
-        merged = posted.join(repeated, "number", "left_semi").groupBy("token", "field", "number").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
-        posted = posted.join(repeated, "number", "left_anti").unionByName(merged)
-    posted = settled(posted.select("token", "field", "number", "places"), "postings")
-    low, high = posted.agg(F.min("number"), F.max("number")).first()
+    if repeated.isEmpty():
+        posted = listed(told)
+    else:
+        again = listed(told.join(repeated, "number", "left_semi")).select("token", "field", F.explode(F.arrays_zip("numbers", "places")).alias("x")).groupBy("token", "field", F.col("x.numbers").alias("number"))
+        merged = again.agg(F.array_sort(F.flatten(F.collect_list("x.places"))).alias("places"))
+        posted = listed(told.join(repeated, "number", "left_anti")).unionByName(merged.select("token", "field", F.array("number").alias("numbers"), F.array("places").alias("places")))
+    posted = settled(posted, "postings")
+    low, high = posted.agg(F.min(F.element_at("numbers", 1)), F.max(F.element_at("numbers", -1))).first()
     span = (high or 0) - (low or 0) + 1
-    found = posted.groupBy("token", "field").agg(F.count(F.lit(1)).alias("texts"))
+    found = posted.groupBy("token", "field").agg(F.sum(F.size("numbers").cast("long")).alias("texts"))
     width = F.greatest(F.least(F.floor(F.log2(F.lit(float(span)) * BLOCK / F.col("texts"))), F.lit(62)), F.lit(0)).cast("int")
-    dealt = posted.join(found.withColumn("width", width), ["token", "field"]).withColumn("block", _shifted(F.col("number"), F.col("width")))
-    blocks = dealt.groupBy("token", "field", "width", "block", "texts").agg(F.array_sort(F.collect_list(F.struct("number", "places"))).alias("all"))
-    least = F.element_at("all", 1)["number"]
-    return blocks.select("token", "field", "width", "block", least.alias("least"), F.element_at("all", -1)["number"].alias("most"), F.size("all").alias("n"), "texts", F.transform("all", lambda x: x["number"] - least).alias("offsets"), F.transform("all", lambda x: x["places"]).alias("places"))
+    widths = versions.settled(found.withColumn("width", width), "widths")  # of a size that is known, so that a small vocabulary goes to the postings
+    dealt = posted.join(widths, ["token", "field"]).select("token", "field", "width", "texts", "numbers", "places")
+    parts = dealt.mapInArrow(_cut, "token string, field string, width int, texts long, block long, numbers array<long>, places array<array<int>>")
+    together = parts.repartition("token", "field", "block").sortWithinPartitions("token", "field", "block", F.element_at("numbers", 1))
+    return together.mapInArrow(_blocks, "token string, field string, width int, block long, least long, most long, n int, texts long, offsets array<long>, places array<array<int>>")
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, field, number, places) of rows (number, field, tokens): a text's tokens are put together where it is read, so that occurrences are never shuffled or sorted as rows."""
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+
+
+def _grouped(begin: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """values as lists that begin at given places."""
+    return pa.ListArray.from_arrays(pa.array(np.append(begin, len(values)), pa.int32()), values)
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, field, numbers, places) of rows (number, field, tokens): a batch's texts with a token are one row, in the order of their numbers, so that neither occurrences nor texts are shuffled or sorted as rows."""
     for batch in batches:
         number, field, lists = (batch.column(c) for c in ("number", "field", "tokens"))
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
+        coded, fields, numbers = lists.flatten().dictionary_encode(), field.dictionary_encode(), number.to_numpy()
         row = np.repeat(np.arange(len(sizes)), sizes)
         place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        key = row * max(len(coded.dictionary), 1) + coded.indices.to_numpy()
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        places = pa.ListArray.from_arrays(pa.array(np.append(begin, len(key)), pa.int32()), pa.array(place[order], pa.int32()))
-        at = pa.array(row[order][begin])
-        yield pa.RecordBatch.from_arrays([coded.dictionary.take(coded.indices.take(pa.array(order[begin]))), field.take(at), number.take(at), places], ["token", "field", "number", "places"])
+        word = coded.indices.to_numpy().astype(np.int64) * max(len(fields.dictionary), 1) + fields.indices.to_numpy()[row]
+        order = np.lexsort((place, numbers[row], word))
+        word, row, place = word[order], row[order], place[order]
+        text = _starts(word * max(len(sizes), 1) + row)
+        token = _starts(word[text])
+        at = text[token]
+        yield pa.RecordBatch.from_arrays([
+            coded.dictionary.take(pa.array(word[at] // max(len(fields.dictionary), 1))), fields.dictionary.take(pa.array(word[at] % max(len(fields.dictionary), 1))),
+            _grouped(token, pa.array(numbers[row[text]], pa.int64())), _grouped(token, _grouped(text, pa.array(place, pa.int32()))),
+        ], ["token", "field", "numbers", "places"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of `_lists` with the width of their token's blocks, cut at the blocks."""
+    for batch in batches:
+        lists = batch.column("numbers")
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        numbers = lists.flatten()
+        block = numbers.to_numpy() >> batch.column("width").to_numpy().astype(np.int64)[row]
+        begin = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])))) if len(row) else np.zeros(0, np.int64)
+        at = pa.array(row[begin])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("token", "field", "width", "texts")], pa.array(block[begin], pa.int64()), _grouped(begin, numbers), _grouped(begin, batch.column("places").flatten())], ["token", "field", "width", "texts", "block", "numbers", "places"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows of `_cut` in the order of token, field and block; the last block of a batch waits for its other rows."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        rows = rows.combine_chunks()
+        begin = _begins(rows)
+        if len(begin):
+            held = rows.slice(begin[-1])
+            yield from _whole(rows.slice(0, begin[-1]), begin[:-1])
+    if held is not None:
+        yield from _whole(held, _begins(held))
+
+
+def _begins(rows: pa.Table) -> np.ndarray:
+    """Where the rows of each block begin."""
+    new = np.ones(len(rows), bool)
+    if len(rows) > 1:
+        new[1:] = np.any([pc.not_equal(rows[c].slice(1), rows[c].slice(0, len(rows) - 1)).to_numpy() for c in ("token", "field", "block")], axis=0)
+    return np.flatnonzero(new)
+
+
+def _whole(rows: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each block, its texts in the order of their numbers."""
+    if not len(begin):
+        return
+    lists, places = (pa.concat_arrays(rows[c].chunks) for c in ("numbers", "places"))
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    block = np.repeat(np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(rows)))), sizes)
+    numbers, each = lists.flatten().to_numpy(), places.flatten()
+    if np.any((block[1:] == block[:-1]) & (numbers[1:] < numbers[:-1])):
+        order = np.lexsort((numbers, block))
+        numbers, each = numbers[order], each.take(pa.array(order))
+    first = _starts(block)
+    n = np.diff(np.append(first, len(block)))
+    least = numbers[first]
+    at = pa.array(begin)
+    of = {c: pa.concat_arrays(rows[c].chunks).take(at) for c in ("token", "field", "width", "block", "texts")}
+    own = [pa.array(least), pa.array(numbers[first + n - 1]), pa.array(n, pa.int32())]
+    yield pa.RecordBatch.from_arrays([of["token"], of["field"], of["width"], of["block"], *own, of["texts"], _grouped(first, pa.array(numbers - least[block])), _grouped(first, each)], ["token", "field", "width", "block", "least", "most", "n", "texts", "offsets", "places"])
 
 
 def _shifted(number: Column, width: Column) -> Column:
@@ -71,8 +144,11 @@ def _shifted(number: Column, width: Column) -> Column:
 
 
 def write(index: DataFrame, path: str) -> DataFrame:
-    """The index as Parquet in the order of its tokens; as many files as adaptive execution takes for its size."""
-    rows = index.repartitionByRange("token", "field", "block").sortWithinPartitions("token", "field", "block")
+    """The index as Parquet in the order of its tokens; as many files as adaptive execution takes for its size.
+
+    Its blocks are stored before, as the ranges of files follow from a look at them, which would make them again.
+    """
+    rows = settled(index, "blocks").repartitionByRange("token", "field", "block").sortWithinPartitions("token", "field", "block")
     rows.write.mode("errorifexists").option("parquet.block.size", GROUP).parquet(path)
     return index.sparkSession.read.schema(index.schema).parquet(path)
 

@@ -122,3 +122,22 @@ def test_occurrences_are_no_rows(spark, monkeypatch):
     built = postings.build(spark.createDataFrame([(i, "b a b") for i in range(5)], "id long, body string"), ["body"])
     assert len(plans) == 1 and "Aggregate" not in plans[0]
     assert {r["token"]: sorted(tuple(p) for p in r["places"]) for r in built.collect()} == {"a": [(1,)] * 5, "b": [(0, 2)] * 5}
+
+
+def test_a_word_of_a_batch_is_one_row(spark, monkeypatch):
+    """Stored postings have a row for each word of a batch, whatever the number of its texts, blocks are put together without a group for each, and repeated and unordered numbers count alike."""
+    stored, own = [], postings.settled
+    monkeypatch.setattr(postings, "settled", lambda df, what: stored.append(own(df, what)) or stored[-1])
+    monkeypatch.setattr(postings, "BLOCK", 16)
+    rows = [((i * 37) % 500, "b a b" if i % 2 else "a") for i in range(500)]
+    built = postings.build(spark.createDataFrame(rows, "id long, body string").coalesce(1), ["body"])
+    assert stored[0].count() == 2
+    assert "collect_list" not in built._jdf.queryExecution().optimizedPlan().toString()
+    for token in "ab":
+        got = built.where(F.col("token") == token).orderBy("block").collect()
+        texts = [r["least"] + o for r in got for o in r["offsets"]]
+        assert texts == sorted(i for i, t in rows if token in t) and all(r["texts"] == len(texts) and r["n"] == len(r["offsets"]) and r["most"] == r["least"] + r["offsets"][-1] for r in got) and len(got) > 10
+        place = {i: [k for k, w in enumerate(t.split()) if w == token] for i, t in rows}
+        assert [p for r in got for p in r["places"]] == [place[i] for i in texts]
+    again = postings.build(spark.createDataFrame([*rows, (3, "a")], "id long, body string"), ["body"])
+    assert again.where("token = 'a'").agg(F.sum("n")).first()[0] == len(rows)
