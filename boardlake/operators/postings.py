@@ -9,7 +9,9 @@ question reads the row groups of its words. Words meet text by text; of a word w
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,40 +25,67 @@ from .versions import settled
 
 #: Texts of a block, about; bytes of a row group.
 BLOCK, GROUP = 1024, 4 << 20
+#: Bytes of texts that are listed together, about, and that are split together.
+BATCH, SLICE = 64 << 20, 1 << 18
+#: Frequent words that go to every task; of more, the postings are met in an equi-join.
+SENT_WORDS = 200_000
+#: Letters that need not become one letter each, or whose kind may depend on the version of Unicode.
+_OTHER = r"[\x{130}\x{250}-\x{10FFFF}]"
+#: The letter or digit that `tokens` makes of each character but those, and 0 of all that stand between words.
+_FOLDED = np.array([ord(chr(c).lower()[0].translate(str.maketrans(*_ACCENTS))) if unicodedata.category(chr(c))[0] in "LN" else 0 for c in range(0x250)], np.uint16)
+#: Rows of postings: a token's texts by their numbers; places twice, and one more for a text's first.
+_POSTED = "token string, field string, n int, least long, most long, numbers binary, places binary"
 
 
 def build(texts: DataFrame, fields: Iterable[str], number: str = "id") -> DataFrame:
-    """(token, field, width, block, least, most, n, texts, offsets, places) of texts with a whole number of their own.
+    """(token, field, width, block, least, most, n, texts, offsets, places) of texts with a whole number of their own, in ranges of tokens.
 
     texts is how many texts have the token in the field; offsets are sorted, places are those of the token in each text, in order. Null and
     blank texts have no tokens; rows without a number are left out; of a repeated number the places of all its rows count.
+    Only words of more than BLOCK texts are cut by a width that must be known before; the others' rows meet in one task, which counts them.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields])).alias("x")
-    own = texts.where(F.col(number).isNotNull()).withColumn("_number", F.col(number).cast("long"))
-    listed = lambda df: df.select("number", "x.field", tokens(F.col("x.text")).alias("tokens")).mapInArrow(_lists, "token string, field string, numbers array<long>, places array<array<int>>")
-    told = own.select(F.col("_number").alias("number"), each)
-    repeated = own.groupBy(F.col("_number").alias("number")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("number")
+    fields = list(fields)
+    own = texts.where(F.col(number).isNotNull()).select(F.col(number).cast("long").alias("number"), *[F.col(f).cast("string").alias(f"_text{i}") for i, f in enumerate(fields)])
+    repeated = own.groupBy("number").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("number")
     if repeated.isEmpty():
-        posted = listed(told)
+        posted = _listed(own, fields)
     else:
-        again = listed(told.join(repeated, "number", "left_semi")).select("token", "field", F.explode(F.arrays_zip("numbers", "places")).alias("x")).groupBy("token", "field", F.col("x.numbers").alias("number"))
-        merged = again.agg(F.array_sort(F.flatten(F.collect_list("x.places"))).alias("places"))
-        posted = listed(told.join(repeated, "number", "left_anti")).unionByName(merged.select("token", "field", F.array("number").alias("numbers"), F.array("places").alias("places")))
+        each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_text{i}").alias("text")) for i, f in enumerate(fields)])).alias("x")
+        again = own.join(repeated, "number", "left_semi").select("number", each).select("number", "x.field", F.posexplode(tokens(F.col("x.text"))).alias("place", "token"))
+        merged = again.groupBy("token", "field", "number").agg(F.array_sort(F.collect_list("place")).alias("places"))
+        posted = _listed(own.join(repeated, "number", "left_anti"), fields).unionByName(merged.mapInArrow(_single, _POSTED))
     posted = settled(posted, "postings")
-    low, high = posted.agg(F.min(F.element_at("numbers", 1)), F.max(F.element_at("numbers", -1))).first()
-    span = (high or 0) - (low or 0) + 1
-    found = posted.groupBy("token", "field").agg(F.sum(F.size("numbers").cast("long")).alias("texts"))
-    width = F.greatest(F.least(F.floor(F.log2(F.lit(float(span)) * BLOCK / F.col("texts"))), F.lit(62)), F.lit(0)).cast("int")
-    widths = versions.settled(found.withColumn("width", width), "widths")  # of a size that is known, so that a small vocabulary goes to the postings
-    dealt = posted.join(widths, ["token", "field"]).select("token", "field", "width", "texts", "numbers", "places")
-    parts = dealt.mapInArrow(_cut, "token string, field string, width int, texts long, block long, numbers array<long>, places array<array<int>>")
-    together = parts.repartition("token", "field", "block").sortWithinPartitions("token", "field", "block", F.element_at("numbers", 1))
-    return together.mapInArrow(_blocks, "token string, field string, width int, block long, least long, most long, n int, texts long, offsets array<long>, places array<array<int>>")
-
-
-def _starts(key: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    low, high = posted.agg(F.min("least"), F.max("most")).first()
+    most, span = BLOCK, float((high or 0) - (low or 0) + 1)
+    found = posted.groupBy("token", "field").agg(F.sum("n").alias("texts")).where(F.col("texts") > most)
+    width = F.greatest(F.least(F.floor(F.log2(F.lit(span) * most / F.col("texts"))), F.lit(62)), F.lit(0)).cast("int")
+    widths = versions.settled(found.withColumn("width", width), "widths")
+    if widths.count() <= SENT_WORDS:  # as a rule: a frequent word takes more than BLOCK texts
+        widths = F.broadcast(widths)
+    columns = ["token", "field", "width", "texts", "n", "numbers", "places"]
+    cut = posted.join(widths, ["token", "field"]).select(*columns).mapInArrow(_cut, "token string, field string, width int, texts long, block long, least long, n int, numbers binary, places binary")
+    rest = posted.join(widths, ["token", "field"], "left_anti").withColumns({"width": F.lit(None).cast("int"), "texts": F.lit(None).cast("long"), "block": F.lit(0).cast("long")})
+    parts = cut.unionByName(rest.select(*cut.columns))
+    together = parts.repartitionByRange("token", "field", "block").sortWithinPartitions("token", "field", "block", "least")
+    blocks = partial(_blocks, most, span)
+    return together.mapInArrow(blocks, "token string, field string, width int, block long, least long, most long, n int, texts long, offsets array<long>, places array<array<int>>")
+
+
+def _listed(own: DataFrame, fields: list[str]) -> DataFrame:
+    """Postings of rows (number, _text0, ...). Texts of Latin letters are split where they are listed, those with other letters by `tokens`."""
+    each = []
+    for i in range(len(fields)):
+        text = F.col(f"_text{i}")
+        other = F.when(F.octet_length(text) > F.char_length(text), text.rlike(_OTHER)).otherwise(False)
+        each += [F.when(~other, text).alias(f"_plain{i}"), F.when(other, tokens(text)).alias(f"_tokens{i}")]
+    return own.select("number", *each).mapInArrow(partial(_lists, fields), _POSTED)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of rows with equal keys begin."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
 
 
 def _grouped(begin: np.ndarray, values: pa.Array) -> pa.ListArray:
@@ -64,50 +93,147 @@ def _grouped(begin: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(begin, len(values)), pa.int32()), values)
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, field, numbers, places) of rows (number, field, tokens): a batch's texts with a token are one row, in the order of their numbers, so that neither occurrences nor texts are shuffled or sorted as rows."""
+def _packed(begin: np.ndarray, values: np.ndarray) -> pa.BinaryArray:
+    """values as byte strings that begin at given places: Spark moves those whole, and lists value by value."""
+    offsets = (np.append(begin, len(values)) * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The values of all byte strings of `_packed`."""
+    found = []
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            found.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind))
+    return found[0] if len(found) == 1 else np.concatenate([np.zeros(0, kind), *found])
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of texts without _OTHER, as `tokens` has them, and each one's row."""
+    texts = pc.fill_null(texts, "")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    letters, sizes, rows, i = [], [], [], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE, "right")) - 1)
+        raw, begin = data[ends[i] : ends[j]], ends[i:j] - ends[i]
+        chars = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+        if len(chars) < len(raw):
+            begin = np.append(0, np.cumsum((raw & 0xC0) != 0x80))[begin]
+        letter = _FOLDED[chars]
+        some = letter != 0
+        new = some.copy()
+        new[1:] &= ~some[:-1]
+        own = begin[begin < len(some)]
+        new[own] = some[own]
+        start = np.flatnonzero(new)
+        kept = letter[some]
+        first = np.append((np.cumsum(some) - 1)[start], len(kept))
+        if len(kept) and kept.max() >= 0x80:
+            first = np.append(0, np.cumsum(1 + (kept >= 0x80) + (kept >= 0x800)))[first]
+        letters.append(kept.astype(np.uint32).tobytes().decode("utf-32-le").encode())
+        sizes.append(np.diff(first))
+        rows.append((np.searchsorted(begin, start, "right") - 1 + i).astype(np.int32))
+        i = j
+    size = np.concatenate([np.zeros(1, np.int64), *sizes])
+    return pa.StringArray.from_buffers(len(size) - 1, pa.py_buffer(np.cumsum(size).astype(np.int32)), pa.py_buffer(b"".join(letters))), np.concatenate([np.zeros(0, np.int32), *rows])
+
+
+def _lists(fields: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of rows (number, _plain0, _tokens0, ...): a batch's texts with a token are one row, in the order of their numbers, so that neither occurrences nor texts are shuffled or sorted as rows."""
+    for whole in _joined(batches):
+        step = max(1, -(-len(whole) // max(1, whole.nbytes // BATCH)))
+        for batch in (whole.slice(k, step) for k in range(0, len(whole), step)):
+            numbers = batch.column("number").to_numpy()
+            if np.any(numbers[1:] < numbers[:-1]):
+                order = np.argsort(numbers, kind="stable")
+                batch, numbers = batch.take(pa.array(order)), numbers[order]
+            for i, field in enumerate(fields):
+                lists = batch.column(f"_tokens{i}")
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                for found, row in (_split(batch.column(f"_plain{i}")), (lists.flatten(), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes))):
+                    if len(found):
+                        yield _rows(found, row, numbers, field)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to BATCH bytes at least: the more texts are listed together, the fewer rows have a word."""
+    held, size = [], 0
     for batch in batches:
-        number, field, lists = (batch.column(c) for c in ("number", "field", "tokens"))
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded, fields, numbers = lists.flatten().dictionary_encode(), field.dictionary_encode(), number.to_numpy()
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        word = coded.indices.to_numpy().astype(np.int64) * max(len(fields.dictionary), 1) + fields.indices.to_numpy()[row]
-        order = np.lexsort((place, numbers[row], word))
-        word, row, place = word[order], row[order], place[order]
-        text = _starts(word * max(len(sizes), 1) + row)
-        token = _starts(word[text])
-        at = text[token]
-        yield pa.RecordBatch.from_arrays([
-            coded.dictionary.take(pa.array(word[at] // max(len(fields.dictionary), 1))), fields.dictionary.take(pa.array(word[at] % max(len(fields.dictionary), 1))),
-            _grouped(token, pa.array(numbers[row[text]], pa.int64())), _grouped(token, _grouped(text, pa.array(place, pa.int32()))),
-        ], ["token", "field", "numbers", "places"])
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BATCH:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _rows(found: pa.Array, row: np.ndarray, numbers: np.ndarray, field: str) -> pa.RecordBatch:
+    """Postings of a batch's tokens, which come in the order of rows and places."""
+    coded = found.dictionary_encode()
+    word, first = coded.indices.to_numpy(), _starts(row)
+    place = np.arange(len(row), dtype=np.int32) - np.repeat(first, np.diff(np.append(first, len(row)))).astype(np.int32)
+    order = np.argsort((word & 0xFFFF).astype(np.uint16), kind="stable")  # by halves, each of which is counted and not compared
+    if len(coded.dictionary) > 0x10000:
+        order = order[np.argsort((word >> 16).astype(np.uint16)[order], kind="stable")]
+    word, row, place = word[order], row[order], place[order] * 2
+    token, text = _starts(word), _starts(word, row)
+    place[text] += 1
+    return _postings(coded.dictionary.take(pa.array(word[token])), pa.array([field]).take(pa.array(np.zeros(len(token), np.int32))), np.searchsorted(text, token), numbers[row[text]], token, place)
+
+
+def _postings(token: pa.Array, field: pa.Array, begin: np.ndarray, numbers: np.ndarray, placed: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """Rows of _POSTED, whose numbers and places begin at given places."""
+    after = np.append(begin[1:], len(numbers))
+    return pa.RecordBatch.from_arrays([token, field, pa.array(after - begin, pa.int32()), pa.array(numbers[begin], pa.int64()), pa.array(numbers[after - 1], pa.int64()), _packed(begin, numbers.astype(np.int64, copy=False)), _packed(placed, places)], ["token", "field", "n", "least", "most", "numbers", "places"])
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of rows (token, field, number, places), each of one text."""
+    for batch in batches:
+        if len(batch):
+            lists = batch.column("places")
+            sizes = pc.list_value_length(lists).to_numpy()
+            begin, places = np.cumsum(sizes) - sizes, lists.flatten().to_numpy() * 2
+            places[begin] += 1
+            yield _postings(batch.column("token"), batch.column("field"), np.arange(len(batch)), batch.column("number").to_numpy(), begin, places.astype(np.int32))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of `_lists` with the width of their token's blocks, cut at the blocks."""
+    """Postings with the width of their token's blocks, cut at the blocks."""
     for batch in batches:
-        lists = batch.column("numbers")
-        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
-        numbers = lists.flatten()
-        block = numbers.to_numpy() >> batch.column("width").to_numpy().astype(np.int64)[row]
-        begin = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])))) if len(row) else np.zeros(0, np.int64)
+        numbers, places = _unpacked(batch.column("numbers"), np.int64), _unpacked(batch.column("places"), np.int32)
+        row = np.repeat(np.arange(len(batch)), batch.column("n").to_numpy())
+        block = numbers >> batch.column("width").to_numpy().astype(np.int64)[row]
+        begin = _starts(row, block)
+        n = np.diff(np.append(begin, len(numbers)))
         at = pa.array(row[begin])
-        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("token", "field", "width", "texts")], pa.array(block[begin], pa.int64()), _grouped(begin, numbers), _grouped(begin, batch.column("places").flatten())], ["token", "field", "width", "texts", "block", "numbers", "places"])
+        own = [pa.array(block[begin], pa.int64()), pa.array(numbers[begin], pa.int64()), pa.array(n, pa.int32()), _packed(begin, numbers), _packed(np.flatnonzero(places & 1)[begin], places)]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("token", "field", "width", "texts")], *own], ["token", "field", "width", "texts", "block", "least", "n", "numbers", "places"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows of `_cut` in the order of token, field and block; the last block of a batch waits for its other rows."""
-    held = None
+def _blocks(most: int, span: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows of `_cut` in the order of token, field and block; the last one of a batch waits for its other rows."""
+    held: list[pa.Table] = []
     for batch in batches:
-        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        rows = rows.combine_chunks()
+        rows = pa.Table.from_batches([batch])
+        if held and len(rows) and _same(held[-1].slice(len(held[-1]) - 1), rows.slice(len(rows) - 1)):
+            held.append(rows)  # one block still, which is not looked at again
+            continue
+        rows = pa.concat_tables([*held, rows]).combine_chunks()
         begin = _begins(rows)
         if len(begin):
-            held = rows.slice(begin[-1])
-            yield from _whole(rows.slice(0, begin[-1]), begin[:-1])
-    if held is not None:
-        yield from _whole(held, _begins(held))
+            held = [rows.slice(begin[-1])]
+            yield from _whole(rows.slice(0, begin[-1]), begin[:-1], most, span)
+    if held:
+        rows = pa.concat_tables(held).combine_chunks()
+        yield from _whole(rows, _begins(rows), most, span)
+
+
+def _same(a: pa.Table, b: pa.Table) -> bool:
+    return all(a[c][0] == b[c][0] for c in ("token", "field", "block"))
 
 
 def _begins(rows: pa.Table) -> np.ndarray:
@@ -118,24 +244,29 @@ def _begins(rows: pa.Table) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _whole(rows: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each block, its texts in the order of their numbers."""
+def _whole(rows: pa.Table, begin: np.ndarray, most: int, span: float) -> Iterator[pa.RecordBatch]:
+    """One row for each block, its texts in the order of their numbers. Words without a width are whole here: it follows from their texts, and they are cut by it."""
     if not len(begin):
         return
-    lists, places = (pa.concat_arrays(rows[c].chunks) for c in ("numbers", "places"))
-    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
-    block = np.repeat(np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(rows)))), sizes)
-    numbers, each = lists.flatten().to_numpy(), places.flatten()
-    if np.any((block[1:] == block[:-1]) & (numbers[1:] < numbers[:-1])):
-        order = np.lexsort((numbers, block))
+    numbers, places = _unpacked(rows["numbers"], np.int64), _unpacked(rows["places"], np.int32)
+    each = _grouped(np.flatnonzero(places & 1), pa.array(places >> 1))
+    sizes = np.add.reduceat(rows["n"].to_numpy().astype(np.int64), begin)
+    group = np.repeat(np.arange(len(begin)), sizes)
+    if np.any((group[1:] == group[:-1]) & (numbers[1:] < numbers[:-1])):
+        order = np.lexsort((numbers, group))
         numbers, each = numbers[order], each.take(pa.array(order))
-    first = _starts(block)
-    n = np.diff(np.append(first, len(block)))
-    least = numbers[first]
-    at = pa.array(begin)
-    of = {c: pa.concat_arrays(rows[c].chunks).take(at) for c in ("token", "field", "width", "block", "texts")}
-    own = [pa.array(least), pa.array(numbers[first + n - 1]), pa.array(n, pa.int32())]
-    yield pa.RecordBatch.from_arrays([of["token"], of["field"], of["width"], of["block"], *own, of["texts"], _grouped(first, pa.array(numbers - least[block])), _grouped(first, each)], ["token", "field", "width", "block", "least", "most", "n", "texts", "offsets", "places"])
+    head = rows.take(pa.array(begin))
+    own = np.clip(np.floor(np.log2(span * most / sizes)), 0, 62)
+    width = pc.coalesce(head["width"], pa.array(own, pa.int32())).to_numpy().astype(np.int64)
+    block = numbers >> width[group]
+    first = _starts(group, block)
+    of, n, least = group[first], np.diff(np.append(first, len(group))), numbers[first]
+    token, field = (pa.concat_arrays(head[c].chunks).take(pa.array(of)) for c in ("token", "field"))
+    texts = pc.coalesce(head["texts"], pa.array(sizes)).to_numpy()[of]
+    offsets = numbers - np.repeat(least, n)
+    yield pa.RecordBatch.from_arrays([
+        token, field, pa.array(width[of], pa.int32()), pa.array(block[first]), pa.array(least), pa.array(numbers[first + n - 1]), pa.array(n, pa.int32()), pa.array(texts), _grouped(first, pa.array(offsets)), _grouped(first, each),
+    ], ["token", "field", "width", "block", "least", "most", "n", "texts", "offsets", "places"])
 
 
 def _shifted(number: Column, width: Column) -> Column:
@@ -144,12 +275,8 @@ def _shifted(number: Column, width: Column) -> Column:
 
 
 def write(index: DataFrame, path: str) -> DataFrame:
-    """The index as Parquet in the order of its tokens; as many files as adaptive execution takes for its size.
-
-    Its blocks are stored before, as the ranges of files follow from a look at them, which would make them again.
-    """
-    rows = settled(index, "blocks").repartitionByRange("token", "field", "block").sortWithinPartitions("token", "field", "block")
-    rows.write.mode("errorifexists").option("parquet.block.size", GROUP).parquet(path)
+    """The index as Parquet in the order of its tokens, as `build` leaves it; as many files as adaptive execution takes for its size."""
+    index.write.mode("errorifexists").option("parquet.block.size", GROUP).parquet(path)
     return index.sparkSession.read.schema(index.schema).parquet(path)
 
 

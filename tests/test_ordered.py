@@ -141,3 +141,44 @@ def test_a_word_of_a_batch_is_one_row(spark, monkeypatch):
         assert [p for r in got for p in r["places"]] == [place[i] for i in texts]
     again = postings.build(spark.createDataFrame([*rows, (3, "a")], "id long, body string"), ["body"])
     assert again.where("token = 'a'").agg(F.sum("n")).first()[0] == len(rows)
+
+
+def test_only_frequent_words_are_looked_up(spark, monkeypatch, tmp_path):
+    """Widths are stored of words of more than BLOCK texts, the others' rows are dealt once, by ranges, and written as they lie; both kinds are whole."""
+    stored, own = [], postings.versions.settled
+    monkeypatch.setattr(postings.versions, "settled", lambda df, what: stored.append(own(df, what)) or stored[-1])
+    monkeypatch.setattr(postings, "BLOCK", 16)
+    monkeypatch.setattr(postings, "BATCH", 2000)
+    rows = [(i - 200, f"hot w{i // 16} only{i} hot") for i in range(400)]
+    built = postings.build(spark.createDataFrame(rows, "id long, body string"), ["body"])
+    assert [r["token"] for r in stored[0].collect()] == ["hot"]
+    index = postings.write(built, str(tmp_path / "i")).collect()
+    got = {}
+    for r in index:
+        assert r["least"] >> r["width"] == r["most"] >> r["width"] == r["block"] and r["n"] == len(r["offsets"]) == len(r["places"])
+        got.setdefault(r["token"], []).extend((r["least"] + o, tuple(p)) for o, p in zip(r["offsets"], r["places"], strict=True))
+    want = {}
+    for i, text in rows:
+        for w in dict.fromkeys(text.split()):
+            want.setdefault(w, []).append((i, tuple(k for k, x in enumerate(text.split()) if x == w)))
+    assert {w: sorted(x) for w, x in got.items()} == want and {r["texts"] for r in index if r["token"] == "w3"} == {16}
+
+
+def test_letters_are_split_as_by_tokens(spark):
+    """Every letter below U+0250 alike, and texts with others, which come by the other way."""
+    import pyarrow as pa
+
+    from boardlake.operators.search import tokens
+
+    plain = [f"a{chr(c)}B {chr(c)}" for c in range(0x250) if c != 0x130] + ["", " ", "x", None, "Ünïted-ÀÉ  9²½ end", "".join(map(chr, range(0x130))), "y" * 300_000 + " Z"]
+    found, row = postings._split(pa.array(plain))
+    got = [[] for _ in plain]
+    for t, r in zip(found.to_pylist(), row, strict=True):
+        got[r].append(t)
+    want = spark.createDataFrame(list(enumerate(plain)), "i long, t string").select("i", tokens(F.col("t")).alias("t")).orderBy("i").collect()
+    assert got == [r["t"] or [] for r in want]
+    texts = [(1, "İstanbul ΟΔΟΣ Σ é"), (2, "日本 data 😀x"), (3, "plain é"), (4, None)]
+    built = postings.build(spark.createDataFrame(texts, "id long, body string"), ["body"])
+    got = sorted((r["token"], r["least"] + o, tuple(p)) for r in built.collect() for o, p in zip(r["offsets"], r["places"], strict=True))
+    want = spark.createDataFrame(texts, "id long, body string").select("id", F.posexplode(tokens(F.col("body"))).alias("p", "t")).collect()
+    assert got == sorted((r["t"], r["id"], (r["p"],)) for r in want)
