@@ -186,13 +186,23 @@ CHAIN = [
 ]
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """rows with metro, the market of their location, which is sought once for each different location where those are few; a metro that they have already stays."""
+    if "metro" in rows.columns:
+        return rows
+    known = settled(rows.where(F.col("location").isNotNull()).select(F.col("location").alias("_location")).distinct(), "locations")
+    if known.count() > SENT_CELLS:
+        return rows.withColumn("metro", metro(F.col("location")))
+    markets = settled(known.withColumn("metro", metro(F.col("_location"))), "markets")
+    return rows.join(F.broadcast(markets), F.col("location") == F.col("_location"), "left").drop("_location")
+
+
 def learned_pay(jobs: DataFrame, told: DataFrame, key: str = "id") -> DataFrame:
     """jobs with learned_level, learned_low, learned_high, learned_currency, learned_text.
 
     told: listings with disclosed annual pay (currency, pay). Cells are of one currency each. A job asks those of its market's
-    currency; one in no known market, or in the home market, has no answer.
+    currency; one in no known market, or in the home market, has no answer. Frames that come from `placed` are not placed again.
     """
-    placed = lambda df: df.withColumn("metro", metro(F.col("location")))
     model = cells(placed(told), CHAIN, "pay", by=("currency",))
     own = placed(jobs).withColumn("currency", market_currency(F.col("metro")))
     found = predict(own, model, CHAIN, by=("currency",), key=key)

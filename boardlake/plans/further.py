@@ -220,8 +220,8 @@ t AS (SELECT *, currency || format('{{:,}}', CAST(round_even(low / 12 / 1000, 0)
 @query("q160_learned_pay", f"WITH {LISTINGS}, {_learned_sql()} SELECT id, level AS learned_level, round(low, 4) AS learned_low, round(high, 4) AS learned_high, currency AS learned_currency, CASE WHEN low_text = high_text THEN low_text ELSE low_text || ' - ' || high_text END AS learned_text FROM t")
 def q160(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pay as a reader sees it: of the market's currency, from the tightest of seven levels of disclosed pay, as monthly thousands."""
-    rows = market_listings(spark, sf_dir)
-    told = rows.where("salary_source = 'disclosed'").withColumn("currency", salary.market_currency(places.metro(F.col("location")))).where("currency is not null")
+    rows = evaluate.placed(market_listings(spark, sf_dir))
+    told = rows.where("salary_source = 'disclosed'").withColumn("currency", salary.market_currency(F.col("metro"))).where("currency is not null")
     found = evaluate.learned_pay(rows, told)
     return found.select("id", "learned_level", F.round("learned_low", 4).alias("learned_low"), F.round("learned_high", 4).alias("learned_high"), "learned_currency", "learned_text")
 

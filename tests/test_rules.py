@@ -191,3 +191,18 @@ def test_levels_of_many_cells_answer_alike(spark, monkeypatch):
         monkeypatch.setattr(evaluate, "SENT_CELLS", most)
         assert ask() == sent
     assert {r[4] for r in sent} == {"ab", "a", None}
+
+
+@pytest.mark.parametrize("sent", [None, 2])
+def test_markets_are_sought_by_location(spark, monkeypatch, sent):
+    """The patterns of markets meet each different location once, unless those are many; null and unknown ones, and the same answers either way."""
+    if sent:
+        monkeypatch.setattr(evaluate, "SENT_CELLS", sent)
+    at = ["London", "Toronto, ON", "Remote - US", "nowhere", "", None, "Haifa, Israel"]
+    rows = [(str(i), at[i % len(at)], "c", "d", "s", 100.0 + i) for i in range(210)]
+    df = evaluate.placed(spark.createDataFrame(rows, "id string, location string, company_domain string, department string, seniority string, pay double"))
+    assert {(r["id"], r["metro"]) for r in df.collect()} == {(r[0], {"London": "uk", "Toronto, ON": "ca", "Remote - US": "us-remote", "Haifa, Israel": "il"}.get(r[1])) for r in rows}
+    told = df.withColumn("currency", F.when(F.col("metro") == "uk", "£")).where("currency is not null")
+    assert ("RLIKE" in told._jdf.queryExecution().optimizedPlan().toString()) == bool(sent)
+    found = evaluate.learned_pay(df, told).where("learned_level is not null").collect()
+    assert len(found) == 30 and {(r["location"], r["learned_currency"], r["learned_level"]) for r in found} == {("London", "£", "company+metro+seniority")}
