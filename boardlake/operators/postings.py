@@ -76,7 +76,8 @@ def _listed(own: DataFrame, fields: list[str]) -> DataFrame:
     each = []
     for i in range(len(fields)):
         text = F.col(f"_text{i}")
-        other = F.when(F.octet_length(text) > F.char_length(text), text.rlike(_OTHER)).otherwise(False)
+        ascii = F.is_valid_utf8(text) & (F.octet_length(text) == F.char_length(text))
+        other = F.when(ascii, False).otherwise(text.rlike(_OTHER))  # broken bytes read as U+FFFD
         each += [F.when(~other, text).alias(f"_plain{i}"), F.when(other, tokens(text)).alias(f"_tokens{i}")]
     return own.select("number", *each).mapInArrow(partial(_lists, fields), _POSTED)
 

@@ -182,3 +182,10 @@ def test_letters_are_split_as_by_tokens(spark):
     got = sorted((r["token"], r["least"] + o, tuple(p)) for r in built.collect() for o, p in zip(r["offsets"], r["places"], strict=True))
     want = spark.createDataFrame(texts, "id long, body string").select("id", F.posexplode(tokens(F.col("body"))).alias("p", "t")).collect()
     assert got == sorted((r["t"], r["id"], (r["p"],)) for r in want)
+
+
+def test_broken_bytes_and_no_texts(spark):
+    df = spark.createDataFrame([(1, bytearray(b"one \xff two")), (2, bytearray(b"\xc3 one")), (3, bytearray(b"one"))], "id long, b binary").select("id", F.expr("cast(b as string)").alias("body"))
+    built = postings.build(df, ["body"])
+    assert {r["token"]: r["n"] for r in built.groupBy("token").agg(F.sum("n").alias("n")).collect()} == {"one": 3, "two": 1}
+    assert postings.build(df.where("id > 9"), ["body"]).count() == 0
