@@ -7,6 +7,7 @@ condition, its anchor: listings carry a posting for each of their values, and me
 is an alert's own, so the plan is the same for two alerts and for a million. Listings carry postings of those attributes only that are some question's anchor; where
 an attribute has at most `FEW` questions, they go to the listings, else both meet in a shuffle. Only the newest matches of a question are kept, before they are shuffled too,
 and an alert takes from them what came after its last answer. Listings are asked from the newest on, in `SLICES`: a question that is full in the newer ones does not meet the older ones.
+Watched companies keep no listings of a question, so they are all found, in a semi-join: a listing stops at the first question that it answers.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from ..functions.text import MAX_TERMS
 from .predicates import IN_FILTERS, MAX_CITIES, MAX_COUNTRIES, MAX_IDS, MAX_SKILLS, SEARCH_FIELDS, TRUE, compile_filters, fresh
 from .versions import settled
 
-MATCHES, WATCH_DAYS, WATCH_MATCHES = 50, 14, 200
+MATCHES, WATCH_DAYS = 50, 14
 #: Attributes with postings, those of fewer listings a value first; a question's anchor is the first that it has.
 ANCHORS = ["id", "company_domain", "city", "location", "skills", "country", "category", "ats", "seniority", "workplace_type"]
 #: The anchor of questions without any of them.
@@ -149,16 +150,8 @@ def matches(jobs: DataFrame, alerts: DataFrame, as_of: datetime, limit: int = MA
     alerts: alert_id, filter (map<string,string>), last_notified_at (null: all are new); since stands for all of them where it is given. An inactive
     alert (a column active that is not true) has no answer. Of equal alert_ids each is answered by itself.
     """
-    live = alerts.where("active") if "active" in alerts.columns else alerts
-    after = F.lit(since).cast("timestamp") if since else F.col("last_notified_at").cast("timestamp")
-    asked = questions(live).where("error is null").select("alert_id", after.alias("after"), "question", F.sha2(F.to_json("question").cast("binary"), 256).alias("key"))
-    # equal questions are one; the newest `limit` of its matches hold the newest of each of its alerts
-    own = asked.groupBy("key").agg(F.any_value("question").alias("_q"), F.min(F.coalesce("after", F.timestamp_seconds(F.lit(-(1 << 38))))).alias("_from"))
-    sets = F.col("_q.sets")
-    anchors = [F.when(sets[a].isNotNull(), _pairs(a, sets[a])) for a in ANCHORS]
-    first = F.coalesce(*anchors, F.array(F.struct(F.lit(ANY).alias("attribute"), F.lit("").alias("value"))))
-    anchored = own.select(F.col("key").alias("_key"), "_q", "_from", F.explode(first).alias("_anchor")).select("_key", "_q", "_from", F.col("_anchor.attribute").alias("_a"), F.col("_anchor.value").alias("_v"))
-    anchored = settled(anchored, "questions")
+    # the newest `limit` of a question's matches hold the newest of each of its alerts
+    asked, anchored = _anchored(alerts, since)
     seen, micros = F.col("first_seen").cast("timestamp"), F.unix_micros(F.col("first_seen").cast("timestamp"))
     oldest = anchored.agg(F.unix_micros(F.min("_from"))).first()[0]
     rows = jobs.where(micros > (oldest or 0))
@@ -166,7 +159,7 @@ def matches(jobs: DataFrame, alerts: DataFrame, as_of: datetime, limit: int = MA
     bounds = [None, *dict.fromkeys(cuts), None] if n > WHOLE else [None, None]
     found, left = None, anchored
     for k, (high, low) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        per = {r["_a"]: r["n"] for r in left.groupBy("_a").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each attribute
+        per = _per(left)
         part = rows if high is None else rows.where(micros < high)
         part = part if low is None else part.where(micros >= low)
         new = newest(_met(part, left, per, as_of), limit, "_key")
@@ -181,8 +174,26 @@ def matches(jobs: DataFrame, alerts: DataFrame, as_of: datetime, limit: int = MA
     return told.select("alert_id", *SHOWN)
 
 
-def _met(jobs: DataFrame, anchored: DataFrame, per: dict[str, int], as_of: datetime) -> DataFrame:
-    """(_key, SHOWN): listings that answer a question, met at its anchor. per: questions of each attribute."""
+def _anchored(alerts: DataFrame, since: datetime | None) -> tuple[DataFrame, DataFrame]:
+    """(alert_id, after, question, key) of active alerts without an error, and (_key, _q, _from, _a, _v) of their different questions, a row for each value of the anchor."""
+    live = alerts.where("active") if "active" in alerts.columns else alerts
+    after = F.lit(since).cast("timestamp") if since else F.col("last_notified_at").cast("timestamp")
+    asked = questions(live).where("error is null").select("alert_id", after.alias("after"), "question", F.sha2(F.to_json("question").cast("binary"), 256).alias("key"))
+    own = asked.groupBy("key").agg(F.any_value("question").alias("_q"), F.min(F.coalesce("after", F.timestamp_seconds(F.lit(-(1 << 38))))).alias("_from"))
+    sets = F.col("_q.sets")
+    anchors = [F.when(sets[a].isNotNull(), _pairs(a, sets[a])) for a in ANCHORS]
+    first = F.coalesce(*anchors, F.array(F.struct(F.lit(ANY).alias("attribute"), F.lit("").alias("value"))))
+    anchored = own.select(F.col("key").alias("_key"), "_q", "_from", F.explode(first).alias("_anchor")).select("_key", "_q", "_from", F.col("_anchor.attribute").alias("_a"), F.col("_anchor.value").alias("_v"))
+    return asked, settled(anchored, "questions")
+
+
+def _per(anchored: DataFrame) -> dict[str, int]:
+    """Questions of each attribute."""
+    return {r["_a"]: r["n"] for r in anchored.groupBy("_a").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each attribute
+
+
+def _met(jobs: DataFrame, anchored: DataFrame, per: dict[str, int], as_of: datetime, pairs: bool = True) -> DataFrame:
+    """(_key, SHOWN): listings that answer a question, met at its anchor; without pairs SHOWN of those that answer any. per: questions of each attribute."""
     dtypes, sets, out = dict(jobs.dtypes), F.col("_q.sets"), []
     # a listing with several of the anchor's values meets the question at each of them, and counts at the first
     once = F.lit(True)
@@ -196,8 +207,13 @@ def _met(jobs: DataFrame, anchored: DataFrame, per: dict[str, int], as_of: datet
             continue
         posted = jobs.withColumn("_p", F.explode(_postings(own, dtypes)))
         asking = anchored.where(F.col("_a").isin(own))
-        met = posted.join(F.broadcast(asking) if few else asking.hint("merge"), (F.col("_p.attribute") == F.col("_a")) & (F.col("_p.value") == F.col("_v")))
-        out.append(met.where((F.col("first_seen").cast("timestamp") > F.col("_from")) & once).where(_holds(F.col("_q"), jobs.columns, dtypes, as_of)).select("_key", *SHOWN))
+        asking = F.broadcast(asking) if few else asking.hint("merge")
+        at_anchor = (F.col("_p.attribute") == F.col("_a")) & (F.col("_p.value") == F.col("_v"))
+        new, answers = F.col("first_seen").cast("timestamp") > F.col("_from"), _holds(F.col("_q"), jobs.columns, dtypes, as_of)
+        if pairs:
+            out.append(posted.join(asking, at_anchor).where(new & once).where(answers).select("_key", *SHOWN))
+        else:
+            out.append(posted.join(asking, at_anchor & new & answers, "left_semi").select(*SHOWN))
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
@@ -231,9 +247,11 @@ def digest(matches: DataFrame) -> DataFrame:
 
 
 def watched_by(jobs: DataFrame, alerts: DataFrame, as_of: datetime) -> DataFrame:
-    """Domains that a table of alerts names, or whose listings matched one in the last 14 days."""
+    """Domains that a table of alerts names, or whose listings matched one in the last 14 days: all of them, however many listings match."""
     named = questions(alerts).where("error is null").select(F.explode(F.col("question.sets")["company_domain"]).alias("domain"))
-    recent = matches(jobs, alerts, as_of, WATCH_MATCHES, as_of - timedelta(days=WATCH_DAYS)).select(F.col("company_domain").alias("domain"))
+    since = as_of - timedelta(days=WATCH_DAYS)
+    anchored = _anchored(alerts, since)[1]
+    recent = _met(jobs.where(F.col("first_seen").cast("timestamp") > F.lit(since).cast("timestamp")), anchored, _per(anchored), as_of, pairs=False).select(F.col("company_domain").alias("domain"))
     return recent.unionByName(named).distinct()
 
 

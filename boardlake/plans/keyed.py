@@ -209,7 +209,7 @@ def q122(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.due_alerts(rows, NOON).select("alert_id")
 
 
-@query("q123_watched_companies", f"WITH {LISTINGS} SELECT company_domain AS domain FROM (SELECT *, row_number() OVER (ORDER BY first_seen DESC, id DESC) AS n FROM l WHERE {OPEN} AND ats = '1-URGENT' AND first_seen > {T_OR} - INTERVAL 14 DAY) WHERE n <= 200 UNION SELECT company_domain FROM (SELECT *, row_number() OVER (ORDER BY first_seen DESC, id DESC) AS n FROM l WHERE {OPEN} AND company_domain IN ('1', '2') AND first_seen > {T_OR} - INTERVAL 14 DAY) WHERE n <= 200 UNION SELECT unnest(['1', '2'])")
+@query("q123_watched_companies", f"WITH {LISTINGS} SELECT company_domain AS domain FROM l WHERE {OPEN} AND ats = '1-URGENT' AND first_seen > {T_OR} - INTERVAL 14 DAY UNION SELECT company_domain FROM l WHERE {OPEN} AND company_domain IN ('1', '2') AND first_seen > {T_OR} - INTERVAL 14 DAY UNION SELECT unnest(['1', '2'])")
 def q123(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Companies that alerts name, and those with a match of the last two weeks."""
     asked = [{"alert_id": "urgent", "filter": {"ats": "1-URGENT"}}, {"alert_id": "named", "filter": {"company": "1,2"}}]

@@ -70,6 +70,26 @@ def test_watched_by_a_table(spark, jobs):
     assert {r["domain"] for r in alerts.watched_by(jobs, table, NOW).collect()} == {r["company_domain"] for r in recent.collect()} | {"x.com", "y.com"}
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_all_companies_with_a_match_are_watched(spark, jobs, monkeypatch, few):
+    monkeypatch.setattr(alerts, "FEW", few)
+    many = jobs.where("ats = 'lever' and confidence = 'verified'").limit(1).crossJoin(spark.range(1500).withColumnRenamed("id", "i")).withColumns({
+        "id": F.lpad(F.hex("i"), 8, "0"), "company_domain": F.when(F.col("i") < 500, "busy.com").otherwise(F.concat(F.lit("m"), F.col("i").cast("string"), F.lit(".com"))),
+        "first_seen": F.lit(NOW) - F.make_dt_interval((F.col("i") / 100).cast("int")), "closed_at": F.lit(None).cast("timestamp"), "posted_at": F.lit(None).cast("timestamp"), "skills": F.array(F.lit("Python"), F.lit("SQL")),
+    }).drop("i")
+    ask = lambda **f: {r["domain"] for r in alerts.watched_by(many, alerts.as_table(spark, [{"alert_id": "a", "filter": f}, {"alert_id": "b", "filter": {"ids": "zz", "skills": "none such"}}]), NOW).collect()}
+    want = {"busy.com"} | {f"m{i}.com" for i in range(500, 1400)}  # the listings from 1,400 on are 14 days old
+    assert ask(ats="lever") == ask(skills="sql,python") == ask(confidence="all") == want
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_listings_that_answer_any_question(spark, jobs, monkeypatch, few):
+    monkeypatch.setattr(alerts, "FEW", few)
+    for asked in (FILTERS[1:11], FILTERS[12:20], FILTERS[20:]):
+        anchored = alerts._anchored(alerts.as_table(spark, [{"alert_id": str(n), "filter": f} for n, f in enumerate(asked)]), None)[1]
+        assert {r["id"] for r in alerts._met(jobs, anchored, alerts._per(anchored), NOW, pairs=False).collect()} == {i for f in asked for i in plain(jobs, f, None, 1000)}
+
+
 def test_only_anchors_have_postings(spark, jobs):
     table = alerts.as_table(spark, [{"alert_id": "a", "filter": {"ats": "lever"}}, {"alert_id": "b", "filter": {"company": "c1.com", "seniority": "senior"}}])
     plan = alerts.matches(jobs, table, NOW)._jdf.queryExecution().optimizedPlan().toString()
